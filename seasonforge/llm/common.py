@@ -85,39 +85,40 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Components of the items that share a key and pass ``verify``: ``node, component``.
 
-    ``members(key long, id long)``; ``verify`` keeps the true links of ``pairs(a, b)``, a < b.  A group of
-    n is not expanded into its n * n pairs: it is first linked to its smallest member, then to its
+    ``members(key long, id long)``; ``verify`` keeps the true links of ``pairs(a, b)``, a < b; ``prepare``
+    gets the members of keys with at least two items before the first call of ``verify``.  A group of n
+    is not expanded into its n * n pairs: it is first linked to its smallest member, then to its
     best-linked member; only members still in different components are then compared with each other.
     """
-    live = members  # rows of keys with two members at least
-    star = live.groupBy("key").agg(F.min("id").alias("c")).join(live, "key").where("id <> c")
-    pairs = star.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    tested = cut(pairs)
+    groups = members.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").drop("z")
+    star = cut(members.join(groups, "key"))
+    live = star.select("key", "id")
+    if prepare:
+        prepare(live)
+    tested = cut(star.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct())
     links = cut(verify(tested))
     for exhaustive in (False, True):
         comp = cut(connected_components(links))
         ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
         m = (
-            live.join(comp.withColumnRenamed("node", "id"), "id", "left").join(ends, "id", "left")
+            live.join(comp.withColumnRenamed("node", "id").join(ends, "id"), "id", "left")
             .select("key", "id", F.coalesce("component", "id").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"))
         )
         split = m.groupBy("key").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.max(F.struct("deg", (-F.col("id")).alias("neg"), "comp")).alias("hub"),
         ).where("lo <> hi")
+        rest = cut(m.join(split.select("key", (-F.col("hub.neg")).alias("c"), F.col("hub.comp").alias("cc")), "key"))
         if exhaustive:
-            open_ = m.join(split.select("key"), "key")
-            x, y = open_.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), open_.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
+            x, y = rest.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
             more = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
         else:
-            more = (
-                m.join(split.select("key", (-F.col("hub.neg")).alias("c"), F.col("hub.comp").alias("cc")), "key").where("comp <> cc")
-                .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-            )
+            more = rest.where("comp <> cc").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         more = cut(more.join(tested, ["a", "b"], "left_anti"))
+        drop_cut(rest)
         if more.isEmpty():
             if exhaustive:
                 return comp
