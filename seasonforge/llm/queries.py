@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, minhash, mixing, secrets
+from . import bpe, linededup, minhash, mixing, secrets, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_minhash, op6_lines, op7_secrets, op8_mix)}
+    return {f.__name__: f for f in (op1_bpe, op3_minhash, op5_suffix, op6_lines, op7_secrets, op8_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
