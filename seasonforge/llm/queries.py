@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, minhash, mixing, secrets, suffix
+from . import bpe, embedding, linededup, minhash, mixing, secrets, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,16 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_minhash, op5_suffix, op6_lines, op7_secrets, op8_mix)}
+    return {f.__name__: f for f in (op1_bpe, op3_minhash, op5_suffix, op6_lines, op7_secrets, op8_mix, op9_embeddings, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
