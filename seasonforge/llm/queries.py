@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding, linededup, minhash, mixing, secrets, suffix, topk
+from . import bpe, embedding, langid, linededup, minhash, mixing, secrets, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_minhash, op5_suffix, op6_lines, op7_secrets, op8_mix, op9_embeddings, op10_topk)}
+    return {f.__name__: f for f in (op1_bpe, op3_minhash, op4_language, op5_suffix, op6_lines, op7_secrets, op8_mix, op9_embeddings, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
