@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding, langid, linededup, minhash, mixing, secrets, suffix, topk
+from . import bpe, embedding, html, langid, linededup, minhash, mixing, secrets, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_minhash, op4_language, op5_suffix, op6_lines, op7_secrets, op8_mix, op9_embeddings, op10_topk)}
+    return {f.__name__: f for f in (op1_bpe, op2_html, op3_minhash, op4_language, op5_suffix, op6_lines, op7_secrets, op8_mix, op9_embeddings, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
