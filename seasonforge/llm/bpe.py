@@ -168,8 +168,9 @@ def _pieces(ids: Iterator, texts: Iterator) -> Iterator[tuple[list, list[str]]]:
         yield keys, part
 
 
-def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encodes every whole text and decodes the ids: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row.
+def bpe_digest(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encodes every whole text and decodes the ids: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row,
+    and the columns named in ``keep``.
 
     A null or empty text has no tokens.  Very long texts and words are taken whole.  Repeated rows give
     repeated results.  Ties of rank go to the leftmost pair.  An empty table gives no rows.  Other columns
@@ -179,14 +180,18 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
+            at = 0
             for keys, texts in _pieces(b["doc_id"].to_pylist(), (x.as_py() for x in b["text"])):
                 coded = c.encode(texts)
                 ids = pa.array([np.fromstring(s, np.int32, sep=" ") for s in coded], pa.list_(pa.int32()))
                 back = c.decode(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.compute.cast(pa.compute.list_value_length(ids), pa.int64()),
+                    [*[b[c].slice(at, len(keys)) for c in keep], pa.array(keys, pa.int64()), pa.compute.cast(pa.compute.list_value_length(ids), pa.int64()),
                      pa.array([hashlib.sha256(s.encode()).hexdigest() for s in coded]), pa.array([hashlib.sha256(x).hexdigest() for x in back])],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    [*keep, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+                at += len(keys)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    d = docs.select("doc_id", "text", *keep)
+    more = "".join(f"{c} {d.schema[c].dataType.simpleString()}, " for c in keep)
+    return d.mapInArrow(run, f"{more}doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
