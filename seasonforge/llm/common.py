@@ -6,11 +6,14 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -34,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._cut_path = path
     return out
@@ -50,9 +53,11 @@ def drop_cut(df: DataFrame | None) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner remove the shuffle files of finished jobs."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's context cleaner remove the shuffle files of finished jobs; it takes two collections."""
+    for pause in (0.4, 0.2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -85,44 +90,73 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """Components of the items that share a key and pass ``verify``: ``node, component``.
+#: Largest group whose remaining pairs are tested as rows, and rows of a block in larger groups.
+SMALL_GROUP, BLOCK = 48, 512
 
-    ``members(key long, id long)``; ``verify`` keeps the true links of ``pairs(a, b)``, a < b; ``prepare``
-    gets the members of keys with at least two items before the first call of ``verify``.  A group of n
-    is not expanded into its n * n pairs: it is first linked to its smallest member, then to its
-    best-linked member; only members still in different components are then compared with each other.
+Match = Callable[[pa.Array, pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def link_groups(members: DataFrame, items: Callable[[DataFrame], DataFrame], test: Callable[[Column, Column], Column], match: Match) -> DataFrame:
+    """Components of the ids that share a key and pass the test: ``node, component``.
+
+    ``members(key long, id long)``; ``items`` gives ``id, item`` for the distinct ids it gets; ``test`` is
+    the link test on two items, ``match`` the same test on two Arrow arrays of items, giving the places of
+    the pairs that pass.
+
+    A group (ids connected by keys) of n is not expanded into its n * n pairs.  The ids of a key are tested
+    against the key's smallest id, then all of a group against its best-linked id.  Whatever is then not in
+    the group's largest component is compared with the whole group: as pairs of rows sharing a key in small
+    groups, in blocks that emit one link for each component in larger ones.
     """
     groups = members.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").drop("z")
     star = cut(members.join(groups, "key"))
-    live = star.select("key", "id")
-    if prepare:
-        prepare(live)
-    tested = cut(star.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct())
-    links = cut(verify(tested))
-    for exhaustive in (False, True):
-        comp = cut(connected_components(links))
-        ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
-        m = (
-            live.join(comp.withColumnRenamed("node", "id").join(ends, "id"), "id", "left")
-            .select("key", "id", F.coalesce("component", "id").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"))
-        )
-        split = m.groupBy("key").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.max(F.struct("deg", (-F.col("id")).alias("neg"), "comp")).alias("hub"),
-        ).where("lo <> hi")
-        rest = cut(m.join(split.select("key", (-F.col("hub.neg")).alias("c"), F.col("hub.comp").alias("cc")), "key"))
-        if exhaustive:
-            x, y = rest.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-            more = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        else:
-            more = rest.where("comp <> cc").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        more = cut(more.join(tested, ["a", "b"], "left_anti"))
-        drop_cut(rest)
-        if more.isEmpty():
-            if exhaustive:
-                return comp
-            continue
-        tested = tested.unionByName(more)
-        links = links.unionByName(cut(verify(more)))
+    release(members.sparkSession)
+    pairs = cut(star.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct())
+    item = cut(items(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+
+    def passing(p: DataFrame) -> DataFrame:
+        p = p.join(item.select(F.col("id").alias("a"), F.col("item").alias("_x")), "a").join(item.select(F.col("id").alias("b"), F.col("item").alias("_y")), "b")
+        return cut(p.where(test(F.col("_x"), F.col("_y"))).select("a", "b"))
+
+    links = passing(pairs)
+    group = cut(connected_components(pairs).toDF("id", "g"))
+    of = cut(_placed(group, links))
+    hubs = of.groupBy("g").agg(F.max(F.struct("deg", (-F.col("id")).alias("neg"), "comp")).alias("h"), F.count("*").alias("size"))
+    more = of.join(hubs.where("size > 2"), "g").where("comp <> h.comp").select(F.least("id", -F.col("h.neg")).alias("a"), F.greatest("id", -F.col("h.neg")).alias("b"))
+    more = passing(more.join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        of = cut(_placed(group, links))
+    comps = of.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    main = comps.groupBy("g").agg(F.max_by("comp", F.struct("n", (-F.col("comp")).alias("x"))).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others"))
+    rest = cut(of.join(main.where("others > 0 and size > 2"), "g"))
+
+    small = rest.where(F.col("size") <= SMALL_GROUP).select("id", "comp").join(star.select("key", "id"), "id")
+    x, y = small.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), small.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
+    few = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    links = links.unionByName(passing(few))
+
+    large = rest.where(F.col("size") > SMALL_GROUP).join(item, "id")
+    homes, guests = F.ceil(F.col("others") / BLOCK).cast("long"), F.ceil(F.col("size") / BLOCK).cast("long")
+    left = large.where("comp <> main").withColumn("h", F.pmod(F.xxhash64("id"), homes)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), guests - 1)))
+    right = large.withColumn("k", F.pmod(F.xxhash64("id"), guests)).withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), homes - 1)))
+    keys = ["g", "h", "k"]
+    left, right = (side.select(*[F.col(c).alias(c) for c in (*keys, "id", "comp", "item")]) for side in (left, right))
+
+    def compare(t: pa.Table, o: pa.Table) -> pa.Table:
+        if not t.num_rows or not o.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        i, j = match(t["item"].combine_chunks(), o["item"].combine_chunks())
+        found = np.stack([t["comp"].to_numpy()[i], o["comp"].to_numpy()[j]], axis=1)
+        found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    links = links.unionByName(cut(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")))
     return connected_components(links)
+
+
+def _placed(group: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, g, comp, deg``: each id with its group, its component under ``links`` and its number of links."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
+    comp = connected_components(links).withColumnRenamed("node", "id").join(ends, "id")
+    return group.join(comp, "id", "left").select("id", "g", F.coalesce("component", "id").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, link_groups, release
@@ -55,11 +55,35 @@ def _sets(width: int):
         for part in parts:
             for ids, raw, starts in batches(part["doc_id"].to_pylist(), utf8(part["text"])):
                 sets = [h.view(np.int64) for h in shingle_sets(raw, starts, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "item"])
 
     return run
 
 
+def _overlaps(percent: int):
+    """Pairs of sets, one of each side, whose overlap is large enough, through a sorted index of the second side."""
+
+    def match(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        values = right.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(right)), np.diff(right.offsets.to_numpy()))
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        sizes = np.diff(right.offsets.to_numpy())
+        out_i, out_j = [], []
+        for i, s in enumerate(left):
+            s = s.values.to_numpy()
+            lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sizes))
+            j = np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
+            out_i.append(np.full(len(j), i))
+            out_j.append(j)
+        return np.concatenate(out_i), np.concatenate(out_j)
+
+    return match
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """Components of documents whose word shingles overlap: ``doc_id, n_shingles, component_id, kept``, per row.
 
@@ -78,23 +102,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: in
     first, second = F.slice("subkeys", 1, side), F.slice("subkeys", side + 1, side)
     table = F.flatten(F.transform(first, lambda u, i: F.transform(second, lambda v, j: F.xxhash64(u, v, i * side + j))))
     members = reps.select("id", F.explode(table).alias("key")).select("key", "id")
-    found: dict[str, DataFrame] = {}
 
-    def prepare(live: DataFrame) -> None:
-        ids = live.select("id").distinct()
+    def sets(ids: DataFrame) -> DataFrame:
         release(d.sparkSession)
         near = d.join(ids, d["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-        found["sets"] = cut(near.mapInArrow(_sets(width), "id long, set array<long>"))
-        release(d.sparkSession)
+        return near.mapInArrow(_sets(width), "id long, item array<long>")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        s = found["sets"]
-        x = pairs.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        na, nb = F.size("sa"), F.size("sb")
-        x = x.where(100 * F.least(na, nb) >= percent * F.greatest(na, nb)).withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return x.where(100 * F.col("both") >= percent * (na + nb - F.col("both"))).select("a", "b")
+    def similar(x: Column, y: Column) -> Column:
+        least, most = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+        both = F.size(F.array_intersect(x, y))
+        return F.when(100 * least < percent * most, False).otherwise(100 * both >= percent * (least + most - both))
 
-    comp = link_groups(members, verify, prepare)
+    comp = link_groups(members, sets, similar, _overlaps(percent))
+    release(d.sparkSession)
     ids = t.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     ids = ids.join(comp.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("of"))
     out = t.drop("subkeys").join(ids, ["d1", "d2"], "left").withColumn("of", F.when(F.col("n") > 0, F.coalesce("of", "doc_id")).otherwise(F.col("doc_id")))
