@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, link_groups, release
@@ -26,12 +26,23 @@ NORMAL = bytes(
 )
 
 
+#: For each byte a number with eight lanes of eight bits, a lane for each bit of the byte.
+LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(U) << (U(8) * np.arange(8, dtype=U))).sum(axis=1, dtype=U)
+#: Most words that a lane can count.
+LANE_WORDS = 255
+
+
 def _simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """64-bit SimHash of each run of word hashes; runs start at ``first`` and are not empty."""
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    ones = np.add.reduceat(bits, first, axis=0)
-    size = np.diff(np.append(first, len(h)))[:, None]
-    return np.packbits(2 * ones > size, axis=1).view(U).reshape(-1)
+    size = np.diff(np.append(first, len(h)))
+    parts = -(-size // LANE_WORDS)
+    run = np.repeat(np.arange(len(first)), parts)
+    start = first[run] + LANE_WORDS * (np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts))
+    lanes = np.add.reduceat(LANES[h.view(np.uint8).reshape(-1, 8)], start, axis=0)
+    ones = lanes.view(np.uint8).reshape(len(start), 64)
+    if len(start) > len(first):
+        ones = np.add.reduceat(ones.astype(np.int64), np.cumsum(parts) - parts, axis=0)
+    return np.packbits(2 * ones.astype(np.int64) > size[:, None], axis=1).view(U).reshape(-1)
 
 
 def _lines(min_words: int):
@@ -100,19 +111,62 @@ def line_groups(lines: DataFrame, similarity: float = 0.8, distance: int = DISTA
     parts = [F.shiftrightunsigned(F.col("sim"), i * size).bitwiseAND((1 << size) - 1) for i in range(blocks)]
     keys = [F.lit(t).cast("long") * (1 << 2 * size) + parts[i] * (1 << size) + parts[j] for t, (i, j) in enumerate(combinations(range(blocks), 2))]
     members = sims.select(F.explode(F.array(*keys)).alias("key"), F.col("sim").alias("id"))
-    near = link_groups(members, lambda p: p.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+    near = link_groups(members, lambda ids: ids.select("id", F.col("id").alias("item")), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance, _close(distance))
     release(lines.sparkSession)
     texts = lines.join(near.withColumnRenamed("node", "sim"), "sim", "left").select("id", F.coalesce("component", "sim").alias("key"), "code")
     shared = texts.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
     texts = cut(texts.join(shared, "key"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(texts.select(F.col("id").alias("a"), F.col("code").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("code").alias("y")), "b")
-        longest = F.greatest(F.length("x"), F.length("y"))
-        p = p.where(F.least(F.length("x"), F.length("y")) >= similarity * longest)
-        return p.where(F.levenshtein("x", "y") <= (1 - similarity) * longest + 1e-9).select("a", "b")
-
-    return link_groups(texts.select("key", "id"), verify)
+    def similar(x: Column, y: Column) -> Column:
+        longest = F.greatest(F.length(x), F.length(y))
+        possible = F.least(F.length(x), F.length(y)) >= similarity * longest
+        return possible & (F.levenshtein(x, y) <= (1 - similarity) * longest + 1e-9)
+
+    return link_groups(texts.select("key", "id"), lambda ids: texts.join(ids, "id").select("id", F.col("code").alias("item")), similar, _alike(similarity))
+
+
+def _close(distance: int):
+    def match(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        x, y = left.to_numpy(), right.to_numpy()
+        return np.nonzero(np.bitwise_count((x[:, None] ^ y[None, :]).view(U)) <= distance)
+
+    return match
+
+
+def _alike(similarity: float):
+    """Pairs of coded lines whose edit distance is small enough; a row of the distance table for all of the second side at once."""
+
+    def match(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        x, y = left.to_pylist(), right.to_pylist()
+        size = np.array([len(s) for s in y])
+        width = size.max()
+        table = np.zeros((len(y), width), np.int32)
+        for j, s in enumerate(y):
+            table[j, : len(s)] = np.frombuffer(s.encode("utf-32-le"), np.int32)
+        out_i, out_j = [], []
+        for i, s in enumerate(x):
+            longest = np.maximum(size, len(s))
+            ok = np.flatnonzero(np.minimum(size, len(s)) >= similarity * longest)
+            far = _edits(s, table[ok])[np.arange(len(ok)), size[ok]] if len(ok) else ok
+            j = ok[far <= (1 - similarity) * longest[ok] + 1e-9]
+            out_i.append(np.full(len(j), i))
+            out_j.append(j)
+        return np.concatenate(out_i), np.concatenate(out_j)
+
+    return match
+
+
+def _edits(s: str, table: np.ndarray) -> np.ndarray:
+    """Edit distances of ``s`` to all prefixes of each row of ``table``."""
+    n, width = table.shape
+    step = np.arange(width + 1)
+    row = np.tile(step, (n, 1))
+    for k, c in enumerate(s, 1):
+        new = np.empty_like(row)
+        new[:, 0] = k
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (table != ord(c)), out=new[:, 1:])
+        row = np.minimum.accumulate(new - step, axis=1) + step  # insertions
+    return row
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:

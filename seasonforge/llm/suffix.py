@@ -3,13 +3,15 @@
 Documents are cut into batches of consecutive ids.  A batch's suffix array has one entry for each sampled
 suffix: the positions whose GRAM-byte prefix is the smallest, by fingerprint, in some window of WINDOW
 bytes (a window covers ``WINDOW - GRAM + 1`` prefixes and belongs to its smallest one).  An entry is
-(fingerprint of the prefix, fingerprint of the stretch of text that its windows cover), and the array is
-sorted by both; any repeated window is owned by equal prefixes at equal offsets.  Arrays are dealt to
-tasks by ranges of the prefix.  Within a range, batches arrive in order: a batch's array is merge-scanned
-against all existing levels, then becomes a level, and levels of equal size are merged.
-
-Equal stretches settle all their windows at once.  Where equal prefixes have different stretches, at the
-borders of a repeat, the windows themselves are compared by fingerprint.
+fingerprints of the suffix to SIDE bytes past the prefix, of the stretch of text that its windows cover,
+and of the prefix with SIDE bytes before it; the array is sorted by the first two.  Any repeated window is
+owned by equal prefixes at equal offsets, so arrays are dealt to tasks by ranges of the prefix.  Within a
+range, batches arrive in order: a batch's array is merge-scanned against all existing levels, then
+becomes a level, and levels of equal size are merged.
+
+Equal stretches settle all their windows at once.  At the borders of a repeat, stretches differ.  A window
+covers SIDE bytes on one side of its prefix at least, so where entries of different stretches agree on
+those, and only there, the windows themselves are compared by fingerprint.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from .common import cut, drop_cut, release
 from .textnp import BYTES_M, U, mix, powers, utf8
 
 WINDOW, GRAM = 50, 20
+SIDE = (WINDOW - GRAM) // 2
 #: Bytes of text in a batch, about, and sampled suffixes in a range, about.  Bound memory, not results.
 BATCH_BYTES, RANGE_ROWS = 3_000_000, 1_000_000
 
@@ -76,9 +79,8 @@ class Sampled:
         n = len(self.raw)
         self.sums = _prefix_sums(self.raw)
         if n < window:
-            self.own = self.lo = self.hi = np.empty(0, np.int64)
-            self.key = self.block = np.empty(0, U)
-            self.doc = np.empty(0, np.int64)
+            self.lo = self.hi = self.doc = self.mid = np.empty(0, np.int64)
+            self.zone = self.after = self.before = self.block = np.empty(0, U)
             return
         own = _owners(self.sums, n, window, gram)
         starts = np.arange(len(own), dtype=np.int64)
@@ -87,57 +89,76 @@ class Sampled:
         own, starts, doc = own[inside], starts[inside], doc[inside]
         new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(own) else np.empty(0, np.int64)
         last = np.append(new[1:], len(own)) - 1
-        self.own, self.lo, self.hi, self.doc = own[new], starts[new], starts[last] if len(new) else starts[:0], doc[new]
-        self.key = _hash(self.sums, self.own, self.own + gram)
-        place = (self.own - self.lo).astype(U) * U(0x9E3779B1)  # a stretch counts as equal at the same offset only
-        self.block = mix(_hash(self.sums, self.lo, self.hi + window) + place)
-
-
-def _unique_pairs(key: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (key, block) entries, sorted by both."""
-    order = np.lexsort((block, key))
-    key, block = key[order], block[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-    return key[new], block[new]
-
-
-def _scan(key: np.ndarray, block: np.ndarray, level: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which entries of a sorted batch are in a sorted level."""
-    lk, lb = level
-    at, end = np.searchsorted(lk, key, "left"), np.searchsorted(lk, key, "right")
-    hit = np.zeros(len(key), bool)
-    one = np.flatnonzero(end - at == 1)
-    hit[one] = lb[at[one]] == block[one]
-    for i in np.flatnonzero(end - at > 1):
-        j = at[i] + np.searchsorted(lb[at[i] : end[i]], block[i])
-        hit[i] = j < end[i] and lb[j] == block[i]
-    return hit
+        own, lo, hi, doc = own[new], starts[new], starts[last] if len(new) else starts[:0], doc[new]
+        side = (window - gram) // 2
+        self.lo, self.hi, self.doc, self.mid = lo, hi, doc, own - side
+        part = _hash(self.sums, own, own + gram)
+        place = (own - lo).astype(U) * U(0x9E3779B1)  # a stretch counts as equal at the same offset only
+        self.block = mix(_hash(self.sums, lo, hi + window) + place)
+        left, right = own - side, own + gram + side
+        none = self.block & U(0xFFFFFFFF)  # where the text ends before: equal to nothing but its own stretch
+        after = np.where(right <= self.at[doc + 1], _hash(self.sums, own, np.minimum(right, n)) >> U(32), none)
+        before = np.where(left >= self.at[doc], _hash(self.sums, np.maximum(left, 0), own + gram) >> U(32), none)
+        self.zone, self.after, self.before = part >> U(32), after, before
+
+
+class Entries:
+    """Distinct entries, sorted by suffix, then stretch."""
+
+    def __init__(self, after: np.ndarray, block: np.ndarray, before: np.ndarray):
+        rank = (after << U(32)) | (block >> U(32))
+        _, at = np.unique(rank, return_index=True)
+        self.rank, self.block, self.before = rank[at], block[at], before[at]
+
+    def __len__(self) -> int:
+        return len(self.rank)
+
+    def merged(self, other: Entries) -> Entries:
+        both = [np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("rank", "block", "before")]
+        return Entries(both[0] >> U(32), both[1], both[2])
+
+    def scan(self, level: Entries) -> np.ndarray:
+        """Which entries are in a level."""
+        at = np.minimum(np.searchsorted(level.rank, self.rank), len(level) - 1)
+        return level.block[at] == self.block
 
 
 class LevelFamily:
     """Sorted arrays of sizes that at least double from the newest to the oldest."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[Entries] = []
 
-    def add(self, key: np.ndarray, block: np.ndarray) -> np.ndarray:
+    def add(self, batch: Entries) -> np.ndarray:
         """Merge-scans a batch against all levels, adds it; returns which entries were there before."""
-        seen = np.zeros(len(key), bool)
+        seen = np.zeros(len(batch), bool)
         for level in self.levels:
-            seen |= _scan(key, block, level)
-        self.levels.append((key, block))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            a, b = self.levels.pop(), self.levels.pop()
-            self.levels.append(_unique_pairs(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])))
+            seen |= batch.scan(level)
+        self.levels.append(batch)
+        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+            self.levels.append(self.levels.pop().merged(self.levels.pop()))
         return seen
 
-    def branching(self) -> np.ndarray:
-        """Prefixes with more than one stretch, over all levels."""
-        if not self.levels:
-            return np.empty(0, U)
-        key, _ = _unique_pairs(np.concatenate([k for k, _ in self.levels]), np.concatenate([b for _, b in self.levels]))
-        return np.unique(key[1:][key[1:] == key[:-1]])
+    def branching(self) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches that agree with another stretch before, and after, the prefix; sorted."""
+        whole = self.levels[0]
+        for level in self.levels[1:]:
+            whole = whole.merged(level)
+        return _shared(whole.before, whole.block), _shared(whole.rank >> U(32), whole.block)
+
+
+def _shared(by: np.ndarray, block: np.ndarray) -> np.ndarray:
+    order = np.argsort(by)
+    by = by[order]
+    same = by[1:] == by[:-1]
+    return np.sort(block[order][np.append(same, False) | np.append(False, same)])
+
+
+def _within(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Membership in a sorted array."""
+    if not len(of):
+        return np.zeros(len(x), bool)
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
 
 
 def _chunks(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
@@ -160,13 +181,17 @@ def _index(ranges: int, window: int, gram: int):
         batch = t["batch"][0].as_py()
         texts = utf8(t["text"].combine_chunks())
         parts = [Sampled(texts[a:b], window, gram) for a, b in _chunks(texts, BATCH_BYTES)]
-        key, block = _unique_pairs(np.concatenate([p.key for p in parts]), np.concatenate([p.block for p in parts]))
-        cuts = np.searchsorted(key, np.array([(i << 64) // ranges for i in range(ranges)], U))
-        ends = np.append(cuts[1:], len(key))
-        full = [i for i in range(ranges) if ends[i] > cuts[i]]
+        zone, after, before, block = (np.concatenate([getattr(p, k) for p in parts]) for k in ("zone", "after", "before", "block"))
+        _, first = np.unique(block, return_index=True)
+        zone = (zone[first] * U(ranges)) >> U(32)
+        first = first[np.argsort(zone, kind="stable")]
+        ends = np.cumsum(np.bincount(zone.astype(np.int64), minlength=ranges))
+        full = [i for i in range(ranges) if ends[i] > (ends[i - 1] if i else 0)]
+        slices = [first[(ends[i - 1] if i else 0) : ends[i]] for i in full]
+        sides = (before << U(32)) | after
         return pa.table({
             "range": pa.array(full, pa.int32()), "batch": pa.array([batch] * len(full), pa.int32()),
-            "key": _longs([key[cuts[i] : ends[i]] for i in full]), "block": _longs([block[cuts[i] : ends[i]] for i in full]),
+            "sides": _longs([sides[s] for s in slices]), "block": _longs([block[s] for s in slices]),
         })
 
     return run
@@ -177,18 +202,18 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _family(t: pa.Table) -> pa.Table:
-    """All batches of one range of prefixes, in order: which entries earlier batches have, which prefixes branch."""
-    batch, keys, blocks = t["batch"].to_numpy(), _arrays(t["key"]), _arrays(t["block"])
+    """All batches of one range of prefixes, in order: stretches that earlier batches have, and that branch."""
+    batch, sides, blocks = t["batch"].to_numpy(), _arrays(t["sides"]), _arrays(t["block"])
     order = np.argsort(batch, kind="stable")
-    family = LevelFamily()
-    seen = [blocks[i][family.add(keys[i], blocks[i])] for i in order]
-    branching = family.branching()
-    fork = [np.unique(keys[i][np.isin(keys[i], branching)]) for i in order]
-    keep = [j for j in range(len(order)) if len(seen[j]) or len(fork[j])]
-    return pa.table({
-        "batch": pa.array([int(batch[order[j]]) for j in keep], pa.int32()),
-        "seen": _longs([seen[j] for j in keep]), "fork": _longs([fork[j] for j in keep]),
-    })
+    family, entries, seen = LevelFamily(), [], []
+    for i in order:
+        entries.append(Entries(sides[i] & U(0xFFFFFFFF), blocks[i], sides[i] >> U(32)))
+        seen.append(family.add(entries[-1]))
+    before, after = family.branching()
+    out = [[b.block[x] for b, x in zip(entries, seen, strict=True)], *[[b.block[_within(b.block, f)] for b in entries] for f in (before, after)]]
+    keep = [j for j in range(len(order)) if any(len(o[j]) for o in out)]
+    names = ("seen", "before", "after")
+    return pa.table({"batch": pa.array([int(batch[order[j]]) for j in keep], pa.int32()), **{n: _longs([o[j] for j in keep]) for n, o in zip(names, out, strict=True)}})
 
 
 def _digest(text: bytes, starts: np.ndarray, window: int) -> tuple[int, int, str]:
@@ -209,32 +234,26 @@ def _settle(window: int, gram: int):
         order = np.argsort(t["doc_id"].to_numpy(), kind="stable")
         t = t.take(pa.array(order))
         ids, texts = t["doc_id"].to_numpy(), utf8(t["text"].combine_chunks())
-        seen = np.concatenate([np.empty(0, U), *_arrays(flags["seen"])])
-        fork = np.concatenate([np.empty(0, U), *_arrays(flags["fork"])])
-        seen, fork = np.sort(seen), np.sort(fork)
-
-        def within(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-            if not len(of):
-                return np.zeros(len(x), bool)
-            return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
-
+        seen, before, after = (np.sort(np.concatenate([np.empty(0, U), *_arrays(flags[k])])) for k in ("seen", "before", "after"))
         parts = [(a, Sampled(texts[a:b], window, gram)) for a, b in _chunks(texts, BATCH_BYTES)]
         block = np.concatenate([p.block for _, p in parts])
         owner = ids[np.concatenate([p.doc + a for a, p in parts])] if len(block) else np.empty(0, np.int64)
         _, first, back = np.unique(block, return_index=True, return_inverse=True)  # entries are in order of ids
-        sure = within(block, seen) | (owner > owner[first][back])
+        sure = _within(block, seen) | (owner > owner[first][back])
         out, at = [], 0
         for a, p in parts:
-            s = sure[at : at + len(p.key)]
-            ask = ~s & within(p.key, fork)
-            at += len(p.key)
+            s = sure[at : at + len(p.block)]
+            at += len(p.block)
+            # windows from lo to mid have the side before the prefix, those from mid to hi the side after it
+            low = np.where(_within(p.block, before), p.lo, np.maximum(p.lo, p.mid))
+            high = np.where(_within(p.block, after), p.hi, np.minimum(p.hi, p.mid))
+            ask = ~s & (_within(p.block, before) | _within(p.block, after)) & (low <= high)
             edges = np.searchsorted(p.doc, np.arange(len(p.at)))
             for d in range(len(p.at) - 1):
                 e = slice(edges[d], edges[d + 1])
                 text = texts[a + d]
-                lo, hi = p.lo[e] - p.at[d], p.hi[e] - p.at[d]
-                done = _expand(lo[s[e]], hi[s[e]])
-                open_ = _expand(lo[ask[e]], hi[ask[e]])
+                done = _expand(p.lo[e][s[e]] - p.at[d], p.hi[e][s[e]] - p.at[d])
+                open_ = _expand(low[e][ask[e]] - p.at[d], high[e][ask[e]] - p.at[d])
                 if len(open_):
                     h = _hash(p.sums, open_ + p.at[d], open_ + p.at[d] + window)
                     out.append((ids[a + d], len(text), 0, 0, None, text, done, open_, h.view(np.int64)))
@@ -296,8 +315,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         return pd.Series(np.searchsorted(marks, ids.to_numpy(np.int64), "left"))
 
     d = d.withColumn("batch", batch_of("doc_id"))
-    index = d.groupBy("batch").applyInArrow(_index(ranges, window, gram), "range int, batch int, key array<long>, block array<long>")
-    flags = cut(index.groupBy("range").applyInArrow(_family, "batch int, seen array<long>, fork array<long>"))
+    index = d.groupBy("batch").applyInArrow(_index(ranges, window, gram), "range int, batch int, sides array<long>, block array<long>")
+    flags = cut(index.groupBy("range").applyInArrow(_family, "batch int, seen array<long>, before array<long>, after array<long>"))
     release(spark)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, done array<long>, open array<long>, hash array<long>"
     settled = cut(d.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(lambda t, f: _settle_all(t, f, window, gram), kind))
