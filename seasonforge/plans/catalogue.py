@@ -63,8 +63,8 @@ def a06_points_per_game(s, d):
     return aggregates.points_per_game(_schedule(s, d))
 
 
-@query("""WITH e AS (SELECT o_custkey AS player_id, year(o_orderdate)::INT AS season, o_orderkey AS at, substr(o_orderpriority, 1, 1)::INT AS rank, o_orderstatus AS team FROM orders)
-SELECT player_id, season, median(rank) AS median_rank, arg_max(rank, at) AS final_rank, arg_max(team, at) AS final_team, median(rank) <= 1 AS starter FROM e GROUP BY ALL""")
+@query("""WITH e AS (SELECT o_custkey AS player_id, year(o_orderdate)::INT AS season, o_orderkey AS day, substr(o_orderpriority, 1, 1)::INT AS rank, o_orderstatus AS team FROM orders)
+SELECT player_id, season, median(rank) AS median_rank, arg_max(rank, day) AS final_rank, arg_max(team, day) AS final_team, median(rank) <= 1 AS starter FROM e GROUP BY ALL""")
 def a08_depth_summary(s, d):
     o = table(s, d, "orders")
     return aggregates.depth_summary(o.select(F.col("o_custkey").alias("player_id"), F.year("o_orderdate").alias("season"), F.col("o_orderkey").alias("at"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rank"), F.col("o_orderstatus").alias("team")))
@@ -576,10 +576,10 @@ def g01_draft_order(s, d):
     return draft.draft_order(s, 12, 15, "snake", third_reversed=True)
 
 
-@query("""WITH k AS (SELECT user_id AS roster, CASE event_type WHEN 'view' THEN 'RB' WHEN 'click' THEN 'WR' WHEN 'purchase' THEN 'QB' ELSE 'TE' END AS position FROM events WHERE event_id % 50 = 0), n AS (SELECT * FROM (VALUES ('QB', 1), ('RB', 2), ('WR', 3)) v(position, slots))
-SELECT roster, position, greatest(slots - coalesce(have, 0), 0) AS need FROM (SELECT DISTINCT roster FROM k), n LEFT JOIN (SELECT roster, position, count(*) AS have FROM k GROUP BY ALL) h USING (roster, position)""")
+@query("""WITH k AS (SELECT user_id AS roster, CASE event_type WHEN 'view' THEN 'RB' WHEN 'click' THEN 'WR' WHEN 'purchase' THEN 'QB' ELSE 'TE' END AS position FROM events), n AS (SELECT * FROM (VALUES ('QB', 1), ('RB', 2), ('WR', 3)) v(position, slots))
+SELECT roster, position, greatest(slots - coalesce(have, 0), 0) AS need FROM (SELECT * FROM (SELECT DISTINCT roster FROM k), n) LEFT JOIN (SELECT roster, position, count(*) AS have FROM k GROUP BY ALL) h USING (roster, position)""")
 def g05_needs(s, d):
-    e = table(s, d, "events").where("event_id % 50 = 0")  # these are the picks
+    e = table(s, d, "events")
     k = e.select(F.col("user_id").alias("roster"), F.coalesce(C.lookup("event_type", {"view": "RB", "click": "WR", "purchase": "QB"}), F.lit("TE")).alias("position"))
     return draft.needs(k, {"QB": 1, "RB": 2, "WR": 3})
 
