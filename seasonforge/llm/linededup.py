@@ -193,8 +193,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     release(docs.sparkSession)
     cols = docs.columns
     rest = [c for c in cols if c != "text"]
-    g = gone.select(F.col("doc_id").alias("_id"), "gone")
-    joined = docs.join(g, docs["doc_id"] == g["_id"], "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), docs["text"], "gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n"))
+    packed = docs.select(F.col("doc_id").alias("_key"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), "text")
+    joined = packed.join(gone.withColumnRenamed("doc_id", "_id"), F.col("_key") == F.col("_id"), "left").select("row", "text", "gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n"))
     kind = joined.select("row").schema["row"].dataType.simpleString()
     out = joined.mapInArrow(_rebuild, f"row {kind}, n long, text string, lines long")
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in cols], F.col("lines").alias("_lines"), F.col("n").alias("_gone"))
