@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, link_groups, release
+from .common import connected_components, cut, release
 from .textnp import BATCH, U, utf8, word_hashes
 
 #: Lines of fewer words are left alone: greetings and headings repeat in clean documents.
@@ -98,62 +98,77 @@ def _rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string()), pa.array(lines, pa.int64())], [*[c for c in names if c not in ("text", "gone")], "text", "lines"])
 
 
+#: Most lines of a key whose pairs are formed as rows, and rows of a block of larger keys.
+SMALL_KEY, BLOCK = 48, 4_096
+
+
 def line_groups(lines: DataFrame, similarity: float = 0.8, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """Groups of fuzzily equal lines: ``node, component`` for distinct normalised lines that have a partner.
 
-    First distinct SimHashes within ``distance`` bits are linked through the tables of block pairs; inside
-    each connected set of SimHashes, lines whose edit similarity in words is at least ``similarity`` are
-    linked.
+    Lines are linked when their SimHashes are within ``distance`` bits and their edit similarity in words is
+    at least ``similarity``.  Two equal blocks make a key.  Few lines of a key meet as rows; keys with more
+    lines are compared in pairs of blocks, which emit a spanning forest and not all links.
     """
     assert blocks - distance == 2, "two equal blocks make a table key"
     size = -(-64 // blocks)
-    sims = lines.select("sim").distinct()
     parts = [F.shiftrightunsigned(F.col("sim"), i * size).bitwiseAND((1 << size) - 1) for i in range(blocks)]
     keys = [F.lit(t).cast("long") * (1 << 2 * size) + parts[i] * (1 << size) + parts[j] for t, (i, j) in enumerate(combinations(range(blocks), 2))]
-    members = sims.select(F.explode(F.array(*keys)).alias("key"), F.col("sim").alias("id"))
-    near = link_groups(members, lambda ids: ids.select("id", F.col("id").alias("item")), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance, _close(distance))
+    members = lines.select(F.explode(F.array(*keys)).alias("key"), "id", "sim")
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    near = cut(members.join(shared, "key"))
     release(lines.sparkSession)
-    texts = lines.join(near.withColumnRenamed("node", "sim"), "sim", "left").select("id", F.coalesce("component", "sim").alias("key"), "code")
-    shared = texts.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
-    texts = cut(texts.join(shared, "key"))
-
-    def similar(x: Column, y: Column) -> Column:
-        longest = F.greatest(F.length(x), F.length(y))
-        possible = F.least(F.length(x), F.length(y)) >= similarity * longest
-        return possible & (F.levenshtein(x, y) <= (1 - similarity) * longest + 1e-9)
-
-    return link_groups(texts.select("key", "id"), lambda ids: texts.join(ids, "id").select("id", F.col("code").alias("item")), similar, _alike(similarity))
+    code = lines.select("id", "code")
 
+    few = near.where(F.col("size") <= SMALL_KEY)
+    x, y = (few.select("key", F.col("id").alias(n), F.col("sim").alias(f"sim_{n}")) for n in "ab")
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= distance)).select("a", "b").distinct()
+    pairs = cut(pairs)
+    release(lines.sparkSession)
+    both = pairs.join(code.toDF("a", "x"), "a").join(code.toDF("b", "y"), "b")
+    longest, shortest = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
+    most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
+    links = both.where(F.when(shortest < similarity * longest, False).otherwise(F.call_function("levenshtein", F.col("x"), F.col("y"), most) >= 0)).select("a", "b")
 
-def _close(distance: int):
-    def match(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        x, y = left.to_numpy(), right.to_numpy()
-        return np.nonzero(np.bitwise_count((x[:, None] ^ y[None, :]).view(U)) <= distance)
+    many = near.where(F.col("size") > SMALL_KEY).join(code, "id").withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
+    many = many.withColumn("p", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    left = many.withColumn("h", F.col("p")).withColumn("k", F.explode(F.sequence("p", F.col("n") - 1)))
+    right = many.withColumn("k", F.col("p")).withColumn("h", F.explode(F.sequence(F.lit(0), "p")))
+    on = ["key", "h", "k"]
+    left, right = (side.select(*[F.col(c).alias(c) for c in (*on, "id", "sim", "code")]) for side in (left, right))
+    links = links.unionByName(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_linked(similarity, distance), "a long, b long"))
+    return connected_components(cut(links))
 
-    return match
 
+def _linked(similarity: float, distance: int):
+    """Two blocks of lines: each linked line with the smallest line that it reaches inside the blocks.
 
-def _alike(similarity: float):
-    """Pairs of coded lines whose edit distance is small enough; a row of the distance table for all of the second side at once."""
+    A line is compared with those lines in reach that are not connected with it yet.
+    """
 
-    def match(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        x, y = left.to_pylist(), right.to_pylist()
-        size = np.array([len(s) for s in y])
-        width = size.max()
-        table = np.zeros((len(y), width), np.int32)
-        for j, s in enumerate(y):
-            table[j, : len(s)] = np.frombuffer(s.encode("utf-32-le"), np.int32)
-        out_i, out_j = [], []
-        for i, s in enumerate(x):
-            longest = np.maximum(size, len(s))
-            ok = np.flatnonzero(np.minimum(size, len(s)) >= similarity * longest)
-            far = _edits(s, table[ok])[np.arange(len(ok)), size[ok]] if len(ok) else ok
-            j = ok[far <= (1 - similarity) * longest[ok] + 1e-9]
-            out_i.append(np.full(len(j), i))
-            out_j.append(j)
-        return np.concatenate(out_i), np.concatenate(out_j)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        nodes = np.unique(np.concatenate([a, b]))
+        at, of, comp = np.searchsorted(nodes, a), np.searchsorted(nodes, b), np.arange(len(nodes))
+        sims, others = left["sim"].to_numpy(), right["sim"].to_numpy()
+        words, size = right["code"].to_pylist(), np.array([len(x) for x in right["code"].to_pylist()], np.int64)
+        for i, s in enumerate(left["code"].to_pylist() if len(b) else []):
+            ok = np.flatnonzero((np.bitwise_count((others ^ sims[i]).view(U)) <= distance) & (comp[of] != comp[at[i]]))
+            longest = np.maximum(size[ok], len(s))
+            fits = np.minimum(size[ok], len(s)) >= similarity * longest
+            ok, longest = ok[fits], longest[fits]
+            if not len(ok):
+                continue
+            table = np.zeros((len(ok), size[ok].max()), np.int32)
+            for row, j in zip(table, ok, strict=True):
+                row[: size[j]] = np.frombuffer(words[j].encode("utf-32-le"), np.int32)
+            hit = ok[_edits(s, table)[np.arange(len(ok)), size[ok]] <= (1 - similarity) * longest + 1e-9]
+            if len(hit):
+                met = np.append(comp[of[hit]], comp[at[i]])
+                comp[np.isin(comp, met)] = met.min()
+        moved = np.flatnonzero(comp != np.arange(len(nodes)))
+        return pa.table({"a": pa.array(nodes[comp[moved]], pa.int64()), "b": pa.array(nodes[moved], pa.int64())})
 
-    return match
+    return run
 
 
 def _edits(s: str, table: np.ndarray) -> np.ndarray:
@@ -173,8 +188,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     """Rows of ``docs``, all columns, with fuzzily repeated lines removed from ``text``, plus ``_lines, _gone long``.
 
     Lines end at line feeds and are normalised (case, digits, ASCII signs, white space).  Lines of equal
-    normal form, and lines whose SimHashes are within ``distance`` bits over a chain and whose edit
-    similarity (in words, 1 - edits / longer length) is at least ``similarity``, form groups.  Of each
+    normal form, and lines whose SimHashes are within ``distance`` bits and whose edit similarity (in words,
+    1 - edits / longer length) is at least ``similarity``, are linked; linked lines form groups.  Of each
     group the occurrence with the smallest (doc_id, line number) stays; all others go.
 
     Lines under ``min_words`` words always stay, as do texts of null id.  Null and empty texts are returned

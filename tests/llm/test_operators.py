@@ -208,8 +208,11 @@ def _near(x, y):
     return int(np.bitwise_count(sims[0] ^ sims[1])) <= linededup.DISTANCE
 
 
-def test_lines_equal_brute_force(spark):
-    """Alike lines whose SimHashes are near by themselves; each group is one clique or a short chain."""
+@pytest.mark.parametrize("small", (48, 2))
+def test_lines_equal_brute_force(spark, small, monkeypatch):
+    """Alike lines whose SimHashes are near, met as rows or in blocks."""
+    monkeypatch.setattr(linededup, "SMALL_KEY", small)
+    monkeypatch.setattr(linededup, "BLOCK", 7)
     rng = random.Random(9)
     texts = {}
     for k in range(60):
