@@ -252,13 +252,14 @@ def _settle(window: int, gram: int):
             for d in range(len(p.at) - 1):
                 e = slice(edges[d], edges[d + 1])
                 text = texts[a + d]
-                done = _expand(p.lo[e][s[e]] - p.at[d], p.hi[e][s[e]] - p.at[d])
-                open_ = _expand(low[e][ask[e]] - p.at[d], high[e][ask[e]] - p.at[d])
-                if len(open_):
-                    h = _hash(p.sums, open_ + p.at[d], open_ + p.at[d] + window)
-                    out.append((ids[a + d], len(text), 0, 0, None, text, done, open_, h.view(np.int64)))
+                done = np.concatenate([p.lo[e][s[e]], p.hi[e][s[e]]]) - p.at[d]
+                if ask[e].any():
+                    low_, high_ = low[e][ask[e]], high[e][ask[e]]
+                    at_ = _expand(low_, high_)
+                    h = np.unique(_hash(p.sums, at_, at_ + window))
+                    out.append((ids[a + d], len(text), 0, 0, None, text, done, np.concatenate([low_, high_]) - p.at[d], h.view(np.int64)))
                 else:
-                    out.append((ids[a + d], len(text), *_digest(text, done, window), None, None, None, None))
+                    out.append((ids[a + d], len(text), *_digest(text, _expand(*_halves(done)), window), None, None, None, None))
         cols = list(zip(*out, strict=True)) if out else [[]] * 9
         return pa.table({n: pa.array(c, k) for (n, k), c in zip(_SETTLED.items(), cols, strict=True)})
 
@@ -277,12 +278,21 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
 
 
+def _halves(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return runs[: len(runs) // 2], runs[len(runs) // 2 :]
+
+
 def _finish(window: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
             rows = []
-            for doc, n, text, done, more in zip(*[p[c].to_pylist() for c in ("doc_id", "n_bytes", "text", "done", "more")], strict=True):
-                rows.append((doc, n, *_digest(text, np.array((done or []) + (more or []), np.int64), window)))
+            for doc, n, text, done, open_, more in zip(p["doc_id"].to_pylist(), p["n_bytes"].to_pylist(), p["text"].to_pylist(), p["done"], p["open"], p["more"], strict=True):
+                gone = _expand(*_halves(done.values.to_numpy()))
+                if more.is_valid:
+                    at = _expand(*_halves(open_.values.to_numpy()))
+                    sums = _prefix_sums(text)
+                    gone = np.concatenate([gone, at[np.isin(_hash(sums, at, at + window), more.values.to_numpy().view(U))]])
+                rows.append((doc, n, *_digest(text, gone, window)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([pa.array(c, _SETTLED[x]) for x, c in zip(names, cols, strict=True)], names)
@@ -323,10 +333,13 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     drop_cut(flags)
     release(spark)
     ready, waiting = settled.where("open is null"), settled.where("open is not null")
-    asked = waiting.select("doc_id", F.inline(F.arrays_zip(F.col("hash").alias("h"), F.col("open").alias("at"))))
+    asked = waiting.select("doc_id", F.explode("hash").alias("h"))
     least = asked.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    more = asked.join(least, "h").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("at").alias("more"))
-    rest = waiting.select("doc_id", "n_bytes", "text", "done").join(more, "doc_id", "left").select("doc_id", "n_bytes", "text", "done", "more")
+    least = cut(least)
+    release(spark)
+    more = cut(asked.join(least, "h").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("h").alias("more")))
+    release(spark)
+    rest = waiting.select("doc_id", "n_bytes", "text", "done", "open").join(more, "doc_id", "left").select("doc_id", "n_bytes", "text", "done", "open", "more")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     rest = rest.mapInArrow(_finish(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return ready.select(*names).unionByName(rest.select(*names)).unionByName(none)
