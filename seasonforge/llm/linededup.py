@@ -100,36 +100,49 @@ def _rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Most lines of a key whose pairs are formed as rows, and rows of a block of larger keys.
 SMALL_KEY, BLOCK = 48, 4_096
+#: Distinct lines up to which keys of two blocks (26 bits) are long enough.
+MANY_LINES = 1 << 25
 
 
-def line_groups(lines: DataFrame, similarity: float = 0.8, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def line_groups(lines: DataFrame, codes: DataFrame, similarity: float = 0.8, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """Groups of fuzzily equal lines: ``node, component`` for distinct normalised lines that have a partner.
 
+    ``lines(id, sim)`` has each line once, ``codes(id, code)`` once or more.
+
     Lines are linked when their SimHashes are within ``distance`` bits and their edit similarity in words is
-    at least ``similarity``.  Two equal blocks make a key.  Few lines of a key meet as rows; keys with more
-    lines are compared in pairs of blocks, which emit a spanning forest and not all links.
+    at least ``similarity``.  Of ``blocks`` blocks, all but ``distance`` are equal in a linked pair, so each
+    choice of so many is a table (one block more, so longer keys, beyond MANY_LINES; the links are the same).
+    Few lines of a key meet as rows; keys with more lines are compared in pairs of blocks, which emit a
+    spanning forest and not all links.
     """
-    assert blocks - distance == 2, "two equal blocks make a table key"
+    n = lines.count()
+    blocks = blocks or (BLOCKS if n <= MANY_LINES else BLOCKS + 1)
     size = -(-64 // blocks)
     parts = [F.shiftrightunsigned(F.col("sim"), i * size).bitwiseAND((1 << size) - 1) for i in range(blocks)]
-    keys = [F.lit(t).cast("long") * (1 << 2 * size) + parts[i] * (1 << size) + parts[j] for t, (i, j) in enumerate(combinations(range(blocks), 2))]
-    members = lines.select(F.explode(F.array(*keys)).alias("key"), "id", "sim")
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    near = cut(members.join(shared, "key"))
+    keys = [F.xxhash64(F.lit(t), *[parts[i] for i in c]) for t, c in enumerate(combinations(range(blocks), blocks - distance))]
+    members = lines.select("id", "sim").repartition(-(-n // 100_000) + 1).select(F.explode(F.array(*keys)).alias("key"), "id", "sim")
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    near = cut(members.join(shared.hint("shuffle_hash"), "key"))
     release(lines.sparkSession)
-    code = lines.select("id", "code")
 
-    few = near.where(F.col("size") <= SMALL_KEY)
-    x, y = (few.select("key", F.col("id").alias(n), F.col("sim").alias(f"sim_{n}")) for n in "ab")
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= distance)).select("a", "b").distinct()
-    pairs = cut(pairs)
+    # lines that only share a key by chance go before anything is paired
+    x, y = (near.toDF("key", n, f"sim_{n}") for n in "ab")
+    within = F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= distance
+    close = cut(x.join(y.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("a") != F.col("b")) & within, "left_semi").toDF("key", "id", "sim"))
+    release(lines.sparkSession)
+    code = cut(codes.join(close.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "code"))
     release(lines.sparkSession)
+    sized = close.join(close.groupBy("key").agg(F.count("*").alias("size")), "key")
+
+    few = sized.where(F.col("size") <= SMALL_KEY)
+    x, y = (few.select("key", F.col("id").alias(n), F.col("sim").alias(f"sim_{n}")) for n in "ab")
+    pairs = cut(x.join(y, "key").where((F.col("a") < F.col("b")) & within).select("a", "b").distinct())
     both = pairs.join(code.toDF("a", "x"), "a").join(code.toDF("b", "y"), "b")
     longest, shortest = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
     most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
     links = both.where(F.when(shortest < similarity * longest, False).otherwise(F.call_function("levenshtein", F.col("x"), F.col("y"), most) >= 0)).select("a", "b")
 
-    many = near.where(F.col("size") > SMALL_KEY).join(code, "id").withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
+    many = sized.where(F.col("size") > SMALL_KEY).join(code, "id").withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
     many = many.withColumn("p", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     left = many.withColumn("h", F.col("p")).withColumn("k", F.explode(F.sequence("p", F.col("n") - 1)))
     right = many.withColumn("k", F.col("p")).withColumn("h", F.explode(F.sequence(F.lit(0), "p")))
@@ -151,7 +164,8 @@ def _linked(similarity: float, distance: int):
         at, of, comp = np.searchsorted(nodes, a), np.searchsorted(nodes, b), np.arange(len(nodes))
         sims, others = left["sim"].to_numpy(), right["sim"].to_numpy()
         words, size = right["code"].to_pylist(), np.array([len(x) for x in right["code"].to_pylist()], np.int64)
-        for i, s in enumerate(left["code"].to_pylist() if len(b) else []):
+        codes = left["code"].to_pylist() if len(b) else []
+        for i, s in enumerate(codes):
             ok = np.flatnonzero((np.bitwise_count((others ^ sims[i]).view(U)) <= distance) & (comp[of] != comp[at[i]]))
             longest = np.maximum(size[ok], len(s))
             fits = np.minimum(size[ok], len(s)) >= similarity * longest
@@ -196,10 +210,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     as they are.  Repeated rows are one document and keep the same lines.  An empty table gives no rows.
     """
     lines = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_lines(min_words), "doc_id long, line int, id long, sim long, code string"))
-    distinct = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("sim").alias("sim"), F.first("code").alias("code"))
-    groups = line_groups(distinct.select("id", "sim", "code"), similarity, distance)
-    firsts = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    firsts = firsts.join(groups.withColumnRenamed("node", "id"), "id", "left")
+    distinct = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim")))
+    release(docs.sparkSession)
+    groups = line_groups(distinct.select("id", "sim"), lines.select("id", "code"), similarity, distance)
+    firsts = distinct.select("id", "first", "n").join(groups.withColumnRenamed("node", "id"), "id", "left")
     best = firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("best"))
     keep = cut(firsts.join(best, "component", "left").where("n > 1 or best is not null").select("id", F.coalesce("best", "first").alias("keep")))
     gone = lines.select("doc_id", "line", "id").join(keep, "id").where("keep <> struct(doc_id, line)")

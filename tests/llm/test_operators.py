@@ -213,6 +213,7 @@ def test_lines_equal_brute_force(spark, small, monkeypatch):
     """Alike lines whose SimHashes are near, met as rows or in blocks."""
     monkeypatch.setattr(linededup, "SMALL_KEY", small)
     monkeypatch.setattr(linededup, "BLOCK", 7)
+    monkeypatch.setattr(linededup, "MANY_LINES", small)
     rng = random.Random(9)
     texts = {}
     for k in range(60):
