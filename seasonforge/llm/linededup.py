@@ -175,7 +175,15 @@ def _linked(similarity: float, distance: int):
             table = np.zeros((len(ok), size[ok].max()), np.int32)
             for row, j in zip(table, ok, strict=True):
                 row[: size[j]] = np.frombuffer(words[j].encode("utf-32-le"), np.int32)
-            hit = ok[_edits(s, table)[np.arange(len(ok)), size[ok]] <= (1 - similarity) * longest + 1e-9]
+            most = (1 - similarity) * longest + 1e-9
+            own = np.frombuffer(s.encode("utf-32-le"), np.int32)
+            width = min(len(own), table.shape[1])
+            unlike = (table[:, :width] != own[:width]).sum(axis=1) + np.abs(size[ok] - len(s))
+            alike = unlike <= most  # an upper bound of the edits: words changed in place, and the surplus
+            if not alike.all():
+                rest = np.flatnonzero(~alike)
+                alike[rest] = _edits(s, table[rest])[np.arange(len(rest)), size[ok[rest]]] <= most[rest]
+            hit = ok[alike]
             if len(hit):
                 met = np.append(comp[of[hit]], comp[at[i]])
                 comp[np.isin(comp, met)] = met.min()
