@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, mean_of_present, weighted_present
 
-BY_SEASON = Window.partitionBy("player_id").orderBy("season")
-SO_FAR = BY_SEASON.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_season() -> WindowSpec:
+    """Seasons of a player, in order."""
+    return Window.partitionBy("player_id").orderBy("season")
+
+
+def so_far() -> WindowSpec:
+    """All seasons of a player up to this one."""
+    return by_season().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def lag_features(seasons: DataFrame, stats: list[str]) -> DataFrame:
@@ -19,12 +26,12 @@ def lag_features(seasons: DataFrame, stats: list[str]) -> DataFrame:
     out = {}
     for c in stats:
         x = F.col(c)
-        one, two = F.lag(c, 1).over(BY_SEASON), F.lag(c, 2).over(BY_SEASON)
+        one, two = F.lag(c, 1).over(by_season()), F.lag(c, 2).over(by_season())
         out |= {
             f"prev_{c}": one, f"{c}_trend": x - one,
             f"{c}_w2": weighted_present([(x, 0.65), (one, 0.35)]), f"{c}_w3": weighted_present([(x, 0.55), (one, 0.30), (two, 0.15)]),
-            f"career_{c}": F.when(x.isNotNull(), F.sum(c).over(SO_FAR)), f"best_{c}": F.when(x.isNotNull(), F.max(c).over(SO_FAR)),
-            f"{c}_seasons": F.count(c).over(SO_FAR),
+            f"career_{c}": F.when(x.isNotNull(), F.sum(c).over(so_far())), f"best_{c}": F.when(x.isNotNull(), F.max(c).over(so_far())),
+            f"{c}_seasons": F.count(c).over(so_far()),
         }
     return seasons.withColumns(out)
 
@@ -37,14 +44,14 @@ def availability(seasons: DataFrame, scheduled: Column) -> DataFrame:
     """Share of games played, games missed now and before, three-season sums, durability, seasons with the team."""
     share = clip(F.col("games") / scheduled.cast("double"), 0.0, 1.0)
     d = seasons.withColumn("scheduled", scheduled).withColumns({"played_share": share, "missed": clip(F.col("scheduled") - F.col("games"), 0, None)})
-    three = BY_SEASON.rowsBetween(-2, 0)
-    lagged = [F.col("played_share"), F.lag("played_share", 1).over(BY_SEASON), F.lag("played_share", 2).over(BY_SEASON)]
+    three = by_season().rowsBetween(-2, 0)
+    lagged = [F.col("played_share"), F.lag("played_share", 1).over(by_season()), F.lag("played_share", 2).over(by_season())]
     d = d.withColumns({
-        "prev1_missed": F.lag("missed", 1).over(BY_SEASON), "prev2_missed": F.lag("missed", 2).over(BY_SEASON), "missed_3yr": F.sum("missed").over(three),
+        "prev1_missed": F.lag("missed", 1).over(by_season()), "prev2_missed": F.lag("missed", 2).over(by_season()), "missed_3yr": F.sum("missed").over(three),
         "durability": weighted_present(list(zip(lagged, (0.5, 0.3, 0.2), strict=True))),
-        "_change": F.when(F.lag("team").over(BY_SEASON).eqNullSafe(F.col("team")), 0).otherwise(1),
+        "_change": F.when(F.lag("team").over(by_season()).eqNullSafe(F.col("team")), 0).otherwise(1),
     })
-    d = d.withColumn("_spell", F.sum("_change").over(SO_FAR))
+    d = d.withColumn("_spell", F.sum("_change").over(so_far()))
     spell = Window.partitionBy("player_id", "_spell").orderBy("season").rowsBetween(Window.unboundedPreceding, 0)
     return d.withColumn("seasons_with_team", F.count("*").over(spell)).drop("_change", "_spell")
 

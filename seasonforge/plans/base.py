@@ -51,7 +51,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.features import modelling_pairs
 
     s = seasons(spark, sf_dir)
-    f = windows.lag_features(s, ["carries"]).withColumn("prev2_carries", F.lag("carries", 2).over(windows.BY_SEASON))
+    f = windows.lag_features(s, ["carries"]).withColumn("prev2_carries", F.lag("carries", 2).over(windows.by_season()))
     return modelling_pairs(f, s, ["carries"])
 
 

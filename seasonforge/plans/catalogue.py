@@ -89,7 +89,7 @@ def a16_pace(s, d):
 
 
 def _next(s, d):
-    return base.seasons(s, d).withColumn("next_team", F.lead("team").over(windows.BY_SEASON))
+    return base.seasons(s, d).withColumn("next_team", F.lead("team").over(windows.by_season()))
 
 
 NEXT = SEASONS + ", nxt AS (SELECT *, lead(team) OVER (PARTITION BY player_id ORDER BY season) AS next_team FROM seasons)"
