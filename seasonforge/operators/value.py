@@ -105,27 +105,29 @@ def rank_players(players: DataFrame, risk: float = 0.35) -> DataFrame:
 
 
 def gap_tiers(ranked: DataFrame, most: int = 10, smallest: int = 2, sigma: float = 1.0) -> DataFrame:
-    """``player_id, tier`` of a published ranking (hundreds of rows): a new tier at a gap over the threshold.
+    """``player_id, tier`` of a whole ranking (``overall_rank`` from 1 without holes): a new tier at a gap over the threshold.
 
     The threshold is the mean gap plus ``sigma`` deviations, or 1.5 times the mean without deviation.  A
-    tier has ``smallest`` players at least.  The walk is a fold over one array of the ranking.
+    tier has ``smallest`` players at least.  A tier passes over ``smallest`` - 1 such gaps at most, so the walk
+    needs the first ``most * smallest`` of them only.
     """
-    one = ranked.agg(F.array_sort(F.collect_list(F.struct("overall_rank", "player_id", "vorp"))).alias("a"))
-    n = F.size("a")
-    gaps = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.coalesce(F.get("a", i - 1)["vorp"] - F.get("a", i)["vorp"], F.lit(0.0)))
-    one = one.withColumn("gaps", gaps)
-    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda s, x: s + f(x))
-    one = one.withColumn("mean", total("gaps", lambda x: x) / F.size("gaps"))
-    one = one.withColumn("std", F.sqrt(total("gaps", lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / F.size("gaps")))
-    limit = F.when(F.col("std") > 1e-9, F.col("mean") + F.lit(sigma) * F.col("std")).otherwise(F.col("mean") * 1.5)
-    one = one.withColumn("limit", limit)
-    step = lambda s, g: F.struct(
-        F.when((g > F.col("limit")) & (s["size"] >= smallest) & (s["tier"] < most), s["tier"] + 1).otherwise(s["tier"]).alias("tier"),
-        F.when((g > F.col("limit")) & (s["size"] >= smallest) & (s["tier"] < most), 1).otherwise(s["size"] + 1).alias("size"),
-        F.concat(s["out"], F.array(F.when((g > F.col("limit")) & (s["size"] >= smallest) & (s["tier"] < most), s["tier"] + 1).otherwise(s["tier"]))).alias("out"),
-    )
-    tiers = F.aggregate("gaps", F.struct(F.lit(1).alias("tier"), F.lit(1).alias("size"), F.array(F.lit(1)).alias("out")), step, lambda s: s["out"])
-    return one.select(F.inline(F.arrays_zip(F.transform("a", lambda x: x["player_id"]).alias("player_id"), F.slice(tiers, 1, n).alias("tier")))).where("player_id is not null")
+    here = ranked.select("overall_rank", "vorp")
+    after = ranked.select((F.col("overall_rank") - 1).alias("overall_rank"), F.col("vorp").alias("_next"))
+    gaps = here.join(after, "overall_rank").select("overall_rank", F.coalesce(F.col("vorp") - F.col("_next"), F.lit(0.0)).alias("gap"))
+    limit = gaps.agg(F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std"))
+    limit = limit.select(F.when(F.col("std") > 1e-9, F.col("mean") + F.lit(sigma) * F.col("std")).otherwise(F.col("mean") * 1.5).alias("limit"))
+    wide = gaps.join(F.broadcast(limit), F.col("gap") > F.col("limit")).orderBy("overall_rank").limit(most * smallest)  # a single row
+    one = wide.agg(F.array_sort(F.collect_list("overall_rank")).alias("a"))
+    first = F.struct(F.lit(1).alias("start"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s, i):
+        new = (i - s["start"] + 1 >= smallest) & (F.size(s["starts"]) < most - 1)
+        at = (i + 1).cast("int")
+        return F.struct(F.when(new, at).otherwise(s["start"]).alias("start"), F.when(new, F.concat(s["starts"], F.array(at))).otherwise(s["starts"]).alias("starts"))
+
+    one = one.select(F.aggregate("a", first, step, lambda s: s["starts"]).alias("starts"))
+    passed = F.size(F.filter("starts", lambda x: x <= F.col("overall_rank")))
+    return ranked.join(F.broadcast(one)).select("player_id", (passed + 1).alias("tier"))  # a single row
 
 
 def publish(ranked: DataFrame, limit: int, included: list) -> DataFrame:

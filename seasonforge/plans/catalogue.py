@@ -447,7 +447,7 @@ def r08_vorp_board(s, d):
 
 @query()
 def r09_gap_tiers(s, d):
-    return value.gap_tiers(value.rank_players(_board(s, d)).where("overall_rank <= 160"))
+    return value.gap_tiers(value.rank_players(_board(s, d)))
 
 
 @query(f"WITH {RANKS} SELECT player_id, row_number() OVER (ORDER BY overall_rank)::INT AS overall_rank, overall_rank AS model_rank, CASE WHEN overall_rank > 160 THEN 'included by request' END AS warning FROM ranks WHERE overall_rank <= 160 OR player_id IN (7, 11, 100)")
