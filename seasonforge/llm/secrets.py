@@ -16,7 +16,7 @@ KINDS = ("assign", "access", "hex")
 
 # Weak parts: each is harmless alone.  A client or user name, an unlabelled key-like word, an address.
 LOGIN = r"""\b(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-KEYLIKE = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,63}[0-9])(?=[A-Za-z0-9+/]{0,63}[a-z])(?=[A-Za-z0-9+/]{0,63}[A-Z])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/])"
+KEYLIKE = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}+"
 ENDPOINT = r"\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@%&=+-]{4,}"
 
 #: A weak part needs a complement whose start is at most so many code points away in the same document.
@@ -75,12 +75,14 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     long6 = lambda m: F.length(F.regexp_extract(m, ASSIGN_VALUE, 1)) >= 6
     any_ = lambda m: F.lit(True)
+    # a digit with letters of both cases, or with letters of one case and no other sign (base32, for one)
+    mixed = lambda m: m.rlike("[0-9]") & (m.rlike("[a-z]") & m.rlike("[A-Z]") | m.rlike("[A-Za-z]") & ~m.rlike("[+/]"))
     at_least = lambda n: lambda m: F.length(m) >= n
     rows = docs.select(
         "doc_id",
         F.xxhash64(text).alias("text_key"),
         F.concat(_spans(text, ASSIGN, "assign", long6), _spans(text, ACCESS, "access", at_least(20)), F.when(text.rlike("[0-9a-f]{24}"), _spans(text, HEX, "hex", at_least(24))).otherwise(F.array())).alias("base"),
-        F.concat(_spans(text, LOGIN, "login", any_), _spans(text, KEYLIKE, "key", any_), _spans(text, ENDPOINT, "endpoint", any_)).alias("weak"),
+        F.concat(_spans(text, LOGIN, "login", any_), _spans(text, KEYLIKE, "key", mixed), _spans(text, ENDPOINT, "endpoint", any_)).alias("weak"),
     )
     rows = cut(rows.withColumn("weak", F.filter("weak", lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))))
 
