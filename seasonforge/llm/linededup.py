@@ -1,9 +1,10 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups."""
+"""Fuzzy line deduplication: shared word runs by pigeonhole, edit similarity, connected groups."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,19 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, release
-from .textnp import BATCH, U, utf8, word_hashes
+from .textnp import BATCH, U, mix, utf8, word_hashes
 
 #: Lines of fewer words are left alone: greetings and headings repeat in clean documents.
 MIN_WORDS = 5
-#: Largest Hamming distance of two linked SimHashes; the fingerprint has BLOCKS blocks, of which two of a
-#: linked pair at least are equal, so every pair of blocks is a table.
-DISTANCE, BLOCKS = 3, 5
+#: Largest Hamming distance of the SimHashes of linked lines; at 64 the edit similarity alone decides.
+DISTANCE = 64
 
 #: How a byte is normalised: A to Z in lower case, digits as 0, other ASCII signs as spaces.
 NORMAL = bytes(
     c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 or c == 10 else 32 for c in range(256)
 )
-
+#: Signs of scripts without spaces between words (Thai, Lao, Burmese, Khmer, Chinese, Japanese): each is a word.
+UNSPACED = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
 
 #: For each byte a number with eight lanes of eight bits, a lane for each bit of the byte.
 LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(U) << (U(8) * np.arange(8, dtype=U))).sum(axis=1, dtype=U)
@@ -45,21 +46,22 @@ def _simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones.astype(np.int64) > size[:, None], axis=1).view(U).reshape(-1)
 
 
-def _lines(min_words: int):
+def _lines(min_words: int, distance: int):
     def emit(ids: list, at: list, rows: list[bytes]) -> pa.RecordBatch:
         raw = b"\n".join(rows)
         starts = np.cumsum([0] + [len(x) + 1 for x in rows])[:-1]
         h, pos = word_hashes(raw)
         first = np.searchsorted(pos, starts)
-        sims = _simhash(h, first).view(np.int64) if rows else np.empty(0, np.int64)
+        sims = _simhash(h, first).view(np.int64) if distance < 64 else np.zeros(len(rows), np.int64)
+        odd = np.bitwise_xor.reduceat(U(1) << (h & U(63)), first).view(np.int64)
         code = (h >> U(48)).astype("<u2") % np.uint16(50_000) + np.uint16(256)  # one character for each word
         code[(code >= 0xD800) & (code < 0xE000)] = 0xFFFD
         text = code.tobytes().decode("utf-16-le")
         ends = np.append(first[1:], len(h))
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array([xxhash.xxh3_64_intdigest(x) - 2**63 for x in rows], pa.int64()),
-             pa.array(sims), pa.array([text[a:b] for a, b in zip(first, ends, strict=True)], pa.string())],
-            ["doc_id", "line", "id", "sim", "code"],
+             pa.array(sims), pa.array(odd), pa.array([text[a:b] for a, b in zip(first, ends, strict=True)], pa.string())],
+            ["doc_id", "line", "id", "sim", "odd", "code"],
         )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +69,7 @@ def _lines(min_words: int):
             ids, at, rows, n = [], [], [], 0
             for doc, text in zip(part["doc_id"].to_pylist(), utf8(part["text"]), strict=True):
                 for i, line in enumerate(text.translate(NORMAL).split(b"\n")):
-                    words = line.split()
+                    words = UNSPACED.sub(rb" \g<0> ", line).split()
                     if len(words) >= min_words:
                         rows.append(b" ".join(words))
                         ids.append(doc)
@@ -100,82 +102,164 @@ def _rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Most lines of a key whose pairs are formed as rows, and rows of a block of larger keys.
 SMALL_KEY, BLOCK = 48, 4_096
-#: Distinct lines up to which keys of two blocks (26 bits) are long enough.
-MANY_LINES = 1 << 25
+#: Distinct lines whose keys are met at once; with more, the keys are met in rounds, ROUNDS at most.
+MANY_LINES, ROUNDS = 1 << 25, 8
+#: Most words of a key.
+GRAM = 3
 
 
-def line_groups(lines: DataFrame, codes: DataFrame, similarity: float = 0.8, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
-    """Groups of fuzzily equal lines: ``node, component`` for distinct normalised lines that have a partner.
+@lru_cache(maxsize=None)
+def _needs(size: int, similarity: float) -> tuple[bool, ...]:
+    """Which keys a line of ``size`` words needs: runs of 1, 2 and 3 words, and sparse runs of 3.
+
+    A pair whose longer line has L words has k = (1 - similarity) * L edits at most, so L - k words of it
+    are equal in k + 1 runs at most, and one of these has (L - k) / (k + 1) words or more.
+    """
+    longest = np.arange(size, int(size / similarity + 1e-9) + 1)
+    k = np.floor((1 - similarity) * longest + 1e-9)
+    run = np.ceil((longest - k) / (k + 1))[k > 0]
+    return bool((run == 1).any()), bool((run == 2).any()), bool((run == GRAM).any()), bool((run > GRAM).any())
+
 
-    ``lines(id, sim)`` has each line once, ``codes(id, code)`` once or more.
+def _keys(similarity: float):
+    """Keys of lines: of two lines that can be linked one is equal.
 
-    Lines are linked when their SimHashes are within ``distance`` bits and their edit similarity in words is
-    at least ``similarity``.  Of ``blocks`` blocks, all but ``distance`` are equal in a linked pair, so each
-    choice of so many is a table (one block more, so longer keys, beyond MANY_LINES; the links are the same).
-    Few lines of a key meet as rows; keys with more lines are compared in pairs of blocks, which emit a
-    spanning forest and not all links.
+    Where the equal run has four words or more, of two neighbouring runs of three only the smaller by hash
+    is a key.
     """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part["code"].to_pylist()
+            c = np.frombuffer("".join(texts).encode("utf-16-le"), "<u2").astype(U)
+            size = np.array([len(x) for x in texts], np.int64)
+            line = np.repeat(np.arange(len(size)), size)
+            left = np.repeat(np.cumsum(size), size) - np.arange(len(c))  # words from here to the end of the line
+            needs = np.array([_needs(n, similarity) for n in size.tolist()], bool).reshape(-1, 4)[line]
+            keys, owners, gram = [], [], np.zeros(len(c), U)
+            for q in range(1, GRAM + 1):
+                gram = gram | np.pad(c[q - 1 :], (0, min(q - 1, len(c)))) << U(16 * (q - 1))
+                h, full = mix(gram + (U(q) << U(48))), left >= q
+                take = needs[:, q - 1] & full
+                if q == GRAM and len(c):
+                    both = full[:-1] & (left[:-1] > q)  # the next run is of the same line
+                    sparse = np.zeros(len(c), bool)
+                    sparse[:-1] |= both & (h[:-1] <= h[1:])
+                    sparse[1:] |= both & (h[1:] <= h[:-1])
+                    take |= needs[:, 3] & sparse
+                keys.append(h[take])
+                owners.append(line[take])
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            order = np.lexsort((key, owner))
+            key, owner = key[order], owner[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(part["id"].to_numpy()[owner[new]])], ["key", "id"])
+
+    return run
+
+
+def line_groups(lines: DataFrame, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
+    """Groups of fuzzily equal lines: ``node, component`` for distinct normalised lines that have a partner.
+
+    ``lines(id, sim, odd, code)`` has each line once.  Lines are linked when their edit similarity in words
+    is at least ``similarity`` (and their SimHashes are within ``distance`` bits).  Two such lines share a
+    key, so all are found.  The lines of a key are first compared with its smallest line; keys whose lines
+    are then connected are settled.  In the rest all pairs are compared that lengths and ``odd`` (parities of
+    word counts, of which an edit changes two at most) allow: as rows for few lines of a key, in pairs of
+    blocks, which emit a spanning forest, for more.
+    """
+    spark = lines.sparkSession
     n = lines.count()
-    blocks = blocks or (BLOCKS if n <= MANY_LINES else BLOCKS + 1)
-    size = -(-64 // blocks)
-    parts = [F.shiftrightunsigned(F.col("sim"), i * size).bitwiseAND((1 << size) - 1) for i in range(blocks)]
-    keys = [F.xxhash64(F.lit(t), *[parts[i] for i in c]) for t, c in enumerate(combinations(range(blocks), blocks - distance))]
-    members = lines.select("id", "sim").repartition(-(-n // 100_000) + 1).select(F.explode(F.array(*keys)).alias("key"), "id", "sim")
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    near = cut(members.join(shared.hint("shuffle_hash"), "key"))
-    release(lines.sparkSession)
-
-    # lines that only share a key by chance go before anything is paired
-    x, y = (near.toDF("key", n, f"sim_{n}") for n in "ab")
-    within = F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= distance
-    close = cut(x.join(y.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("a") != F.col("b")) & within, "left_semi").toDF("key", "id", "sim"))
-    release(lines.sparkSession)
-    code = cut(codes.join(close.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "code"))
-    release(lines.sparkSession)
-    sized = close.join(close.groupBy("key").agg(F.count("*").alias("size")), "key")
-
-    few = sized.where(F.col("size") <= SMALL_KEY)
-    x, y = (few.select("key", F.col("id").alias(n), F.col("sim").alias(f"sim_{n}")) for n in "ab")
-    pairs = cut(x.join(y, "key").where((F.col("a") < F.col("b")) & within).select("a", "b").distinct())
-    both = pairs.join(code.toDF("a", "x"), "a").join(code.toDF("b", "y"), "b")
-    longest, shortest = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
-    most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
-    links = both.where(F.when(shortest < similarity * longest, False).otherwise(F.call_function("levenshtein", F.col("x"), F.col("y"), most) >= 0)).select("a", "b")
-
-    many = sized.where(F.col("size") > SMALL_KEY).join(code, "id").withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rounds = min(ROUNDS, -(-n // MANY_LINES))
+    size = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 100_000)
+    members = lines.select("id", "code").mapInArrow(_keys(similarity), "key long, id long")
+    near = None
+    for r in range(max(1, rounds)):
+        m = members.where(F.pmod("key", F.lit(rounds)) == r) if rounds > 1 else members
+        m = m.repartition(size, "key")  # one exchange, read twice
+        shared = m.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").select("key", "c")
+        part = cut(m.join(shared.hint("shuffle_hash"), "key"))
+        near = part if near is None else near.unionByName(part)
+        release(spark)
+    item = cut(lines.join(near.select("id").distinct(), "id", "left_semi").select("id", F.length("code").alias("size"), "sim", "odd", "code"))
+    light = item.drop("code")
+    release(spark)
+
+    most = lambda longest: F.floor((1 - similarity) * longest + 1e-9).cast("int")
+    longest, shortest = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
+    fit = (shortest >= similarity * longest) & (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * most(longest))
+    if distance < 64:
+        fit = fit & (F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= distance)
+
+    def side(d: DataFrame, name: str, *more: str) -> DataFrame:
+        return d.select(*more, F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in d.columns if c not in ("id", *more)])
+
+    def passing(pairs: DataFrame) -> DataFrame:
+        code = item.select("id", "code")
+        both = pairs.join(side(code, "a"), "a").join(side(code, "b"), "b")
+        edits = F.call_function("levenshtein", F.col("code_a"), F.col("code_b"), most(F.greatest(F.length("code_a"), F.length("code_b"))))
+        return both.where(edits >= 0).select("a", "b")
+
+    star = near.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    star = cut(star.join(side(light, "a"), "a").join(side(light, "b"), "b").where(fit).select("a", "b"))
+    links = cut(passing(star))
+    release(spark)
+    comp = cut(connected_components(links).toDF("id", "comp"))
+    placed = cut(near.join(light.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "id"))
+    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("key", "n")
+    sized = cut(placed.join(open_, "key"))
+    release(spark)
+
+    few = sized.where(F.col("n") <= SMALL_KEY).drop("n")
+    x, y = side(few.drop("c"), "a", "key"), side(few, "b", "key", "c")
+    pairs = cut(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("c")) & (F.col("comp_a") != F.col("comp_b")) & fit).select("a", "b").distinct())
+    links = links.unionByName(passing(pairs))
+
+    many = sized.where(F.col("n") > SMALL_KEY).join(item.select("id", "code"), "id").withColumn("n", F.ceil(F.col("n") / BLOCK).cast("int"))
     many = many.withColumn("p", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     left = many.withColumn("h", F.col("p")).withColumn("k", F.explode(F.sequence("p", F.col("n") - 1)))
     right = many.withColumn("k", F.col("p")).withColumn("h", F.explode(F.sequence(F.lit(0), "p")))
     on = ["key", "h", "k"]
-    left, right = (side.select(*[F.col(c).alias(c) for c in (*on, "id", "sim", "code")]) for side in (left, right))
+    left, right = (d.select(*[F.col(c).alias(c) for c in (*on, "id", "comp", "sim", "odd", "code")]) for d in (left, right))
     links = links.unionByName(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_linked(similarity, distance), "a long, b long"))
     return connected_components(cut(links))
 
 
 def _linked(similarity: float, distance: int):
-    """Two blocks of lines: each linked line with the smallest line that it reaches inside the blocks.
+    """Two blocks of lines: each line that a link adds to a component, with the component's smallest line in the blocks.
 
     A line is compared with those lines in reach that are not connected with it yet.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        nodes = np.unique(np.concatenate([a, b]))
-        at, of, comp = np.searchsorted(nodes, a), np.searchsorted(nodes, b), np.arange(len(nodes))
-        sims, others = left["sim"].to_numpy(), right["sim"].to_numpy()
-        words, size = right["code"].to_pylist(), np.array([len(x) for x in right["code"].to_pylist()], np.int64)
+        nodes, where = np.unique(np.concatenate([a, b]), return_index=True)
+        at, of = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+        known = np.concatenate([left["comp"].to_numpy(), right["comp"].to_numpy()])[where]
+        _, head, group = np.unique(known, return_index=True, return_inverse=True)
+        comp = head[group]  # the first line of each component that is known
+        before = comp.copy()
+        sims, others, odd, odds = left["sim"].to_numpy(), right["sim"].to_numpy(), left["odd"].to_numpy(), right["odd"].to_numpy()
+        words = right["code"].to_pylist()
+        size = np.array([len(x) for x in words], np.int64)
+        bags = _bags(words)
+        own_bags = _bags(left["code"].to_pylist())
         codes = left["code"].to_pylist() if len(b) else []
         for i, s in enumerate(codes):
-            ok = np.flatnonzero((np.bitwise_count((others ^ sims[i]).view(U)) <= distance) & (comp[of] != comp[at[i]]))
-            longest = np.maximum(size[ok], len(s))
-            fits = np.minimum(size[ok], len(s)) >= similarity * longest
-            ok, longest = ok[fits], longest[fits]
+            longest = np.maximum(size, len(s))
+            most = np.floor((1 - similarity) * longest + 1e-9)
+            ok = (np.minimum(size, len(s)) >= similarity * longest) & (np.bitwise_count((odds ^ odd[i]).view(U)) <= 2 * most) & (comp[of] != comp[at[i]])
+            if distance < 64:
+                ok &= np.bitwise_count((others ^ sims[i]).view(U)) <= distance
+            ok = np.flatnonzero(ok)
+            ok = ok[np.abs(bags[ok] - own_bags[i]).sum(axis=1) <= 2 * most[ok]]
             if not len(ok):
                 continue
+            most = most[ok]
             table = np.zeros((len(ok), size[ok].max()), np.int32)
             for row, j in zip(table, ok, strict=True):
                 row[: size[j]] = np.frombuffer(words[j].encode("utf-32-le"), np.int32)
-            most = (1 - similarity) * longest + 1e-9
             own = np.frombuffer(s.encode("utf-32-le"), np.int32)
             width = min(len(own), table.shape[1])
             unlike = (table[:, :width] != own[:width]).sum(axis=1) + np.abs(size[ok] - len(s))
@@ -187,12 +271,19 @@ def _linked(similarity: float, distance: int):
             if len(hit):
                 met = np.append(comp[of[hit]], comp[at[i]])
                 comp[np.isin(comp, met)] = met.min()
-        moved = np.flatnonzero(comp != np.arange(len(nodes)))
+        moved = np.flatnonzero(comp != before)
         return pa.table({"a": pa.array(nodes[comp[moved]], pa.int64()), "b": pa.array(nodes[moved], pa.int64())})
 
     return run
 
 
+def _bags(codes: list[str], buckets: int = 1024) -> np.ndarray:
+    """Counts of the words of each line by bucket; an edit changes two of them by one at most."""
+    size = np.array([len(x) for x in codes], np.int64)
+    c = np.frombuffer("".join(codes).encode("utf-16-le"), "<u2").astype(np.int64) % buckets
+    return np.bincount(np.repeat(np.arange(len(size)), size) * buckets + c, minlength=len(size) * buckets).reshape(-1, buckets).astype(np.int32)
+
+
 def _edits(s: str, table: np.ndarray) -> np.ndarray:
     """Edit distances of ``s`` to all prefixes of each row of ``table``."""
     n, width = table.shape
@@ -209,18 +300,22 @@ def _edits(s: str, table: np.ndarray) -> np.ndarray:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
     """Rows of ``docs``, all columns, with fuzzily repeated lines removed from ``text``, plus ``_lines, _gone long``.
 
-    Lines end at line feeds and are normalised (case, digits, ASCII signs, white space).  Lines of equal
-    normal form, and lines whose SimHashes are within ``distance`` bits and whose edit similarity (in words,
-    1 - edits / longer length) is at least ``similarity``, are linked; linked lines form groups.  Of each
-    group the occurrence with the smallest (doc_id, line number) stays; all others go.
+    Lines end at line feeds and are normalised (case, digits, ASCII signs, white space; a sign of a script
+    without spaces is a word).  Lines of equal normal form, and lines whose edit similarity (in words,
+    1 - edits / longer length) is at least ``similarity`` and whose SimHashes are within ``distance`` bits,
+    are linked; linked lines form groups.  Of each group the occurrence with the smallest (doc_id, line
+    number) stays; all others go.
 
-    Lines under ``min_words`` words always stay, as do texts of null id.  Null and empty texts are returned
-    as they are.  Repeated rows are one document and keep the same lines.  An empty table gives no rows.
+    Lines under ``min_words`` words and lines without any word always stay, as do texts of null id.  Null
+    and empty texts are returned as they are.  Repeated rows are one document and keep the same lines.  An
+    empty table gives no rows.
     """
-    lines = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_lines(min_words), "doc_id long, line int, id long, sim long, code string"))
-    distinct = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim")))
+    kind = "doc_id long, line int, id long, sim long, odd long, code string"
+    lines = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_lines(max(1, min_words), distance), kind))
+    one = [F.first(c).alias(c) for c in ("sim", "odd", "code")]  # the same in all lines of an id
+    distinct = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *one))
     release(docs.sparkSession)
-    groups = line_groups(distinct.select("id", "sim"), lines.select("id", "code"), similarity, distance)
+    groups = line_groups(distinct.select("id", "sim", "odd", "code"), similarity, distance)
     firsts = distinct.select("id", "first", "n").join(groups.withColumnRenamed("node", "id"), "id", "left")
     best = firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("best"))
     keep = cut(firsts.join(best, "component", "left").where("n > 1 or best is not null").select("id", F.coalesce("best", "first").alias("keep")))
