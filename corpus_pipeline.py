@@ -30,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; a document that has lost all its lines goes."""
-    out = linededup.dedup_lines(docs).where((F.col("_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = linededup.dedup_lines(docs, min_words=1).where((F.col("_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*_columns(docs))
 
 

@@ -334,5 +334,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` per row."""
-    out = dedup_lines(docs.select("doc_id", "text"))
+    out = dedup_lines(docs.select("doc_id", "text"), min_words=1)
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

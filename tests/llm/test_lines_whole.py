@@ -30,3 +30,16 @@ def test_all_alike_lines_are_found(spark, small, monkeypatch):
     got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts), min_words=1).collect()}
     want = brute.dedup_lines(texts, min_words=1)
     assert got == want and 20 < sum(t == "" for t in got.values()) < len(texts) // 2
+
+
+def test_short_lines_repeat(spark):
+    texts = {1: "All rights reserved\nHello\n---", 2: "all rights reserved!\nother\n---", 3: "HELLO"}
+    got = {r.doc_id: r.n_removed for r in linededup.line_digest(frame(spark, texts)).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
+
+
+def test_lines_without_spaces(spark):
+    line = "東京都は日本の首都であり世界で最も人口の多い都市の一つである"
+    texts = {1: line, 2: line.replace("首", "古"), 3: line, 4: "これは別の行であり前の行とは少しも似ていないものとする"}
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {1: line, 2: "", 3: "", 4: texts[4]}
