@@ -21,8 +21,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only in local mode, where it is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return path or _own_dir()
 
 
 @lru_cache(maxsize=1)
@@ -63,14 +66,15 @@ def release(spark: SparkSession) -> None:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Nodes of ``edges(a long, b long)`` with the smallest node they reach: ``node, component``.
 
-    Alternating large-star and small-star steps.  Each step joins edges with a pre-aggregated minimum
-    per node, so a hub's edges are never gathered in one task.
+    Alternating large-star and small-star steps.  The smallest neighbour of each node is aggregated into a
+    table of its own before edges meet it: the join's sides are then plain shuffles, of which Spark's skew
+    join splits a hub's edges over tasks.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -80,6 +84,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         new = cut(small)
         drop_cut(e)
+        drop_cut(low)
         e = new
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == mark:

@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication: shared word runs by pigeonhole, edit similarity, connected groups."""
+"""Fuzzy line deduplication: equal word runs by pigeonhole, edit similarity, connected groups."""
 
 from __future__ import annotations
 
@@ -9,16 +9,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, release
+from .common import connected_components, cut, drop_cut, release
 from .textnp import BATCH, U, mix, utf8, word_hashes
 
 #: Lines of fewer words are left alone: greetings and headings repeat in clean documents.
 MIN_WORDS = 5
-#: Largest Hamming distance of the SimHashes of linked lines; at 64 the edit similarity alone decides.
-DISTANCE = 64
 
 #: How a byte is normalised: A to Z in lower case, digits as 0, other ASCII signs as spaces.
 NORMAL = bytes(
@@ -27,49 +25,43 @@ NORMAL = bytes(
 #: Signs of scripts without spaces between words (Thai, Lao, Burmese, Khmer, Chinese, Japanese): each is a word.
 UNSPACED = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
 
-#: For each byte a number with eight lanes of eight bits, a lane for each bit of the byte.
-LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(U) << (U(8) * np.arange(8, dtype=U))).sum(axis=1, dtype=U)
-#: Most words that a lane can count.
-LANE_WORDS = 255
 
+def _coded(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Runs of word hashes as texts, a character for each word: 20 bits as the code points from 65,536 on.
+
+    Each is four bytes of UTF-8, which are written directly.
+    """
+    c = (h >> U(44)).astype(np.uint32) + np.uint32(1 << 16)
+    raw = np.stack([0xF0 | c >> 18, 0x80 | c >> 12 & 63, 0x80 | c >> 6 & 63, 0x80 | c & 63], axis=1).astype(np.uint8)
+    ends = (4 * np.append(first, len(h))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(raw.tobytes()))
 
-def _simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each run of word hashes; runs start at ``first`` and are not empty."""
-    size = np.diff(np.append(first, len(h)))
-    parts = -(-size // LANE_WORDS)
-    run = np.repeat(np.arange(len(first)), parts)
-    start = first[run] + LANE_WORDS * (np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts))
-    lanes = np.add.reduceat(LANES[h.view(np.uint8).reshape(-1, 8)], start, axis=0)
-    ones = lanes.view(np.uint8).reshape(len(start), 64)
-    if len(start) > len(first):
-        ones = np.add.reduceat(ones.astype(np.int64), np.cumsum(parts) - parts, axis=0)
-    return np.packbits(2 * ones.astype(np.int64) > size[:, None], axis=1).view(U).reshape(-1)
 
+def _words(code: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of coded lines as numbers, and the number of words of each line."""
+    ends = np.frombuffer(code.buffers()[1], np.int32)[code.offset : code.offset + len(code) + 1] if len(code) else np.zeros(1, np.int32)
+    raw = np.frombuffer(code.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.ascontiguousarray(raw).view("<u4"), np.diff(ends) // 4
 
-def _lines(min_words: int, distance: int):
+
+def _lines(min_words: int):
     def emit(ids: list, at: list, rows: list[bytes]) -> pa.RecordBatch:
-        raw = b"\n".join(rows)
         starts = np.cumsum([0] + [len(x) + 1 for x in rows])[:-1]
-        h, pos = word_hashes(raw)
+        h, pos = word_hashes(b"\n".join(rows))
         first = np.searchsorted(pos, starts)
-        sims = _simhash(h, first).view(np.int64) if distance < 64 else np.zeros(len(rows), np.int64)
         odd = np.bitwise_xor.reduceat(U(1) << (h & U(63)), first).view(np.int64)
-        code = (h >> U(48)).astype("<u2") % np.uint16(50_000) + np.uint16(256)  # one character for each word
-        code[(code >= 0xD800) & (code < 0xE000)] = 0xFFFD
-        text = code.tobytes().decode("utf-16-le")
-        ends = np.append(first[1:], len(h))
+        digests = [xxhash.xxh3_64_intdigest(x) - 2**63 for x in rows]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array([xxhash.xxh3_64_intdigest(x) - 2**63 for x in rows], pa.int64()),
-             pa.array(sims), pa.array(odd), pa.array([text[a:b] for a, b in zip(first, ends, strict=True)], pa.string())],
-            ["doc_id", "line", "id", "sim", "odd", "code"],
-        )
+            [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(digests, pa.int64()), pa.array(odd), _coded(h, first)], ["doc_id", "line", "id", "odd", "code"]
+        )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids, at, rows, n = [], [], [], 0
             for doc, text in zip(part["doc_id"].to_pylist(), utf8(part["text"]), strict=True):
+                spaced = text.isascii()
                 for i, line in enumerate(text.translate(NORMAL).split(b"\n")):
-                    words = UNSPACED.sub(rb" \g<0> ", line).split()
+                    words = (line if spaced else UNSPACED.sub(rb" \g<0> ", line)).split()
                     if len(words) >= min_words:
                         rows.append(b" ".join(words))
                         ids.append(doc)
@@ -102,95 +94,89 @@ def _rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Most lines of a key whose pairs are formed as rows, and rows of a block of larger keys.
 SMALL_KEY, BLOCK = 48, 4_096
-#: Distinct lines whose keys are met at once; with more, the keys are met in rounds, ROUNDS at most.
-MANY_LINES, ROUNDS = 1 << 25, 8
 #: Most words of a key.
 GRAM = 3
+#: Chance of finding no common key for a pair just at the similarity, its edits spread as badly as they can be.
+MISS = 0.001
 
 
 @lru_cache(maxsize=None)
-def _needs(size: int, similarity: float) -> tuple[bool, ...]:
-    """Which keys a line of ``size`` words needs: runs of 1, 2 and 3 words, and sparse runs of 3.
+def _needs(size: int, similarity: float) -> tuple[bool, bool, float]:
+    """Which keys a line of ``size`` words needs: single words, the pairs of words, and the share of its runs of GRAM words.
 
     A pair whose longer line has L words has k = (1 - similarity) * L edits at most, so L - k words of it
-    are equal in k + 1 runs at most, and one of these has (L - k) / (k + 1) words or more.
+    are equal in k + 1 runs at most: one run has (L - k) / (k + 1) words or more, and L - k - (GRAM - 1) * (k + 1)
+    runs of GRAM words are equal.  Where these are many, a share of all runs by hash is enough.
     """
     longest = np.arange(size, int(size / similarity + 1e-9) + 1)
     k = np.floor((1 - similarity) * longest + 1e-9)
-    run = np.ceil((longest - k) / (k + 1))[k > 0]
-    return bool((run == 1).any()), bool((run == 2).any()), bool((run == GRAM).any()), bool((run > GRAM).any())
+    longest, k = longest[k > 0], k[k > 0]
+    run = np.ceil((longest - k) / (k + 1))
+    grams = np.maximum(longest - k - (GRAM - 1) * (k + 1), 1)[run >= GRAM]
+    share = np.where(grams > GRAM, 1 - MISS ** (1 / grams), 1.0).max(initial=0.0)
+    return bool((run == 1).any()), bool((run == 2).any()), float(share)
 
 
 def _keys(similarity: float):
-    """Keys of lines: of two lines that can be linked one is equal.
-
-    Where the equal run has four words or more, of two neighbouring runs of three only the smaller by hash
-    is a key.
-    """
+    """Keys of lines; two lines that can be linked have an equal one, but for ``MISS``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part["code"].to_pylist()
-            c = np.frombuffer("".join(texts).encode("utf-16-le"), "<u2").astype(U)
-            size = np.array([len(x) for x in texts], np.int64)
+            c, size = _words(part["code"])
+            c = c.astype(U)
             line = np.repeat(np.arange(len(size)), size)
             left = np.repeat(np.cumsum(size), size) - np.arange(len(c))  # words from here to the end of the line
-            needs = np.array([_needs(n, similarity) for n in size.tolist()], bool).reshape(-1, 4)[line]
-            keys, owners, gram = [], [], np.zeros(len(c), U)
+            sets, gram = [], np.zeros(len(c), U)
             for q in range(1, GRAM + 1):
-                gram = gram | np.pad(c[q - 1 :], (0, min(q - 1, len(c)))) << U(16 * (q - 1))
-                h, full = mix(gram + (U(q) << U(48))), left >= q
-                take = needs[:, q - 1] & full
-                if q == GRAM and len(c):
-                    both = full[:-1] & (left[:-1] > q)  # the next run is of the same line
-                    sparse = np.zeros(len(c), bool)
-                    sparse[:-1] |= both & (h[:-1] <= h[1:])
-                    sparse[1:] |= both & (h[1:] <= h[:-1])
-                    take |= needs[:, 3] & sparse
-                keys.append(h[take])
-                owners.append(line[take])
+                gram = mix(gram + np.pad(c[q - 1 :], (0, min(q - 1, len(c)))) + U(q))
+                full = left >= q
+                at = np.stack([gram[full], line[full].astype(U)], axis=1)
+                order = np.lexsort((at[:, 0], at[:, 1]))
+                at = at[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (at[1:] != at[:-1]).any(axis=1)
+                sets.append(at[new])
+            # a line of repeated runs counts as one of fewer words
+            distinct = np.bincount(sets[-1][:, 1].astype(np.int64), minlength=len(size)) + GRAM - 1
+            needs = [_needs(int(n), similarity) for n in size]
+            share = np.array([max(x[2], _needs(int(d), similarity)[2] if d < n and x[2] else 0.0) for x, d, n in zip(needs, distinct, size, strict=True)])
+            few = np.array([x[:2] for x in needs], bool).reshape(-1, 2)
+            keys, owners = [], []
+            for q, s in enumerate(sets, 1):
+                owner = s[:, 1].astype(np.int64)
+                take = few[owner, q - 1] if q < GRAM else (s[:, 0] >> U(11)).astype(float) * 2.0**-53 < share[owner]
+                keys.append(s[take, 0])
+                owners.append(owner[take])
             key, owner = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((key, owner))
-            key, owner = key[order], owner[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(part["id"].to_numpy()[owner[new]])], ["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part["id"].to_numpy()[owner])], ["key", "id"])
 
     return run
 
 
-def line_groups(lines: DataFrame, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
+def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Groups of fuzzily equal lines: ``node, component`` for distinct normalised lines that have a partner.
 
-    ``lines(id, sim, odd, code)`` has each line once.  Lines are linked when their edit similarity in words
-    is at least ``similarity`` (and their SimHashes are within ``distance`` bits).  Two such lines share a
-    key, so all are found.  The lines of a key are first compared with its smallest line; keys whose lines
+    ``lines(id, odd, code)`` has each line once.  Lines are linked when their edit similarity in words is at
+    least ``similarity``.  The lines of a key are first compared with its smallest line; keys whose lines
     are then connected are settled.  In the rest all pairs are compared that lengths and ``odd`` (parities of
     word counts, of which an edit changes two at most) allow: as rows for few lines of a key, in pairs of
     blocks, which emit a spanning forest, for more.
+
+    Keys are counted in a table of their own before rows meet it, so that a key of very many lines is split
+    by Spark's skew join.
     """
     spark = lines.sparkSession
-    n = lines.count()
-    rounds = min(ROUNDS, -(-n // MANY_LINES))
-    size = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 100_000)
     members = lines.select("id", "code").mapInArrow(_keys(similarity), "key long, id long")
-    near = None
-    for r in range(max(1, rounds)):
-        m = members.where(F.pmod("key", F.lit(rounds)) == r) if rounds > 1 else members
-        m = m.repartition(size, "key")  # one exchange, read twice
-        shared = m.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").select("key", "c")
-        part = cut(m.join(shared.hint("shuffle_hash"), "key"))
-        near = part if near is None else near.unionByName(part)
-        release(spark)
-    item = cut(lines.join(near.select("id").distinct(), "id", "left_semi").select("id", F.length("code").alias("size"), "sim", "odd", "code"))
-    light = item.drop("code")
+    shared = cut(members.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").select("key", "c"))
     release(spark)
+    near = cut(members.join(shared, "key"))
+    drop_cut(shared)
+    item = cut(lines.join(near.select("id").distinct(), "id", "left_semi").select("id", F.length("code").alias("size"), "odd", "code"))
+    light = item.drop("code")
 
     most = lambda longest: F.floor((1 - similarity) * longest + 1e-9).cast("int")
     longest, shortest = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
     fit = (shortest >= similarity * longest) & (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * most(longest))
-    if distance < 64:
-        fit = fit & (F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= distance)
 
     def side(d: DataFrame, name: str, *more: str) -> DataFrame:
         return d.select(*more, F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in d.columns if c not in ("id", *more)])
@@ -198,35 +184,40 @@ def line_groups(lines: DataFrame, similarity: float = 0.8, distance: int = DISTA
     def passing(pairs: DataFrame) -> DataFrame:
         code = item.select("id", "code")
         both = pairs.join(side(code, "a"), "a").join(side(code, "b"), "b")
-        edits = F.call_function("levenshtein", F.col("code_a"), F.col("code_b"), most(F.greatest(F.length("code_a"), F.length("code_b"))))
+        edits: Column = F.call_function("levenshtein", F.col("code_a"), F.col("code_b"), most(F.greatest(F.length("code_a"), F.length("code_b"))))
         return both.where(edits >= 0).select("a", "b")
 
     star = near.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
     star = cut(star.join(side(light, "a"), "a").join(side(light, "b"), "b").where(fit).select("a", "b"))
     links = cut(passing(star))
-    release(spark)
-    comp = cut(connected_components(links).toDF("id", "comp"))
-    placed = cut(near.join(light.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "id"))
-    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("key", "n")
+    groups = cut(connected_components(links))
+    comp = light.join(groups.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    placed = cut(near.join(comp, "id"))
+    open_ = cut(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z and n > 2").select("key", "n"))
     sized = cut(placed.join(open_, "key"))
+    drop_cut(near)
+    drop_cut(placed)
     release(spark)
 
     few = sized.where(F.col("n") <= SMALL_KEY).drop("n")
     x, y = side(few.drop("c"), "a", "key"), side(few, "b", "key", "c")
     pairs = cut(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("c")) & (F.col("comp_a") != F.col("comp_b")) & fit).select("a", "b").distinct())
-    links = links.unionByName(passing(pairs))
 
     many = sized.where(F.col("n") > SMALL_KEY).join(item.select("id", "code"), "id").withColumn("n", F.ceil(F.col("n") / BLOCK).cast("int"))
     many = many.withColumn("p", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     left = many.withColumn("h", F.col("p")).withColumn("k", F.explode(F.sequence("p", F.col("n") - 1)))
     right = many.withColumn("k", F.col("p")).withColumn("h", F.explode(F.sequence(F.lit(0), "p")))
     on = ["key", "h", "k"]
-    left, right = (d.select(*[F.col(c).alias(c) for c in (*on, "id", "comp", "sim", "odd", "code")]) for d in (left, right))
-    links = links.unionByName(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_linked(similarity, distance), "a long, b long"))
-    return connected_components(cut(links))
+    left, right = (d.select(*[F.col(c).alias(c) for c in (*on, "id", "comp", "odd", "code")]) for d in (left, right))
+    more = cut(passing(pairs).unionByName(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_linked(similarity), "a long, b long")))
+    for done in (sized, pairs, item, star):
+        drop_cut(done)
+    if more.isEmpty():
+        return groups
+    return connected_components(groups.toDF("a", "b").unionByName(more))
 
 
-def _linked(similarity: float, distance: int):
+def _linked(similarity: float):
     """Two blocks of lines: each line that a link adds to a component, with the component's smallest line in the blocks.
 
     A line is compared with those lines in reach that are not connected with it yet.
@@ -240,29 +231,23 @@ def _linked(similarity: float, distance: int):
         _, head, group = np.unique(known, return_index=True, return_inverse=True)
         comp = head[group]  # the first line of each component that is known
         before = comp.copy()
-        sims, others, odd, odds = left["sim"].to_numpy(), right["sim"].to_numpy(), left["odd"].to_numpy(), right["odd"].to_numpy()
-        words = right["code"].to_pylist()
-        size = np.array([len(x) for x in words], np.int64)
-        bags = _bags(words)
-        own_bags = _bags(left["code"].to_pylist())
-        codes = left["code"].to_pylist() if len(b) else []
-        for i, s in enumerate(codes):
-            longest = np.maximum(size, len(s))
+        odd, odds = left["odd"].to_numpy(), right["odd"].to_numpy()
+        (own, own_size), (words, size) = (_split(t["code"].combine_chunks()) for t in (left, right))
+        own_bags, bags = _bags(own), _bags(words)
+        for i, s in enumerate(own if len(b) else ()):
+            longest = np.maximum(size, own_size[i])
             most = np.floor((1 - similarity) * longest + 1e-9)
-            ok = (np.minimum(size, len(s)) >= similarity * longest) & (np.bitwise_count((odds ^ odd[i]).view(U)) <= 2 * most) & (comp[of] != comp[at[i]])
-            if distance < 64:
-                ok &= np.bitwise_count((others ^ sims[i]).view(U)) <= distance
+            ok = (np.minimum(size, own_size[i]) >= similarity * longest) & (np.bitwise_count((odds ^ odd[i]).view(U)) <= 2 * most) & (comp[of] != comp[at[i]])
             ok = np.flatnonzero(ok)
             ok = ok[np.abs(bags[ok] - own_bags[i]).sum(axis=1) <= 2 * most[ok]]
             if not len(ok):
                 continue
             most = most[ok]
-            table = np.zeros((len(ok), size[ok].max()), np.int32)
+            table = np.zeros((len(ok), size[ok].max()), np.uint32)
             for row, j in zip(table, ok, strict=True):
-                row[: size[j]] = np.frombuffer(words[j].encode("utf-32-le"), np.int32)
-            own = np.frombuffer(s.encode("utf-32-le"), np.int32)
-            width = min(len(own), table.shape[1])
-            unlike = (table[:, :width] != own[:width]).sum(axis=1) + np.abs(size[ok] - len(s))
+                row[: size[j]] = words[j]
+            width = min(len(s), table.shape[1])
+            unlike = (table[:, :width] != s[:width]).sum(axis=1) + np.abs(size[ok] - len(s))
             alike = unlike <= most  # an upper bound of the edits: words changed in place, and the surplus
             if not alike.all():
                 rest = np.flatnonzero(~alike)
@@ -277,14 +262,19 @@ def _linked(similarity: float, distance: int):
     return run
 
 
-def _bags(codes: list[str], buckets: int = 1024) -> np.ndarray:
+def _split(code: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    words, size = _words(code)
+    return (np.split(words, np.cumsum(size)[:-1]) if len(size) else []), size
+
+
+def _bags(lines: list[np.ndarray], buckets: int = 1024) -> np.ndarray:
     """Counts of the words of each line by bucket; an edit changes two of them by one at most."""
-    size = np.array([len(x) for x in codes], np.int64)
-    c = np.frombuffer("".join(codes).encode("utf-16-le"), "<u2").astype(np.int64) % buckets
+    size = np.array([len(x) for x in lines], np.int64)
+    c = (mix(np.concatenate([*lines, np.empty(0, np.uint32)]).astype(U)) % U(buckets)).astype(np.int64)
     return np.bincount(np.repeat(np.arange(len(size)), size) * buckets + c, minlength=len(size) * buckets).reshape(-1, buckets).astype(np.int32)
 
 
-def _edits(s: str, table: np.ndarray) -> np.ndarray:
+def _edits(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Edit distances of ``s`` to all prefixes of each row of ``table``."""
     n, width = table.shape
     step = np.arange(width + 1)
@@ -292,37 +282,41 @@ def _edits(s: str, table: np.ndarray) -> np.ndarray:
     for k, c in enumerate(s, 1):
         new = np.empty_like(row)
         new[:, 0] = k
-        np.minimum(row[:, 1:] + 1, row[:, :-1] + (table != ord(c)), out=new[:, 1:])
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (table != c), out=new[:, 1:])
         row = np.minimum.accumulate(new - step, axis=1) + step  # insertions
     return row
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, with fuzzily repeated lines removed from ``text``, plus ``_lines, _gone long``.
 
     Lines end at line feeds and are normalised (case, digits, ASCII signs, white space; a sign of a script
     without spaces is a word).  Lines of equal normal form, and lines whose edit similarity (in words,
-    1 - edits / longer length) is at least ``similarity`` and whose SimHashes are within ``distance`` bits,
-    are linked; linked lines form groups.  Of each group the occurrence with the smallest (doc_id, line
-    number) stays; all others go.
+    1 - edits / longer length) is at least ``similarity``, are linked; linked lines form groups.  Of each
+    group the occurrence with the smallest (doc_id, line number) stays; all others go.  Words are compared
+    by 20 bits of their hashes, so of a million different words two pass as equal about once.
 
     Lines under ``min_words`` words and lines without any word always stay, as do texts of null id.  Null
     and empty texts are returned as they are.  Repeated rows are one document and keep the same lines.  An
     empty table gives no rows.
     """
-    kind = "doc_id long, line int, id long, sim long, odd long, code string"
-    lines = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_lines(max(1, min_words), distance), kind))
-    one = [F.first(c).alias(c) for c in ("sim", "odd", "code")]  # the same in all lines of an id
-    distinct = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *one))
-    release(docs.sparkSession)
-    groups = line_groups(distinct.select("id", "sim", "odd", "code"), similarity, distance)
-    firsts = distinct.select("id", "first", "n").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    spark = docs.sparkSession
+    kind = "doc_id long, line int, id long, odd long, code string"
+    whole = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_lines(max(1, min_words)), kind))
+    distinct = cut(whole.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("odd", "code")]))
+    lines = cut(whole.select("doc_id", "line", "id"))
+    drop_cut(whole)
+    release(spark)
+    groups = line_groups(distinct.select("id", "odd", "code"), similarity)
+    firsts = cut(distinct.select("id", "first", "n").join(groups.withColumnRenamed("node", "id"), "id", "left"))
+    drop_cut(distinct)
     best = firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("best"))
     keep = cut(firsts.join(best, "component", "left").where("n > 1 or best is not null").select("id", F.coalesce("best", "first").alias("keep")))
-    gone = lines.select("doc_id", "line", "id").join(keep, "id").where("keep <> struct(doc_id, line)")
-    gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    gone = cut(gone)
-    release(docs.sparkSession)
+    gone = lines.join(keep, "id").where("keep <> struct(doc_id, line)")
+    gone = cut(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    for done in (lines, keep, firsts):
+        drop_cut(done)
+    release(spark)
     cols = docs.columns
     rest = [c for c in cols if c != "text"]
     packed = docs.select(F.col("doc_id").alias("_key"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), "text")

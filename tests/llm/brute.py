@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 from itertools import combinations
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,12 +112,15 @@ def edits(a, b):
     return row[-1]
 
 
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3000-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def normal_line(line):
     out = []
     for c in line:
         o = ord(c)
         out.append(lower(c) if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c if o >= 128 or "a" <= c <= "z" else " ")
-    return "".join(out).split(" ")
+    return UNSPACED.sub(r" \g<0> ", "".join(out)).split(" ")
 
 
 def dedup_lines(docs, similarity=0.8, min_words=5, near=lambda a, b: True):
@@ -128,11 +132,15 @@ def dedup_lines(docs, similarity=0.8, min_words=5, near=lambda a, b: True):
             if len(w) >= min_words:
                 seen.setdefault(w, []).append((k, i))
     ws = list(seen)
+    bags = [Counter(w) for w in ws]
     links = []
     for a, b in combinations(range(len(ws)), 2):
         x, y = ws[a], ws[b]
         longest = max(len(x), len(y))
-        if min(len(x), len(y)) >= similarity * longest and near(x, y) and edits(x, y) <= (1 - similarity) * longest + 1e-9:
+        most = int((1 - similarity) * longest + 1e-9)
+        if min(len(x), len(y)) < longest - most or (bags[a] & bags[b]).total() < longest - most:
+            continue  # an edit changes one word of the longer line at most
+        if near(x, y) and edits(x, y) <= (1 - similarity) * longest + 1e-9:
             links.append((a, b))
     comp = components(range(len(ws)), links)
     groups = {}

@@ -197,23 +197,11 @@ def test_suffix_odd_rows(spark):
 # ---- lines
 
 
-def _near(x, y):
-    import xxhash  # noqa: F401
-    from seasonforge.llm.textnp import word_hashes
-
-    sims = []
-    for w in (x, y):
-        h, _ = word_hashes(" ".join(w).encode())
-        sims.append(linededup._simhash(h, np.array([0]))[0])
-    return int(np.bitwise_count(sims[0] ^ sims[1])) <= linededup.DISTANCE
-
-
 @pytest.mark.parametrize("small", (48, 2))
 def test_lines_equal_brute_force(spark, small, monkeypatch):
-    """Alike lines whose SimHashes are near, met as rows or in blocks."""
+    """Alike lines, met as rows or in blocks."""
     monkeypatch.setattr(linededup, "SMALL_KEY", small)
     monkeypatch.setattr(linededup, "BLOCK", 7)
-    monkeypatch.setattr(linededup, "MANY_LINES", small)
     rng = random.Random(9)
     texts = {}
     for k in range(60):
@@ -221,16 +209,12 @@ def test_lines_equal_brute_force(spark, small, monkeypatch):
         for _ in range(4):
             base = random.Random(rng.randrange(25))
             w = [f"w{base.randrange(1000)}" + "abcdefgh"[base.randrange(8)] for _ in range(40)]
-            if rng.random() < 0.4:
+            for _ in range(rng.choice((0, 0, 1, 4, 8))):
                 w[rng.randrange(40)] = "other" + "abcd"[rng.randrange(4)]
             lines.append(" ".join(w) if rng.random() < 0.8 else f"Short line {k}")
         texts[k] = "\n".join(lines)
     got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, list(texts.items()))).collect()}
-    exact = brute.dedup_lines(texts, near=lambda x, y: False)
-    all_alike = brute.dedup_lines(texts)
-    near = brute.dedup_lines(texts, near=_near)
-    assert got == near and got != exact
-    assert sum(len(t) for t in all_alike.values()) <= sum(len(t) for t in got.values()) < sum(len(t) for t in exact.values())
+    assert got == brute.dedup_lines(texts) != brute.dedup_lines(texts, near=lambda x, y: False)
 
 
 def test_lines_odd_rows(spark):
