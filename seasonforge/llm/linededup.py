@@ -8,12 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, drop_cut, release
-from .textnp import BATCH, U, mix, utf8, word_hashes
+from .textnp import BATCH, WORDS_M, U, mix, utf8, word_hashes
 
 #: Lines of fewer words are left alone: greetings and headings repeat in clean documents.
 MIN_WORDS = 5
@@ -25,6 +24,9 @@ NORMAL = bytes(
 #: Signs of scripts without spaces between words (Thai, Lao, Burmese, Khmer, Chinese, Japanese): each is a word.
 UNSPACED = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
 
+#: First bytes of these signs.
+LEADS = bytes([0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0])
+
 
 def _coded(h: np.ndarray, first: np.ndarray) -> pa.Array:
     """Runs of word hashes as texts, a character for each word: 20 bits as the code points from 65,536 on.
@@ -32,9 +34,9 @@ def _coded(h: np.ndarray, first: np.ndarray) -> pa.Array:
     Each is four bytes of UTF-8, which are written directly.
     """
     c = (h >> U(44)).astype(np.uint32) + np.uint32(1 << 16)
-    raw = np.stack([0xF0 | c >> 18, 0x80 | c >> 12 & 63, 0x80 | c >> 6 & 63, 0x80 | c & 63], axis=1).astype(np.uint8)
+    raw = 0x808080F0 | c >> 18 | (c >> 12 & 63) << 8 | (c >> 6 & 63) << 16 | (c & 63) << 24
     ends = (4 * np.append(first, len(h))).astype(np.int32)
-    return pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(raw.tobytes()))
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(raw.astype("<u4").tobytes()))
 
 
 def _words(code: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,34 +46,47 @@ def _words(code: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(raw).view("<u4"), np.diff(ends) // 4
 
 
+def _normal(text: bytes) -> bytes:
+    if not text.isascii() and len(text.translate(None, LEADS)) < len(text):
+        text = UNSPACED.sub(rb" \g<0> ", text)
+    return text.translate(NORMAL)
+
+
 def _lines(min_words: int):
-    def emit(ids: list, at: list, rows: list[bytes]) -> pa.RecordBatch:
-        starts = np.cumsum([0] + [len(x) + 1 for x in rows])[:-1]
-        h, pos = word_hashes(b"\n".join(rows))
-        first = np.searchsorted(pos, starts)
-        odd = np.bitwise_xor.reduceat(U(1) << (h & U(63)), first).view(np.int64)
-        digests = [xxhash.xxh3_64_intdigest(x) - 2**63 for x in rows]
+    def emit(docs: list, texts: list[bytes]) -> pa.RecordBatch:
+        raw = b"\n".join(texts)
+        h, pos = word_hashes(raw)
+        ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)  # of all lines but the last
+        line = np.searchsorted(ends, pos)
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(h) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(h)))
+        first, size = first[size >= min_words], size[size >= min_words]
+        of = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        h, line = h[first[of] + place], line[first]
+        first = np.cumsum(size) - size
+        whole = mix(np.add.reduceat(mix(h + place.astype(U) * WORDS_M), first) + size.astype(U)) if len(size) else h
+        odd = np.bitwise_xor.reduceat(U(1) << (h & U(63)), first) if len(size) else h
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+        before = np.searchsorted(ends, starts)  # lines before each document
+        doc = np.searchsorted(before, line, "right") - 1
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(digests, pa.int64()), pa.array(odd), _coded(h, first)], ["doc_id", "line", "id", "odd", "code"]
-        )
+            [pa.array(np.array(docs, np.int64)[doc]), pa.array((line - before[doc]).astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(odd.view(np.int64)), _coded(h, first)],
+            ["doc_id", "line", "id", "odd", "code"],
+        )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids, at, rows, n = [], [], [], 0
+            docs, texts, n = [], [], 0
             for doc, text in zip(part["doc_id"].to_pylist(), utf8(part["text"]), strict=True):
-                spaced = text.isascii()
-                for i, line in enumerate(text.translate(NORMAL).split(b"\n")):
-                    words = (line if spaced else UNSPACED.sub(rb" \g<0> ", line)).split()
-                    if len(words) >= min_words:
-                        rows.append(b" ".join(words))
-                        ids.append(doc)
-                        at.append(i)
-                        n += len(line)
+                docs.append(doc)
+                texts.append(_normal(text))
+                n += len(text)
                 if n >= BATCH:
-                    yield emit(ids, at, rows)
-                    ids, at, rows, n = [], [], [], 0
-            if rows:
-                yield emit(ids, at, rows)
+                    yield emit(docs, texts)
+                    docs, texts, n = [], [], 0
+            if docs:
+                yield emit(docs, texts)
 
     return run
 
@@ -98,6 +113,8 @@ SMALL_KEY, BLOCK = 48, 4_096
 GRAM = 3
 #: Chance of finding no common key for a pair just at the similarity, its edits spread as badly as they can be.
 MISS = 0.001
+#: Lines of which fewer runs are taken by hash give all their runs.
+POOR = 4
 
 
 @lru_cache(maxsize=None)
@@ -123,32 +140,31 @@ def _keys(similarity: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             c, size = _words(part["code"])
-            c = c.astype(U)
-            line = np.repeat(np.arange(len(size)), size)
+            c = mix(c.astype(U))
+            line = np.repeat(np.arange(len(size), dtype=np.int32), size)
             left = np.repeat(np.cumsum(size), size) - np.arange(len(c))  # words from here to the end of the line
-            sets, gram = [], np.zeros(len(c), U)
+            needs = np.array([_needs(n, similarity) for n in size.tolist()], float).reshape(-1, 3)
+            share = np.minimum(needs[:, 2] * 2.0**63, 2.0**63).astype(U)
+            keys, owners, gram = [], [], np.zeros(len(c), U)
             for q in range(1, GRAM + 1):
-                gram = mix(gram + np.pad(c[q - 1 :], (0, min(q - 1, len(c)))) + U(q))
-                full = left >= q
-                at = np.stack([gram[full], line[full].astype(U)], axis=1)
-                order = np.lexsort((at[:, 0], at[:, 1]))
-                at = at[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1]).any(axis=1)
-                sets.append(at[new])
-            # a line of repeated runs counts as one of fewer words
-            distinct = np.bincount(sets[-1][:, 1].astype(np.int64), minlength=len(size)) + GRAM - 1
-            needs = [_needs(int(n), similarity) for n in size]
-            share = np.array([max(x[2], _needs(int(d), similarity)[2] if d < n and x[2] else 0.0) for x, d, n in zip(needs, distinct, size, strict=True)])
-            few = np.array([x[:2] for x in needs], bool).reshape(-1, 2)
-            keys, owners = [], []
-            for q, s in enumerate(sets, 1):
-                owner = s[:, 1].astype(np.int64)
-                take = few[owner, q - 1] if q < GRAM else (s[:, 0] >> U(11)).astype(float) * 2.0**-53 < share[owner]
-                keys.append(s[take, 0])
-                owners.append(owner[take])
+                gram = gram * WORDS_M + np.pad(c[q - 1 :], (0, min(q - 1, len(c))))
+                if q < GRAM:
+                    at = np.flatnonzero((needs[:, q - 1] > 0)[line] & (left >= q)) if needs[:, q - 1].any() else []
+                    keys.append(mix(gram[at] + U(q)))
+                else:
+                    h = mix(gram + U(q))
+                    take = (h >> U(1) < share[line]) & (left >= q)
+                    # lines of repeated runs, of which hardly any is taken, give all
+                    poor = (np.bincount(line[take], minlength=len(size)) < POOR) & (needs[:, 2] > 0)
+                    at = np.flatnonzero((take | poor[line]) & (left >= q)) if poor.any() else np.flatnonzero(take)
+                    keys.append(h[at])
+                owners.append(line[at])
             key, owner = np.concatenate(keys), np.concatenate(owners)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part["id"].to_numpy()[owner])], ["key", "id"])
+            order = np.lexsort((key, owner))
+            key, owner = key[order], owner[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(part["id"].to_numpy()[owner[new]])], ["key", "id"])
 
     return run
 
@@ -167,12 +183,12 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     spark = lines.sparkSession
     members = lines.select("id", "code").mapInArrow(_keys(similarity), "key long, id long")
-    shared = cut(members.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").select("key", "c"))
+    shared = cut(members.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"), F.count("*").alias("n")).where("c <> z").drop("z"))
     release(spark)
     near = cut(members.join(shared, "key"))
     drop_cut(shared)
-    item = cut(lines.join(near.select("id").distinct(), "id", "left_semi").select("id", F.length("code").alias("size"), "odd", "code"))
-    light = item.drop("code")
+    release(spark)
+    light = lines.select("id", F.length("code").alias("size"), "odd")
 
     most = lambda longest: F.floor((1 - similarity) * longest + 1e-9).cast("int")
     longest, shortest = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
@@ -182,7 +198,8 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
         return d.select(*more, F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in d.columns if c not in ("id", *more)])
 
     def passing(pairs: DataFrame) -> DataFrame:
-        code = item.select("id", "code")
+        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        code = cut(lines.select("id", "code").join(ids, "id", "left_semi"))
         both = pairs.join(side(code, "a"), "a").join(side(code, "b"), "b")
         edits: Column = F.call_function("levenshtein", F.col("code_a"), F.col("code_b"), most(F.greatest(F.length("code_a"), F.length("code_b"))))
         return both.where(edits >= 0).select("a", "b")
@@ -190,27 +207,30 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     star = near.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
     star = cut(star.join(side(light, "a"), "a").join(side(light, "b"), "b").where(fit).select("a", "b"))
     links = cut(passing(star))
+    drop_cut(star)
     groups = cut(connected_components(links))
     comp = light.join(groups.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = cut(near.join(comp, "id"))
-    open_ = cut(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z and n > 2").select("key", "n"))
-    sized = cut(placed.join(open_, "key"))
+    placed = cut(near.where("n > 2").drop("n").join(comp, "id"))
     drop_cut(near)
+    release(spark)
+    open_ = cut(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("key", "n"))
+    sized = cut(placed.join(open_, "key"))
     drop_cut(placed)
+    drop_cut(open_)
     release(spark)
 
     few = sized.where(F.col("n") <= SMALL_KEY).drop("n")
     x, y = side(few.drop("c"), "a", "key"), side(few, "b", "key", "c")
     pairs = cut(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("c")) & (F.col("comp_a") != F.col("comp_b")) & fit).select("a", "b").distinct())
 
-    many = sized.where(F.col("n") > SMALL_KEY).join(item.select("id", "code"), "id").withColumn("n", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = sized.where(F.col("n") > SMALL_KEY).join(lines.select("id", "code"), "id").withColumn("n", F.ceil(F.col("n") / BLOCK).cast("int"))
     many = many.withColumn("p", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     left = many.withColumn("h", F.col("p")).withColumn("k", F.explode(F.sequence("p", F.col("n") - 1)))
     right = many.withColumn("k", F.col("p")).withColumn("h", F.explode(F.sequence(F.lit(0), "p")))
     on = ["key", "h", "k"]
     left, right = (d.select(*[F.col(c).alias(c) for c in (*on, "id", "comp", "odd", "code")]) for d in (left, right))
     more = cut(passing(pairs).unionByName(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_linked(similarity), "a long, b long")))
-    for done in (sized, pairs, item, star):
+    for done in (sized, pairs):
         drop_cut(done)
     if more.isEmpty():
         return groups
