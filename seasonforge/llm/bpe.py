@@ -42,21 +42,28 @@ SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY k) AS ids FROM state JOIN last O
 """
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, pa.Array]]:
+    """The ranks of a vocabulary file and its merge table; of fixed size, so a worker process keeps them."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pairs = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
+                pairs[a << 20 | b] = rank
+    return ranks, {"pair": pa.array(pairs, pa.int64()), "rank": pa.array(pairs.values(), pa.int64())}
+
+
 class Codec:
-    """One DuckDB database in a worker process, with the vocabulary and merge tables."""
+    """One DuckDB database of a task, with the vocabulary and merge tables."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranks, merges = _vocabulary(path)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, str] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
-        pairs = {}
-        for token, rank in self.ranks.items():
-            for i in range(1, len(token)):
-                if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None:
-                    pairs[a << 20 | b] = rank
-        self.table("merges", {"pair": pa.array(pairs, pa.int64()), "rank": pa.array(pairs.values(), pa.int64())})
+        self.table("merges", merges)
         pieces = pa.array([t.decode("latin-1") for t in self.ranks])
         self.table("vocab", {"id": pa.array(self.ranks.values(), pa.int32()), "piece": pieces})
         self.first = [self.ranks[bytes([i])] for i in range(256)]
@@ -139,9 +146,8 @@ class Codec:
         """The bytes of each list of ids: its pieces, joined in order."""
         self.db.register("given", pa.table({"d": pa.array(range(len(ids)), pa.int64()), "ids": ids}))
         got = self.db.execute("""
-            SELECT d, string_agg(piece, '') FROM (
-                SELECT d, piece FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM given) JOIN vocab USING (id)
-                ORDER BY d * 4294967296 + i) GROUP BY d""").fetchall()
+            SELECT d, string_agg(piece, '' ORDER BY i)
+            FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM given) JOIN vocab USING (id) GROUP BY d""").fetchall()
         self.db.unregister("given")
         out = [b""] * len(ids)
         for d, s in got:
@@ -149,9 +155,11 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=1)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    def close(self) -> None:
+        """Gives back the memory of the database and of the words."""
+        self.known.clear()
+        self.db.close()
+        pa.default_memory_pool().release_unused()
 
 
 def _pieces(ids: Iterator, texts: Iterator) -> Iterator[tuple[list, list[str]]]:
@@ -178,13 +186,19 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        codec = Codec(path, pattern)
+        try:
+            yield from coded_batches(codec, batches)
+        finally:  # Spark uses the process again, for other operators too
+            codec.close()
+
+    def coded_batches(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
             for keys, texts in _pieces(b["doc_id"].to_pylist(), (x.as_py() for x in b["text"])):
-                coded = c.encode(texts)
+                coded = codec.encode(texts)
                 ids = pa.array([np.fromstring(s, np.int32, sep=" ") for s in coded], pa.list_(pa.int32()))
-                back = c.decode(ids)
+                back = codec.decode(ids)
                 yield pa.RecordBatch.from_arrays(
                     [*[b[c].slice(at, len(keys)) for c in keep], pa.array(keys, pa.int64()), pa.compute.cast(pa.compute.list_value_length(ids), pa.int64()),
                      pa.array([hashlib.sha256(s.encode()).hexdigest() for s in coded]), pa.array([hashlib.sha256(x).hexdigest() for x in back])],
