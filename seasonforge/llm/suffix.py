@@ -33,6 +33,8 @@ WINDOW, GRAM = 50, 20
 SIDE = (WINDOW - GRAM) // 2
 #: Bytes of text in a batch, about, and sampled suffixes in a range, about.  Bound memory, not results.
 BATCH_BYTES, RANGE_ROWS = 3_000_000, 1_000_000
+#: Most batches; beyond it they grow, and tasks take them in pieces of BATCH_BYTES.  Bounds the driver's list of borders.
+MOST_BATCHES = 65_536
 
 _POW = powers(BYTES_M, 1)
 _INV = powers(U(pow(int(BYTES_M), -1, 2**64)), 1)
@@ -56,18 +58,19 @@ def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _owners(sums: np.ndarray, n: int, window: int, gram: int) -> np.ndarray:
     """For each window start, the start of the prefix that owns it (the rightmost smallest)."""
     h = mix((sums[gram : n + 1] - sums[: n + 1 - gram]) * _INV[: n + 1 - gram])
-    key = (h & ~U(0xFFFF)) | (U(0xFFFF) - (np.arange(len(h), dtype=U) & U(0xFFFF)))
     span = window - gram + 1
-    low, width = key, 1
+    low, at, width = h, np.arange(len(h), dtype=np.int32), 1
+
+    def join(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        left, right = low[:-shift], low[shift:]
+        return np.minimum(left, right), np.where(right <= left, at[shift:], at[:-shift])
+
     while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
+        low, at = join(width)
         width *= 2
     if width < span:
-        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    m = n - window + 1
-    s = np.arange(m, dtype=np.int64)
-    low16 = (U(0xFFFF) - (low[:m] & U(0xFFFF))).astype(np.int64)
-    return s + ((low16 - s) & 0xFFFF)
+        low, at = join(span - width)
+    return at[: n - window + 1].astype(np.int64)
 
 
 class Sampled:
@@ -106,21 +109,27 @@ class Entries:
     """Distinct entries, sorted by suffix, then stretch."""
 
     def __init__(self, after: np.ndarray, block: np.ndarray, before: np.ndarray):
-        rank = (after << U(32)) | (block >> U(32))
-        _, at = np.unique(rank, return_index=True)
-        self.rank, self.block, self.before = rank[at], block[at], before[at]
+        order = np.lexsort((block, after))
+        after, block = after[order], block[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (after[1:] != after[:-1]) | (block[1:] != block[:-1])
+        self.after, self.block, self.before = after[new], block[new], before[order][new]
 
     def __len__(self) -> int:
-        return len(self.rank)
+        return len(self.after)
 
     def merged(self, other: Entries) -> Entries:
-        both = [np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("rank", "block", "before")]
-        return Entries(both[0] >> U(32), both[1], both[2])
+        return Entries(*[np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("after", "block", "before")])
 
     def scan(self, level: Entries) -> np.ndarray:
-        """Which entries are in a level."""
-        at = np.minimum(np.searchsorted(level.rank, self.rank), len(level) - 1)
-        return level.block[at] == self.block
+        """Which entries are in a level: its run of the suffix by binary search, then the stretch in that run."""
+        low, high = np.searchsorted(level.after, self.after, "left"), np.searchsorted(level.after, self.after, "right")
+        end = high
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            less = open_ & (level.block[np.minimum(middle, len(level) - 1)] < self.block)
+            low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        return (low < end) & (level.block[np.minimum(low, len(level) - 1)] == self.block)
 
 
 class LevelFamily:
@@ -144,7 +153,7 @@ class LevelFamily:
         whole = self.levels[0]
         for level in self.levels[1:]:
             whole = whole.merged(level)
-        return _shared(whole.before, whole.block), _shared(whole.rank >> U(32), whole.block)
+        return _shared(whole.before, whole.block), _shared(whole.after, whole.block)
 
 
 def _shared(by: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -317,7 +326,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    batches, ranges = math.ceil(size / BATCH_BYTES) + 1, math.ceil(size / 16 / RANGE_ROWS) + 1
+    batches, ranges = min(math.ceil(size / BATCH_BYTES) + 1, MOST_BATCHES), math.ceil(size / 16 / RANGE_ROWS) + 1
     marks = np.unique(np.array(d.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 20 * batches)).first()[0] or [], np.int64))
 
     @F.pandas_udf("int")
