@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -11,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 # Element names by role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,56 +38,65 @@ WORDS = frozenset(
     "sponsored subscribe subscription toolbar widget widgets".split()
 )
 OUTSIDE_WORDS = frozenset(("header", "topbar", "search"))
-
-#: A subtree is a template of its host when it is on so many of its distinct pages, and on this share of them.
-MIN_PAGES, MIN_SHARE, INNER_SHARE = 5, 0.05, 0.5
+# Whole class names and ids of adverts, menus and reader comments; inside the article only these count.
+INSIDE_NAMES = frozenset("ad ads advert adverts advertisement adsense comment comments comment-list disqus disqus_thread menu nav navbar newsletter sidebar sponsored".split())
+PROSE = frozenset("p li td th tr pre blockquote dd dt".split()) | HEADINGS
+
+#: A subtree is a template of its host when it is on so many of its pages with different articles; the second
+#: number holds inside articles.  The same at every size of a host.
+MIN_PAGES, INNER_PAGES = 5, 20
+#: Articles (else main elements) are the main text if they hold this share of the page's text.
+ARTICLE_SHARE = 0.25
 #: Most template subtrees that are broadcast; beyond it they are joined by host.
 BROADCAST = 500_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+ASKED = frozenset("class id role hidden aria-hidden style itemprop".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """An element: name, attributes, where it starts and ends in the page, children (nodes and texts)."""
+    """An element: name, attributes, its start tag, children (nodes and texts), and what these hold."""
 
-    __slots__ = ("children", "end", "marks", "name", "parent", "start", "text_size")
+    __slots__ = ("children", "hash", "heading", "marks", "name", "parent", "tag", "text_size")
 
-    def __init__(self, name: str, marks: dict, start: int, parent: Node | None):
-        self.name, self.marks, self.start, self.parent = name, marks, start, parent
-        self.end, self.children, self.text_size = 0, [], 0
+    def __init__(self, name: str, marks: dict, tag: str, parent: Node | None):
+        self.name, self.marks, self.tag, self.parent = name, marks, tag, parent
+        self.children, self.text_size, self.hash, self.heading = [], 0, 0, name in HEADINGS
 
 
 def _marks(raw: str) -> dict:
-    return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(raw)} if raw else {}
+    """The asked attributes of a start tag; the first of a name counts."""
+    out = {}
+    for m in ATTRIBUTE.finditer(raw):
+        if (name := m[1].lower()) in ASKED:
+            out.setdefault(name, (m[2] or m[3] or m[4] or "").lower())
+    return out
 
 
-def parse(html: str) -> Node:
-    """The elements of a page, with missing end tags implied."""
-    root = at = Node("#root", {}, 0, None)
-    pos, n = 0, len(html)
-    lower = None
+def parse(html: str) -> list[Node]:
+    """The elements of a page in order of their starts, the root first; missing end tags are implied.
 
-    def close(node: Node, end: int) -> Node:
+    Names of open elements are counted, so the open ones are only searched for a name that is among them.
+    """
+    root = at = Node("#root", {}, "", None)
+    nodes, pos, n, lower = [root], 0, len(html), None
+    opened: Counter = Counter()
+
+    def close(node: Node) -> None:
         nonlocal at
         while at is not node:
-            at.end = end
-            at.parent.text_size += at.text_size
+            opened[at.name] -= 1
             at = at.parent
-        at.end = end
-        at.parent.text_size += at.text_size
+        opened[at.name] -= 1
         at = at.parent
-        return at
 
     while pos < n:
         m = TAG.search(html, pos)
         end = m.start() if m else n
         if end > pos:
-            text = html[pos:end]
-            at.children.append(text)
-            if not text.isspace():
-                at.text_size += len(text)
+            at.children.append(html[pos:end])
         if not m:
             break
         pos = m.end()
@@ -95,35 +107,44 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            node = at
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                close(node, pos)
+            if opened[name]:
+                node = at
+                while node.name != name:
+                    node = node.parent
+                close(node)
             continue
+        stop = BOUNDARY.get(name, ())
         for old in (CLOSES.get(name) or ()):
-            node, stop = at, BOUNDARY.get(name, ())
-            while node is not root and node.name != old and node.name not in stop:
-                node = node.parent
-            if node is not root and node.name == old:
-                close(node, m.start())
-        new = Node(name, _marks(m[3]), m.start(), at)
+            if opened[old]:
+                node = at
+                while node is not root and node.name != old and node.name not in stop:
+                    node = node.parent
+                if node.name == old:
+                    close(node)
+        new = Node(name, _marks(m[3]) if m[3] else {}, m[0], at)
+        nodes.append(new)
         at.children.append(new)
-        if name in VOID or m[3].endswith("/") and name not in BLOCKS:
-            new.end = pos
-        elif name in RAW:
+        if name in RAW:
             if lower is None:
                 lower = html.lower()
-            stop = lower.find(f"</{name}", pos)
-            stop = n if stop < 0 else stop
-            close_ = html.find(">", stop)
-            pos = new.end = n if close_ < 0 else close_ + 1
-        else:
+            stop_ = lower.find(f"</{name}", pos)
+            close_ = html.find(">", stop_) if stop_ >= 0 else -1
+            pos = n if close_ < 0 else close_ + 1
+        elif name not in VOID and not (m[3].endswith("/") and name not in BLOCKS):
             at = new
-    while at is not root:
-        close(at, n)
-    root.end = n
-    return root
+            opened[name] += 1
+    for x in reversed(nodes):  # children before their parents
+        parts = [x.tag]
+        for c in x.children:
+            if isinstance(c, str):
+                parts.append(c)
+                x.text_size += 0 if c.isspace() else len(c)
+            else:
+                parts.append(f"<{c.hash}>")
+                x.text_size += c.text_size
+                x.heading = x.heading or c.heading
+        x.hash = xxhash.xxh3_64_intdigest("".join(parts).encode("utf-8", "surrogatepass")) - 2**63
+    return nodes
 
 
 def _unwanted(node: Node, inside: bool) -> bool:
@@ -131,66 +152,77 @@ def _unwanted(node: Node, inside: bool) -> bool:
     if node.name in RAW:
         return True
     if node.name in DROPPED:
-        return not (inside and node.name == "header" and _has(node, HEADINGS))
+        return not (inside and node.name == "header" and node.heading)
     m = node.marks
     if not m:
         return False
     if m.get("role") in ROLES or "hidden" in m or m.get("aria-hidden") == "true" or "display:none" in m.get("style", "").replace(" ", ""):
         return True
-    words = set(SPLIT.split(m.get("class", ""))) | set(SPLIT.split(m.get("id", "")))
-    return not words.isdisjoint(WORDS) or not inside and not words.isdisjoint(OUTSIDE_WORDS)
-
+    names = m.get("class", "").split() + m.get("id", "").split()
+    if inside:
+        return not INSIDE_NAMES.isdisjoint(names)
+    words = {w for x in names for w in SPLIT.split(x)}
+    return not words.isdisjoint(WORDS) or not words.isdisjoint(OUTSIDE_WORDS)
 
-def _has(node: Node, names: frozenset) -> bool:
-    return any(c.name in names or _has(c, names) for c in node.children if isinstance(c, Node))
 
-
-def _walk(node: Node) -> Iterator[Node]:
-    stack = [node]
+def _walk(of: list[Node]) -> Iterator[Node]:
+    stack = list(of)
     while stack:
         x = stack.pop()
         yield x
         stack.extend(c for c in x.children if isinstance(c, Node))
 
 
-def container(root: Node) -> Node:
-    """The largest article, else the largest main element, else the whole page; unwanted ones don't count."""
-    best: dict[int, Node] = {}
+def main_parts(nodes: list[Node]) -> list[Node]:
+    """All outermost articles if they hold much of the text, else all main elements that do, else the page."""
+    root = nodes[0]
+    found: tuple[list[Node], list[Node]] = ([], [])
     stack = [root]
     while stack:
         x = stack.pop()
-        if x is not root and (x.name != "article" and x.name != "main") and _unwanted(x, False):
+        article = x.name == "article" or x.marks.get("itemprop") == "articlebody"
+        main = x.name == "main" or x.marks.get("role") == "main"
+        if _unwanted(x, article or main):
             continue
-        kind = 0 if x.name == "article" or x.marks.get("itemprop") == "articlebody" else 1 if x.name == "main" or x.marks.get("role") == "main" else None
-        if kind is not None and not (x.marks and _unwanted(x, True)) and (kind not in best or x.text_size > best[kind].text_size):
-            best[kind] = x
-        stack.extend(c for c in x.children if isinstance(c, Node))
-    return best.get(0) or best.get(1) or root
+        if article:
+            found[0].append(x)
+            continue
+        if main:
+            found[1].append(x)
+        stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
+    for kind in found:
+        if kind and sum(x.text_size for x in kind) >= ARTICLE_SHARE * root.text_size:
+            return kind
+    return [root]
 
 
-def subtrees(html: str, root: Node, main: Node) -> Iterator[tuple[Node, int, bool]]:
-    """Candidates for templates: block elements with text, their hash, and whether they are inside the article.
+def subtrees(nodes: list[Node], parts: list[Node]) -> Iterator[tuple[Node, bool]]:
+    """Candidates for templates: block elements with text, and whether they are inside the article.
 
-    Inside the article, paragraphs and headings are never templates: articles share passages.
+    In the article, prose elements are none: articles quote and repeat each other.  Where the whole page is
+    taken, its prose counts as inside.
     """
-    inner = {id(x) for x in _walk(main)} if main is not root else set()
-    for x in _walk(root):
-        if x.name not in BLOCKS or not x.text_size or x is main or x.name in ("html", "body", "head"):
+    page = parts[0] is nodes[0]
+    inner = set() if page else {id(x) for x in _walk(parts)}
+    holding = set()
+    for x in parts:
+        while x is not None:
+            holding.add(id(x))
+            x = x.parent
+    for x in nodes:
+        if x.name not in BLOCKS or not x.text_size or id(x) in holding or x.name in ("html", "body", "head"):
             continue
         inside = id(x) in inner
-        if x.start <= main.start and x.end >= main.end and not inside and main is not root:
-            continue  # it holds the article
-        if inside and (x.name in ("p", "li", "td", "th", "tr", "pre", "blockquote", "dd", "dt") or x.name in HEADINGS):
-            continue
-        yield x, xxhash.xxh3_64_intdigest(html[x.start : x.end].encode("utf-8", "surrogatepass")) - 2**63, inside
+        if not (inside and x.name in PROSE):
+            yield x, inside or page and x.name in PROSE
 
 
 def text_of(html: str, templates: dict[int, bool]) -> str:
     """Blocks of the article, joined by two line feeds.  ``templates``: hash to whether it holds inside articles."""
-    root = parse(html)
-    main = container(root)
-    gone = {id(x) for x, h, inside in subtrees(html, root, main) if h in templates and (templates[h] or not inside)} if templates else set()
-    inside = main is not root
+    nodes = parse(html)
+    parts = main_parts(nodes)
+    gone = {id(x) for x, inside in subtrees(nodes, parts) if x.hash in templates and (templates[x.hash] or not inside)} if templates else set()
+    inside = parts[0] is not nodes[0]
     blocks, run = [], []
 
     def flush() -> None:
@@ -199,30 +231,31 @@ def text_of(html: str, templates: dict[int, bool]) -> str:
             blocks.append(text)
         run.clear()
 
-    stack: list = [iter(main.children)]
-    kinds: list[bool] = [True]
-    while stack:
-        x = next(stack[-1], None)
-        if x is None:
-            stack.pop()
-            if kinds.pop():
-                flush()
-        elif isinstance(x, str):
-            run.append(x)
-        elif id(x) in gone or _unwanted(x, inside):
-            if x.name in BLOCKS:
-                flush()
-        elif x.name in VOID:
-            if x.name == "hr":
-                flush()
-            elif x.name in ("br", "wbr"):
-                run.append(" " if x.name == "br" else "")
-        else:
-            block = x.name in BLOCKS
-            if block:
-                flush()
-            stack.append(iter(x.children))
-            kinds.append(block)
+    for part in parts:
+        stack: list = [iter(part.children)]
+        kinds: list[bool] = [True]
+        while stack:
+            x = next(stack[-1], None)
+            if x is None:
+                stack.pop()
+                if kinds.pop():
+                    flush()
+            elif isinstance(x, str):
+                run.append(x)
+            elif id(x) in gone or _unwanted(x, inside):
+                if x.name in BLOCKS:
+                    flush()
+            elif x.name in VOID:
+                if x.name == "hr":
+                    flush()
+                elif x.name == "br":
+                    run.append(" ")
+            else:
+                block = x.name in BLOCKS
+                if block:
+                    flush()
+                stack.append(iter(x.children))
+                kinds.append(block)
     return "\n\n".join(blocks)
 
 
@@ -230,12 +263,12 @@ def _hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for p in parts:
         outer, inner, digest = [], [], []
         for html in p["html"]:
-            html = html.as_py() or ""
-            root = parse(html)
-            found = {(h, inside) for _, h, inside in subtrees(html, root, container(root))}
-            outer.append([h for h, i in found if not i])
-            inner.append([h for h, i in found if i])
-            digest.append(xxhash.xxh3_64_intdigest(html.encode("utf-8", "surrogatepass")) - 2**63)
+            nodes = parse(html.as_py() or "")
+            parts_ = main_parts(nodes)
+            found = {(x.hash, inside) for x, inside in subtrees(nodes, parts_)}
+            outer.append(sorted(h for h, i in found if not i))
+            inner.append(sorted(h for h, i in found if i))
+            digest.append(xxhash.xxh3_64_intdigest(str([x.hash for x in parts_])) - 2**63)
         kind = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([p["host"], pa.array(digest, pa.int64()), pa.array(outer, kind), pa.array(inner, kind)], ["host", "digest", "outer", "inner"])
 
@@ -245,26 +278,25 @@ def host():
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, inner_share: float = INNER_SHARE) -> DataFrame:
+def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, inner_pages: int = INNER_PAGES) -> DataFrame:
     """Subtrees recurring on many pages of a host: ``host, hash, everywhere`` (false: not inside articles).
 
-    Equal pages of a host count once.  A subtree must be on ``min_pages`` pages and ``min_share`` of the
-    host's pages; inside articles on ``inner_share`` of them.
+    Pages of a host with equal articles count once.
     """
     found = pages.select(host().alias("host"), "html").mapInArrow(_hashes, "host string, digest long, outer array<long>, inner array<long>")
-    found = found.groupBy("host", "digest").agg(F.first("outer").alias("outer"), F.first("inner").alias("inner"))
-    sizes = found.groupBy("host").agg(F.count("*").alias("pages"))
+    found = found.groupBy("host", "digest").agg(F.min(F.struct("outer", "inner")).alias("x")).select("host", "x.*")
     each = found.select("host", F.explode(F.concat(F.transform("outer", lambda h: F.struct(h.alias("hash"), F.lit(0).alias("in"))), F.transform("inner", lambda h: F.struct(h.alias("hash"), F.lit(1).alias("in"))))).alias("x"))
     counts = each.groupBy("host", "x.hash").agg(F.count("*").alias("n"), F.sum("x.in").alias("inner")).where(F.col("n") >= min_pages)
-    counts = counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return counts.select("host", "hash", (F.col("inner") >= inner_share * F.col("pages")).alias("everywhere"))
+    counts = counts.where((F.col("n") > F.col("inner")) | (F.col("inner") >= inner_pages))
+    return counts.select("host", "hash", (F.col("inner") >= inner_pages).alias("everywhere"))
 
 
 def extract_text(pages: DataFrame, **options) -> DataFrame:
     """Main text of every page: ``page_id, url, text, n_chars``, per row.
 
     Site templates are found by ``host_templates`` and deleted; what is left outside the article by element
-    names, roles and class words goes too; the largest article (else main element, else the page) is taken.
+    names, roles and class words goes too; all articles (else main elements, else the page) are taken, and
+    of their insides go forms, menus and the like by name, adverts and reader comments by whole class names.
     Character references are decoded, white space in a block becomes one space, blocks are trimmed and
     joined by two line feeds.
 
@@ -282,7 +314,8 @@ def extract_text(pages: DataFrame, **options) -> DataFrame:
         shared = pages.sparkSession.sparkContext.broadcast(by)
         of = lambda p: (shared.value.get(h, {}) for h in p["host"].to_pylist())
     else:
-        lists = found.groupBy("host").agg(F.collect_list("hash").alias("hashes"), F.collect_list("everywhere").alias("flags"))
+        # a table of its own, so that Spark's skew join splits the pages of a large host
+        lists = cut(found.groupBy("host").agg(F.collect_list("hash").alias("hashes"), F.collect_list("everywhere").alias("flags")))
         keep = keep.join(lists, "host", "left")
         of = lambda p: (dict(zip(h or (), f or (), strict=True)) for h, f in zip(p["hashes"].to_pylist(), p["flags"].to_pylist(), strict=True))
 
