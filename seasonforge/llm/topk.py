@@ -1,7 +1,9 @@
-"""Exact top-k inner products in three phases with a uniform threshold."""
+"""Exact top-k inner products by three phases with a uniform threshold."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 from .common import cut
 from .embedding import usable
 
-#: Runs of dimensions that are scored as separate lists.
+#: Lists of scores: each is dealt to tasks of its own and scores one run of dimensions.
 LISTS = 4
-#: Queries and candidates of a block pair.  Bound memory, not results.
+#: Queries and candidates of a block.  Bound memory, not results.
 QUERIES, ROWS = 256, 4_096
+#: Bits of the largest score; components that could pass it count as the largest that cannot.
+SCORE_BITS = 62
 
 
 def _ints(column: pa.ChunkedArray) -> np.ndarray:
@@ -25,107 +29,118 @@ def _ints(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _partials(q: np.ndarray, x: np.ndarray, lists: int) -> np.ndarray:
-    """Scores by list: lists x queries x candidates.  Doubles hold them exactly up to 2^53, else Python's numbers do."""
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products, queries by candidates.  Doubles hold them exactly up to 2^53, else long numbers do."""
     width = max(q.shape[1], x.shape[1], 1)
     q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
     if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width >= 2**53:
-        q, x = q.astype(object), x.astype(object)
-        q, x = np.vectorize(int, otypes=[object])(q), np.vectorize(int, otypes=[object])(x)
-    cut_ = [width * i // lists for i in range(lists + 1)]
-    return np.stack([q[:, a:b] @ x[:, a:b].T for a, b in zip(cut_[:-1], cut_[1:], strict=True)])
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    return (q @ x.T).astype(np.int64)
+
 
+def _table(q: np.ndarray, v: np.ndarray, score: np.ndarray) -> pa.Table:
+    return pa.table({"query": pa.array(q, pa.int64()), "vec": pa.array(v, pa.int64()), "part": pa.array(score, pa.int64())})
 
-def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each query: highest score, then smallest id."""
-    order = np.lexsort((vec, -score, query))
-    q = query[order]
-    first = np.searchsorted(q, q)
-    return order[np.arange(len(q)) - first < k]
 
+def _clamped(x: Column, most: float) -> Column:
+    return F.greatest(F.lit(-most), F.least(F.lit(most), x))
 
-def _gather(k: int, lists: int):
-    """Phase 1: the k best of each list of this block, with their whole scores; the k best of those by query."""
+
+def _highest(k: int):
+    """Phase 1: the k highest entries of this block of a list, for each query."""
 
     def run(t: pa.Table, c: pa.Table) -> pa.Table:
-        qid, vid = t["id"].to_numpy(), c["id"].to_numpy()
-        if not len(qid) or not len(vid):
-            return _result(qid[:0], vid[:0], np.empty(0))
-        part = _partials(_ints(t["v"]), _ints(c["v"]), lists)
-        m = min(k + 1, len(vid))
-        top = np.argpartition(-part, m - 1, axis=2)[:, :, :m] if part.dtype != object else np.argsort(-part, axis=2)[:, :, :m]
-        i = np.broadcast_to(np.arange(len(qid))[None, :, None], top.shape).ravel()
-        j = top.ravel()
-        pairs = np.unique(i * len(vid) + j)
-        i, j = pairs // len(vid), pairs % len(vid)
-        own = qid[i] == vid[j]
-        i, j = i[~own], j[~own]
-        score = part[:, i, j].sum(axis=0)
-        b = _best(qid[i], vid[j], score, k)
-        return _result(qid[i][b], vid[j][b], score[b])
+        q, v = t["id"].to_numpy(), c["id"].to_numpy()
+        if not len(q) or not len(v):
+            return _table(q[:0], v[:0], v[:0])
+        part = _scores(_ints(t["v"]), _ints(c["v"]))
+        m = min(k, len(v))
+        top = np.argpartition(-part, m - 1, axis=1)[:, :m]
+        return _table(np.repeat(q, m), v[top.ravel()], np.take_along_axis(part, top, axis=1).ravel())
 
     return run
 
 
-def _resolve(k: int, lists: int):
-    """Phases 2 and 3: entries of a list at or over cutoff / lists, and the whole scores of their candidates.
-
-    A candidate under cutoff / lists in every list is under the cutoff as a whole.
-    """
+def _sufficient(lists: int):
+    """Phase 2: all entries of this block of a list that reach cutoff / lists."""
 
     def run(t: pa.Table, c: pa.Table) -> pa.Table:
-        qid, vid = t["id"].to_numpy(), c["id"].to_numpy()
-        if not len(qid) or not len(vid):
-            return _result(qid[:0], vid[:0], np.empty(0))
-        part = _partials(_ints(t["v"]), _ints(c["v"]), lists)
-        cutoff = t["cutoff"].to_numpy(zero_copy_only=False).astype(np.float64)  # NaN where there is none
-        some = (part * lists >= np.where(np.isnan(cutoff), -np.inf, cutoff)[None, :, None]).any(axis=0)
-        i, j = np.nonzero(some & (qid[:, None] != vid[None, :]))
-        score = part[:, i, j].sum(axis=0)
-        b = _best(qid[i], vid[j], score, k)
-        return _result(qid[i][b], vid[j][b], score[b])
+        q, v = t["id"].to_numpy(), c["id"].to_numpy()
+        if not len(q) or not len(v):
+            return _table(q[:0], v[:0], v[:0])
+        part = _scores(_ints(t["v"]), _ints(c["v"]))
+        least = np.array([-(-int(x) // lists) if x is not None else np.iinfo(np.int64).min for x in t["cutoff"].to_pylist()], np.int64)
+        i, j = np.nonzero(part >= least[:, None])
+        return _table(q[i], v[j], part[i, j])
 
     return run
 
 
-def _result(q: np.ndarray, v: np.ndarray, score: np.ndarray) -> pa.Table:
-    return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array([int(s) for s in score], pa.int64())})
-
-
 def top_inner_products(rows: DataFrame, is_query: Column | None = None, k: int = 5, scale: int = 256, lists: int = LISTS) -> DataFrame:
     """The k highest integer inner products of each query: ``query_id, rank, vec_id, score``.
 
     Components become floor(``scale`` * x).  Queries are the rows where ``is_query`` holds (ids divisible by
-    50 unless given), candidates all rows but the query's own.  Phase 1 gathers the best entries of each
-    list (a run of dimensions) in blocks of queries by candidates; the k-th best whole score among them is
-    a safe cutoff.  Phase 2 sends the cutoff to all blocks and collects every list entry of at least
-    cutoff / lists; phase 3 resolves the whole scores of those candidates.  Each block emits k rows a query.
+    50 unless given), candidates all rows but the query's own.  Equal vectors are first reduced to one with
+    its k + 1 smallest ids.  A list is a run of dimensions; its scores are computed by tasks of its own, in
+    blocks of queries by candidates.  Phase 1 gathers the highest entries of each list and resolves their
+    whole scores; the (k + 1)-th best of them is a safe cutoff for the query.  Phase 2 sends it to the lists,
+    which give every entry of at least cutoff / lists: a candidate below that in each list is below the
+    cutoff as a whole.  Candidates whose known entries and that bound for the others stay under the cutoff
+    are dropped.  Phase 3 resolves the whole scores of the rest.
 
     Ties go to the smaller id.  Vectors that are null or hold a null or non-finite component, and rows
     without id, take no part; an empty vector scores 0; vectors of unequal length are filled up with
-    zeros.  Repeated rows of one id are one vector.  An empty table gives no rows.  Other columns are ignored.
+    zeros.  Scaled components beyond sqrt(2^62 / dimensions), of either sign, count as that number, so scores
+    stay long numbers.  Repeated rows of one id are one vector, of different ones the least.  An empty table gives no
+    rows.  Other columns are ignored.
     """
     v = F.col("embedding").cast("array<double>")
-    ints = F.transform("embedding", lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
-    ok = (usable() | (F.size("embedding") == 0)) & F.col("vec_id").isNotNull()
-    data = rows.select("vec_id", v.alias("embedding"), (is_query if is_query is not None else F.col("vec_id") % 50 == 0).alias("asks")).where(ok)
-    data = cut(data.select(F.col("vec_id").alias("id"), ints.alias("v"), "asks").dropDuplicates(["id"]))
-    n, m = data.agg(F.count("*"), F.count_if("asks")).first()
-    qs, cs = max(1, -(-m // QUERIES)), max(1, -(-n // ROWS))
-    queries = data.where("asks").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int").alias("q"))
-    candidates = data.select("id", "v", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(cs)).cast("int").alias("c"))
-    wide = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))))
-    every = F.explode(F.sequence(F.lit(0), F.lit(cs - 1)))
-    kind = "query_id long, vec_id long, score long"
+    whole = F.transform("embedding", lambda x: _clamped(F.floor(_clamped(x * F.lit(float(scale)), 2.0**53)).cast("double"), 2.0**53))
+    ok = (usable() | (F.size("embedding") == 0)) & F.col("id").isNotNull()
+    data = rows.select(F.col("vec_id").alias("id"), v.alias("embedding"), (is_query if is_query is not None else F.col("vec_id") % 50 == 0).alias("asks")).where(ok)
+    data = data.select("id", whole.alias("v"), F.coalesce("asks", F.lit(False)).alias("asks")).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    data = cut(data.withColumn("same", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("long").cast("string")), ","), 256)))
+    ranked = data.select("same", "id").withColumn("place", F.row_number().over(Window.partitionBy("same").orderBy("id"))).where(F.col("place") <= k + 1)
+    ids = cut(ranked.groupBy("same").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    reps = data.groupBy("same").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.max("asks").alias("asks"))
+    reps = cut(reps.withColumn("width", F.size("v")))
+    n, m, width = reps.agg(F.count("*"), F.count_if("asks"), F.max("width")).first()
+    reps = reps.withColumn("v", F.transform("v", lambda x: _clamped(x, float(math.isqrt(2**SCORE_BITS // max(1, width or 1))))))
+    qs, cs, step = max(1, -(-m // QUERIES)), max(1, -(-n // ROWS)), max(1, -(-(width or 1) // lists))
+
+    def dealt(d: DataFrame, *more: str) -> DataFrame:
+        """A row for each list, with the list's dimensions only."""
+        d = d.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
+        return d.withColumn("v", F.slice("v", F.col("list") * step + 1, F.lit(step))).select("list", "id", "v", *more)
+
+    own_block, every = F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int"), lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    wide = dealt(reps).withColumn("c", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(cs)).cast("int")).withColumn("q", every(qs))
+    queries = reps.where("asks").select("id", "v")
+    keys = ["list", "q", "c"]
 
     def blocks(asked: DataFrame, f) -> DataFrame:
-        left, right = asked.withColumn("c", every), wide
-        left, right = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (left, right))
-        return left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(f, kind)
-
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    first = blocks(queries, _gather(k, lists)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    cutoff = cut(first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff")))
-    asked = queries.join(cutoff, "id", "left")
-    last = blocks(asked, _resolve(k, lists)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return last.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        left = dealt(asked, *asked.columns[2:]).withColumn("q", own_block).withColumn("c", every(cs))
+        left, right = (side.select(*[F.col(x).alias(x) for x in side.columns]) for side in (left, wide))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(f, "query long, vec long, part long")
+
+    def resolved(pairs: DataFrame) -> DataFrame:
+        """The k + 1 best whole scores of each query among pairs."""
+        pairs = pairs.join(queries.select(F.col("id").alias("query"), F.col("v").alias("x")), "query").join(reps.select(F.col("id").alias("vec"), F.col("v").alias("y")), "vec")
+        product = F.zip_with("x", "y", lambda a, b: F.coalesce(a.cast("long") * b.cast("long"), F.lit(0).cast("long")))
+        best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec")
+        scored = pairs.select("query", "vec", F.aggregate(product, F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+
+    high = blocks(queries, _highest(k + 1)).select("query", "vec").distinct()
+    cutoff = cut(resolved(high).where(F.col("rank") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("cutoff")))
+    entries = blocks(queries.join(cutoff, "id", "left"), _sufficient(lists)).groupBy("query", "vec").agg(F.sum("part").alias("known"), F.count("*").alias("seen"))
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    bound = exact("known") * lists + (lists - F.col("seen")) * exact("cutoff")
+    left = entries.join(cutoff.withColumnRenamed("id", "query"), "query", "left").where(F.col("cutoff").isNull() | (bound >= exact("cutoff") * lists))
+    best = cut(resolved(left.select("query", "vec")))
+
+    found = best.join(reps.select(F.col("id").alias("vec"), F.col("same").alias("other")), "vec").join(ids.withColumnRenamed("same", "other"), "other").select("query", "score", F.explode("ids").alias("vec_id"))
+    asks = data.where("asks").select(F.col("id").alias("query_id"), "same").join(reps.select("same", F.col("id").alias("query")), "same").select("query_id", "query")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    out = asks.join(found, "query").where("query_id <> vec_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score")
