@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut, release
 
-#: Vectors in a cell, about, and at most so many pivots for a label.  Bounds the pivots that go to every task.
-CELL_ROWS, MAX_PIVOTS = 2_000, 64
+#: Vectors in a cell, about; a large label of n vectors has no more than 2 * sqrt(n) pivots.
+CELL_ROWS = 2_000
 #: Rows of a block; cells with more rows are joined block by block.  Bounds memory, not results.
 BLOCK = 2_048
+#: Vectors of a label whose cells are found in one task.
+PART_ROWS = 16_384
 
 
 def usable(vector: str = "embedding"):
@@ -45,32 +46,28 @@ def _fit(x: np.ndarray, width: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, max(0, width - x.shape[1]))))
 
 
-def _assign(pivots: dict, radius: float):
-    """Home cell of each vector, and the cells that may hold a vector within ``radius`` of it.
+def _assign(radius: float):
+    """Home cell of each vector of a part of a label, and the cells that may hold a vector within ``radius`` of it.
 
     If y is at home in cell c, d(y, c) <= d(y, home of x), so d(x, y) <= radius gives
     d(x, c) <= d(x, home of x) + 2 * radius.
     """
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            if not p.num_rows:
-                continue
-            x = _unit(_matrix(p["embedding"]))
-            label = np.array(p["label"].to_pylist())
-            rows, cells = [], []
-            for k in np.unique(label):
-                at = np.flatnonzero(label == k)
-                c = pivots[k if not isinstance(k, np.generic) else k.item()]
-                width = max(x.shape[1], c.shape[1])
-                d = np.sqrt(np.maximum(0, 2 - 2 * _fit(x[at], width) @ _fit(c, width).T))
-                home = d.argmin(axis=1)
-                i, j = np.nonzero(d <= d[np.arange(len(at)), home][:, None] + 2 * radius + 1e-9)
-                rows.append(at[i])
-                cells.append(np.stack([j, home[i]]))
-            i, (j, h) = np.concatenate(rows), np.concatenate(cells, axis=1)
-            t = p.select(["rep", "n", "label", "embedding"]).take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(j, pa.int32()), pa.array(j == h)], ["rep", "n", "label", "embedding", "cell", "home"])
+    def run(t: pa.Table, pivots: pa.Table) -> pa.Table:
+        pivots = pivots.sort_by("slot")
+        x, c = _unit(_matrix(t["embedding"])), _unit(_matrix(pivots["p"]))
+        width = max(x.shape[1], c.shape[1])
+        i, j, home = [], [], []
+        for at in range(0, len(x), BLOCK):
+            d = np.sqrt(np.maximum(0, 2 - 2 * _fit(x[at : at + BLOCK], width) @ _fit(c, width).T))
+            own = d.argmin(axis=1)
+            row, cell = np.nonzero(d <= d[np.arange(len(d)), own][:, None] + 2 * radius + 1e-9)
+            i.append(at + row)
+            j.append(cell)
+            home.append(cell == own[row])
+        i, j, home = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (i, j, home))
+        out = t.select(["rep", "n", "label", "embedding"]).take(pa.array(i, pa.int64()))
+        return out.append_column("cell", pa.array(j, pa.int32())).append_column("home", pa.array(home, pa.bool_()))
 
     return run
 
@@ -127,34 +124,31 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
 
     Vectors that are null, empty, zero, or hold a null or a non-finite component, and rows without label or
     id, link with nothing.  Vectors of unequal length are compared as if filled up with zeros.  Repeated
-    rows of one id are one vector and share a result.  An empty table gives no rows.  Other columns are
+    rows of one id are one vector and share a result; if they differ, the first by label and digest counts.  An empty table gives no rows.  Other columns are
     ignored.
     """
     spark = rows.sparkSession
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     data = rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     good = data.where(usable() & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    good = good.withColumn("digest", F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x + 0.0).cast("string"))), 256)).dropDuplicates(["vec_id"])
-    good = cut(good)
+    good = good.withColumn("digest", F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x + 0.0).cast("string"))), 256))
+    # of different rows of one id the first by label, then digest
+    good = cut(good.groupBy("vec_id").agg(F.min(F.struct("label", "digest", "embedding")).alias("x")).select("vec_id", "x.*"))
     reps = cut(good.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")))
     counts = reps.groupBy("label").count()
-    wanted = counts.select("label", F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("count") / CELL_ROWS)).cast("int").alias("want"))
+    pivots, parts = F.least(F.ceil(F.col("count") / CELL_ROWS), F.ceil(2 * F.sqrt("count"))), F.ceil(F.col("count") / PART_ROWS)
+    wanted = cut(counts.select("label", pivots.cast("int").alias("want"), parts.cast("int").alias("parts")))
     # a pivot for each slot: the vector with the least hash in it; slots are dealt by another hash
     slot = reps.join(wanted, "label").withColumn("slot", F.pmod(F.xxhash64("digest"), F.col("want")))
-    chosen = slot.groupBy("label", "slot").agg(F.min_by("embedding", F.xxhash64(F.lit(5), "digest")).alias("p")).collect()
-    by: dict = {}
-    for r in sorted(chosen, key=lambda r: (str(r.label), r.slot)):
-        by.setdefault(r.label, []).append(r.p)
-    pivots = {}
-    for k, vs in by.items():
-        m = np.zeros((len(vs), max(map(len, vs))))
-        for i, v in enumerate(vs):
-            m[i, : len(v)] = v
-        pivots[k] = _unit(m)
+    chosen = cut(slot.groupBy("label", "slot", "parts").agg(F.min_by("embedding", F.xxhash64(F.lit(5), "digest")).alias("p")))
+    dealt = slot.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("parts")).cast("int"))
+    spread = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt, spread = dealt.select("label", "part", "rep", "n", "embedding"), spread.select("label", "part", "slot", "p")
     kind = reps.schema["label"].dataType.simpleString()
-    cells = cut(reps.mapInArrow(_assign(pivots, radius), f"rep long, n long, label {kind}, embedding array<double>, cell int, home boolean"))
-    sizes = cells.groupBy("label", "cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("homes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("guests"))
-    cells = cells.join(F.broadcast(sizes), ["label", "cell"])  # a row for each pivot
+    cells = dealt.groupBy("label", "part").cogroup(spread.groupBy("label", "part"))
+    cells = cut(cells.applyInArrow(_assign(radius), f"rep long, n long, label {kind}, embedding array<double>, cell int, home boolean"))
+    sizes = cut(cells.groupBy("label", "cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("homes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("guests")))
+    cells = cells.join(sizes, ["label", "cell"])
     left = cells.where("home").withColumn("h", F.pmod(F.xxhash64("rep"), F.col("homes"))).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("guests") - 1)))
     right = cells.where("homes > 0").withColumn("g", F.pmod(F.xxhash64("rep"), F.col("guests")).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes").cast("long") - 1)))
     keys = ["label", "cell", "h", "g"]
