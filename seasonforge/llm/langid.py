@@ -7,9 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, drop_cut
+
 
 # Language families by ISO code.  Languages that are not listed are families of their own.
 FAMILIES = {
@@ -24,6 +26,8 @@ FAMILY = {lang: name for name, langs in FAMILIES.items() for lang in langs.split
 
 #: At most so many documents of a language are used to fit; those with the smallest hash of their id.
 SAMPLE = 600
+#: Parts of a language whose smallest hashes are found first.
+SHARDS = 64
 #: Hashed features of each order (byte pairs and byte triples of the normalised text).
 BITS = 15
 
@@ -116,19 +120,19 @@ def held_out() -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` documents of each language that are not held out: a bounded sample.
 
-    The sample is drawn by hash of the id: each language keeps a margin of about twice ``sample`` before
-    the top-k, so no language is gathered in one task.
+    They are those with the smallest hashes of their ids, found without the texts: first in each of SHARDS
+    parts of a language, then in the language, so that no language is gathered in one task.  The driver gets
+    ``sample`` texts of each language.
     """
     d = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.xxhash64(F.lit(11), "doc_id").alias("h"))
-    n = {r.lang: r["count"] for r in d.groupBy("lang").count().collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 2.0 * sample / v + 0.002))) for k, v in n.items()], F.lit(1.0)) if n else F.lit(1.0)
-    few = d.where(F.col("h") / F.lit(2.0**64) + 0.5 <= share).select("lang", "h", "doc_id", "text").collect()
-    rows, seen = [], dict.fromkeys(n, 0)
-    for r in sorted(few, key=lambda r: (r.lang, r.h, r.doc_id is None, r.doc_id or 0, r.text)):
-        if seen[r.lang] < sample:
-            seen[r.lang] += 1
-            rows.append(r)
-    return Model([r.lang for r in rows], [r.text.encode() for r in rows])
+    ids = d.select("lang", "h", F.xxhash64("text").alias("t"), F.pmod("h", F.lit(SHARDS)).alias("shard"))
+    for parts in (["lang", "shard"], ["lang"]):
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy("h", "t"))).where(F.col("rank") <= sample)
+    top = cut(ids.select("lang", "h", "t").distinct())
+    few = d.withColumn("t", F.xxhash64("text")).join(top, ["lang", "h", "t"]).dropDuplicates(["lang", "h", "t"]).select("lang", "h", "doc_id", "text").collect()
+    drop_cut(top)
+    few.sort(key=lambda r: (r.lang, r.h, r.doc_id is None, r.doc_id or 0, r.text))
+    return Model([r.lang for r in few], [r.text.encode() for r in few])
 
 
 def identify(docs: DataFrame, model: Model | None = None, sample: int = SAMPLE) -> DataFrame:
