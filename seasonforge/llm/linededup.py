@@ -66,13 +66,14 @@ def _lines(min_words: int):
         h, line = h[first[of] + place], line[first]
         first = np.cumsum(size) - size
         whole = mix(np.add.reduceat(mix(h + place.astype(U) * WORDS_M), first) + size.astype(U)) if len(size) else h
-        odd = np.bitwise_xor.reduceat(U(1) << (h & U(63)), first) if len(size) else h
+        bit, part = U(1) << (h & U(63)), h >> U(6) & U(3)
+        odd = [np.bitwise_xor.reduceat(np.where(part == U(j), bit, U(0)), first) if len(size) else h for j in range(4)]
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
         before = np.searchsorted(ends, starts)  # lines before each document
         doc = np.searchsorted(before, line, "right") - 1
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(docs, np.int64)[doc]), pa.array((line - before[doc]).astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(odd.view(np.int64)), _coded(h, first)],
-            ["doc_id", "line", "id", "odd", "code"],
+            [pa.array(np.array(docs, np.int64)[doc]), pa.array((line - before[doc]).astype(np.int32)), pa.array(whole.view(np.int64)), *[pa.array(o.view(np.int64)) for o in odd], _coded(h, first)],
+            ["doc_id", "line", "id", *ODD, "code"],
         )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +108,10 @@ def _rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string()), pa.array(lines, pa.int64())], [*[c for c in names if c not in ("text", "gone")], "text", "lines"])
 
 
+#: Parities of the counts of a line's words in 256 buckets: an edit changes two of them at most.
+ODD = ("odd0", "odd1", "odd2", "odd3")
 #: Most lines of a key whose pairs are formed as rows, and rows of a block of larger keys.
-SMALL_KEY, BLOCK = 48, 4_096
+SMALL_KEY, BLOCK = 4_096, 4_096
 #: Most words of a key.
 GRAM = 3
 #: Chance of finding no common key for a pair just at the similarity, its edits spread as badly as they can be.
@@ -172,11 +175,11 @@ def _keys(similarity: float):
 def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Groups of fuzzily equal lines: ``node, component`` for distinct normalised lines that have a partner.
 
-    ``lines(id, odd, code)`` has each line once.  Lines are linked when their edit similarity in words is at
+    ``lines(id, odd0 to odd3, code)`` has each line once.  Lines are linked when their edit similarity in words is at
     least ``similarity``.  The lines of a key are first compared with its smallest line; keys whose lines
-    are then connected are settled.  In the rest all pairs are compared that lengths and ``odd`` (parities of
-    word counts, of which an edit changes two at most) allow: as rows for few lines of a key, in pairs of
-    blocks, which emit a spanning forest, for more.
+    are then connected are settled.  In the rest all pairs are compared that lengths and ``ODD`` allow: pairs
+    of a key are filtered by these as they are formed, so hardly any but alike lines come out; keys of very
+    many lines are compared in pairs of blocks, which emit a spanning forest.
 
     Keys are counted in a table of their own before rows meet it, so that a key of very many lines is split
     by Spark's skew join.
@@ -188,11 +191,11 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     near = cut(members.join(shared, "key"))
     drop_cut(shared)
     release(spark)
-    light = lines.select("id", F.length("code").alias("size"), "odd")
+    light = lines.select("id", F.length("code").alias("size"), *ODD)
 
     most = lambda longest: F.floor((1 - similarity) * longest + 1e-9).cast("int")
     longest, shortest = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
-    fit = (shortest >= similarity * longest) & (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * most(longest))
+    fit = (shortest >= similarity * longest) & (sum(F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in ODD) <= 2 * most(longest))
 
     def side(d: DataFrame, name: str, *more: str) -> DataFrame:
         return d.select(*more, F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in d.columns if c not in ("id", *more)])
@@ -223,13 +226,10 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     x, y = side(few.drop("c"), "a", "key"), side(few, "b", "key", "c")
     pairs = cut(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("c")) & (F.col("comp_a") != F.col("comp_b")) & fit).select("a", "b").distinct())
 
-    many = sized.where(F.col("n") > SMALL_KEY).join(lines.select("id", "code"), "id").withColumn("n", F.ceil(F.col("n") / BLOCK).cast("int"))
-    many = many.withColumn("p", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    left = many.withColumn("h", F.col("p")).withColumn("k", F.explode(F.sequence("p", F.col("n") - 1)))
-    right = many.withColumn("k", F.col("p")).withColumn("h", F.explode(F.sequence(F.lit(0), "p")))
-    on = ["key", "h", "k"]
-    left, right = (d.select(*[F.col(c).alias(c) for c in (*on, "id", "comp", "odd", "code")]) for d in (left, right))
-    more = cut(passing(pairs).unionByName(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_linked(similarity), "a long, b long")))
+    more = cut(passing(pairs))
+    many = sized.where(F.col("n") > SMALL_KEY)
+    if not many.isEmpty():
+        more = more.unionByName(_in_blocks(many, lines, similarity))
     for done in (sized, pairs):
         drop_cut(done)
     if more.isEmpty():
@@ -237,6 +237,17 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     return connected_components(groups.toDF("a", "b").unionByName(more))
 
 
+def _in_blocks(many: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Links of keys of very many lines, that connect what is not connected yet; each key is cut into blocks."""
+    many = many.join(lines.select("id", "code"), "id").withColumn("n", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = many.withColumn("p", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    left = many.withColumn("h", F.col("p")).withColumn("k", F.explode(F.sequence("p", F.col("n") - 1)))
+    right = many.withColumn("k", F.col("p")).withColumn("h", F.explode(F.sequence(F.lit(0), "p")))
+    on = ["key", "h", "k"]
+    left, right = (d.select(*[F.col(c).alias(c) for c in (*on, "id", "comp", "odd0", "code")]) for d in (left, right))
+    return cut(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_linked(similarity), "a long, b long"))
+
+
 def _linked(similarity: float):
     """Two blocks of lines: each line that a link adds to a component, with the component's smallest line in the blocks.
 
@@ -251,7 +262,7 @@ def _linked(similarity: float):
         _, head, group = np.unique(known, return_index=True, return_inverse=True)
         comp = head[group]  # the first line of each component that is known
         before = comp.copy()
-        odd, odds = left["odd"].to_numpy(), right["odd"].to_numpy()
+        odd, odds = left["odd0"].to_numpy(), right["odd0"].to_numpy()
         (own, own_size), (words, size) = (_split(t["code"].combine_chunks()) for t in (left, right))
         own_bags, bags = _bags(own), _bags(words)
         for i, s in enumerate(own if len(b) else ()):
@@ -321,13 +332,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    kind = "doc_id long, line int, id long, odd long, code string"
+    kind = f"doc_id long, line int, id long, {', '.join(f'{o} long' for o in ODD)}, code string"
     whole = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_lines(max(1, min_words)), kind))
-    distinct = cut(whole.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("odd", "code")]))
+    distinct = cut(whole.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*ODD, "code")]))
     lines = cut(whole.select("doc_id", "line", "id"))
     drop_cut(whole)
     release(spark)
-    groups = line_groups(distinct.select("id", "odd", "code"), similarity)
+    groups = line_groups(distinct.select("id", *ODD, "code"), similarity)
     firsts = cut(distinct.select("id", "first", "n").join(groups.withColumnRenamed("node", "id"), "id", "left"))
     drop_cut(distinct)
     best = firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("best"))

@@ -16,6 +16,7 @@ def frame(spark, texts):
 def test_all_alike_lines_are_found(spark, small, monkeypatch):
     """Pairs of 4 to 100 words with as many edits anywhere as the similarity allows, and one more."""
     monkeypatch.setattr(linededup, "SMALL_KEY", small)
+    monkeypatch.setattr(linededup, "BLOCK", 3)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     texts = {}
