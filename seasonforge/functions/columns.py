@@ -21,7 +21,7 @@ TEAM_ALIASES = {
     "OAK": "LV", "SD": "LAC", "STL": "LA", "LAR": "LA", "RAM": "LA", "RAI": "LV", "SDG": "LAC", "ARZ": "ARI", "BLT": "BAL", "CLV": "CLE", "HST": "HOU",
     "JAC": "JAX", "WSH": "WAS", "WFT": "WAS", "GNB": "GB", "KAN": "KC", "NWE": "NE", "NOR": "NO", "SFO": "SF", "TAM": "TB", "LVR": "LV",
 }
-NO_TEAM = ("", "NA", "N/A", "NONE", "NULL", "FA")
+NO_TEAM = ("", "NA", "NONE", "NULL", "FA", "UFA", "RFA", "RET")
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēęěğīįıłńňőŕřśşšťţůűźżž"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeegiiilnnorrsssttuuzzz"
 

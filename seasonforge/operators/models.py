@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -125,10 +126,9 @@ def backtest(pairs: DataFrame, features: list[str], target: str, seasons: list[i
         named = {n: c for n, c in baselines(target.removeprefix("outcome_")).items()} | {k: F.col(f"p_{k}") for k in learners}
         each = F.array(*[F.struct(F.lit(n).alias("model"), c.cast("double").alias("predicted")) for n, c in named.items()])
         out.append(d.withColumn("_m", F.explode(each)).select("player_id", "target_season", "_m.model", "_m.predicted", F.col(target).cast("double").alias("actual")))
-    result = out[0]
-    for d in out[1:]:
-        result = result.unionByName(d)
-    return result
+    if not out:  # no season has enough rows before it
+        return pairs.where(F.lit(False)).select("player_id", "target_season", F.lit("").alias("model"), F.lit(0.0).alias("predicted"), F.col(target).cast("double").alias("actual"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def regression_metrics(rows: DataFrame, by: list[str], predicted: str = "predicted", actual: str = "actual") -> DataFrame:

@@ -37,13 +37,35 @@ def unique_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     return n.select(F.lit("unique_" + "_".join(keys)).alias("check"), (F.col("count") == 0).alias("passed"), "count")
 
 
+def not_empty(rows: DataFrame) -> DataFrame:
+    """One finding if there are no rows; a single row is looked for."""
+    some = rows.limit(1).agg(F.count("*").alias("n"))
+    return some.select(F.lit("not_empty").alias("check"), (F.col("n") > 0).alias("passed"), (1 - F.col("n")).alias("count"))
+
+
+def known_values(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Values that are not among the known ones; null is not flagged."""
+    return _findings(rows, {f"known_{column}": F.count_if(~F.col(column).isin(*values))})
+
+
+def contract(rows: DataFrame, rank: str, ids: list[str], descending: str) -> DataFrame:
+    """Output contract: ranks from 1 without holes, unique ids, a value that does not rise with the rank.
+
+    Holes and rises are found by joining each rank with the one before, not by a window over the table.
+    """
+    before = rows.select((F.col(rank) + 1).alias(rank), F.col(descending).alias("_before"))
+    d = rows.join(before, rank, "left")
+    counts = {"dense_ranks": F.count_if((F.col(rank) > 1) & F.col("_before").isNull() | (F.col(rank) < 1)), f"falling_{descending}": F.count_if(F.col(descending) > F.col("_before"))}
+    return report(_findings(d, counts), *[unique_key(rows, [i]) for i in ids])
+
+
 def required_columns(rows: DataFrame, names: list[str]) -> list[str]:
     return [n for n in names if n not in rows.columns]
 
 
 def within_schedule(rows: DataFrame, games: DataFrame) -> DataFrame:
     """More games than the season had."""
-    bad = rows.join(F.broadcast(games.withColumnRenamed("games", "_most")), "season").where(F.col("games") > F.col("_most"))  # a row per season
+    bad = rows.join(games.withColumnRenamed("games", "_most"), "season").where(F.col("games") > F.col("_most"))
     return bad.agg(F.count("*").alias("count")).select(F.lit("games_within_schedule").alias("check"), (F.col("count") == 0).alias("passed"), "count")
 
 

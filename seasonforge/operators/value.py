@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
+from .windows import numbered
 
 # Points for statistics, by preset.  ``*_yards`` are yards for a point.
 RULES = {
@@ -95,13 +96,13 @@ def rank_players(players: DataFrame, risk: float = 0.35) -> DataFrame:
     spread = F.col("high_points") - F.col("low_points")
     d = players.withColumn("risk_value", F.col("vorp") - F.lit(risk) * F.greatest(F.col("points") - F.col("low_points"), F.lit(0.0)) / 2)
     desc = lambda c: F.col(c).desc()
-    draft = [desc("vorp"), desc("points_per_game"), desc("points"), spread.asc(), F.col("player_id").asc()]
+    rest = [desc("points_per_game"), desc("points"), spread.asc(), F.col("player_id").asc()]
+    own = F.col("player_id").asc()
     orders = {
-        "overall_rank": draft, "points_rank": [desc("points"), F.col("player_id").asc()], "per_game_rank": [desc("points_per_game"), F.col("player_id").asc()],
-        "upside_rank": [desc("high_points"), F.col("player_id").asc()], "risk_rank": [desc("risk_value"), F.col("player_id").asc()],
+        "overall_rank": [F.col("vorp"), *rest], "points_rank": [F.col("points"), own], "per_game_rank": [F.col("points_per_game"), own],
+        "upside_rank": [F.col("high_points"), own], "risk_rank": [F.col("risk_value"), own],
     }
-    d = d.withColumns({n: F.row_number().over(Window.orderBy(*o)) for n, o in orders.items()})
-    return d.withColumn("position_rank", F.row_number().over(Window.partitionBy("position").orderBy(*draft)))
+    return numbered(d, orders).withColumn("position_rank", F.row_number().over(Window.partitionBy("position").orderBy("overall_rank")))
 
 
 def gap_tiers(ranked: DataFrame, most: int = 10, smallest: int = 2, sigma: float = 1.0) -> DataFrame:

@@ -98,3 +98,31 @@ def average_rank(rows: DataFrame, by: Column, name: str, partition: list[str]) -
 def top_per_group(rows: DataFrame, partition: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     w = Window.partitionBy(*partition).orderBy(*order)
     return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+
+
+def seasons_with_team(seasons: DataFrame) -> DataFrame:
+    """How many seasons the player has had with the team, this one included."""
+    return seasons.withColumn("seasons_with_team", F.dense_rank().over(Window.partitionBy("player_id", "team").orderBy("season")))
+
+
+def numbered(rows: DataFrame, orders: dict[str, list[Column]], buckets: int = 256, within: tuple[str, ...] = ()) -> DataFrame:
+    """Row numbers of the whole table by several orders, without a task that holds the whole table.
+
+    ``orders``: name of the number -> columns, of which the first is a number, highest first.  Rows are dealt
+    to ``buckets`` by quantiles of that number, numbered in their bucket, and moved by the rows of the
+    buckets before: a table of ``buckets`` rows for each group of ``within``.
+    """
+    keys = {n: f"_k_{n}" for n in orders}
+    d = rows.withColumns({keys[n]: F.coalesce(cols[0].cast("double"), F.lit(float("-inf"))) for n, cols in orders.items()})
+    probabilities = [i / buckets for i in range(1, buckets)]
+    edges = d.approxQuantile(list(keys.values()), probabilities, 0.25 / buckets)  # buckets numbers for each order
+    for (name, cols), at in zip(orders.items(), edges, strict=True):
+        step = F.array(*[F.lit(float(x)) for x in sorted(set(at), reverse=True)]) if at else F.array().cast("array<double>")
+        key = F.col(keys[name])
+        d = d.withColumn("_b", F.size(F.filter(step, lambda e: e > key)))  # noqa: B023
+        before = d.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
+        w = Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        before = before.select(*within, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+        own = F.row_number().over(Window.partitionBy(*within, "_b").orderBy(F.col(keys[name]).desc(), *cols[1:]))
+        d = d.withColumn("_own", own).join(before, [*within, "_b"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_own", "_before", "_b")
+    return d.drop(*keys.values())
