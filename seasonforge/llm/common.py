@@ -108,14 +108,19 @@ def link_groups(members: DataFrame, items: Callable[[DataFrame], DataFrame], tes
     the link test on two items, ``match`` the same test on two Arrow arrays of items, giving the places of
     the pairs that pass.
 
-    A group (ids connected by keys) of n is not expanded into its n * n pairs.  The ids of a key are tested
-    against the key's smallest id, then all of a group against its best-linked id.  Whatever is then not in
-    the group's largest component is compared with the whole group: as pairs of rows sharing a key in small
-    groups, in blocks that emit one link for each component in larger ones.
+    Aggregates of keys and groups are tables of their own before rows meet them, so that Spark's skew join
+    splits the rows of a large one.  A group (ids connected by keys) of n is not expanded into its n * n
+    pairs.  The ids of a key are tested against the key's smallest id, then all of a group against its
+    best-linked id.  Whatever is then not in the group's largest component is compared with the whole
+    group: as pairs of rows sharing a key in small groups, in blocks that emit one link for each component
+    in larger ones.
     """
-    groups = members.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").drop("z")
+    spark = members.sparkSession
+    groups = cut(members.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").drop("z"))
+    release(spark)
     star = cut(members.join(groups, "key"))
-    release(members.sparkSession)
+    drop_cut(groups)
+    release(spark)
     pairs = cut(star.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct())
     item = cut(items(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
 
@@ -126,7 +131,7 @@ def link_groups(members: DataFrame, items: Callable[[DataFrame], DataFrame], tes
     links = passing(pairs)
     group = cut(connected_components(pairs).toDF("id", "g"))
     of = cut(_placed(group, links))
-    hubs = of.groupBy("g").agg(F.max(F.struct("deg", (-F.col("id")).alias("neg"), "comp")).alias("h"), F.count("*").alias("size"))
+    hubs = cut(of.groupBy("g").agg(F.max(F.struct("deg", (-F.col("id")).alias("neg"), "comp")).alias("h"), F.count("*").alias("size")))
     more = of.join(hubs.where("size > 2"), "g").where("comp <> h.comp").select(F.least("id", -F.col("h.neg")).alias("a"), F.greatest("id", -F.col("h.neg")).alias("b"))
     more = passing(more.join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
@@ -134,6 +139,7 @@ def link_groups(members: DataFrame, items: Callable[[DataFrame], DataFrame], tes
         of = cut(_placed(group, links))
     comps = of.groupBy("g", "comp").agg(F.count("*").alias("n"))
     main = comps.groupBy("g").agg(F.max_by("comp", F.struct("n", (-F.col("comp")).alias("x"))).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others"))
+    main = cut(main)
     rest = cut(of.join(main.where("others > 0 and size > 2"), "g"))
 
     small = rest.where(F.col("size") <= SMALL_GROUP).select("id", "comp").join(star.select("key", "id"), "id")
@@ -157,7 +163,10 @@ def link_groups(members: DataFrame, items: Callable[[DataFrame], DataFrame], tes
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     links = links.unionByName(cut(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")))
-    return connected_components(links)
+    out = connected_components(links)
+    for done in (star, pairs, item, group, hubs, main, rest):
+        drop_cut(done)
+    return out
 
 
 def _placed(group: DataFrame, links: DataFrame) -> DataFrame:
