@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -114,15 +115,17 @@ def numbered(rows: DataFrame, orders: dict[str, list[Column]], buckets: int = 25
     """
     keys = {n: f"_k_{n}" for n in orders}
     d = rows.withColumns({keys[n]: F.coalesce(cols[0].cast("double"), F.lit(float("-inf"))) for n, cols in orders.items()})
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)  # read once for the edges and once for each order; lost blocks are computed again
     probabilities = [i / buckets for i in range(1, buckets)]
     edges = d.approxQuantile(list(keys.values()), probabilities, 0.25 / buckets)  # buckets numbers for each order
-    for (name, cols), at in zip(orders.items(), edges, strict=True):
-        step = F.array(*[F.lit(float(x)) for x in sorted(set(at), reverse=True)]) if at else F.array().cast("array<double>")
-        key = F.col(keys[name])
-        d = d.withColumn("_b", F.size(F.filter(step, lambda e: e > key)))  # noqa: B023
-        before = d.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
-        w = Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        before = before.select(*within, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-        own = F.row_number().over(Window.partitionBy(*within, "_b").orderBy(F.col(keys[name]).desc(), *cols[1:]))
-        d = d.withColumn("_own", own).join(before, [*within, "_b"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_own", "_before", "_b")
-    return d.drop(*keys.values())
+    for name, at in zip(orders, edges, strict=True):
+        step, key = F.array(*[F.lit(float(x)) for x in sorted(set(at), reverse=True)]), F.col(keys[name])
+        d = d.withColumn(f"_b_{name}", F.size(F.filter(step, lambda e: e > key)) if at else F.lit(0))  # noqa: B023
+    out = d
+    for name, cols in orders.items():
+        before = d.groupBy(*within, f"_b_{name}").agg(F.count("*").alias("_n"))  # from the rows as given, so plans don't nest
+        w = Window.partitionBy(*within).orderBy(f"_b_{name}").rowsBetween(Window.unboundedPreceding, -1)
+        before = before.select(*within, f"_b_{name}", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+        own = F.row_number().over(Window.partitionBy(*within, f"_b_{name}").orderBy(F.col(keys[name]).desc(), *cols[1:]))
+        out = out.withColumn("_own", own).join(before, [*within, f"_b_{name}"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_own", "_before")
+    return out.drop(*keys.values(), *[f"_b_{n}" for n in orders])
