@@ -176,8 +176,8 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Groups of fuzzily equal lines: ``node, component`` for distinct normalised lines that have a partner.
 
     ``lines(id, odd0 to odd3, code)`` has each line once.  Lines are linked when their edit similarity in words is at
-    least ``similarity``.  The lines of a key are first compared with its smallest line; keys whose lines
-    are then connected are settled.  In the rest all pairs are compared that lengths and ``ODD`` allow: pairs
+    least ``similarity``.  The lines of a key are first compared with its smallest line, then with its
+    line of most links; keys whose lines are then connected are settled.  In the rest all pairs are compared that lengths and ``ODD`` allow: pairs
     of a key are filtered by these as they are formed, so hardly any but alike lines come out; keys of very
     many lines are compared in pairs of blocks, which emit a spanning forest.
 
@@ -207,13 +207,33 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
         edits: Column = F.call_function("levenshtein", F.col("code_a"), F.col("code_b"), most(F.greatest(F.length("code_a"), F.length("code_b"))))
         return both.where(edits >= 0).select("a", "b")
 
-    star = near.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    star = cut(star.join(side(light, "a"), "a").join(side(light, "b"), "b").where(fit).select("a", "b"))
+    def fitting(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(fit).select("a", "b"))
+
+    def placed_in(groups: DataFrame, *more: DataFrame) -> DataFrame:
+        """Rows of keys of more than two lines, with the component of each line."""
+        d = light.join(groups.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        for m in more:
+            d = d.join(m, "id", "left")
+        return cut(near.where("n > 2").drop("n").join(d, "id"))
+
+    star = fitting(near.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct())
     links = cut(passing(star))
     drop_cut(star)
     groups = cut(connected_components(links))
-    comp = light.join(groups.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = cut(near.where("n > 2").drop("n").join(comp, "id"))
+
+    # once more with the line of most links of each key, which in a crowd of near copies is close to most
+    degree = cut(links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg")))
+    placed = placed_in(groups, degree)
+    best = F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), (-F.col("id")).alias("neg"), "comp")).alias("h")
+    hubs = cut(placed.groupBy("key").agg(best, F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z and h.deg > 0").select("key", (-F.col("h.neg")).alias("a"), F.col("h.comp").alias("_comp")))
+    asked = placed.join(hubs, "key").where("comp <> _comp and a <> c").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    more = cut(passing(fitting(asked)))
+    drop_cut(hubs)
+    if not more.isEmpty():
+        drop_cut(placed)
+        groups = cut(connected_components(groups.toDF("a", "b").unionByName(more)))
+        placed = placed_in(groups)
     drop_cut(near)
     release(spark)
     open_ = cut(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("key", "n"))
@@ -222,7 +242,7 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     drop_cut(open_)
     release(spark)
 
-    few = sized.where(F.col("n") <= SMALL_KEY).drop("n")
+    few = sized.where(F.col("n") <= SMALL_KEY).select("key", "c", "id", "comp", "size", *ODD)
     x, y = side(few.drop("c"), "a", "key"), side(few, "b", "key", "c")
     pairs = cut(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("c")) & (F.col("comp_a") != F.col("comp_b")) & fit).select("a", "b").distinct())
 
@@ -341,11 +361,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     groups = line_groups(distinct.select("id", *ODD, "code"), similarity)
     firsts = cut(distinct.select("id", "first", "n").join(groups.withColumnRenamed("node", "id"), "id", "left"))
     drop_cut(distinct)
-    best = firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("best"))
+    best = cut(firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("best")))
     keep = cut(firsts.join(best, "component", "left").where("n > 1 or best is not null").select("id", F.coalesce("best", "first").alias("keep")))
     gone = lines.join(keep, "id").where("keep <> struct(doc_id, line)")
     gone = cut(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone")))
-    for done in (lines, keep, firsts):
+    for done in (lines, keep, firsts, best):
         drop_cut(done)
     release(spark)
     cols = docs.columns
