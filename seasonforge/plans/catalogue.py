@@ -593,7 +593,7 @@ def g09_auction(s, d):
 def room_events(s, d):
     e = table(s, d, "events")
     action = F.when(F.col("event_id") % 97 == 0, "pause").when(F.col("event_id") % 89 == 0, "undo").otherwise(C.lookup("event_type", {"view": "start", "click": "pick", "purchase": "pick", "signup": "resume", "error": "bid"}))
-    return e.select((F.col("user_id") % 40).alias("room"), "event_id", action.alias("action"), (F.col("event_id") % 211).alias("player"), (F.unix_timestamp(F.col("ts").cast("timestamp")) * 1.0).alias("at"), F.lit(60).alias("total"), F.lit(90.0).alias("limit"))
+    return e.select(F.col("user_id").alias("room"), "event_id", action.alias("action"), (F.col("event_id") % 211).alias("player"), (F.unix_timestamp(F.col("ts").cast("timestamp")) * 1.0).alias("at"), F.lit(60).alias("total"), F.lit(90.0).alias("limit"))
 
 
 @query()

@@ -78,8 +78,11 @@ def rooms_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("room").applyInPandas(lambda p: replay(p, dict(START))[0], OUT)
 
 
-def rooms_stream(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream: state by room, dropped after an hour without actions."""
+def rooms_stream(events: DataFrame, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """The same over a stream: state by room, dropped after an hour without actions.
+
+    A timeout keeps a stream running for good; without one (None) a stream of what is available ends.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -89,7 +92,9 @@ def rooms_stream(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
         rows = pd.concat(list(parts))
         out, s = replay(rows, s)
         state.update((s["status"], ",".join(map(str, s["taken"])), float(s["deadline"])))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield out
 
-    return events.groupBy("room").applyInPandasWithState(run, OUT, "status string, taken string, deadline double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("room").applyInPandasWithState(run, OUT, "status string, taken string, deadline double", "append", kind)
