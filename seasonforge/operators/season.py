@@ -206,7 +206,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, names: list[str], k: int = 3
     std = lambda d: d.crossJoin(F.broadcast(m)).select("player_id", "season", "position", z.alias("z"))
     a = std(queries).withColumnRenamed("z", "x")
     b = std(rows).select("position", F.col("player_id").alias("other_id"), F.col("season").alias("other_season"), F.col("z").alias("y"))
-    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    gap = F.round(F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)), 9)  # so that ties are ties
     d = a.join(b, "position").where("player_id <> other_id").select("player_id", "season", "other_id", "other_season", gap.alias("distance"))
     w = Window.partitionBy("player_id", "season").orderBy("distance", "other_id", "other_season")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -393,7 +393,7 @@ def g06_fit_by_count(s, d):
 
 @query(f"""WITH {SEASONS}, m AS (SELECT avg(carries) AS mc, stddev_pop(carries) AS sc, avg(receptions) AS mr, stddev_pop(receptions) AS sr FROM seasons),
 z AS (SELECT player_id, season, position, (carries - mc) / sc AS c, (receptions - mr) / sr AS r FROM seasons, m)
-SELECT a.player_id, a.season, b.player_id AS other_id, round(sqrt((a.c - b.c) ** 2 + (a.r - b.r) ** 2), 6) AS distance, (row_number() OVER (PARTITION BY a.player_id, a.season ORDER BY sqrt((a.c - b.c) ** 2 + (a.r - b.r) ** 2), b.player_id, b.season))::INT AS rank
+SELECT a.player_id, a.season, b.player_id AS other_id, round(sqrt((a.c - b.c) ** 2 + (a.r - b.r) ** 2), 6) AS distance, (row_number() OVER (PARTITION BY a.player_id, a.season ORDER BY round(sqrt((a.c - b.c) ** 2 + (a.r - b.r) ** 2), 9), b.player_id, b.season))::INT AS rank
 FROM z a JOIN z b ON a.position = b.position AND a.player_id <> b.player_id WHERE a.player_id % 50 = 0 QUALIFY rank <= 3""")
 def j21_neighbours(s, d):
     r = base.seasons(s, d)
