@@ -74,3 +74,22 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, empty, very long and repeated texts pass through all stages in turn."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [r for r in docs.where("length(text) > 800 and lang = 'en'").limit(40).collect()]
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in some]
+    long = (9001, "\n".join(f"{i} {base[0][1][:60]} {i * 7919}" for i in range(3000)), None, None, None)
+    odd = [(9002, None, None, None, None), (9003, "", "en", "web", 0), (9004, " \n\t", None, "web", 3), base[3], base[3], (9005, base[5][1], None, None, None), (None, base[7][1] + " with no id", "en", None, 1)]
+    order = ["doc_id", "text", "lang", "source", "n_chars"]
+    d = spark.createDataFrame(base + [long] + odd, ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in order)).select(*docs.columns)
+    for _, stage in P.STAGES[:3]:
+        d = P.cut(stage(spark, d, SF))
+        assert d.columns == docs.columns
+    left = Counter(r.doc_id for r in d.collect())
+    assert not {9002, 9003, 9004, 9005} & set(left) and all(n == 1 for k, n in left.items() if k is not None) and 9001 in left
+    for _, stage in P.STAGES[3:]:
+        d = P.cut(stage(spark, d, SF))
+    assert {r.doc_id for r in d.collect()} <= set(left)
