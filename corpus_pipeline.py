@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonforge.llm import bpe, langid, linededup, minhash, mixing
-from seasonforge.llm.common import cut
+from seasonforge.llm.common import cut, drop_cut
 
 #: Documents under this certainty are rejected: neither the family nor the language is clear.
 MIN_SCORE = 0.4
@@ -65,7 +65,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES):
-            docs = cut(docs)
+            out = cut(out)
+            drop_cut(docs)  # the stage before, once it is read
+        docs = out
     return docs
