@@ -38,8 +38,8 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q @ x.T).astype(np.int64)
 
 
-def _table(q: np.ndarray, v: np.ndarray, score: np.ndarray) -> pa.Table:
-    return pa.table({"query": pa.array(q, pa.int64()), "vec": pa.array(v, pa.int64()), "part": pa.array(score, pa.int64())})
+def _table(q: np.ndarray, v: np.ndarray, score: np.ndarray, part: int = 0) -> pa.Table:
+    return pa.table({"list": pa.array(np.full(len(q), part), pa.int32()), "query": pa.array(q, pa.int64()), "vec": pa.array(v, pa.int64()), "score": pa.array(score, pa.int64())})
 
 
 def _clamped(x: Column, most: float) -> Column:
@@ -56,22 +56,35 @@ def _highest(k: int):
         part = _scores(_ints(t["v"]), _ints(c["v"]))
         m = min(k, len(v))
         top = np.argpartition(-part, m - 1, axis=1)[:, :m]
-        return _table(np.repeat(q, m), v[top.ravel()], np.take_along_axis(part, top, axis=1).ravel())
+        return _table(np.repeat(q, m), v[top.ravel()], np.take_along_axis(part, top, axis=1).ravel(), t["list"][0].as_py())
 
     return run
 
 
-def _sufficient(lists: int):
-    """Phase 2: all entries of this block of a list that reach cutoff / lists."""
+def _sufficient(k: int, lists: int, step: int):
+    """Phases 2 and 3: the candidates of this block with an entry of cutoff / lists in some list, resolved to whole scores.
+
+    Of each query those that reach the cutoff, the k best of them at most.
+    """
 
     def run(t: pa.Table, c: pa.Table) -> pa.Table:
         q, v = t["id"].to_numpy(), c["id"].to_numpy()
         if not len(q) or not len(v):
             return _table(q[:0], v[:0], v[:0])
-        part = _scores(_ints(t["v"]), _ints(c["v"]))
-        least = np.array([-(-int(x) // lists) if x is not None else np.iinfo(np.int64).min for x in t["cutoff"].to_pylist()], np.int64)
-        i, j = np.nonzero(part >= least[:, None])
-        return _table(q[i], v[j], part[i, j])
+        x, y = _ints(t["v"]), _ints(c["v"])
+        given, lowest = t["cutoff"].to_pylist(), np.iinfo(np.int64).min  # no cutoff: fewer candidates than asked for
+        cutoff = np.array([lowest if n is None else n for n in given], np.int64)
+        least = np.array([lowest if n is None else -(-n // lists) for n in given], np.int64)
+        some, score = np.zeros((len(q), len(v)), bool), np.zeros((len(q), len(v)), np.int64)
+        for i in range(lists):
+            part = _scores(x[:, i * step : (i + 1) * step], y[:, i * step : (i + 1) * step])
+            some |= part >= least[:, None]
+            score += part
+        i, j = np.nonzero(some & (score >= cutoff[:, None]))
+        order = np.lexsort((v[j], -score[i, j], i))
+        i, j = i[order], j[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return _table(q[i[best]], v[j[best]], score[i[best], j[best]])
 
     return run
 
@@ -83,10 +96,10 @@ def top_inner_products(rows: DataFrame, is_query: Column | None = None, k: int =
     50 unless given), candidates all rows but the query's own.  Equal vectors are first reduced to one with
     its k + 1 smallest ids.  A list is a run of dimensions; its scores are computed by tasks of its own, in
     blocks of queries by candidates.  Phase 1 gathers the highest entries of each list and resolves their
-    whole scores; the (k + 1)-th best of them is a safe cutoff for the query.  Phase 2 sends it to the lists,
-    which give every entry of at least cutoff / lists: a candidate below that in each list is below the
-    cutoff as a whole.  Candidates whose known entries and that bound for the others stay under the cutoff
-    are dropped.  Phase 3 resolves the whole scores of the rest.
+    whole scores; the (k + 1)-th best of them is a safe cutoff for the query.  Phase 2 sends it to all
+    blocks, which collect every entry of at least cutoff / lists: a candidate below that in each list is
+    below the cutoff as a whole.  Phase 3 resolves the whole scores of those candidates where they are; what
+    leaves a block are the few that reach the cutoff.
 
     Ties go to the smaller id.  Vectors that are null or hold a null or non-finite component, and rows
     without id, take no part; an empty vector scores 0; vectors of unequal length are filled up with
@@ -114,30 +127,25 @@ def top_inner_products(rows: DataFrame, is_query: Column | None = None, k: int =
         return d.withColumn("v", F.slice("v", F.col("list") * step + 1, F.lit(step))).select("list", "id", "v", *more)
 
     own_block, every = F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int"), lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    wide = dealt(reps).withColumn("c", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(cs)).cast("int")).withColumn("q", every(qs))
+    block = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(cs)).cast("int")
     queries = reps.where("asks").select("id", "v")
-    keys = ["list", "q", "c"]
-
-    def blocks(asked: DataFrame, f) -> DataFrame:
-        left = dealt(asked, *asked.columns[2:]).withColumn("q", own_block).withColumn("c", every(cs))
-        left, right = (side.select(*[F.col(x).alias(x) for x in side.columns]) for side in (left, wide))
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(f, "query long, vec long, part long")
-
-    def resolved(pairs: DataFrame) -> DataFrame:
-        """The k + 1 best whole scores of each query among pairs."""
-        pairs = pairs.join(queries.select(F.col("id").alias("query"), F.col("v").alias("x")), "query").join(reps.select(F.col("id").alias("vec"), F.col("v").alias("y")), "vec")
-        product = F.zip_with("x", "y", lambda a, b: F.coalesce(a.cast("long") * b.cast("long"), F.lit(0).cast("long")))
-        best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec")
-        scored = pairs.select("query", "vec", F.aggregate(product, F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
-        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
-
-    high = blocks(queries, _highest(k + 1)).select("query", "vec").distinct()
-    cutoff = cut(resolved(high).where(F.col("rank") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("cutoff")))
-    entries = blocks(queries.join(cutoff, "id", "left"), _sufficient(lists)).groupBy("query", "vec").agg(F.sum("part").alias("known"), F.count("*").alias("seen"))
-    exact = lambda c: F.col(c).cast("decimal(38,0)")
-    bound = exact("known") * lists + (lists - F.col("seen")) * exact("cutoff")
-    left = entries.join(cutoff.withColumnRenamed("id", "query"), "query", "left").where(F.col("cutoff").isNull() | (bound >= exact("cutoff") * lists))
-    best = cut(resolved(left.select("query", "vec")))
+    kind = "list int, query long, vec long, score long"
+
+    def blocks(asked: DataFrame, given: DataFrame, keys: list[str], f) -> DataFrame:
+        left, right = asked.withColumn("q", own_block).withColumn("c", every(cs)), given.withColumn("c", block).withColumn("q", every(qs))
+        left, right = (side.select(*[F.col(x).alias(x) for x in side.columns]) for side in (left, right))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(f, kind)
+
+    def highest(d: DataFrame, *by: str) -> DataFrame:
+        return d.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "vec"))).where(F.col("rank") <= k + 1)
+
+    high = highest(blocks(dealt(queries), dealt(reps), ["list", "q", "c"], _highest(k + 1)), "query", "list").select("query", "vec").distinct()
+    pairs = high.join(queries.select(F.col("id").alias("query"), F.col("v").alias("x")), "query").join(reps.select(F.col("id").alias("vec"), F.col("v").alias("y")), "vec")
+    product = F.zip_with("x", "y", lambda a, b: F.coalesce(a.cast("long") * b.cast("long"), F.lit(0).cast("long")))
+    whole_scores = pairs.select("query", "vec", F.aggregate(product, F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
+    cutoff = cut(highest(whole_scores, "query").where(F.col("rank") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("cutoff")))
+    last = blocks(queries.join(cutoff, "id", "left"), reps.select("id", "v"), ["q", "c"], _sufficient(k + 1, lists, step))
+    best = cut(highest(last, "query"))
 
     found = best.join(reps.select(F.col("id").alias("vec"), F.col("same").alias("other")), "vec").join(ids.withColumnRenamed("same", "other"), "other").select("query", "score", F.explode("ids").alias("vec_id"))
     asks = data.where("asks").select(F.col("id").alias("query_id"), "same").join(reps.select("same", F.col("id").alias("query")), "same").select("query_id", "query")
