@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding, html, langid, linededup, minhash, mixing, secrets, suffix, topk
+from . import bpe, embedding, filteraudit, html, langid, linededup, minhash, mixing, resample, secrets, suffix, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_html, op3_minhash, op4_language, op5_suffix, op6_lines, op7_secrets, op8_mix, op9_embeddings, op10_topk)}
+    return {f.__name__: f for f in (op1_bpe, op2_html, op3_minhash, op4_language, op5_suffix, op6_lines, op7_secrets, op8_mix, op9_embeddings, op10_topk, op11_resample, op12_audit, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_audit": filteraudit.AUDIT_SQL}
