@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -19,10 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut
-
-#: About so many labelled documents of each class find the lexicons and anchor the label model, and about so
-#: many documents train the classifier: those whose hash is under a bound that follows from the counts.
-SAMPLE, FIT = 10_000, 20_000
+from .textnp import batches as byte_batches
+from .textnp import mix, shingle_sets, utf8
+
+#: About so many labelled documents of each class find the lexicons and anchor the label model (of near copies
+#: among them one), and about so many documents train the classifier: those whose hash is under a bound that
+#: follows from the counts.
+SAMPLE, FIT = 8_000, 20_000
+#: Near copies agree on all hashes of a band: minima over the three-word shingles of a text.
+BANDS, WIDTH = 8, 3
 #: At most so many cues, each in three toxic documents at least and this much likelier there than in others.
 CUES, LEAST_LIFT = 2_000, 4.0
 #: Lexicons of each kind of cue, and the largest group of dependent voters that is modelled jointly.
@@ -48,11 +54,13 @@ SEEDS = {
 KINDS = ("=", "^", "$")
 PATTERNS = ("shouting", "exclamations", "masked", "stretched")
 COUNTS = (2, 4, 8)
-VOTERS = [*[f"lexicon {k}{i}" for k in KINDS for i in range(FOLDS)], *[f"seeds {k}" for k in SEEDS], *PATTERNS, *[f"{n} cue words" for n in COUNTS]]
+#: One word with a cue in so many.
+RATES = (400, 100, 25)
+VOTERS = [*[f"lexicon {k}{i}" for k in KINDS for i in range(FOLDS)], *[f"seeds {k}" for k in SEEDS], *PATTERNS, *[f"{n} cue words" for n in COUNTS], *[f"a cue in {n} words" for n in RATES]]
 
 
-def tokens(text: str) -> set[str]:
-    return set(TOKEN.findall(text.lower()))
+def tokens(text: str) -> Counter[str]:
+    return Counter(TOKEN.findall(text.lower()))
 
 
 def folded(token: str) -> str:
@@ -88,7 +96,7 @@ class Lexicons:
             for w in words.split():
                 self.seed[w] = self.seed.get(w, 0) | 1 << first + j
         self.pattern = {p: 1 << first + len(SEEDS) + j for j, p in enumerate(PATTERNS)}
-        self.several = [1 << first + len(SEEDS) + len(PATTERNS) + j for j in range(len(COUNTS))]
+        self.several = [1 << first + len(SEEDS) + len(PATTERNS) + j for j in range(len(COUNTS) + len(RATES))]
 
     def _look(self, token: str) -> tuple[tuple[int, ...], int]:
         word = folded(token)
@@ -104,19 +112,23 @@ class Lexicons:
 
     def show(self, text: str) -> tuple[list[int], int]:
         """Numbers of the cues in a whole text, in order, and its votes as bits."""
-        ids, votes, words = set(), 0, 0
+        ids, votes, hits = set(), 0, 0
         if len(self.known) > REMEMBER:
             self.known.clear()
-        for t in tokens(text):
+        counted = tokens(text)
+        for t, n in counted.items():
             got = self.known.get(t)
             if got is None:
                 got = self.known[t] = self._look(t)
             if got[0] or got[1]:
                 ids.update(got[0])
                 votes |= got[1]
-                words += bool(got[0])
-        for bit, n in zip(self.several, COUNTS, strict=True):
-            votes |= bit * (words >= n)
+                hits += n * bool(got[0])
+        words = counted.total() if hits else 0
+        for bit, n in zip(self.several, COUNTS, strict=False):
+            votes |= bit * (hits >= n)
+        for bit, n in zip(self.several[len(COUNTS) :], RATES, strict=True):
+            votes |= bit * (0 < words <= n * hits)
         raw = text.encode()
         if 10 * (len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) > 3 * len(raw) > 60:
             votes |= self.pattern["shouting"]
@@ -147,6 +159,41 @@ def sampled_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return known.where(keep)
 
 
+def distinct_families(docs: DataFrame, few: DataFrame) -> DataFrame:
+    """``doc_id, toxic`` of ``few``, one document of each class of a family of near copies.
+
+    A text that was copied a thousand times would tie all its words to its label.  The driver gets BANDS
+    numbers of each sampled document, about 2 * SAMPLE at most.
+    """
+    seeds = np.random.default_rng(29).integers(1, 1 << 63, BANDS * WIDTH).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bands = []
+            for _, raw, starts in byte_batches(list(range(b.num_rows)), utf8(b["text"])):
+                for s in shingle_sets(raw, starts, 3):
+                    low = np.array([mix(s ^ k).min() for k in seeds] if len(s) else seeds * 0, np.uint64).reshape(BANDS, WIDTH)
+                    bands.append(mix(low[:, 0] + mix(low[:, 1] + mix(low[:, 2]))).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "toxic", "bands"])
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")  # few: about 2 * SAMPLE rows
+    rows = sorted(texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, bands array<bigint>").collect())
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    first: dict[tuple[int, int], int] = {}
+    for i, r in enumerate(rows):
+        for band in enumerate(r.bands):
+            a, z = sorted((find(i), find(first.setdefault(band, i))))
+            root[z] = a
+    kept = {(find(i), r.toxic): (r.doc_id, r.toxic) for i, r in reversed(list(enumerate(rows)))}
+    return docs.sparkSession.createDataFrame(sorted(kept.values()), "doc_id long, toxic int")
+
+
 def find_cues(docs: DataFrame, few: DataFrame, most: int = CUES) -> dict[str, int]:
     """Cues by how surely the sample ties them to toxic documents (likelihood ratio): ``cue -> number``, ``most`` at most."""
 
@@ -264,7 +311,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, size: int, l2: float = 1e-4, rounds: int = 400) -> np.ndarray:
+def logistic(rows: list[list[int]], y: np.ndarray, size: int, l2: float = 1e-5, rounds: int = 800) -> np.ndarray:
     """Weights (the bias last) of a linear classifier on sets of features, for labels between 0 and 1."""
     w, scale = np.zeros(size + 1), np.full(size + 1, 1e-8)
     if not rows:
@@ -313,6 +360,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     gives no rows.  Other columns are ignored.
     """
     few = cut(sampled_labels(labels, sample))
+    sampled, few = few, cut(distinct_families(docs, few))
+    drop_cut(sampled)
     cues = find_cues(docs, few)
     seen = cut(shown(docs, Lexicons(cues)))
     _, w = fit(seen, few, len(cues))
