@@ -11,8 +11,9 @@ from .windows import latest_before
 
 
 def rates(rows: DataFrame, spec: dict[str, tuple[str, str, float]]) -> DataFrame:
-    """Ratios with a least denominator: name -> (numerator, denominator, least)."""
-    return rows.withColumns({n: safe_ratio(a, b, m) for n, (a, b, m) in spec.items() if a in rows.columns and b in rows.columns})
+    """Ratios with a least denominator: name -> (numerator, denominator, least); null where a column is not there."""
+    have = set(rows.columns)
+    return rows.withColumns({n: safe_ratio(a, b, m) if {a, b} <= have else F.lit(None).cast("double") for n, (a, b, m) in spec.items()})
 
 
 # Ratios by position, as numerator, denominator and least volume.
@@ -33,8 +34,9 @@ RECEIVING = {
 
 
 def adjusted_yards(rows: DataFrame) -> DataFrame:
-    """Yards per attempt with 20 for a touchdown and -45 for an interception."""
-    return rows.withColumn("adjusted_yards", safe_ratio(F.col("passing_yards") + 20 * F.col("passing_tds") - 45 * F.col("interceptions"), "attempts", 50))
+    """Yards per attempt with 20 for a touchdown and -45 for an interception; missing counts of either are none."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return rows.withColumn("adjusted_yards", safe_ratio(F.col("passing_yards") + 20 * n("passing_tds") - 45 * n("interceptions"), "attempts", 50))
 
 
 def routes(rows: DataFrame) -> DataFrame:
@@ -44,11 +46,13 @@ def routes(rows: DataFrame) -> DataFrame:
 
 
 def body_and_capital(rows: DataFrame) -> DataFrame:
-    """Entry season, experience, body mass, whether undrafted, log of draft capital (0 if undrafted)."""
+    """Entry season, experience, body mass, whether undrafted, log of draft capital (0 without a pick from 1 on, down to minus infinity at 264)."""
     entry = F.coalesce("rookie_year", "entry_year", "draft_year")
+    left = F.lit(263.0) - F.col("draft_pick")
+    capital = F.when(left > -1, F.log1p(left)).when(left == -1, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
     return rows.withColumns({
         "entry_season": entry, "experience": clip(F.col("season") - entry, 0), "bmi": bmi("weight", "height"),
-        "is_undrafted": F.col("draft_pick").isNull().cast("int"), "draft_capital_log": F.when(F.col("draft_pick").isNull(), 0.0).otherwise(F.log1p(F.lit(263.0) - F.col("draft_pick"))),
+        "is_undrafted": F.col("draft_pick").isNull().cast("int"), "draft_capital_log": F.when(F.col("draft_pick") > 0, capital).otherwise(0.0),
     })
 
 

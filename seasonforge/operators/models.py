@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import weighted_present
+from . import ranks, sketches
 
 
 @dataclass
@@ -81,12 +82,21 @@ def group_mean(train: DataFrame, test: DataFrame, keys: list[str], target: str,
     return d.withColumn(name, F.coalesce("_a", "_b", "_c")).drop("_a", "_b", "_c")
 
 
-def tier_median(train: DataFrame, test: DataFrame, volume: str, target: str, name: str) -> DataFrame:
-    """Median outcome of the quartile of volume, by quartile edges of the training rows."""
-    edges = train.agg(F.percentile(F.col(volume).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+def tier_median(train: DataFrame, test: DataFrame, volume: str, target: str, name: str, exact: bool = False) -> DataFrame:
+    """Median outcome of the quartile of volume, by quartile edges of the training rows.
+
+    From quantile sketches, or by exact percentiles (linear between values), which gather each group in a task.
+    """
+    if exact:
+        edges = train.agg(F.percentile(F.col(volume).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    else:
+        edges = sketches.states(train, [], F.col(volume)).select(F.array(*[sketches.quantile("state", p) for p in (0.25, 0.5, 0.75)]).alias("q"))
     tier = lambda: F.size(F.filter("q", lambda e: e < F.col(volume)))
     marked = train.join(F.broadcast(edges)).withColumn("_t", tier())  # a single row
-    medians = marked.groupBy("_t").agg(F.median(F.col(target).cast("double")).alias(name))
+    if exact:
+        medians = marked.groupBy("_t").agg(F.median(F.col(target).cast("double")).alias(name))
+    else:
+        medians = sketches.states(marked, ["_t"], F.col(target)).select("_t", sketches.quantile("state", 0.5).alias(name))
     return test.join(F.broadcast(edges)).withColumn("_t", tier()).join(F.broadcast(medians), "_t", "left").drop("_t", "q")  # four rows
 
 
@@ -154,29 +164,35 @@ def ensemble_weights(metrics: DataFrame, k: int = 3) -> DataFrame:
 
 
 def rank_metrics(rows: DataFrame, by: list[str], tops: tuple[int, ...] = (12, 24, 50)) -> DataFrame:
-    """Spearman correlation (mean ranks on ties), mean rank error, and overlap of the tops."""
-    p, a = Window.partitionBy(*by).orderBy(F.col("predicted").desc()), Window.partitionBy(*by).orderBy(F.col("actual").desc())
-    tied = lambda c: (F.count("*").over(Window.partitionBy(*by, c)) - 1) / F.lit(2.0)
-    full = lambda c: Window.partitionBy(*by).orderBy(F.col(c).desc(), "player_id")
-    d = rows.withColumns({"_p": F.rank().over(p) + tied("predicted"), "_a": F.rank().over(a) + tied("actual"), "_pi": F.row_number().over(full("predicted")), "_ai": F.row_number().over(full("actual"))})
-    rho = F.try_divide(F.covar_pop("_p", "_a"), F.stddev_pop("_p") * F.stddev_pop("_a"))
-    return d.groupBy(*by).agg(rho.alias("spearman"), F.avg(F.abs(F.col("_p") - F.col("_a"))).alias("rank_error"), *[(F.count_if((F.col("_pi") <= k) & (F.col("_ai") <= k)) / F.lit(float(k))).alias(f"top{k}") for k in tops])
+    """Spearman correlation (mean ranks on ties), mean rank error, and overlap of the tops as a share of each size."""
+    m = ranks.rank_metrics(rows, by, tops=(), with_kendall=False, least=1)
+    first = [ranks.first_k(rows, by, [F.col(v).desc(), F.col("player_id")], max(tops), n).select(*by, "player_id", n) for v, n in (("predicted", "_pi"), ("actual", "_ai"))]
+    hits = first[0].join(first[1], [*by, "player_id"]).groupBy(*by).agg(*[F.count_if((F.col("_pi") <= k) & (F.col("_ai") <= k)).alias(f"_h{k}") for k in tops])
+    d = m.join(hits, by, "left")
+    return d.select(*by, "spearman", F.col("mean_rank_error").alias("rank_error"), *[(F.coalesce(F.col(f"_h{k}"), F.lit(0)) / F.lit(float(k))).alias(f"top{k}") for k in tops])
 
 
 def kendall(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Kendall's tau-b of small groups: pairs within a group."""
-    x, y = rows.select(*by, F.col("player_id").alias("i"), F.col("predicted").alias("p1"), F.col("actual").alias("a1")), rows.select(*by, F.col("player_id").alias("j"), F.col("predicted").alias("p2"), F.col("actual").alias("a2"))
-    s, t = F.signum(F.col("p1") - F.col("p2")), F.signum(F.col("a1") - F.col("a2"))
-    d = x.join(y, by).where("i < j")
-    return d.groupBy(*by).agg(F.try_divide(F.sum(s * t), F.sqrt(F.sum(F.abs(s)) * F.sum(F.abs(t)))).alias("kendall"))
+    """Kendall's tau-b of predicted and actual values within groups, by counted inversions."""
+    return ranks.kendall(rows, by, "predicted", "actual").select(*by, "kendall")
 
 
-def interval_bounds(train: DataFrame, by: list[str], low: float = 0.2, high: float = 0.8, least: int = 40) -> DataFrame:
-    """Residual quantiles by group; a group with fewer than ``least`` rows gets those of all rows."""
+def interval_bounds(train: DataFrame, by: list[str], low: float = 0.2, high: float = 0.8, least: int = 40, exact: bool = False) -> DataFrame:
+    """Residual quantiles by group; a group with fewer than ``least`` rows gets those of all rows.
+
+    From quantile sketches, those of all rows merged from the groups'; or by exact percentiles (linear between
+    values), which gather each group, and then all rows, in a task.
+    """
     r = train.withColumn("_r", F.col("actual") - F.col("predicted"))
-    q = lambda p: F.percentile("_r", F.lit(p))
-    own = r.groupBy(*by).agg(F.count("*").alias("n"), q(low).alias("lo"), q(high).alias("hi"))
-    whole = r.agg(q(low).alias("_lo"), q(high).alias("_hi"))
+    if exact:
+        q = lambda p: F.percentile("_r", F.lit(p))
+        own = r.groupBy(*by).agg(F.count("*").alias("n"), q(low).alias("lo"), q(high).alias("hi"))
+        whole = r.agg(q(low).alias("_lo"), q(high).alias("_hi"))
+    else:
+        parts = sketches.states(r, by, F.col("_r"))
+        q = lambda p: sketches.quantile("state", p)
+        own = parts.select(*by, "n", q(low).alias("lo"), q(high).alias("hi"))
+        whole = sketches.merged(parts, []).select(q(low).alias("_lo"), q(high).alias("_hi"))
     few = F.col("n") < least
     return own.join(F.broadcast(whole)).select(*by, "n", F.when(few, F.col("_lo")).otherwise(F.col("lo")).alias("lo"), F.when(few, F.col("_hi")).otherwise(F.col("hi")).alias("hi"))  # a single row
 

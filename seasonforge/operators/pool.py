@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Points of kickers and defenders by statistic.
-BASELINE = {
-    "fg_made": 3.0, "fg_long": 2.0, "extra_points": 1.0, "tackles": 1.0, "assists": 0.5, "sacks": 2.0, "interceptions": 3.0, "fumbles_forced": 2.0, "defended": 1.0, "touchdowns": 6.0,
+from ..functions.columns import stable_unit
+from .windows import numbered
+
+# Points of a kicker's and a defender's statistics, a defender's points without any, and how
+# many players of a position the pool takes from the rosters.
+KICKING = {"fg_made": 3.0, "fg_made_50_59": 1.0, "fg_made_60_": 2.0, "pat_made": 1.0}
+DEFENDING = {
+    "def_tackles_solo": 1.5, "def_tackle_assists": 0.75, "def_sacks": 4.0, "def_interceptions": 5.0, "def_fumbles_forced": 3.0, "def_fumbles": 3.0, "def_pass_defended": 1.0,
+    "def_tds": 6.0, "def_safeties": 2.0,
 }
+WITHOUT, OTHERWISE, SPREAD = {"LB": 82.0, "DL": 72.0, "DB": 68.0}, 60.0, 18.0
+LIMITS = {"K": 40, "DL": 60, "LB": 60, "DB": 60}
+TEAM_FIRST, TEAM_STEP, TEAM_SPREAD, SEASON_GAMES, LATE = 112.0, 0.7, 8.0, 17, 999.0
 
 
 def contains(name: str, text: str | None) -> Column:
@@ -39,10 +48,18 @@ def or_all(rows: DataFrame, wanted: Column) -> DataFrame:
     return rows.crossJoin(F.broadcast(some)).where(wanted | ~F.col("_some")).drop("_some")
 
 
-def baseline_points(stats: DataFrame) -> DataFrame:
-    """Season points of kickers and defenders, by player."""
-    worth = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * k for c, k in BASELINE.items() if c in stats.columns), F.lit(0.0))
-    return stats.groupBy("player_id").agg(F.sum(worth).alias("points"))
+def baseline_points(players: DataFrame, stats: DataFrame) -> DataFrame:
+    """``player_id, position, points`` of kickers and defenders, by what they did in a season.
+
+    ``players(player_id, position)``; ``stats``: rows of a player's statistics, summed up; those that are
+    missing count 0.  A defender without points has some by position, and a share of 18 by a hash of the id.
+    """
+    total = lambda worth: sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * k for c, k in worth.items() if c in stats.columns), F.lit(0.0))
+    sums = stats.groupBy("player_id").agg(F.sum(total(KICKING)).alias("_k"), F.sum(total(DEFENDING)).alias("_d"))
+    d = players.select("player_id", "position").join(sums, "player_id", "left")
+    start = F.coalesce(F.create_map(*[F.lit(x) for kv in WITHOUT.items() for x in kv])[F.col("position")], F.lit(OTHERWISE))
+    defence = F.when(F.col("_d") > 0, F.col("_d")).otherwise(start + stable_unit(F.col("player_id").cast("string")) * SPREAD)
+    return d.select("player_id", "position", F.round(F.when(F.col("position") == "K", F.coalesce("_k", F.lit(0.0))).otherwise(defence), 2).alias("points"))
 
 
 def build_pool(*sources: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
@@ -64,6 +81,48 @@ def build_pool(*sources: DataFrame, limits: dict[str, int] | None = None) -> Dat
     return first.withColumn("overall_rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def team_defenses(teams: DataFrame) -> DataFrame:
+    """An entry for each team's defence: ``teams(team, place)``, places from 0."""
+    points = F.round(TEAM_FIRST - F.col("place") * TEAM_STEP + stable_unit("team") * TEAM_SPREAD, 2)
+    return teams.select(
+        F.concat(F.lit("DEF-"), "team").alias("player_id"), F.concat("team", F.lit(" Defense")).alias("name"), "team", F.lit("DEF").alias("position"), F.lit(False).alias("rookie"),
+        F.lit(None).cast("int").alias("age"), (1 + F.floor(F.col("place") / 8)).cast("int").alias("tier"), points.alias("points"), "place",
+    )
+
+
+def published_pool(projected: DataFrame, rosters: DataFrame, stats: DataFrame, teams: DataFrame, season: int) -> DataFrame:
+    """The pool of a draft: projected players, the best kickers and defenders of the rosters, a defence of each team.
+
+    ``projected``: ``player_id, name, team, position, rookie, age, tier, points, points_per_game, overall_rank``;
+    ``rosters``: ``player_id, name, team, position, years_exp, birth_date`` of the season; ``stats``: see
+    ``baseline_points``; ``teams``: ``team, place``.  The result has the columns of ``projected``,
+    ``position_rank, adp`` and ``source``.  An id that came before is left out, though it counts for its
+    position's limit.  Ranks go on from one source to the next; a tier of the rosters holds twelve.
+    """
+    kept = rosters.where(F.col("position").isin(*LIMITS) & F.col("player_id").isNotNull()).groupBy("player_id").agg(F.max(F.struct("name", "team", "position", "years_exp", "birth_date")).alias("r")).select("player_id", "r.*")
+    worth = baseline_points(kept, stats).select("player_id", "points")
+    most = F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv])[F.col("position")]
+    best = kept.join(worth, "player_id").withColumn("place", F.row_number().over(Window.partitionBy("position").orderBy(F.col("points").desc(), "name", "player_id"))).where(F.col("place") <= most)
+    born = F.expr("try_cast(substring(CAST(birth_date AS string), 1, 4) AS int)")
+    base = best.select(
+        "player_id", F.coalesce("name", "player_id").alias("name"), F.coalesce("team", F.lit("FA")).alias("team"), "position", (F.coalesce("years_exp", F.lit(0)) == 0).alias("rookie"), (season - born).alias("age"),
+        F.lit(None).cast("int").alias("tier"), "points", F.round(F.col("points") / SEASON_GAMES, 2).alias("points_per_game"), F.lit(LATE).alias("adp"), F.lit("roster-baseline").alias("source"), F.lit(1).alias("_s"), F.lit(0.0).alias("_o"),
+    )
+    first = projected.select(
+        "player_id", "name", F.coalesce("team", F.lit("FA")).alias("team"), "position", "rookie", "age", "tier", F.round("points", 2).alias("points"), F.round("points_per_game", 2).alias("points_per_game"),
+        F.round(F.col("overall_rank").cast("double"), 2).alias("adp"), F.lit("projection").alias("source"), F.lit(0).alias("_s"), F.col("overall_rank").cast("double").alias("_o"),
+    )
+    last = team_defenses(teams).select("*", F.round(F.col("points") / SEASON_GAMES, 2).alias("points_per_game"), F.lit(LATE).alias("adp"), F.lit("team-defense").alias("source"), F.lit(2).alias("_s"), F.col("place").cast("double").alias("_o")).drop("place")
+    d = first.unionByName(base).unionByName(last)
+    rest = [c for c in d.columns if c not in ("player_id", "_s", "_o")]
+    one = d.groupBy("player_id").agg(F.min(F.struct("_s", "_o", *rest)).alias("x")).select("player_id", "x.*")
+    order = [-(F.col("_s") * 1e12 + F.col("_o")), F.col("points").desc(), F.col("name"), F.col("player_id")]
+    ranked = numbered(numbered(one, {"overall_rank": order}), {"position_rank": order}, within=("position",))
+    # twelve to a tier, after what projected players of the position took
+    taken = F.coalesce(F.col("tier"), (1 + F.floor((F.col("position_rank") - 1) / 12)).cast("int"))
+    return ranked.withColumn("tier", taken).drop("_s", "_o")
+
+
 def compare(rows: DataFrame, ids: list, measures: list[str], most: int = 4) -> DataFrame:
     """Up to ``most`` players side by side: ``measure`` and a column for each id."""
     ids = ids[:most]
@@ -77,10 +136,29 @@ def visible(rows: DataFrame, members: DataFrame, user, public: str = "is_public"
     return rows.join(own, "room", "left").where(F.col(public) | F.coalesce(F.col("_own"), F.lit(False))).drop("_own")
 
 
-def counter_bid(budget: Column, points: Column, current: Column, elapsed: Column) -> Column:
-    """An automatic bid: one over the current, a second after it at the earliest, up to a share of the budget that grows with points."""
-    most = F.floor(budget * F.least(F.greatest(points / 900, F.lit(0.015)), F.lit(0.42)))
-    return F.when((elapsed >= 1) & (current + 1 <= most), current + 1)
+def counter_bid(points: Column, current: Column, remaining: Column, picks: Column, rounds: Column, budget: Column, least: Column) -> Column:
+    """An automatic bid, null if there is none: the least raise over the current one, if it leaves the least bid for each open slot
+    but this, and is no more than a share of the budget that grows with the player's points (or the least bid)."""
+    bid = current + least
+    reserve = F.greatest(F.lit(0), rounds - picks - 1) * least
+    most = F.greatest(least.cast("double"), F.round(budget * F.least(F.lit(0.42), F.greatest(F.lit(0.015), points / 900.0))))
+    return F.when((bid <= remaining - reserve) & (bid <= most), bid)
+
+
+def counter_bids(auctions: DataFrame, slots: DataFrame, fits: DataFrame, pause: float = 1.0) -> DataFrame:
+    """``draft, player_id, slot, bid``: at most one automatic bid for each open auction.
+
+    ``auctions(draft, player_id, points, current_bid, highest_slot, seconds, seed, pick_number, rounds, budget,
+    minimum)``, ``seconds`` since the last bid; ``slots(draft, slot, is_cpu, remaining, picks)``;
+    ``fits(draft, slot, player_id)``.  Bids come ``pause`` seconds after the last one, not from the slot that
+    leads, and only for players that fit; of several slots the first by a seeded hash.
+    """
+    d = auctions.where(F.col("seconds").isNull() | (F.col("seconds") >= pause)).join(slots.where("is_cpu"), "draft").where("slot <> highest_slot")
+    d = d.join(fits, ["draft", "slot", "player_id"], "left_semi")
+    d = d.withColumn("bid", counter_bid(F.col("points"), F.col("current_bid"), F.col("remaining"), F.col("picks"), F.col("rounds"), F.col("budget"), F.col("minimum"))).where("bid is not null")
+    turn = F.md5(F.concat_ws(":", F.col("slot").cast("string"), F.col("player_id").cast("string"), (F.col("seed") + F.col("pick_number") + F.col("current_bid")).cast("string")))
+    best = d.groupBy("draft", "player_id").agg(F.min(F.struct(turn.alias("turn"), "slot", "bid")).alias("b"))
+    return best.select("draft", "player_id", "b.slot", "b.bid")
 
 
 def fit_by_count(rosters: DataFrame, slots: DataFrame) -> DataFrame:

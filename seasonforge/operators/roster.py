@@ -108,8 +108,14 @@ def vacated_by_team(features: DataFrame, moves: DataFrame, season: int, amounts:
 
 
 def audit(rows: DataFrame, moves: DataFrame, season: int) -> DataFrame:
-    """The findings of a season by kind: ``kind, n, ok``; conflicts and players off all rosters must be none once patched."""
-    stuck = rows.select("player_id", "projected_team").join(leavers(moves, season).where("new_team <> old_team").select("player_id", "old_team"), "player_id").where("projected_team = old_team")
+    """The findings of a season by kind: ``kind, n, ok``; conflicts and players off all rosters must be none once patched.
+
+    Stuck before the patch are the conflicts of the unpatched rows, and players still projected at the team
+    that a move took them from; moves that keep a player at a team take nobody.
+    """
+    gone = moves_of(moves, season).where(~F.col("transaction_type").isin(*SAME_TEAM) & (F.col("new_team") != F.col("old_team"))).select("player_id", "old_team")
+    left = rows.select("player_id", "projected_team").join(gone, "player_id").where("projected_team = old_team")
+    stuck = conflicts(rows, moves, season).select("player_id").unionByName(left.select("player_id"))
     patched = patch_projection(rows, moves, season)
     kinds = {
         "stuck_before": stuck, "conflicts": conflicts(patched, moves, season), "off_roster_on_team": off_roster_on_team(patched, moves, season),

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
 from .features import adjusted_yards, body_and_capital, era_flags, rates
+from .ranks import correlations, paired_correlations
 
 KEYS = ["player_id", "season"]
 # Statuses of the active roster, and the columns of a team's own context.
 ACTIVE = ("ACT", "A01")
-OWN = ("team_pass_attempts", "team_rush_attempts", "team_targets", "team_plays", "team_dropbacks")
+OWN = ("team_pass_attempts", "team_rush_attempts", "team_targets", "team_plays", "team_dropbacks", "team_pass_rate", "team_rz_rush_plays", "team_rz_pass_plays")
 RED_ZONE = 20
 
 
@@ -46,12 +47,17 @@ def team_context(seasons: DataFrame, plays: DataFrame | None, names: list[str])
     return d.select("team", "season", *[(F.col(n) if n in d.columns else F.lit(None)).cast("double").alias(n) for n in names])
 
 
+def regular(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of the regular season, where there is a column that tells."""
+    return rows.where(F.col(kind) == "REG") if kind in rows.columns else rows
+
+
 def team_plays(plays: DataFrame) -> DataFrame:
     """Red-zone volume, neutral pass rate and mean value of a team's regular plays.
 
     Neutral: a win probability from 0.2 to 0.8 and over 120 seconds left in the half.
     """
-    d = plays.where(F.col("team").isNotNull() & F.col("play_type").isin("pass", "run"))
+    d = regular(plays, "season_type").where(F.col("team").isNotNull() & F.col("play_type").isin("pass", "run"))
     near, passed = F.col("yardline") <= RED_ZONE, F.col("play_type") == "pass"
     neutral = F.col("wp").between(0.2, 0.8) & (F.col("half_seconds") > 120)
     return d.groupBy("team", "season").agg(
@@ -61,11 +67,11 @@ def team_plays(plays: DataFrame) -> DataFrame:
 
 
 def snap_totals(snaps: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Snaps, mean share and games by season of the players that the crosswalk knows under the foreign id.
+    """Snaps, mean share and games by regular season of the players that the crosswalk knows under the foreign id.
 
     Aggregated before the join, so only a row for a player and season meets the crosswalk.
     """
-    d = snaps.groupBy("foreign_id", "season").agg(F.sum("snaps").cast("double").alias("snaps"), F.avg("share").alias("snap_share"), F.count_distinct("week").alias("snap_games"))
+    d = regular(snaps, "game_type").groupBy("foreign_id", "season").agg(F.sum("snaps").cast("double").alias("snaps"), F.avg("share").alias("snap_share"), F.count_distinct("week").alias("snap_games"))
     known = crosswalk.where("foreign_id is not null").groupBy("foreign_id").agg(F.min("player_id").alias("player_id"))
     return d.join(known, "foreign_id").drop("foreign_id")
 
@@ -179,21 +185,31 @@ def enrich_entrants(entrants: DataFrame, college: DataFrame, yards: str = "yards
     return d.withColumns({"capital_inverse": 1 / F.greatest(pick, F.lit(1.0)), "capital_log": F.log1p(pick)})
 
 
-def feature_research(pairs: DataFrame, names: list[str], outcome: str, least: int = 30) -> DataFrame:
-    """Coverage, mean, deviation and correlation with the outcome of each feature, most important first.
+def feature_research(pairs: DataFrame, names: list[str], outcome: str, least: int = 30, min_coverage: float = 0.35) -> DataFrame:
+    """What is known of each feature, a row each, the most important first by ``rank``.
 
-    A correlation needs ``least`` rows and some spread.  Means and moments of all features in one pass.
+    ``feature, coverage, missing_rate, mean, std, decision, pearson, spearman, r2, stability, rank_stability,
+    importance, rank``.  Deviations are of the population.  Correlations are with the outcome, a missing one
+    counting 0, and (stability) with the feature's ``_lag1`` column where there is one; each needs ``least``
+    rows and some spread.  Features are included from ``min_coverage`` on.  All features are ranked at once.
     """
-    parts = []
-    for n in names:
-        both = F.col(n).isNotNull() & F.col(outcome).isNotNull()
-        x, y = F.when(both, F.col(n).cast("double")), F.when(both, F.col(outcome).cast("double"))
-        parts.append(F.struct(
-            F.lit(n).alias("feature"), F.avg(F.col(n).isNotNull().cast("double")).alias("coverage"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("std"),
-            F.when((F.count(x) >= least) & (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12), F.corr(x, y)).alias("r"),
-        ))
-    d = pairs.agg(F.array(*parts).alias("a")).select(F.inline("a"))
-    return d.withColumn("importance", F.abs("r"))
+    one = pairs.agg(F.array(*[F.struct(F.lit(n).alias("feature"), F.avg(F.col(n).isNotNull().cast("double")).alias("coverage"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("std")) for n in names]).alias("a"))
+    d = one.select(F.inline("a"))
+    found = correlations(pairs.withColumn("_y", F.coalesce(F.col(outcome).cast("double"), F.lit(0.0))), names, "_y", least)
+    d = d.join(found.select("feature", "pearson", "spearman"), "feature", "left")
+    lagged = [n for n in names if f"{n}_lag1" in pairs.columns]
+    none = F.lit(None).cast("double")
+    if lagged:
+        each = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x"), F.col(f"{n}_lag1").cast("double").alias("y")) for n in lagged])
+        same = paired_correlations(pairs.select(F.explode(each).alias("_f")).select("_f.*"), ["feature"], least)
+        d = d.join(same.select("feature", F.col("pearson").alias("stability"), F.col("spearman").alias("rank_stability")), "feature", "left")
+    else:
+        d = d.withColumns({"stability": none, "rank_stability": none})
+    d = d.withColumns({
+        "missing_rate": 1 - F.col("coverage"), "decision": F.when(F.col("coverage") >= min_coverage, "included").otherwise("excluded"),
+        "r2": F.col("pearson") * F.col("pearson"), "importance": F.coalesce(F.abs("pearson"), F.lit(0.0)),
+    })
+    return d.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))  # a row for each feature
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, names: list[str], k: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, mean_of_present, weighted_present
+from .ranks import mean_ranks
 
 
 def by_season() -> WindowSpec:
@@ -90,10 +91,8 @@ def most_complete(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, by: Column, name: str, partition: list[str]) -> DataFrame:
-    """Ranks with ties at their mean."""
-    w = Window.partitionBy(*partition).orderBy(by)
-    same = Window.partitionBy(*partition, by)
-    return rows.withColumn(name, F.rank().over(w) + (F.count("*").over(same) - 1) / F.lit(2.0))
+    """Ranks by a number, the least first, with ties at their mean; none for null.  No task holds a whole group."""
+    return mean_ranks(rows, partition, {name: -by})
 
 
 def top_per_group(rows: DataFrame, partition: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

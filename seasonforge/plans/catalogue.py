@@ -520,7 +520,7 @@ def m12_rank_metrics(s, d):
 SELECT target_season, count(*) AS n, avg((actual >= predicted + lo AND actual <= predicted + hi)::INT) AS coverage, round(avg(hi - lo), 6) AS width FROM preds JOIN g USING (target_season) GROUP BY ALL""")
 def m13_calibration(s, d):
     p = _predictions(s, d)
-    return _round(models.calibration(p, models.interval_bounds(p, ["target_season"]), ["target_season"]), "width")
+    return _round(models.calibration(p, models.interval_bounds(p, ["target_season"], exact=True), ["target_season"]), "width")
 
 
 @query(f"""WITH {PAIRS}, tr AS (SELECT * FROM pairs WHERE target_season < 1999), te AS (SELECT * FROM pairs WHERE target_season = 1999),
@@ -536,7 +536,7 @@ m AS (SELECT (a < carries)::INT + (b < carries)::INT + (c < carries)::INT AS t,
 SELECT player_id, guess FROM te, q LEFT JOIN m ON t = (a < carries)::INT + (b < carries)::INT + (c < carries)::INT""")
 def m04_tier_median(s, d):
     p = base.pairs(s, d)
-    return models.tier_median(p.where("target_season < 1999"), p.where("target_season = 1999"), "carries", "outcome_carries", "guess").select("player_id", "guess")
+    return models.tier_median(p.where("target_season < 1999"), p.where("target_season = 1999"), "carries", "outcome_carries", "guess", exact=True).select("player_id", "guess")
 
 
 def _errors(s, d):

@@ -99,7 +99,8 @@ def i14_conflicts(s, d):
     return roster.conflicts(_projected(s, d), _moves(s, d), 1997)
 
 
-@query(f"""WITH {NOW}, {ROWS}, f AS (SELECT 'stuck_before' AS kind, (SELECT count(*) FROM r JOIN now n USING (player_id) WHERE n.new_team <> n.old_team AND r.projected_team = n.old_team) AS n
+@query(f"""WITH {NOW}, {ROWS}, f AS (SELECT 'stuck_before' AS kind, (SELECT count(*) FROM r JOIN now n USING (player_id) WHERE n.new_team <> n.old_team AND n.transaction_type NOT IN ('re_signed', 'extended', 'revised_contract', 'franchise_tagged', 'new_contract') AND r.projected_team = n.old_team)
+    + (SELECT count(*) FROM r JOIN now n USING (player_id) WHERE n.priority = 'P1' AND r.projected_team <> n.dest) AS n
   UNION ALL SELECT 'conflicts', (SELECT count(*) FROM patched p JOIN now n USING (player_id) WHERE n.priority = 'P1' AND p.projected_team <> n.dest)
   UNION ALL SELECT 'off_roster_on_team', (SELECT count(*) FROM patched p JOIN now n USING (player_id) WHERE (n.roster_status <> 'active' OR NOT n.on_roster) AND p.projected_team NOT IN ('FA', 'UNKNOWN', 'RET', 'RETIRED'))
   UNION ALL SELECT 'unresolved', (SELECT count(*) FROM moves WHERE effective_season = 1997 AND player_id IS NULL))
@@ -238,20 +239,20 @@ def e01_season_table(s, d):
     return t.withColumns({c: F.round(c, n) for c, n in rounded.items()} | {"entry_season": F.col("entry_season").cast("int"), "experience": F.col("experience").cast("int")}).select(*names)
 
 
-@query(f"""WITH {WEEKLY}, p AS (SELECT team, season, CASE WHEN down % 2 = 0 THEN 'pass' ELSE 'run' END AS play_type, carries AS yardline, receptions / 10.0::DOUBLE AS wp, rushing_yards % 1000 AS half_seconds, rushing_yards / 1000.0::DOUBLE AS epa FROM weekly WHERE down <> 5)
+@query(f"""WITH {WEEKLY}, p AS (SELECT team, season, CASE WHEN down % 2 = 0 THEN 'pass' ELSE 'run' END AS play_type, carries AS yardline, receptions / 10.0::DOUBLE AS wp, rushing_yards % 1000 AS half_seconds, rushing_yards / 1000.0::DOUBLE AS epa FROM weekly WHERE down <> 5 AND season_type = 'REG')
 SELECT team, season, count(*) AS team_plays, count(*) FILTER (yardline <= 20) AS team_rz_plays, count(*) FILTER (yardline <= 20 AND play_type = 'pass') AS team_rz_pass_plays, count(*) FILTER (yardline <= 20 AND play_type = 'run') AS team_rz_rush_plays,
   avg((play_type = 'pass')::INT) FILTER (wp BETWEEN 0.2 AND 0.8 AND half_seconds > 120) AS team_neutral_pass_rate, round(avg(epa), 6) AS team_epa FROM p GROUP BY ALL""")
 def a15_team_plays(s, d):
     w = base.weekly(s, d)
     kind = F.when(F.col("down") == 5, "punt").when(F.col("down") % 2 == 0, "pass").otherwise("run")
-    p = w.select("team", "season", kind.alias("play_type"), F.col("carries").alias("yardline"), (F.col("receptions") / F.lit(10.0)).alias("wp"), (F.col("rushing_yards") % 1000).alias("half_seconds"), (F.col("rushing_yards") / F.lit(1000.0)).alias("epa"))
+    p = w.select("team", "season", "season_type", kind.alias("play_type"), F.col("carries").alias("yardline"), (F.col("receptions") / F.lit(10.0)).alias("wp"), (F.col("rushing_yards") % 1000).alias("half_seconds"), (F.col("rushing_yards") / F.lit(1000.0)).alias("epa"))
     return season.team_plays(p).withColumn("team_epa", F.round("team_epa", 6))
 
 
-@query(f"""WITH {WEEKLY}, g AS (SELECT player_id * 2 AS fid, season, sum(carries)::DOUBLE AS snaps, avg(receptions) AS snap_share, count(DISTINCT week) AS snap_games FROM weekly GROUP BY ALL)
+@query(f"""WITH {WEEKLY}, g AS (SELECT player_id * 2 AS fid, season, sum(carries)::DOUBLE AS snaps, avg(receptions) AS snap_share, count(DISTINCT week) AS snap_games FROM weekly WHERE season_type = 'REG' GROUP BY ALL)
 SELECT season, snaps, snap_share, snap_games, c_custkey AS player_id FROM g JOIN customer ON fid = c_custkey * 2 AND c_custkey % 3 <> 0""")
 def a07_snap_totals(s, d):
-    w = base.weekly(s, d).select((F.col("player_id") * 2).alias("foreign_id"), "season", "week", F.col("carries").alias("snaps"), F.col("receptions").alias("share"))
+    w = base.weekly(s, d).select((F.col("player_id") * 2).alias("foreign_id"), "season", "week", F.col("carries").alias("snaps"), F.col("receptions").alias("share"), F.col("season_type").alias("game_type"))
     k = F.col("c_custkey")
     return season.snap_totals(w, table(s, d, "customer").select(k.alias("player_id"), F.when(k % 3 != 0, k * 2).alias("foreign_id")))
 
@@ -300,13 +301,23 @@ def j05_entrants(s, d):
     return a.unionByName(b).select("kind", "player_id", "yards", F.round("capital_inverse", 9).alias("capital_inverse"), F.round("capital_log", 9).alias("capital_log"))
 
 
-@query(f"""WITH {SEASONS}, x AS (SELECT CASE WHEN player_id % 5 <> 0 THEN carries END AS carries, receptions, rushing_yards AS y FROM seasons)
-SELECT 'carries' AS feature, round(avg((carries IS NOT NULL)::INT), 6) AS coverage, round(avg(carries), 4) AS mean, round(stddev_samp(carries), 4) AS std, round(corr(carries, y), 6) AS r, round(abs(corr(carries, y)), 6) AS importance FROM x
-UNION ALL SELECT 'receptions', 1.0, round(avg(receptions), 4), round(stddev_samp(receptions), 4), round(corr(receptions, y), 6), round(abs(corr(receptions, y)), 6) FROM x""")
+@query(f"""WITH {SEASONS}, x AS (SELECT CASE WHEN player_id % 5 <> 0 THEN carries END AS carries, receptions, CASE WHEN player_id % 3 = 0 THEN carries END AS rare, lag(receptions) OVER (PARTITION BY player_id ORDER BY season) AS receptions_lag1,
+    coalesce(CASE WHEN player_id % 7 <> 0 THEN rushing_yards END, 0)::DOUBLE AS y FROM seasons),
+  l AS (UNPIVOT (SELECT carries::DOUBLE AS carries, receptions::DOUBLE AS receptions, rare::DOUBLE AS rare, y FROM x) ON carries, receptions, rare INTO NAME feature VALUE v),
+  k AS (SELECT feature, v, y, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS b FROM l WHERE v IS NOT NULL),
+  c AS (SELECT feature, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, corr(v, y) AS pearson, corr(a, b) AS spearman FROM k GROUP BY ALL),
+  t AS (SELECT corr(receptions, receptions_lag1) AS stability FROM x), s AS (SELECT corr(a, b) AS rank_stability FROM (SELECT rank() OVER (ORDER BY receptions) + (count(*) OVER (PARTITION BY receptions) - 1) / 2.0 AS a,
+    rank() OVER (ORDER BY receptions_lag1) + (count(*) OVER (PARTITION BY receptions_lag1) - 1) / 2.0 AS b FROM x WHERE receptions_lag1 IS NOT NULL)),
+  all_rows AS (SELECT count(*) AS m FROM x)
+SELECT feature, round(n / m, 6) AS coverage, round(1 - n / m, 6) AS missing_rate, round(mean, 4) AS mean, round(std, 4) AS std, CASE WHEN n / m >= 0.35 THEN 'included' ELSE 'excluded' END AS decision, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman,
+  round(pearson * pearson, 6) AS r2, CASE WHEN feature = 'receptions' THEN round(stability, 6) END AS stability, CASE WHEN feature = 'receptions' THEN round(rank_stability, 6) END AS rank_stability, round(abs(pearson), 6) AS importance,
+  row_number() OVER (ORDER BY abs(pearson) DESC, feature)::INT AS rank FROM c, t, s, all_rows""")
 def e30_feature_research(s, d):
-    x = base.seasons(s, d).withColumn("carries", F.when(F.col("player_id") % 5 != 0, F.col("carries")))
-    r = season.feature_research(x, ["carries", "receptions"], "rushing_yards")
-    return r.withColumns({"coverage": F.round("coverage", 6), "mean": F.round("mean", 4), "std": F.round("std", 4), "r": F.round("r", 6), "importance": F.round("importance", 6)})
+    k = F.col("player_id")
+    x = base.seasons(s, d).withColumn("receptions_lag1", F.lag("receptions").over(windows.by_season()))
+    x = x.withColumns({"rare": F.when(k % 3 == 0, F.col("carries")), "carries": F.when(k % 5 != 0, F.col("carries")), "y": F.when(k % 7 != 0, F.col("rushing_yards"))})
+    r = season.feature_research(x, ["carries", "receptions", "rare"], "y")
+    return r.withColumns({c: F.round(c, 4 if c in ("mean", "std") else 6) for c in r.columns if c not in ("feature", "decision", "rank")})
 
 
 @query(f"""WITH {SEASONS}, f AS (SELECT player_id, season, team, dense_rank() OVER (PARTITION BY player_id, team ORDER BY season) AS seasons_with_team FROM seasons) SELECT * FROM f""")
@@ -354,10 +365,46 @@ def p15_or_all(s, d):
     return some.unionByName(none)
 
 
-@query("""SELECT ps.c_custkey AS player_id, sum(o_totalprice::DOUBLE * 0 + 3.0 * (o_orderkey % 4) + 0.5 * (o_orderkey % 3)) AS points FROM orders JOIN customer ps ON o_custkey = c_custkey GROUP BY ALL""")
+def _defenders(s, d):
+    k = F.col("s_suppkey")
+    position = F.when(k % 5 == 0, "K").when(k % 5 == 1, "LB").when(k % 5 == 2, "DL").when(k % 5 == 3, "DB").otherwise("WR")
+    r = table(s, d, "supplier").select((k * 3).cast("string").alias("player_id"), F.col("s_name").alias("name"), F.when(k % 7 != 0, F.concat(F.lit("T"), F.col("s_nationkey").cast("string"))).alias("team"), position.alias("position"), (k % 4).alias("years_exp"), F.when(k % 6 != 0, F.concat((1990 + k % 10).cast("string"), F.lit("-05-01"))).otherwise("?").alias("birth_date"))
+    n = F.col("l_linenumber")
+    t = table(s, d, "lineitem").where("l_suppkey % 3 <> 0 and l_orderkey % 20 = 1")
+    t = t.select((F.col("l_suppkey") * 3).cast("string").alias("player_id"), n.alias("fg_made"), (n % 2).alias("fg_made_50_59"), F.when(n % 3 == 0, 1).alias("fg_made_60_"), (n % 4).alias("pat_made"), n.alias("def_tackles_solo"), (n % 3).alias("def_tackle_assists"), (n % 2).alias("def_sacks"), (n % 5 == 0).cast("int").alias("def_interceptions"), (n % 4 == 0).cast("int").alias("def_fumbles_forced"), (n % 6 == 0).cast("int").alias("def_fumbles"), (n % 2).alias("def_pass_defended"), (n % 7 == 0).cast("int").alias("def_tds"), (n % 7 == 1).cast("int").alias("def_safeties"))
+    return r, t
+
+
+DEFENDERS = """ros AS (SELECT (s_suppkey * 3)::VARCHAR AS player_id, s_name AS name, CASE WHEN s_suppkey % 7 <> 0 THEN 'T' || s_nationkey END AS team, ['K', 'LB', 'DL', 'DB', 'WR'][s_suppkey % 5 + 1] AS position, s_suppkey % 4 AS years_exp,
+    CASE WHEN s_suppkey % 6 <> 0 THEN 1990 + s_suppkey % 10 END AS born FROM supplier),
+  sums AS (SELECT (l_suppkey * 3)::VARCHAR AS player_id, sum(3 * n + n % 2 + 2 * (n % 3 = 0)::INT + n % 4)::DOUBLE AS k,
+      sum(1.5 * n + 0.75 * (n % 3) + 4 * (n % 2) + 5 * (n % 5 = 0)::INT + 3 * (n % 4 = 0)::INT + 3 * (n % 6 = 0)::INT + n % 2 + 6 * (n % 7 = 0)::INT + 2 * (n % 7 = 1)::INT)::DOUBLE AS d
+    FROM (SELECT l_suppkey, l_linenumber AS n FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_orderkey % 20 = 1) GROUP BY ALL),
+  worth AS (SELECT r.player_id, position, round(CASE WHEN position = 'K' THEN coalesce(k, 0) WHEN d > 0 THEN d
+      ELSE CASE position WHEN 'LB' THEN 82 WHEN 'DL' THEN 72 WHEN 'DB' THEN 68 ELSE 60 END + ('0x' || sha256(r.player_id)[:8])::BIGINT / 4294967295.0::DOUBLE * 18 END, 2)::DOUBLE AS points FROM ros r LEFT JOIN sums USING (player_id))"""
+
+
+@query(f"WITH {DEFENDERS} SELECT * FROM worth")
 def a28_baseline_points(s, d):
-    o = table(s, d, "orders").select(F.col("o_custkey").alias("player_id"), (F.col("o_orderkey") % 4).alias("fg_made"), (F.col("o_orderkey") % 3).alias("assists"))
-    return pool.baseline_points(o)
+    return pool.baseline_points(*_defenders(s, d))
+
+
+@query(f"""WITH {PLAYERS}, {DEFENDERS}, teams AS (SELECT 'T' || n_nationkey AS team, n_nationkey AS place FROM nation),
+  a AS (SELECT player_id::VARCHAR AS player_id, 'Player ' || player_id AS name, 'FA' AS team, position, player_id % 9 = 0 AS rookie, 20 + player_id % 15 AS age, 1 + player_id % 6 AS tier, round(points, 2) AS points, round(points_per_game + 0.0001, 2) AS points_per_game,
+    row_number() OVER (ORDER BY points DESC, player_id)::DOUBLE AS adp, 'projection' AS source, 0 AS s, row_number() OVER (ORDER BY points DESC, player_id) AS o FROM players),
+  b AS (SELECT player_id, name, coalesce(team, 'FA') AS team, position, years_exp = 0 AS rookie, 2026 - born AS age, NULL AS tier, points, round(points / 17, 2) AS points_per_game, 999.0::DOUBLE AS adp, 'roster-baseline' AS source, 1 AS s, 0 AS o
+    FROM (SELECT ros.*, points FROM ros JOIN worth USING (player_id) WHERE ros.position <> 'WR' QUALIFY row_number() OVER (PARTITION BY ros.position ORDER BY points DESC, name, player_id) <= CASE WHEN ros.position = 'K' THEN 40 ELSE 60 END)),
+  c AS (SELECT 'DEF-' || team AS player_id, team || ' Defense' AS name, team, 'DEF' AS position, false AS rookie, NULL AS age, 1 + place // 8 AS tier, points, round(points / 17, 2) AS points_per_game, 999.0::DOUBLE AS adp, 'team-defense' AS source, 2 AS s, place AS o
+    FROM (SELECT *, round(112 - place * 0.7::DOUBLE + ('0x' || sha256(team)[:8])::BIGINT / 4294967295.0::DOUBLE * 8, 2)::DOUBLE AS points FROM teams)),
+  u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c), one AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY s, o) = 1),
+  r AS (SELECT *, row_number() OVER (ORDER BY s, o, points DESC, name, player_id)::INT AS overall_rank, row_number() OVER (PARTITION BY position ORDER BY s, o, points DESC, name, player_id)::INT AS position_rank FROM one)
+SELECT player_id, name, team, position, rookie, age::INT AS age, coalesce(tier, 1 + (position_rank - 1) // 12)::INT AS tier, points, points_per_game, adp, source, overall_rank, position_rank FROM r""")
+def r16_published_pool(s, d):
+    k = F.col("player_id")
+    p = windows.numbered(base.players(s, d), {"overall_rank": [F.col("points"), k]})
+    p = p.select(k.cast("string").alias("player_id"), F.concat(F.lit("Player "), k.cast("string")).alias("name"), F.lit(None).cast("string").alias("team"), "position", (k % 9 == 0).alias("rookie"), (20 + k % 15).cast("int").alias("age"), (1 + k % 6).cast("int").alias("tier"), "points", (F.col("points_per_game") + 0.0001).alias("points_per_game"), "overall_rank")
+    teams = table(s, d, "nation").select(F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("team"), F.col("n_nationkey").alias("place"))
+    return pool.published_pool(p, *_defenders(s, d), teams, 2026)
 
 
 @query("""SELECT o_orderkey, o_custkey AS room FROM orders o WHERE o_orderkey % 5 = 0 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)""")
@@ -366,10 +413,24 @@ def g15_visible(s, d):
     return pool.visible(o, table(s, d, "customer").select(F.col("c_custkey").alias("room"), F.col("c_nationkey").alias("user_id")), 3).drop("is_public")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 >= 1 AND o_orderkey % 50 + 1 <= floor(200 * least(greatest(o_totalprice::DOUBLE / 1000 / 900, 0.015), 0.42)) THEN o_orderkey % 50 + 1 END AS bid FROM orders""")
+AUCTIONS = """au AS (SELECT o_custkey % 40 AS draft, o_orderkey AS player_id, o_totalprice::DOUBLE / 1000 AS points, o_orderkey % 50 AS current_bid, 1 + o_orderkey % 12 AS highest_slot, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 3)::DOUBLE END AS seconds,
+    7 AS seed, o_orderkey % 100 AS pick_number, 15 AS rounds, 200 AS budget, 1 + o_orderkey % 2 AS minimum FROM orders WHERE o_orderkey % 8 = 1),
+  sl AS (SELECT c_custkey % 40 AS draft, 1 + c_custkey // 40 % 12 AS slot, max(c_custkey % 3) > 0 AS is_cpu, min(20 + c_custkey % 150)::BIGINT AS remaining, min(c_custkey % 16)::BIGINT AS picks FROM customer GROUP BY ALL)"""
+
+
+@query(f"""WITH {AUCTIONS}, x AS (SELECT *, current_bid + minimum AS bid, md5(slot || ':' || player_id || ':' || (seed + pick_number + current_bid)) AS turn FROM au JOIN sl USING (draft)
+  WHERE is_cpu AND slot <> highest_slot AND (seconds IS NULL OR seconds >= 1) AND (slot + player_id) % 4 <> 0 AND current_bid + minimum <= remaining - greatest(0, rounds - picks - 1) * minimum
+    AND current_bid + minimum <= greatest(minimum, round(budget * least(0.42::DOUBLE, greatest(0.015::DOUBLE, points / 900)))))
+SELECT draft, player_id, slot, bid FROM x QUALIFY row_number() OVER (PARTITION BY draft, player_id ORDER BY turn) = 1""")
 def g10_counter_bid(s, d):
-    k = F.col("o_orderkey")
-    return table(s, d, "orders").select("o_orderkey", pool.counter_bid(F.lit(200), F.col("o_totalprice").cast("double") / 1000, k % 50, k % 3).alias("bid"))
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    auctions = table(s, d, "orders").where(k % 8 == 1).select(
+        (F.col("o_custkey") % 40).alias("draft"), k.alias("player_id"), (F.col("o_totalprice").cast("double") / 1000).alias("points"), (k % 50).alias("current_bid"), (1 + k % 12).alias("highest_slot"), F.when(k % 5 != 0, (k % 3).cast("double")).alias("seconds"),
+        F.lit(7).alias("seed"), (k % 100).alias("pick_number"), F.lit(15).alias("rounds"), F.lit(200).alias("budget"), (1 + k % 2).alias("minimum"),
+    )
+    slots = table(s, d, "customer").groupBy((c % 40).alias("draft"), (1 + F.floor(c / 40) % 12).alias("slot")).agg((F.max(c % 3) > 0).alias("is_cpu"), F.min(20 + c % 150).alias("remaining"), F.min(c % 16).alias("picks"))
+    fits = auctions.select("draft", "player_id").join(slots.select("draft", "slot"), "draft").where("(slot + player_id) % 4 <> 0")
+    return pool.counter_bids(auctions, slots, fits)
 
 
 @query("""WITH w AS (SELECT o_orderkey % 100 AS lot, o_custkey % 12 AS roster, floor(o_totalprice)::BIGINT % 60 AS amount, o_orderkey AS moment FROM orders),
