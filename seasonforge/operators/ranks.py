@@ -21,7 +21,7 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
     """A join by keys that may be null; the columns of ``right`` come after those of ``left``."""
     r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return (left.join(r, on, how) if keys else left.join(F.broadcast(r))).drop(*[f"_r_{k}" for k in keys])  # without keys: one row
+    return (left.join(r, on, how) if keys else left.join(F.broadcast(r), F.lit(True), how)).drop(*[f"_r_{k}" for k in keys])  # without keys: one row or none
 
 
 def _edges(rows: DataFrame, within: list[str], value: str, buckets: int) -> DataFrame:
@@ -83,12 +83,14 @@ def kendall(rows: DataFrame, within: list[str], x: str, y: str, buckets: int = B
     Values are dealt to buckets, those that are common to buckets of their own.  Pairs of different buckets
     of both columns are counted from the table of buckets, pairs of one bucket in that bucket by inversions.
     """
+    if not within:
+        return kendall(rows.withColumn("_whole", F.lit(0)), ["_whole"], x, y, buckets).drop("_whole")
     d = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*within, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_w"))
     for v in ("x", "y"):  # between two edges: an even number; at an edge: an odd one
         d = matched(d, _edges(d, within, f"_{v}", buckets).withColumnRenamed("_edges", "_e"), within)
         d = d.withColumn(f"_{v}b", 2 * F.size(F.filter("_e", lambda e: e < F.col(f"_{v}"))) + F.array_contains("_e", F.col(f"_{v}")).cast("int")).drop("_e")  # noqa: B023
     d = written(d)  # it is read five times
-    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in within) + ", " * bool(within) + "_s double"
+    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in within) + ", _s double"
 
     def scored(a: str, b: str):
         def run(t: pa.Table) -> pa.Table:
@@ -106,8 +108,7 @@ def kendall(rows: DataFrame, within: list[str], x: str, y: str, buckets: int = B
         s = float((g * (less - (below.sum(axis=1, keepdims=True) - upto))).sum())
         return pa.table([*[t[c].slice(0, 1).combine_chunks() for c in within], pa.array([s])], [*within, "_s"])
 
-    group = lambda g, keys: g.groupBy(*keys) if keys else g.groupBy(F.lit(0))
-    far = group(d.groupBy(*within, "_xb", "_yb").agg(F.sum("_w").alias("_w")), within).applyInArrow(cells, kinds)
+    far = d.groupBy(*within, "_xb", "_yb").agg(F.sum("_w").alias("_w")).groupBy(*within).applyInArrow(cells, kinds)
     same_x = d.where("_xb % 2 = 0").groupBy(*within, "_xb").applyInArrow(scored("_x", "_y"), kinds)
     same_y = d.where("_yb % 2 = 0").groupBy(*within, "_yb", "_xb", "_y").agg(F.sum("_w").alias("_w")).groupBy(*within, "_yb").applyInArrow(scored("_xb", "_y"), kinds)
     s = far.unionByName(same_x).unionByName(same_y).groupBy(*within).agg(F.sum("_s").alias("_s"))
