@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +29,15 @@ def slot_of_pick(pick: Column, teams: int, kind: str = "snake", third_reversed:
     return F.when(back, F.lit(teams) + 1 - place).otherwise(place)
 
 
-def draft_order(spark: SparkSession, teams: int, rounds: int, kind: str = "snake", third_reversed: bool = False) -> DataFrame:
-    d = spark.range(1, teams * rounds + 1).withColumnRenamed("id", "pick")
+def placed_picks(picks: DataFrame, teams: int, kind: str = "snake", third_reversed: bool = False) -> DataFrame:
+    """Picks (``pick``, from 1) with ``round, pick_in_round, slot``."""
     zero = (F.col("pick") - 1).cast("long")
-    return d.select("pick", (F.floor(zero / teams) + 1).alias("round"), (F.pmod(zero, F.lit(teams).cast("long")) + 1).alias("pick_in_round"), slot_of_pick(F.col("pick"), teams, kind, third_reversed).alias("slot"))
+    return picks.select("*", (F.floor(zero / teams) + 1).alias("round"), (F.pmod(zero, F.lit(teams).cast("long")) + 1).alias("pick_in_round"), slot_of_pick(F.col("pick"), teams, kind, third_reversed).alias("slot"))
+
+
+def draft_order(spark: SparkSession, teams: int, rounds: int, kind: str = "snake", third_reversed: bool = False) -> DataFrame:
+    """All picks of a draft."""
+    return placed_picks(spark.range(1, teams * rounds + 1).withColumnRenamed("id", "pick"), teams, kind, third_reversed)
 
 
 @lru_cache(maxsize=65_536)
@@ -70,18 +73,6 @@ def assign(positions: tuple[str, ...], slots: tuple[str, ...]) -> list[int] | No
     return [out[i] for i in range(len(positions))]
 
 
-def roster_fits(rosters: DataFrame, slots: list[str]) -> DataFrame:
-    """``fits`` for each row's array of positions."""
-    fixed = tuple(slots)
-
-    @F.pandas_udf("boolean")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda p: fits(tuple(sorted(p)), fixed))
-
-    return rosters.withColumn("fits", run("positions"))
-
-
 def needs(picks: DataFrame, slots: dict[str, int]) -> DataFrame:
     """Direct slots of each roster not yet filled: ``roster, position, need``."""
     all_ = F.explode(F.array(*[F.struct(F.lit(p).alias("position"), F.lit(n).alias("slots")) for p, n in slots.items()]))

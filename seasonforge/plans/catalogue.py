@@ -570,10 +570,11 @@ def m10_backtest(s, d):
 # ---- draft rooms and events
 
 
-@query("""SELECT p AS pick, ((p - 1) // 12) + 1 AS round, ((p - 1) % 12) + 1 AS pick_in_round, CASE WHEN r IN (2, 3) OR (r > 3 AND r % 2 = 1) THEN 13 - (((p - 1) % 12) + 1) ELSE ((p - 1) % 12) + 1 END AS slot
-FROM (SELECT range AS p, ((range - 1) // 12) + 1 AS r FROM range(1, 181))""")
+@query("""SELECT o_orderkey, p AS pick, ((p - 1) // 12) + 1 AS round, ((p - 1) % 12) + 1 AS pick_in_round, CASE WHEN r IN (2, 3) OR (r > 3 AND r % 2 = 1) THEN 13 - (((p - 1) % 12) + 1) ELSE ((p - 1) % 12) + 1 END AS slot
+FROM (SELECT o_orderkey, o_orderkey % 180 + 1 AS p, (o_orderkey % 180) // 12 + 1 AS r FROM orders)""")
 def g01_draft_order(s, d):
-    return draft.draft_order(s, 12, 15, "snake", third_reversed=True)
+    p = table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 180 + 1).alias("pick"))
+    return draft.placed_picks(p, 12, third_reversed=True)
 
 
 @query("""WITH k AS (SELECT user_id AS roster, CASE event_type WHEN 'view' THEN 'RB' WHEN 'click' THEN 'WR' WHEN 'purchase' THEN 'QB' ELSE 'TE' END AS position FROM events), n AS (SELECT * FROM (VALUES ('QB', 1), ('RB', 2), ('WR', 3)) v(position, slots))

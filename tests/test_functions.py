@@ -137,8 +137,9 @@ def test_auction(spark):
     rows = [(200, 15, 10, 11), (200, 15, 186, 187), (200, 0, 1, 1), (3, 5, None, 1), (20, 3, 17, 18)]
     got = one(spark, {"most": draft.max_bid(F.col("budget"), F.col("empty")), "ok": draft.bid_valid(F.col("bid"), F.col("current"), F.col("budget"), F.col("empty"))}, rows, "budget int, empty int, current int, bid int")
     assert [r["most"] for r in got] == [186, 186, 0, 0, 18] and [r["ok"] for r in got] == [True, False, False, False, True]
-    c = one(spark, {"b": pool.counter_bid(F.col("budget"), F.col("points"), F.col("current"), F.col("elapsed"))}, [(200, 450.0, 50, 2), (200, 450.0, 90, 2), (200, 450.0, 50, 0), (200, 1.0, 1, 5)], "budget int, points double, current int, elapsed int")
-    assert [r["b"] for r in c] == [51, None, None, 2]
+    bid = pool.counter_bid(F.col("points"), F.col("current"), F.col("remaining"), F.col("picks"), F.lit(15), F.lit(200), F.lit(1))
+    c = one(spark, {"b": bid}, [(450.0, 50, 200, 14), (450.0, 90, 200, 14), (450.0, 50, 60, 0), (450.0, 45, 60, 0), (1.0, 1, 200, 5), (119.7, 26, 200, 14)], "points double, current int, remaining int, picks int")
+    assert [r["b"] for r in c] == [51, None, None, 46, 2, 27]  # fourteen open slots keep one each; 26.6 rounds to 27
 
 
 def test_room_settings(spark):
