@@ -38,7 +38,15 @@ WORDS = frozenset(
     "sponsored subscribe subscription toolbar widget widgets".split()
 )
 OUTSIDE_WORDS = frozenset(("header", "topbar", "search"))
-# Whole class names and ids of adverts, menus and reader comments; inside the article only these count.
+# Words of class names and ids that count inside the article too: in elements that are no prose and
+# hold less than half of the page's text, in names of two words or more that have nothing else but words that go
+# with them (a lone "notice" or "related-work" may well be the author's).
+INSIDE_WORDS = frozenset(
+    "advert adverts advertisement advertising adsense breadcrumb breadcrumbs consent cookie cookies disqus gdpr newsletter notice notices pager pagination popup promo promoted promotion related share "
+    "sharing sidebar signup social sponsor sponsored subscribe subscription toolbar".split()
+)
+FILLING = frozenset("area articles bar bars block box button buttons container form icon icons item items link links list message news overlay policy post posts row section stories wrap wrapper".split())
+# Whole class names and ids of adverts, menus and reader comments; inside the article they count in any element.
 INSIDE_NAMES = frozenset("ad ads advert adverts advertisement adsense comment comments comment-list disqus disqus_thread menu nav navbar newsletter sidebar sponsored".split())
 PROSE = frozenset("p li td th tr pre blockquote dd dt".split()) | HEADINGS
 
@@ -50,7 +58,10 @@ ARTICLE_SHARE = 0.25
 #: Most template subtrees that are broadcast; beyond it they are joined by host.
 BROADCAST = 500_000
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+QUOTED = re.compile(r"[>\"']")
+#: Ends of raw elements, in either case of A to Z only: other letters may change their number when lowered.
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 ASKED = frozenset("class id role hidden aria-hidden style itemprop".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -75,13 +86,33 @@ def _marks(raw: str) -> dict:
     return out
 
 
+def tag_end(html: str, pos: int, quotes: bool) -> tuple[int, bool]:
+    """Where a tag ends that has begun before ``pos``, -1 if nowhere, and whether quotes go on to count.
+
+    A ``>`` in quotes is no end.  Once a tag is met whose quotes don't close, or that has no other end, the
+    next ``>`` ends it and all later ones, so that no page is searched again and again.
+    """
+    at = pos
+    while quotes:
+        m = QUOTED.search(html, at)
+        if m is None:
+            quotes = False
+        elif m[0] == ">":
+            return m.start(), True
+        else:
+            at = html.find(m[0], m.end()) + 1
+            quotes = at > 0
+    return html.find(">", pos), False
+
+
 def parse(html: str) -> list[Node]:
     """The elements of a page in order of their starts, the root first; missing end tags are implied.
 
     Names of open elements are counted, so the open ones are only searched for a name that is among them.
+    A tag without any end is text.  Time is linear in the length of the page.
     """
     root = at = Node("#root", {}, "", None)
-    nodes, pos, n, lower = [root], 0, len(html), None
+    nodes, pos, n, quotes = [root], 0, len(html), True
     opened: Counter = Counter()
 
     def close(node: Node) -> None:
@@ -101,6 +132,12 @@ def parse(html: str) -> list[Node]:
             break
         pos = m.end()
         name = m[2]
+        if name is not None:
+            stop, quotes = tag_end(html, pos, quotes)
+            if stop < 0:
+                at.children.append(html[end:])
+                break
+            raw, pos = html[pos:stop], stop + 1
         if name is None:
             if m[0].startswith("<![CDATA["):
                 at.children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
@@ -121,16 +158,14 @@ def parse(html: str) -> list[Node]:
                     node = node.parent
                 if node.name == old:
                     close(node)
-        new = Node(name, _marks(m[3]) if m[3] else {}, m[0], at)
+        new = Node(name, _marks(raw) if raw else {}, html[end:pos], at)
         nodes.append(new)
         at.children.append(new)
         if name in RAW:
-            if lower is None:
-                lower = html.lower()
-            stop_ = lower.find(f"</{name}", pos)
-            close_ = html.find(">", stop_) if stop_ >= 0 else -1
+            over = RAW_END[name].search(html, pos)
+            close_ = html.find(">", over.end()) if over else -1
             pos = n if close_ < 0 else close_ + 1
-        elif name not in VOID and not (m[3].endswith("/") and name not in BLOCKS):
+        elif name not in VOID and not (raw.endswith("/") and name not in BLOCKS):
             at = new
             opened[name] += 1
     for x in reversed(nodes):  # children before their parents
@@ -147,11 +182,14 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
-def _unwanted(node: Node, inside: bool) -> bool:
-    """Whether an element is by its name or marks not part of the article."""
+def _unwanted(node: Node, inside: bool, whole: int) -> bool:
+    """Whether an element is by its name or marks not part of the article; ``whole``: size of the page's text.
+
+    A form that holds half of the text wraps the page and is none to fill in.
+    """
     if node.name in RAW:
         return True
-    if node.name in DROPPED:
+    if node.name in DROPPED and not (node.name == "form" and 2 * node.text_size >= whole):
         return not (inside and node.name == "header" and node.heading)
     m = node.marks
     if not m:
@@ -159,9 +197,11 @@ def _unwanted(node: Node, inside: bool) -> bool:
     if m.get("role") in ROLES or "hidden" in m or m.get("aria-hidden") == "true" or "display:none" in m.get("style", "").replace(" ", ""):
         return True
     names = m.get("class", "").split() + m.get("id", "").split()
+    split = [set(SPLIT.split(x)) for x in names]
     if inside:
-        return not INSIDE_NAMES.isdisjoint(names)
-    words = {w for x in names for w in SPLIT.split(x)}
+        noise = any(len(w) > 1 and not w.isdisjoint(INSIDE_WORDS) and w <= INSIDE_WORDS | FILLING for w in split)
+        return not INSIDE_NAMES.isdisjoint(names) or noise and node.name not in PROSE and 2 * node.text_size < whole
+    words = set().union(*split)
     return not words.isdisjoint(WORDS) or not words.isdisjoint(OUTSIDE_WORDS)
 
 
@@ -182,7 +222,7 @@ def main_parts(nodes: list[Node]) -> list[Node]:
         x = stack.pop()
         article = x.name == "article" or x.marks.get("itemprop") == "articlebody"
         main = x.name == "main" or x.marks.get("role") == "main"
-        if _unwanted(x, article or main):
+        if _unwanted(x, article or main, root.text_size):
             continue
         if article:
             found[0].append(x)
@@ -242,7 +282,7 @@ def text_of(html: str, templates: dict[int, bool]) -> str:
                     flush()
             elif isinstance(x, str):
                 run.append(x)
-            elif id(x) in gone or _unwanted(x, inside):
+            elif id(x) in gone or _unwanted(x, inside, nodes[0].text_size):
                 if x.name in BLOCKS:
                     flush()
             elif x.name in VOID:
