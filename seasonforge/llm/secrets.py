@@ -19,36 +19,58 @@ LOGIN = r"""\b(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']
 KEYLIKE = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}+"
 ENDPOINT = r"\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@%&=+-]{4,}"
 
+#: Matches whose places are added up at once.
+BLOCK = 128
 #: A weak part needs a complement whose start is at most so many code points away in the same document.
 SCOPE = 400
 
 
-def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
-    """Leftmost non-overlapping matches of ``pattern`` as array<struct<start, end, kind>>, in code points.
+def _pieces(text: Column, pattern: str) -> Column:
+    """The gaps between leftmost non-overlapping matches of ``pattern`` and the matches, alternating; the last gap has none."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
+    return F.when(text.rlike(pattern), pieces).otherwise(F.array().cast("array<struct<gap:string,hit:string>>"))
+
+
+def _blocks(pieces: str) -> Column:
+    """The pieces in blocks of BLOCK."""
+    last = F.floor((F.greatest(F.size(pieces), F.lit(1)) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(pieces, b * BLOCK + 1, BLOCK))
+
+
+def _spans(blocks: str, kind: str, keep) -> Column:
+    """The matches that ``keep`` keeps by their text, as array<struct<start, end, kind>>, in code points.
 
-    The pieces between the matches and the matches themselves alternate, so starts are running sums of
-    their lengths.  ``keep`` decides on a match by its text.
+    Starts are running sums of the pieces' lengths: over blocks first, then within each block, so that a text
+    with very many matches takes no quadratic time.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
-    step = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                x["hit"].isNotNull() & F.coalesce(keep(x["hit"]), F.lit(False)),
-                F.concat(s["out"], F.array(F.struct(
-                    (s["at"] + F.length(x["gap"])).alias("start"),
-                    (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                    F.lit(kind).alias("kind"),
-                ))),
-            ).otherwise(s["out"]).alias("out"),
-        ),
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+    ints, none = F.array().cast("array<int>"), F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    starts = F.aggregate(
+        blocks, F.struct(F.lit(0).alias("at"), ints.alias("out")),
+        lambda s, b: F.struct((s["at"] + F.aggregate(b, F.lit(0), lambda a, x: a + size(x))).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
         lambda s: s["out"],
     )
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return F.when(text.rlike(pattern), step).otherwise(none)
+
+    def within(block: Column, start: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(start.alias("at"), none.alias("out")),
+            lambda s, x: F.struct(
+                (s["at"] + size(x)).alias("at"),
+                F.when(
+                    x["hit"].isNotNull() & F.coalesce(keep(x["hit"]), F.lit(False)),
+                    F.concat(s["out"], F.array(F.struct(
+                        (s["at"] + F.length(x["gap"])).alias("start"),
+                        (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
+                        F.lit(kind).alias("kind"),
+                    ))),
+                ).otherwise(s["out"]).alias("out"),
+            ),
+            lambda s: s["out"],
+        )
+
+    return F.flatten(F.zip_with(blocks, starts, within))
 
 
 def _listed(spans: Column) -> Column:
@@ -78,16 +100,23 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     # a digit with letters of both cases, or with letters of one case and no other sign (base32, for one)
     mixed = lambda m: m.rlike("[0-9]") & (m.rlike("[a-z]") & m.rlike("[A-Z]") | m.rlike("[A-Za-z]") & ~m.rlike("[+/]"))
     at_least = lambda n: lambda m: F.length(m) >= n
-    rows = docs.select(
-        "doc_id",
-        F.xxhash64(text).alias("text_key"),
-        F.concat(_spans(text, ASSIGN, "assign", long6), _spans(text, ACCESS, "access", at_least(20)), F.when(text.rlike("[0-9a-f]{24}"), _spans(text, HEX, "hex", at_least(24))).otherwise(F.array())).alias("base"),
-        F.concat(_spans(text, LOGIN, "login", any_), _spans(text, KEYLIKE, "key", mixed), _spans(text, ENDPOINT, "endpoint", any_)).alias("weak"),
-    )
-    rows = cut(rows.withColumn("weak", F.filter("weak", lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))))
+    wanted = {"assign": (ASSIGN, long6), "access": (ACCESS, at_least(20)), "hex": (HEX, at_least(24)), "login": (LOGIN, any_), "key": (KEYLIKE, mixed), "endpoint": (ENDPOINT, any_)}
+    pieces = {k: _pieces(text, p) for k, (p, _) in wanted.items()}
+    pieces["hex"] = F.when(text.rlike("[0-9a-f]{24}"), pieces["hex"]).otherwise(F.array().cast("array<struct<gap:string,hit:string>>"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), *[c.alias(k) for k, c in pieces.items()])
+    rows = rows.select("doc_id", "text_key", *[_blocks(k).alias(k) for k in wanted])
+    spans = {k: _spans(k, k, keep) for k, (_, keep) in wanted.items()}
+    rows = cut(rows.select("doc_id", "text_key", F.concat(*[spans[k] for k in KINDS]).alias("base"), F.concat(*[c for k, c in spans.items() if k not in KINDS]).alias("weak")))
 
     both = rows.where("size(weak) > 0 and size(weak) + size(base) > 1").select("doc_id", "text_key", "base", "weak").distinct()
-    parts = both.select("doc_id", "text_key", F.inline(F.concat("base", "weak"))).withColumn("cell", F.floor(F.col("start") / scope))
+    strong, weak = (both.select("doc_id", "text_key", F.inline(c)) for c in ("base", "weak"))
+    spread = F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)))  # the cells of a span
+    w, b = weak.withColumn("cell", spread).alias("w"), strong.withColumn("cell", spread).alias("b")
+    same = [F.col("w.doc_id").eqNullSafe(F.col("b.doc_id")), *[F.col(f"w.{c}") == F.col(f"b.{c}") for c in ("text_key", "cell")]]
+    covered = w.join(b, same).where((F.col("w.start") < F.col("b.end")) & (F.col("b.start") < F.col("w.end"))).select("w.doc_id", "w.text_key", "w.start", "w.kind").distinct()
+    v, c = weak.alias("v"), covered.alias("c")
+    free = v.join(c, [F.col("v.doc_id").eqNullSafe(F.col("c.doc_id")), *[F.col(f"v.{k}") == F.col(f"c.{k}") for k in ("text_key", "start", "kind")]], "left_anti")
+    parts = strong.unionByName(free).withColumn("cell", F.floor(F.col("start") / scope))
     ends = parts.groupBy("doc_id", "text_key", "cell", F.col("kind").alias("with")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
     pairs = F.create_map(
         F.lit("key"), F.array(F.lit("access"), F.lit("login"), F.lit("endpoint")),
