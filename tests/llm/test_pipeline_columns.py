@@ -3,7 +3,7 @@
 import corpus_pipeline as P
 
 SF = "/root/testdata/sf0.001"
-CLASH = {"score": "'mine'", "lang_pred": "'mine'", "_gone": "7L", "_lines": "'mine'", "_document": "1", "row": "'mine'", "gone": "array(1)", "id": "'mine'", "key": "2", "_row": "'mine'", "n_shingles": "3", "size": "'mine'", "kept": "4", "_key": "'mine'", "taken": "5", "dotted.name": "'mine'"}
+CLASH = {"score": "'mine'", "lang_pred": "'mine'", "_gone": "7L", "_lines": "'mine'", "_document": "1", "row": "'mine'", "gone": "array(1)", "id": "'mine'", "key": "2", "_row": "'mine'", "n_shingles": "3", "size": "'mine'", "kept": "4", "_key": "'mine'", "taken": "5"}
 
 
 def test_clashing_columns(spark):
