@@ -72,13 +72,14 @@ def build_pool(*sources: DataFrame, limits: dict[str, int] | None = None) -> Dat
         s = s.select("player_id", "name", F.coalesce("team", F.lit("FA")).alias("team"), "position", "points", F.lit(i).alias("source"))
         d = s if d is None else d.unionByName(s)
     first = d.groupBy("player_id").agg(F.min(F.struct("source", (-F.col("points")).alias("neg"), "name", "team", "position", "points")).alias("x")).select("player_id", "x.*").drop("neg")
-    order = ["source", F.col("points").desc(), "player_id"]
-    place = Window.partitionBy("position").orderBy(*order)
-    first = first.withColumn("position_rank", F.row_number().over(place))
-    if limits:
+    if limits:  # every task passes on as many rows of a limited position as the largest limit
+        place = Window.partitionBy("position").orderBy("source", F.col("points").desc(), "player_id")
         most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])[F.col("position")]
-        first = first.where(F.col("position_rank") <= F.coalesce(most, F.lit(2**31 - 1)))
-    return first.withColumn("overall_rank", F.row_number().over(Window.orderBy(*order)))
+        few = F.col("position").isin(*limits)
+        best = first.where(few).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= max(limits.values())).where(F.col("_place") <= most).drop("_place")
+        first = best.unionByName(first.where(~few | F.col("position").isNull()))
+    order = [F.coalesce("points", F.lit(-1e11)) - F.col("source") * 1e12, F.col("points").desc(), F.col("player_id")]
+    return numbered(first, {"overall_rank": order, "position_rank": order}, inside={"position_rank": ("position",)})
 
 
 def team_defenses(teams: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def published_pool(projected: DataFrame, rosters: DataFrame, stats: DataFrame, t
     rest = [c for c in d.columns if c not in ("player_id", "_s", "_o")]
     one = d.groupBy("player_id").agg(F.min(F.struct("_s", "_o", *rest)).alias("x")).select("player_id", "x.*")
     order = [-(F.col("_s") * 1e12 + F.col("_o")), F.col("points").desc(), F.col("name"), F.col("player_id")]
-    ranked = numbered(numbered(one, {"overall_rank": order}), {"position_rank": order}, within=("position",))
+    ranked = numbered(one, {"overall_rank": order, "position_rank": order}, inside={"position_rank": ("position",)})
     # twelve to a tier, after what projected players of the position took
     taken = F.coalesce(F.col("tier"), (1 + F.floor((F.col("position_rank") - 1) / 12)).cast("int"))
     return ranked.withColumn("tier", taken).drop("_s", "_o")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_ratio
-from .features import adjusted_yards, body_and_capital, era_flags, rates
+from ..functions.columns import mean_of_present, safe_ratio, weighted_present
+from .features import adjusted_yards, body_and_capital, era_flags, rates, routes
 from .ranks import correlations, paired_correlations
+from .windows import availability, by_season, so_far
 
 KEYS = ["player_id", "season"]
 # Statuses of the active roster, and the columns of a team's own context.
 ACTIVE = ("ACT", "A01")
-OWN = ("team_pass_attempts", "team_rush_attempts", "team_targets", "team_plays", "team_dropbacks", "team_pass_rate", "team_rz_rush_plays", "team_rz_pass_plays")
+OWN = ("team_pass_attempts", "team_rush_attempts", "team_targets", "team_plays", "team_dropbacks")
+PLAIN = ("team_pass_rate", "team_rz_rush_plays", "team_rz_pass_plays")
+POSITIONS = ("QB", "RB", "WR", "TE")
 RED_ZONE = 20
 
 
@@ -37,8 +40,9 @@ def attach_dimension(rows: DataFrame, players: DataFrame, rosters: DataFrame) ->
 
 
 def own_team(rows: DataFrame, context: DataFrame) -> DataFrame:
-    """Volume of the team that the player was at, as ``own_*``."""
-    return rows.join(context.select("team", "season", *[F.col(c).alias(f"own_{c}") for c in OWN if c in context.columns]), ["team", "season"], "left")
+    """Volume of the team that the player was at, as ``own_*``; its rate of passes and red-zone plays under their names."""
+    own = [F.col(c).alias(f"own_{c}") for c in OWN if c in context.columns]
+    return rows.join(context.select("team", "season", *own, *[c for c in PLAIN if c in context.columns]), ["team", "season"], "left")
 
 
 def team_context(seasons: DataFrame, plays: DataFrame | None, names: list[str]) -> DataFrame:
@@ -112,7 +116,7 @@ CATCHER = {
 
 def passers(rows: DataFrame) -> DataFrame:
     """Passing features; dropbacks are attempts and sacks where they are not given."""
-    made = F.coalesce(F.col("pass_attempts"), F.lit(0)) + F.coalesce(F.col("sacks"), F.lit(0))
+    made = F.coalesce(F.col("pass_attempts"), F.lit(0)) + (F.coalesce(F.col("sacks"), F.lit(0)) if "sacks" in rows.columns else F.lit(0))
     d = rows if "dropbacks" in rows.columns else rows.withColumn("dropbacks", made)
     return adjusted_yards(rates(d, PASSER).withColumn("attempts", F.col("pass_attempts"))).drop("attempts")
 
@@ -150,6 +154,62 @@ def season_table(seasons: DataFrame, players: DataFrame, rosters: DataFrame, con
     return era_flags(tight_ends(runners(d)))
 
 
+def shared_rates(rows: DataFrame) -> DataFrame:
+    """Points, lost fumbles and rushing yards per game."""
+    return rates(rows, {f"{c}_per_game": (c, "games", 0) for c in ("fantasy_points_ppr", "fumbles_lost", "rushing_yards")})
+
+
+# Usage whose change is a trend, columns summed up over a career, and those kept from the season before.
+TRENDS = {"fantasy_points_ppr_per_game": "fantasy_points_ppr_trend", "targets_per_game": "target_trend", "carries_per_game": "carry_trend", "snap_share": "snap_share_trend"}
+CAREER = {"fantasy_points_ppr": "career_fantasy_points", "games": "career_games", **{c: f"career_{c}" for c in ("targets", "carries", "pass_attempts", "receptions")}}
+BEFORE = ("fantasy_points_ppr", "targets", "carries", "receptions", "games")
+
+
+def history(rows: DataFrame) -> DataFrame:
+    """Weighted seasons, trends, career sums and bests, and values of the season before: all from a player's own past.
+
+    Seasons are taken by row, so one that is missing is skipped; weights of missing values go to the rest.
+    Columns that the rows have not are skipped, except for the points.
+    """
+    have = set(rows.columns)
+    lag = lambda c, k: F.lag(c, k).over(by_season())
+    new = {}
+    for c in ("fantasy_points_ppr", "fantasy_points_ppr_per_game"):
+        new[f"{c}_w2"] = weighted_present([(F.col(c), 0.65), (lag(c, 1), 0.35)])
+        new[f"{c}_w3"] = weighted_present([(F.col(c), 0.55), (lag(c, 1), 0.30), (lag(c, 2), 0.15)])
+    new |= {n: F.when(F.col(c).isNotNull(), F.sum(c).over(so_far())) for c, n in CAREER.items() if c in have}
+    new["best_season_fantasy_points"] = F.when(F.col("fantasy_points_ppr").isNotNull(), F.max("fantasy_points_ppr").over(so_far()))
+    new["seasons_observed"] = F.count("season").over(so_far())
+    new |= {n: F.col(c) - lag(c, 1) for c, n in TRENDS.items() if c in have}
+    new |= {f"prev_{c}": lag(c, 1) for c in BEFORE if c in have}
+    d = rows.withColumns(new)
+    trends = [c for c in ("target_trend", "carry_trend", "snap_share_trend") if c in new]
+    return d.withColumns({
+        "career_fantasy_points_per_game": safe_ratio("career_fantasy_points", "career_games"),
+        "opportunity_trend": mean_of_present(*trends) if trends else F.lit(None).cast("double"),
+    })
+
+
+def full_season_table(
+    seasons: DataFrame, players: DataFrame, rosters: DataFrame, context: DataFrame, schedule: DataFrame, depth: DataFrame | None = None, sources: tuple[DataFrame | None, ...] = ()
+) -> DataFrame:
+    """The whole season table of the modelled positions, one row for each player and season, known by its end.
+
+    Biography and draft capital; optional sources (snaps, situations, advanced statistics); the team's
+    volume; games played and missed, by ``schedule(season, scheduled_games)``; roster status and depth chart;
+    rates all positions share; features by position, routes among them where there are snaps; lags, trends
+    and careers; flags of odd seasons.  What has no source is null.
+    """
+    d = attach(attach_dimension(seasons.where(F.col("position").isin(*POSITIONS)), players, rosters), *sources)
+    d = own_team(d, context).join(schedule.select("season", F.col("scheduled_games").alias("_scheduled")), "season", "left")
+    d = availability(d, F.col("_scheduled")).drop("_scheduled")
+    d = shared_rates(depth_chart(roster_status(d, rosters), depth))
+    if {"snaps", "team_pass_rate"} <= set(d.columns):
+        d = routes(d).withColumn("route_participation", safe_ratio("routes", "own_team_dropbacks") if "own_team_dropbacks" in d.columns else F.lit(None).cast("double"))
+    return era_flags(history(tight_ends(runners(passers(d) if "pass_attempts" in d.columns else d))))
+
+
+
 # ---- entrants
 
 

@@ -100,9 +100,9 @@ def rank_players(players: DataFrame, risk: float = 0.35) -> DataFrame:
     own = F.col("player_id").asc()
     orders = {
         "overall_rank": [F.col("vorp"), *rest], "points_rank": [F.col("points"), own], "per_game_rank": [F.col("points_per_game"), own],
-        "upside_rank": [F.col("high_points"), own], "risk_rank": [F.col("risk_value"), own],
+        "upside_rank": [F.col("high_points"), own], "risk_rank": [F.col("risk_value"), own], "position_rank": [F.col("vorp"), *rest],
     }
-    return numbered(d, orders).withColumn("position_rank", F.row_number().over(Window.partitionBy("position").orderBy("overall_rank")))
+    return numbered(d, orders, inside={"position_rank": ("position",)})
 
 
 def gap_tiers(ranked: DataFrame, most: int = 10, smallest: int = 2, sigma: float = 1.0) -> DataFrame:

@@ -105,12 +105,13 @@ def seasons_with_team(seasons: DataFrame) -> DataFrame:
     return seasons.withColumn("seasons_with_team", F.dense_rank().over(Window.partitionBy("player_id", "team").orderBy("season")))
 
 
-def numbered(rows: DataFrame, orders: dict[str, list[Column]], buckets: int = 256, within: tuple[str, ...] = ()) -> DataFrame:
+def numbered(rows: DataFrame, orders: dict[str, list[Column]], buckets: int = 256, within: tuple[str, ...] = (), inside: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Row numbers of the whole table by several orders, without a task that holds the whole table.
 
     ``orders``: name of the number -> columns, of which the first is a number, highest first.  Rows are dealt
     to ``buckets`` by quantiles of that number, numbered in their bucket, and moved by the rows of the
-    buckets before: a table of ``buckets`` rows for each group of ``within``.
+    buckets before: a table of ``buckets`` rows for each group of ``within``, or of what ``inside`` has for
+    the number.
     """
     keys = {n: f"_k_{n}" for n in orders}
     d = rows.withColumns({keys[n]: F.coalesce(cols[0].cast("double"), F.lit(float("-inf"))) for n, cols in orders.items()})
@@ -121,7 +122,9 @@ def numbered(rows: DataFrame, orders: dict[str, list[Column]], buckets: int = 25
         step, key = F.array(*[F.lit(float(x)) for x in sorted(set(at), reverse=True)]), F.col(keys[name])
         d = d.withColumn(f"_b_{name}", F.size(F.filter(step, lambda e: e > key)) if at else F.lit(0))  # noqa: B023
     out = d
+    groups = {name: (inside or {}).get(name, within) for name in orders}
     for name, cols in orders.items():
+        within = groups[name]
         before = d.groupBy(*within, f"_b_{name}").agg(F.count("*").alias("_n"))  # from the rows as given, so plans don't nest
         w = Window.partitionBy(*within).orderBy(f"_b_{name}").rowsBetween(Window.unboundedPreceding, -1)
         before = before.select(*within, f"_b_{name}", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))

@@ -508,3 +508,44 @@ def l02_planted_leakage(s, d):
 UNION ALL SELECT 'negative_y', true, 0 UNION ALL SELECT 'negative_age', true, 0 UNION ALL SELECT 'ages', count(*) = 0, count(*) FROM pl WHERE age < 18 UNION ALL SELECT 'ratio_x_y', count(*) = 0, count(*) FROM pl WHERE x > y + 1e-6""")
 def q07_planted_rows(s, d):
     return quality.row_checks(_planted(s, d).select("x", "y", "age"), {}, [("x", "y")], [], "age")
+
+
+# ---- the whole season table
+
+
+def _full_table(s, d):
+    w = base.weekly(s, d)
+    t = base.seasons(s, d).withColumns({
+        "targets": F.col("receptions") * 2, "fumbles_lost": F.col("rushing_tds") % 3, "pass_attempts": F.when(F.col("position") == "QB", F.col("carries")), "completions": F.floor(F.col("carries") / 2),
+        "passing_yards": F.when(F.col("position") == "QB", F.col("rushing_yards")), "passing_tds": F.lit(None).cast("long"), "interceptions": F.col("rushing_tds") % 4, "receiving_yards": F.col("rushing_yards"),
+    })
+    t = t.withColumn("fantasy_points_ppr", F.when(F.col("player_id") % 13 != 0, F.col("carries") / F.lit(10.0) + F.col("receptions") * F.lit(1.0) + F.col("rushing_tds") * F.lit(6.0)))
+    reg = w.where("season_type = 'REG'")
+    situations = reg.groupBy("player_id", "season").agg(F.count_if(F.col("carries") <= 20).alias("rz_carries"), F.count_if(F.col("carries") <= 5).alias("inside_five_carries"))
+    snaps = reg.where("player_id % 4 <> 0").groupBy("player_id", "season").agg(F.sum("carries").cast("double").alias("snaps"), F.avg(F.col("receptions") / F.lit(10.0)).alias("snap_share"))
+    context = t.groupBy("team", "season").agg(F.sum("carries").alias("team_rush_attempts"), F.sum("targets").alias("team_targets"), (F.sum("receptions") / F.sum("carries")).alias("team_pass_rate"), F.sum("receptions").alias("team_dropbacks"), F.count("*").alias("team_rz_rush_plays"))
+    schedule = t.groupBy("season").agg((F.max("games") + 2).cast("int").alias("scheduled_games"))
+    return season.full_season_table(t, _players(s, d), _rosters(s, d), context, schedule, None, (situations, None, snaps))
+
+
+@query(f"""WITH {SEASONS}, t AS (SELECT *, receptions * 2 AS targets, rushing_tds % 3 AS fumbles_lost, CASE WHEN position = 'QB' THEN carries END AS pass_attempts, CASE WHEN position = 'QB' THEN rushing_yards END AS passing_yards, rushing_tds % 4 AS interceptions,
+    CASE WHEN player_id % 13 <> 0 THEN carries / 10.0::DOUBLE + receptions * 1.0::DOUBLE + rushing_tds * 6.0::DOUBLE END AS pts FROM seasons),
+  sit AS (SELECT player_id, season, count(*) FILTER (carries <= 20) AS rz, count(*) FILTER (carries <= 5) AS five FROM reg GROUP BY ALL), sn AS (SELECT player_id, season, sum(carries)::DOUBLE AS snaps, avg(receptions / 10.0::DOUBLE) AS share FROM reg WHERE player_id % 4 <> 0 GROUP BY ALL),
+  ctx AS (SELECT team, season, sum(carries) AS ra, sum(targets) AS ta, sum(receptions)::DOUBLE / sum(carries) AS pr, sum(receptions) AS db, count(*) AS rzp FROM t GROUP BY ALL), sch AS (SELECT season, max(games) + 2 AS sg FROM t GROUP BY ALL),
+  j AS (SELECT t.*, rz, five, snaps, share, ra, ta, pr, db, rzp, sg, pts / games AS ppg, targets::DOUBLE / games AS tpg, carries::DOUBLE / games AS cpg, least(greatest(games / sg::DOUBLE, 0), 1) AS played
+    FROM t LEFT JOIN sit USING (player_id, season) LEFT JOIN sn USING (player_id, season) JOIN ctx USING (team, season) JOIN sch USING (season) WHERE position IS NOT NULL),
+  h AS (SELECT *, lag(pts) OVER w AS p1, lag(pts, 2) OVER w AS p2, lag(ppg) OVER w AS g1, lag(tpg) OVER w AS t1, lag(cpg) OVER w AS c1, lag(share) OVER w AS s1, lag(games) OVER w AS prev_games, lag(played) OVER w AS d1, lag(played, 2) OVER w AS d2, lag(sg - games) OVER w AS m1,
+      CASE WHEN pts IS NOT NULL THEN sum(pts) OVER w END AS cp, sum(games) OVER w AS cg, CASE WHEN pts IS NOT NULL THEN max(pts) OVER w END AS best, count(*) OVER w AS seen, sum(targets) OVER w AS ct, CASE WHEN pass_attempts IS NOT NULL THEN sum(pass_attempts) OVER w END AS ca
+    FROM j WINDOW w AS (PARTITION BY player_id ORDER BY season)),
+  f AS (SELECT *, tpg - t1 AS tt, cpg - c1 AS ctr, share - s1 AS st FROM h)
+SELECT player_id, season, sg::INT AS scheduled, round(played, 9) AS played_share, m1::INT AS prev1_missed, round((0.5 * played + coalesce(0.3 * d1, 0) + coalesce(0.2 * d2, 0)) / (0.5 + CASE WHEN d1 IS NULL THEN 0 ELSE 0.3 END + CASE WHEN d2 IS NULL THEN 0 ELSE 0.2 END), 6)::DOUBLE AS durability,
+  round(ppg, 6) AS fantasy_points_ppr_per_game, round(fumbles_lost::DOUBLE / games, 6) AS fumbles_lost_per_game, round(CASE WHEN pass_attempts > 50 THEN (passing_yards - 45.0 * interceptions) / pass_attempts END, 5)::DOUBLE AS adjusted_yards,
+  round(rz::DOUBLE / nullif(rzp, 0), 6) AS rz_carry_share, round(five::DOUBLE / nullif(rz, 0), 6) AS goal_line_share, round(snaps * pr, 5) AS routes, round(CASE WHEN snaps * pr > 50 THEN targets / (snaps * pr) END, 6) AS targets_per_route, round(snaps * pr / nullif(db, 0), 6) AS route_participation,
+  round(targets::DOUBLE / nullif(ta, 0), 9) AS target_share, round(CASE WHEN pts IS NULL AND p1 IS NULL THEN NULL ELSE (coalesce(0.65 * pts, 0) + coalesce(0.35 * p1, 0)) / (CASE WHEN pts IS NULL THEN 0 ELSE 0.65 END + CASE WHEN p1 IS NULL THEN 0 ELSE 0.35 END) END, 5)::DOUBLE AS fantasy_points_ppr_w2,
+  round(cp, 4) AS career_fantasy_points, cg::BIGINT AS career_games, round(best, 4) AS best_season_fantasy_points, seen AS seasons_observed, round(ppg - g1, 5) AS fantasy_points_ppr_trend, ct::BIGINT AS career_targets, ca::BIGINT AS career_pass_attempts, prev_games, round(cp / nullif(cg, 0), 5) AS career_fantasy_points_per_game,
+  round((coalesce(tt, 0) + coalesce(ctr, 0) + coalesce(st, 0)) / nullif((tt IS NOT NULL)::INT + (ctr IS NOT NULL)::INT + (st IS NOT NULL)::INT, 0), 5) AS opportunity_trend, (season IN (2020, 2021))::INT AS anomalous_season FROM f""")
+def e04_full_season_table(s, d):
+    t = _full_table(s, d)
+    digits = {"played_share": 9, "durability": 6, "fantasy_points_ppr_per_game": 6, "fumbles_lost_per_game": 6, "adjusted_yards": 5, "rz_carry_share": 6, "goal_line_share": 6, "routes": 5, "targets_per_route": 6, "route_participation": 6, "target_share": 9, "fantasy_points_ppr_w2": 5, "career_fantasy_points": 4, "best_season_fantasy_points": 4, "fantasy_points_ppr_trend": 5, "career_fantasy_points_per_game": 5, "opportunity_trend": 5}
+    names = ["player_id", "season", "scheduled", "prev1_missed", "career_games", "seasons_observed", "career_targets", "career_pass_attempts", "prev_games", "anomalous_season"]
+    return t.withColumn("prev1_missed", F.col("prev1_missed").cast("int")).select(*names, *[F.round(c, n).alias(c) for c, n in digits.items()])
