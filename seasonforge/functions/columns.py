@@ -129,9 +129,67 @@ def mixed_unit(seed: int, text: ColumnOrName) -> Column:
     return F.pmod(step, F.lit(1000003)).cast("double") / F.lit(1000003.0)
 
 
+def seeded_place(text: ColumnOrName, seed: int, places: int = 1000) -> Column:
+    """A whole number from 0 below ``places`` by a seeded hash of a text: an order that is the same for a seed."""
+    return F.pmod(F.xxhash64(F.lit(seed), col(text)), F.lit(places).cast("long"))
+
+
+def seeded_id(seed: int, *keys: ColumnOrName) -> Column:
+    """An id in the form of a random UUID that follows from a seed and keys: the same in every run and for a row that is computed again."""
+    h = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.substring(F.lit("89ab"), (F.conv(part(17, 1), 16, 10).cast("int") % 4 + 1), F.lit(1))
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("4"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+# Names of the bands of ages and experience in the breakdown of errors.
+AGES = ((24, "under 24"), (27, "24-26"), (30, "27-29"), (33, "30-32"))
+EXPERIENCE = ((0, "rookie"), (1, "2nd season"), (3, "3rd-4th season"), (7, "5th-8th season"))
+
+
+def age_band(age: ColumnOrName) -> Column:
+    x = finite(col(age).cast("double"))
+    out = F.when(x.isNull(), "unknown")
+    for edge, name in AGES:
+        out = out.when(x < edge, name)
+    return out.otherwise("33 and over")
+
+
+def experience_band(years: ColumnOrName) -> Column:
+    """Bands of seasons played; half seasons between the first two bands belong to the third."""
+    x = finite(col(years).cast("double"))
+    first, second, *rest = EXPERIENCE
+    out = F.when(x.isNull(), "unknown").when(x <= first[0], first[1]).when(x == second[0], second[1])
+    for edge, name in rest:
+        out = out.when(x <= edge, name)
+    return out.otherwise("9th season and beyond")
+
+
+def fixed_decimals(x: ColumnOrName, digits: int = 1) -> Column:
+    """A number with so many decimals, halves away from zero; ``-`` for none.
+
+    Halves are only such that the number itself is exactly half-way, not those of its shortest notation.
+    """
+    v = col(x).cast("double")
+    shifted, scale = F.abs(v) * F.lit(float(10**digits)), F.lit(float(2 ** (digits + 1)))
+    half = (shifted - F.floor(shifted) == 0.5) & (F.abs(v) * scale == F.floor(F.abs(v) * scale))
+    up = F.signum(v) * (F.floor(shifted) + 1) / F.lit(float(10**digits))
+    text = lambda c: F.regexp_replace(F.format_number(c, digits), ",", "")
+    return F.when(v.isNull() | F.isnan(v), "-").when(half, text(up)).otherwise(text(v))
+
+
 # ---- text
 
 
+def rookie_key(name: ColumnOrName) -> Column:
+    """Name for comparison with college rows: lower case, only a-z, digits and single spaces; a last generational suffix goes.
+
+    Accented letters are dropped, not replaced, and the suffix goes before spaces are trimmed.
+    """
+    flat = F.regexp_replace(F.lower(F.coalesce(col(name), F.lit(""))), r"[^a-z0-9\s]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(flat, r"\s+(jr|sr|ii|iii|iv|v)$", ""), r"\s+", " "))
+
+
 def plain(text: ColumnOrName) -> Column:
     """Lower case without Latin accents."""
     return F.regexp_replace(F.translate(F.lower(col(text)), ACCENTED, PLAIN), "ß", "ss")
@@ -217,6 +275,11 @@ def season_of(date: ColumnOrName) -> Column:
     return F.year(date) - F.when(F.month(date) < 3, 1).otherwise(0)
 
 
+def age_by_year(birth: ColumnOrName, season: ColumnOrName) -> Column:
+    """A season less the year that a date of birth, or its text, begins with; null if it begins with none."""
+    return col(season) - F.substring(col(birth).cast("string"), 1, 4).try_cast("int")
+
+
 def age_at(birth: ColumnOrName, season: ColumnOrName) -> Column:
     """Years at the first of September of a season."""
     return F.datediff(F.make_date(col(season), F.lit(9), F.lit(1)), col(birth)) / F.lit(365.25)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import stable_unit
+from ..functions.columns import age_by_year, stable_unit
 from .windows import numbered
 
 # Points of a kicker's and a defender's statistics, a defender's points without any, and how
@@ -104,9 +104,8 @@ def published_pool(projected: DataFrame, rosters: DataFrame, stats: DataFrame, t
     worth = baseline_points(kept, stats).select("player_id", "points")
     most = F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv])[F.col("position")]
     best = kept.join(worth, "player_id").withColumn("place", F.row_number().over(Window.partitionBy("position").orderBy(F.col("points").desc(), "name", "player_id"))).where(F.col("place") <= most)
-    born = F.expr("try_cast(substring(CAST(birth_date AS string), 1, 4) AS int)")
     base = best.select(
-        "player_id", F.coalesce("name", "player_id").alias("name"), F.coalesce("team", F.lit("FA")).alias("team"), "position", (F.coalesce("years_exp", F.lit(0)) == 0).alias("rookie"), (season - born).alias("age"),
+        "player_id", F.coalesce("name", "player_id").alias("name"), F.coalesce("team", F.lit("FA")).alias("team"), "position", (F.coalesce("years_exp", F.lit(0)) == 0).alias("rookie"), age_by_year("birth_date", F.lit(season)).alias("age"),
         F.lit(None).cast("int").alias("tier"), "points", F.round(F.col("points") / SEASON_GAMES, 2).alias("points_per_game"), F.lit(LATE).alias("adp"), F.lit("roster-baseline").alias("source"), F.lit(1).alias("_s"), F.lit(0.0).alias("_o"),
     )
     first = projected.select(

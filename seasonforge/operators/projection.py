@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, safe_ratio
+from ..functions.columns import clip, safe_ratio, zero_sum
 
 # Age multipliers as (age up to which, factor); the last holds beyond.
 AGE = {
@@ -69,7 +69,7 @@ def fallback(rows: DataFrame, stats: list[str]) -> DataFrame:
 
 
 def compose(rows: DataFrame) -> DataFrame:
-    """Missing ``pred_*`` totals from the predicted volume and the prior's rate, kept in bounds; fumbles from the prior."""
+    """Missing ``pred_*`` totals from the predicted volume and the prior's rate, kept in bounds; lost fumbles are 0.9 of the prior's, or of its kinds' sum."""
     have = set(rows.columns)
     new = {}
     for total, (volume, positions, default, least, most) in RATES.items():
@@ -79,8 +79,11 @@ def compose(rows: DataFrame) -> DataFrame:
         rate = F.when(F.coalesce(F.col(volume), F.lit(0)) > 0, F.coalesce(F.col(total), F.lit(0)) / F.col(volume)).otherwise(plain)
         made = F.when(F.col("position").isin(*positions), F.col(f"pred_{volume}") * clip(rate, least, most))
         new[f"pred_{total}"] = F.coalesce(F.col(f"pred_{total}"), made) if f"pred_{total}" in have else made
-    if "fumbles_lost" in have:
-        lost = F.greatest(F.lit(0.0), F.coalesce(F.col("fumbles_lost"), F.lit(0)) * 0.9)
+    kinds = [c for c in ("rushing_fumbles_lost", "receiving_fumbles_lost", "sack_fumbles_lost") if c in have]
+    if "fumbles_lost" in have or kinds:
+        prior = zero_sum(*kinds) if kinds else F.lit(0)
+        prior = F.coalesce("fumbles_lost", prior) if "fumbles_lost" in have else prior
+        lost = F.greatest(F.lit(0.0), prior * 0.9)
         new["pred_fumbles_lost"] = F.coalesce(F.col("pred_fumbles_lost"), lost) if "pred_fumbles_lost" in have else lost
     return rows.withColumns(new)
 

@@ -64,12 +64,15 @@ def patch_week_one(teams: DataFrame, moves: DataFrame, season: int) -> DataFrame
 
 
 def patch_projection(rows: DataFrame, moves: DataFrame, season: int) -> DataFrame:
-    """Projection rows with next and projected team, team change and depth rank taken from the moves, which win.
+    """Projection rows with next and projected team, team change and depth rank taken from the moves, which win,
+    and what they say of the player's role: status, confidence, uncertainty, roster, eligibility, priority.
 
-    The team of the feature season stays.  A player with several moves has the last by date.
+    The team of the feature season stays.  A player with several moves has the last by date.  What the moves
+    have no column of is null.
     """
     m = moves_of(moves, season)
-    last = F.struct("as_of_date", destination().alias("team"), F.expr("try_cast(expected_rank AS double)").alias("rank"), "roster_status", "eligible", "priority")
+    said = [F.col(c) if c in moves.columns else F.lit(None).cast("string").alias(c) for c in ("starter_confidence", "role_uncertainty")]
+    last = F.struct("as_of_date", destination().alias("team"), F.expr("try_cast(expected_rank AS double)").alias("rank"), "roster_status", "eligible", "priority", "on_roster", *said)
     m = m.groupBy("player_id").agg(F.max(last).alias("m"))
     d = rows.join(m, "player_id", "left")
     moved = F.col("m.team")
@@ -80,6 +83,7 @@ def patch_projection(rows: DataFrame, moves: DataFrame, season: int) -> DataFram
         F.coalesce(F.col("m.rank"), "depth_rank").alias("depth_rank"),
         F.coalesce(moved != F.col("team"), F.lit(False)).cast("int").alias("team_changed"),
         F.col("m.roster_status").alias("offseason_status"), F.col("m.eligible").alias("projection_eligible"), F.col("m.priority").alias("offseason_priority"),
+        F.col("m.starter_confidence").alias("starter_confidence"), F.col("m.role_uncertainty").alias("role_uncertainty"), F.col("m.on_roster").alias("offseason_active_roster"),
     )
 
 

@@ -81,6 +81,47 @@ def replacement_levels(players: DataFrame, league: League = League(), fixed: dic
     return ranked.join(F.broadcast(need), "position").where(chosen).groupBy("position", "rank").agg(F.avg("points").alias("level"))  # a row per position
 
 
+def client_levels(players: DataFrame, league: League = League()) -> DataFrame:
+    """Points at replacement level as a reader's page has them: ``position, rank, level``.
+
+    Demand as in ``replacement_levels``, but the level is the mean of the player at that rank and his
+    neighbours that exist, also for the first rank and for positions of few players.  Every task passes on no
+    more players of a position than the league can need.
+    """
+    base, slots = league.demand(), league.teams * (league.flex + league.superflex)
+    rank = Window.partitionBy("position").orderBy(F.col("points").desc(), "player_id")
+    pool = players.where(F.col("position").isin(*league.starters))
+    ranked = pool.select("position", "points", "player_id", F.row_number().over(rank).alias("place")).where(F.col("place") <= max(base.values()) + slots + 2)
+    left = ranked.where(F.col("position").isin(*league.flexible()) & (F.col("place") > _literal(base, "position")))
+    taken = left.orderBy(F.col("points").desc(), "player_id").limit(slots).groupBy("position").agg(F.count("*").alias("more"))
+    need = pool.groupBy("position").agg(F.count("*").alias("n")).join(taken, "position", "left")
+    need = need.select("position", "n", F.greatest(_literal(base, "position") + F.coalesce("more", F.lit(0)), F.lit(1)).alias("rank"))
+    at = F.least(F.col("rank"), F.col("n"))  # the player's place
+    near = (F.col("place") >= at - 1) & (F.col("place") <= at + 1)
+    return ranked.join(F.broadcast(need), "position").where(near).groupBy("position", "rank").agg(F.avg("points").alias("level"))  # a row per position
+
+
+def rerank(
+    entries: DataFrame, stats: list[str], rules: dict[str, float], league: League = League(), position: str | None = None, rookie: bool | None = None, text: str | None = None, by: str = "overall"
+) -> DataFrame:
+    """A reader's ranking: entries scored by rules, against levels of all of them, then filtered, sorted and numbered (``display_rank``).
+
+    ``entries``: ``player_id, position, name, rookie, games, ppr_points, confidence, has_stats`` and statistics;
+    without statistics an entry keeps its points.  ``by``: points, ppg, vorp, confidence, or overall (value,
+    then points per game); ties go to the smaller id.
+    """
+    d = entries.withColumn("points", F.when(F.col("has_stats"), points(stats, rules)).otherwise(F.col("ppr_points")))
+    d = with_vorp(d, client_levels(d, league)).withColumn("ppg", F.col("points") / F.greatest(F.col("games"), F.lit(1)))
+    keep = F.lit(True)
+    for c, v in (("position", position), ("rookie", rookie)):
+        keep = keep if v is None else keep & (F.col(c) == F.lit(v))
+    if text:
+        keep = keep & F.contains(F.lower("name"), F.lit(text.lower()))
+    first = F.col({"points": "points", "ppg": "ppg", "confidence": "confidence"}.get(by, "vorp"))
+    order = [first, *([F.col("ppg").desc()] if by == "overall" else []), F.col("player_id")]
+    return numbered(d.where(keep), {"display_rank": order}).drop("level")
+
+
 def with_vorp(players: DataFrame, levels: DataFrame) -> DataFrame:
     """Players with ``vorp``; positions without a level count from 0."""
     small = levels.select("position", "level")  # a row per position

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models, moments, ranks, sketches, windows
+from ..operators import models, moments, past, ranks, reports, sketches, windows
 from ..operators.features import modelling_pairs
 from . import base
 from .base import PAIRS, SEASONS, STATS
@@ -156,3 +156,43 @@ def a32_merged_sketches(s, d):
     parts = sketches.states(_predictions(s, d), ["target_season"], F.col("actual"), 32768)
     both = parts.unionByName(sketches.merged(parts, []).withColumn("target_season", F.lit(None).cast("int")))
     return both.select("target_season", "n", *[sketches.quantile("state", p).alias(c) for c, p in (("low", 0.25), ("mid", 0.5), ("high", 0.9))])
+
+
+# ---- reports
+
+
+def _folds(s, d):
+    p = _compared(s, d)
+    return p.select(F.col("target_season").alias("season"), "position", "target", "model", (F.col("model") == "previous_total").alias("is_baseline"), "player_id", "predicted", "actual")
+
+
+@query(f"""WITH {TUNED}, p AS (SELECT l.position, l.target_season, l.target, l.player_id, {GUESS} AS predicted, y AS actual FROM long l JOIN fold f ON f.position = l.position AND f.fold = l.target_season
+    LEFT JOIN best b ON b.position = l.position AND b.fold = l.target_season AND b.target = l.target
+    JOIN w ON w.position = l.position AND w.past = f.past AND w.target = l.target AND w.trial = coalesce(b.trial, 1) WHERE n >= 150),
+  k AS (SELECT *, rank() OVER (PARTITION BY position, target, target_season ORDER BY round(predicted, 6)) + (count(*) OVER (PARTITION BY position, target, target_season, round(predicted, 6)) - 1) / 2.0 AS a,
+    rank() OVER (PARTITION BY position, target, target_season ORDER BY actual) + (count(*) OVER (PARTITION BY position, target, target_season, actual) - 1) / 2.0 AS b FROM p)
+SELECT target_season AS season, position, target, round(avg(abs(predicted - actual)), 4) AS mae, round(sqrt(avg((predicted - actual) ** 2)), 4) AS rmse, count(*) AS n, round(corr(a, b), 5) AS spearman FROM k GROUP BY ALL""")
+def m22_fold_summary(s, d):
+    p = _folds(s, d).where("model = 'ridge'").withColumn("predicted", F.round("predicted", 6))
+    return reports.fold_summary(p).select("season", "position", "target", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), "n", F.round("spearman", 5).alias("spearman"))
+
+
+# ---- forecasts without a model
+
+
+@query(f"""WITH {PAIRS4}, p AS (SELECT *, 20 + player_id % 15 AS age, CASE WHEN 20 + player_id % 15 < 24 THEN 'a' WHEN 20 + player_id % 15 < 27 THEN 'b' WHEN 20 + player_id % 15 < 30 THEN 'c' WHEN 20 + player_id % 15 < 33 THEN 'd' ELSE 'e' END AS band FROM pr WHERE position IS NOT NULL),
+  tr AS (SELECT f.fold AS for_fold, p.* FROM fold f JOIN p ON p.position = f.position AND p.target_season < f.fold), cnt AS (SELECT position, for_fold FROM tr GROUP BY ALL HAVING count(*) >= 150),
+  e AS (SELECT position, for_fold, list_sort(list_distinct(quantile_disc(x1, [0.25, 0.5, 0.75]))) AS edges FROM tr GROUP BY ALL),
+  m AS (SELECT position, for_fold, len(list_filter(edges, lambda x: x < x1)) AS tier, quantile_disc(outcome_carries, 0.5) AS c, quantile_disc(outcome_receptions, 0.5) AS r FROM tr JOIN e USING (position, for_fold) GROUP BY ALL),
+  w AS (SELECT position, for_fold, quantile_disc(outcome_carries, 0.5) AS c, quantile_disc(outcome_receptions, 0.5) AS r, avg(outcome_carries) AS ac, avg(outcome_receptions) AS ar FROM tr GROUP BY ALL),
+  b AS (SELECT position, for_fold, band, avg(outcome_carries) AS ac, avg(outcome_receptions) AS ar FROM tr GROUP BY ALL),
+  t AS (SELECT p.position, target_season, player_id, coalesce(b.ac, w.ac) AS ac, coalesce(b.ar, w.ar) AS ar, coalesce(m.c, w.c) AS mc, coalesce(m.r, w.r) AS mr FROM p JOIN cnt ON cnt.position = p.position AND for_fold = target_season JOIN e ON e.position = p.position AND e.for_fold = target_season
+    JOIN w ON w.position = p.position AND w.for_fold = target_season LEFT JOIN b ON b.position = p.position AND b.for_fold = target_season AND b.band = p.band LEFT JOIN m ON m.position = p.position AND m.for_fold = target_season AND m.tier = len(list_filter(edges, lambda x: x < x1)))
+SELECT position, target_season, player_id, 'outcome_carries' AS target, 'position_age_group_average' AS model, round(ac, 4) AS predicted FROM t UNION ALL SELECT position, target_season, player_id, 'outcome_receptions', 'position_age_group_average', round(ar, 4) FROM t
+UNION ALL SELECT position, target_season, player_id, 'outcome_carries', 'historical_median_comparable_opportunity', mc FROM t UNION ALL SELECT position, target_season, player_id, 'outcome_receptions', 'historical_median_comparable_opportunity', mr FROM t""")
+def m05_fold_baselines(s, d):
+    stats = ["carries", "receptions"]
+    t = windows.lag_features(base.seasons(s, d), stats).withColumns({f"prev2_{c}": F.lag(c, 2).over(windows.by_season()) for c in stats})
+    p = modelling_pairs(t, base.seasons(s, d), STATS).where("position is not null").withColumn("age", 20 + F.col("player_id") % 15)
+    out = past.fold_baselines(p, stats, opportunity="carries", k=32768).where(F.col("model").isin("position_age_group_average", "historical_median_comparable_opportunity"))
+    return out.select("position", "target_season", "player_id", "target", "model", F.when(F.col("model") == "position_age_group_average", F.round("predicted", 4)).otherwise(F.col("predicted")).alias("predicted"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..functions import sql as functions_sql
-from ..operators import capacity, identity_graph, nearest, priors, windows
+from ..operators import capacity, identity_graph, nearest, priors, value, windows
 from . import base
-from .base import SEASONS, table
+from .base import PLAYERS, SEASONS, table
 from .catalogue import query
 
 # ---- identities
@@ -192,3 +193,43 @@ SELECT player_id, season, other_id, other_season, round(distance, 6) AS distance
 def j21_nearest_by_index(s, d):
     r = base.seasons(s, d)
     return nearest.nearest(r, r.where("player_id % 50 = 0"), ["carries", "receptions"], k=5).withColumn("distance", F.round("distance", 6))
+
+
+# ---- what readers of a ranking see
+
+SUPER = value.League(superflex=1)
+CLIENT = PLAYERS + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY points DESC, player_id) AS place, count(*) OVER (PARTITION BY position) AS n FROM players),
+  demand AS (SELECT * FROM (VALUES ('QB', 12), ('RB', 24), ('WR', 36), ('TE', 12)) d(position, base)),
+  flex AS (SELECT position, count(*) AS more FROM (SELECT r.position FROM ranked r JOIN demand USING (position) WHERE place > base ORDER BY points DESC, player_id LIMIT 24) GROUP BY ALL),
+  need AS (SELECT position, greatest(base + coalesce(more, 0), 1) AS rank FROM demand LEFT JOIN flex USING (position)),
+  levels AS (SELECT position, rank, avg(points) AS level FROM ranked JOIN need USING (position) WHERE place BETWEEN least(rank, n) - 1 AND least(rank, n) + 1 GROUP BY ALL)"""
+
+
+@query(f"WITH {CLIENT} SELECT position, rank::INT AS rank, round(level, 6) AS level FROM levels")
+def r07_client_levels(s, d):
+    return value.client_levels(base.players(s, d), SUPER).select("position", F.col("rank").cast("int").alias("rank"), F.round("level", 6).alias("level"))
+
+
+@query(f"""WITH {CLIENT}, e AS (SELECT p.*, coalesce(level, 0) AS level, points - coalesce(level, 0) AS vorp, points / greatest(player_id % 18, 1) AS ppg FROM players p LEFT JOIN levels USING (position))
+SELECT player_id, round(vorp, 4) AS vorp, round(ppg, 4) AS ppg, row_number() OVER (ORDER BY vorp DESC, ppg DESC, player_id)::INT AS display_rank FROM e WHERE position = 'WR' AND player_id % 9 <> 0 AND contains('player ' || player_id, 'r 1')""")
+def r17_rerank(s, d):
+    k = F.col("player_id")
+    e = base.players(s, d).select("player_id", "position", F.concat(F.lit("Player "), k.cast("string")).alias("name"), (k % 9 == 0).alias("rookie"), (k % 18).alias("games"), F.col("points").alias("ppr_points"), F.lit(0.5).alias("confidence"), F.lit(False).alias("has_stats"))
+    out = value.rerank(e, [], {}, SUPER, position="WR", rookie=False, text="R 1")
+    return out.select("player_id", F.round("vorp", 4).alias("vorp"), F.round("ppg", 4).alias("ppg"), "display_rank")
+
+
+@query("""SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(c_name || CASE WHEN c_custkey % 3 = 0 THEN ' O''Neïl  Jr' ELSE ' iv' END), '[^a-z0-9\\s]', '', 'g'), '\\s+(jr|sr|ii|iii|iv|v)$', ''), '\\s+', ' ', 'g')) AS rookie_key,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 2026 - (1980 + c_custkey % 25) END::INT AS age, printf('%.1f', round(c_custkey / 10.0::DOUBLE, 1)) AS shown,
+  CASE WHEN c_custkey % 40 < 24 THEN 'under 24' WHEN c_custkey % 40 < 27 THEN '24-26' WHEN c_custkey % 40 < 30 THEN '27-29' WHEN c_custkey % 40 < 33 THEN '30-32' ELSE '33 and over' END AS age_band,
+  CASE WHEN c_custkey % 11 = 0 THEN 'rookie' WHEN c_custkey % 11 = 1 THEN '2nd season' WHEN c_custkey % 11 <= 3 THEN '3rd-4th season' WHEN c_custkey % 11 <= 7 THEN '5th-8th season' ELSE '9th season and beyond' END AS experience_band,
+  substr(md5('7' || chr(31) || c_custkey), 1, 8) AS id_head FROM customer""")
+def f03_keys_and_bands(s, d):
+    k = F.col("c_custkey")
+    t = table(s, d, "customer")
+    name = F.concat("c_name", F.when(k % 3 == 0, " O'Neïl  Jr").otherwise(" iv"))
+    born = F.when(k % 5 == 0, "unknown").otherwise(F.concat((1980 + k % 25).cast("string"), F.lit("-03-04")))
+    return t.select(
+        "c_custkey", columns.rookie_key(name).alias("rookie_key"), columns.age_by_year(born, F.lit(2026)).alias("age"), columns.fixed_decimals(k / F.lit(10.0)).alias("shown"), columns.age_band(k % 40).alias("age_band"),
+        columns.experience_band(k % 11).alias("experience_band"), F.substring(columns.seeded_id(7, k), 1, 8).alias("id_head"),
+    )

@@ -23,7 +23,7 @@ def _raw_moves(s, d):
         F.when(k % 13 == 0, "unsigned").when(k % 11 == 0, "retired").otherwise("active").alias("roster_status"),
         F.when(k % 5 == 0, "No").when(k % 5 == 1, "yes").when(k % 5 == 2, "TRUE").otherwise("1").alias("active_roster"), F.when(k % 2 == 0, "1").otherwise("no").alias("projection_eligible"),
         F.when(k % 7 < 4, "P1").otherwise("P2").alias("priority"), F.when(k % 4 == 0, "x").otherwise((k % 4).cast("string")).alias("expected_rank"),
-        F.concat(F.lit("2026-0"), (1 + k % 9).cast("string"), F.lit("-01")).alias("as_of_date"),
+        F.concat(F.lit("2026-0"), (1 + k % 9).cast("string"), F.lit("-01")).alias("as_of_date"), F.when(k % 3 == 0, "high").when(k % 3 == 1, "low").alias("starter_confidence"), F.when(k % 5 == 0, "camp battle").alias("role_uncertainty"),
     )
 
 
@@ -36,7 +36,7 @@ MOVES = SEASONS + """, raw AS (SELECT CASE WHEN c_custkey % 17 <> 0 THEN c_custk
     CASE WHEN c_custkey % 3 = 0 THEN 1998 ELSE 1997 END::INT AS effective_season, CASE WHEN c_custkey % 4 = 0 THEN 're_signed' ELSE 'trade' END AS transaction_type,
     CASE WHEN c_custkey % 13 = 0 THEN 'unsigned' WHEN c_custkey % 11 = 0 THEN 'retired' ELSE 'active' END AS roster_status,
     c_custkey % 5 <> 0 AS on_roster, c_custkey % 2 = 0 AS eligible, CASE WHEN c_custkey % 7 < 4 THEN 'P1' ELSE 'P2' END AS priority,
-    CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 4)::DOUBLE END AS expected_rank, '2026-0' || (1 + c_custkey % 9) || '-01' AS as_of_date
+    CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 4)::DOUBLE END AS expected_rank, '2026-0' || (1 + c_custkey % 9) || '-01' AS as_of_date, CASE WHEN c_custkey % 3 = 0 THEN 'high' WHEN c_custkey % 3 = 1 THEN 'low' END AS starter_confidence, CASE WHEN c_custkey % 5 = 0 THEN 'camp battle' END AS role_uncertainty
     FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN seasons s ON s.player_id = c_custkey AND s.season = 1996),
   moves AS (SELECT *, CASE WHEN new_team IN ('RET', 'RETIRED') THEN 'FA' ELSE new_team END AS dest FROM raw)"""
 NOW = MOVES + ", now AS (SELECT * FROM moves WHERE effective_season = 1997 AND player_id IS NOT NULL)"
@@ -85,7 +85,7 @@ def _projected(s, d):
 ROWS = """r AS (SELECT player_id::VARCHAR AS player_id, season, upper(team) AS team, carries, receptions, CASE WHEN player_id % 6 <> 0 THEN upper(team) END AS next_team,
     CASE WHEN player_id % 5 <> 0 THEN upper(team) END AS projected_team, (player_id % 3)::DOUBLE AS depth_rank FROM seasons WHERE season = 1996),
   patched AS (SELECT r.player_id, r.season, r.team, carries, receptions, coalesce(dest, next_team) AS next_team, coalesce(dest, projected_team, next_team) AS projected_team,
-    coalesce(expected_rank, depth_rank) AS depth_rank, coalesce(dest <> r.team, false)::INT AS team_changed, roster_status AS offseason_status, eligible AS projection_eligible, priority AS offseason_priority
+    coalesce(expected_rank, depth_rank) AS depth_rank, coalesce(dest <> r.team, false)::INT AS team_changed, roster_status AS offseason_status, eligible AS projection_eligible, priority AS offseason_priority, starter_confidence, role_uncertainty, on_roster AS offseason_active_roster
     FROM r LEFT JOIN now n USING (player_id))"""
 
 

@@ -205,3 +205,19 @@ def test_functions_of_sql(spark):
         assert got == want
     assert spark.sql("SELECT count(*) FROM draft_order(0, 5)").first()[0] == 0
     assert tuple(spark.sql("SELECT pick_label(13, 12), valid_draft(12, 15, 15, 'linear', true), bid_limit(5, 10, 1)").first()) == ("2.01", False, 0)
+
+
+def test_patched_projections_tell_the_role(spark):
+    kind = "player_id string, new_team string, old_team string, effective_season int, transaction_type string, roster_status string, on_roster boolean, eligible boolean, priority string, expected_rank string, as_of_date string, starter_confidence string, role_uncertainty string"
+    moves = spark.createDataFrame([("1", "B", "A", 2026, "trade", "active", False, True, "P2", "2", "2026-01", "low", "new scheme"), ("1", "C", "A", 2026, "trade", "active", True, True, "P1", "x", "2026-02", "high", None)], kind)
+    rows = spark.createDataFrame([(k, 2025, "A", "A", "A", 1.0) for k in "12"], "player_id string, season int, team string, next_team string, projected_team string, depth_rank double")
+    got = {r.player_id: r for r in roster.patch_projection(rows, moves, 2026).collect()}
+    assert (got["1"].projected_team, got["1"].starter_confidence, got["1"].role_uncertainty, got["1"].offseason_active_roster, got["1"].depth_rank) == ("C", "high", None, True, 1.0)
+    assert (got["2"].projected_team, got["2"].starter_confidence, got["2"].offseason_active_roster) == ("A", None, None)
+
+
+def test_lost_fumbles_from_their_kinds(spark):
+    from seasonforge.operators import projection
+
+    d = spark.createDataFrame([("QB", None, 2.0, None, 1.0), ("QB", 5.0, 9.0, 9.0, 9.0), ("QB", -1.0, 0.0, 0.0, 0.0)], "position string, fumbles_lost double, rushing_fumbles_lost double, receiving_fumbles_lost double, sack_fumbles_lost double")
+    assert [r.pred_fumbles_lost for r in projection.compose(d).collect()] == [pytest.approx(2.7), 4.5, 0.0]

@@ -58,3 +58,17 @@ def test_stream(spark, table, tmp_path):
     again = table.start(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source), str(tmp_path / "other"))  # as if the checkpoint were lost
     again.awaitTermination(120)
     assert rows(table.read(spark)) == want
+
+
+def test_feed_reloads_what_has_changed(spark, table, tmp_path):
+    from seasonforge.streaming import feed
+
+    table.apply(frame(spark, [(1, 1, "a"), (2, 1, "b"), (3, 1, "c")]), 0)
+    source, seen = str(tmp_path / "feed"), []
+    frame(spark, [(1, 7, None), (1, 8, None), (None, 9, None), (3, 9, None)]).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    q = feed.follow(stream, "k", lambda: table.read(spark), lambda d, n: seen.append((n, rows(d))), str(tmp_path / "c"), every=None)
+    q.awaitTermination(120)
+    assert seen == [(0, [(1, 1, "a"), (3, 1, "c")])]
+    table.apply(frame(spark, [(1, 2, "A")]), 1)
+    assert rows(feed.reload(frame(spark, [(1, 0, None)]), "k", table.read(spark))) == [(1, 2, "A")]
