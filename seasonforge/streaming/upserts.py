@@ -2,7 +2,8 @@
 
 The table is dealt to buckets by its keys.  A batch writes new versions of the buckets that it touches, under
 its own number, and is then recorded as committed.  Readers take the last committed version of each bucket, so
-a batch that failed half-way is not seen, and the same batch run again writes the same versions again.
+a batch that failed half-way is not seen, and the same batch run again writes the same versions again.  A table
+has one stream: its batch numbers go on as long as the stream's checkpoint is kept.
 """
 
 from __future__ import annotations
@@ -25,6 +26,33 @@ class UpsertTable:
     schema: StructType
     buckets: int = 16
 
+    def _list(self, spark: SparkSession, folder: str, part: str) -> dict[int, object]:
+        """Folders ``part=number`` below a folder of the table, by number."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [x.getPath() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return {int(p.getName().partition("=")[2]): p for p in found if p.getName().startswith(f"{part}=")}
+
+    def vacuum(self, spark: SparkSession, keep: int = 100) -> int:
+        """Deletes what no reader of the last ``keep`` batches needs: older marks, and versions of a bucket that newer ones replace.
+
+        Gives the number of deleted folders.  The last mark and the last version of each bucket always stay.
+        """
+        marks = self._list(spark, "commits", "batch")
+        if not marks:
+            return 0
+        oldest = sorted(marks)[-keep:][0]  # readers may be as far behind
+        gone, needed = [], set()
+        for bucket in self._list(spark, "data", "bucket"):
+            versions = self._list(spark, f"data/bucket={bucket}", "version")
+            first = max((v for v in versions if v <= oldest and v in marks), default=-1)  # what the oldest reader sees
+            gone += [p for v, p in versions.items() if v < first]
+            needed |= {v for v in versions if v >= first}
+        gone += [p for b, p in marks.items() if b < oldest and b not in needed]  # a version is seen by its mark
+        for p in gone:
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        return len(gone)
+
     def _stored(self, spark: SparkSession, folder: str, schema: str | StructType, parts: str) -> DataFrame | None:
         jvm = spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")

@@ -72,3 +72,16 @@ def test_feed_reloads_what_has_changed(spark, table, tmp_path):
     assert seen == [(0, [(1, 1, "a"), (3, 1, "c")])]
     table.apply(frame(spark, [(1, 2, "A")]), 1)
     assert rows(feed.reload(frame(spark, [(1, 0, None)]), "k", table.read(spark))) == [(1, 2, "A")]
+
+
+def test_vacuum_keeps_what_readers_see(spark, table):
+    for n in range(8):
+        table.apply(frame(spark, [(n % 3, n, f"v{n}"), (100 + n, n, "own")]), n)
+    want = rows(table.read(spark))
+    behind = rows(table.read(spark, before=6))
+    assert table.vacuum(spark, keep=3) > 0
+    assert rows(table.read(spark)) == want and rows(table.read(spark, before=6)) == behind
+    assert table.vacuum(spark, keep=3) == 0
+    table.apply(frame(spark, [(0, 99, "last")]), 8)
+    assert (0, 99, "last") in rows(table.read(spark)) and len(rows(table.read(spark))) == len(want)
+    assert UpsertTable(table.path + "-none", ("k",), "at", SCHEMA).vacuum(spark) == 0
