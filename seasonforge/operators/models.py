@@ -165,11 +165,8 @@ def ensemble_weights(metrics: DataFrame, k: int = 3) -> DataFrame:
 
 def rank_metrics(rows: DataFrame, by: list[str], tops: tuple[int, ...] = (12, 24, 50)) -> DataFrame:
     """Spearman correlation (mean ranks on ties), mean rank error, and overlap of the tops as a share of each size."""
-    m = ranks.rank_metrics(rows, by, tops=(), with_kendall=False, least=1)
-    first = [ranks.first_k(rows, by, [F.col(v).desc(), F.col("player_id")], max(tops), n).select(*by, "player_id", n) for v, n in (("predicted", "_pi"), ("actual", "_ai"))]
-    hits = first[0].join(first[1], [*by, "player_id"]).groupBy(*by).agg(*[F.count_if((F.col("_pi") <= k) & (F.col("_ai") <= k)).alias(f"_h{k}") for k in tops])
-    d = m.join(hits, by, "left")
-    return d.select(*by, "spearman", F.col("mean_rank_error").alias("rank_error"), *[(F.coalesce(F.col(f"_h{k}"), F.lit(0)) / F.lit(float(k))).alias(f"top{k}") for k in tops])
+    m = ranks.rank_metrics(rows, by, tops=tops, with_kendall=False, least=1, whole=False)
+    return m.select(*by, "spearman", F.col("mean_rank_error").alias("rank_error"), *[f"top{k}" for k in tops])
 
 
 def kendall(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
+from .lineage import written
 
 
 def distance(x: Column, y: Column) -> Column:
@@ -30,11 +31,11 @@ def pivots(points: DataFrame, group: str) -> DataFrame:
 
 
 def cells(points: DataFrame, at: DataFrame, group: str) -> DataFrame:
-    """Points with the cell of their nearest pivot and the distance to it: ``cell, away``."""
-    d = points.join(at, group).withColumn("_d", distance(F.col("z"), F.col("at")))
-    keep = [c for c in points.columns]
-    best = d.groupBy(*keep).agg(F.min(F.struct("_d", "pivot")).alias("_b"))
-    return best.select(*keep, F.col("_b.pivot").alias("cell"), F.col("_b._d").alias("away"))
+    """Points with the cell of their nearest pivot and the distance to it: ``cell, away``.  No row is multiplied."""
+    near = at.groupBy(group).agg(F.collect_list(F.struct("pivot", "at")).alias("_p"))  # the pivots of a group: about 2 * sqrt(n)
+    best = F.array_min(F.transform("_p", lambda p: F.struct(distance(F.col("z"), p["at"]).alias("d"), p["pivot"].alias("pivot"))))
+    d = points.join(F.broadcast(near), group).withColumn("_b", best)
+    return d.select(*points.columns, F.col("_b.pivot").alias("cell"), F.col("_b.d").alias("away"))
 
 
 def candidates(queries: DataFrame, indexed: DataFrame, at: DataFrame, group: str, owner: str, k: int) -> DataFrame:
@@ -64,8 +65,8 @@ def nearest(rows: DataFrame, queries: DataFrame, names: list[str], k: int = 3, g
     r, q = standardised(rows, names, rows, queries)
     r = r.where(F.col(group).isNotNull()).select(group, owner, season, "z")
     q = q.where(F.col(group).isNotNull()).select(group, owner, season, "z")
-    at = pivots(r, group)
-    indexed = cells(r, at, group)
+    at = written(pivots(r, group))
+    indexed = written(cells(r, at, group))  # it is read for the cells' sizes, for owners and for the candidates
     asked = candidates(q, indexed, at, group, owner, k)
     other = indexed.select(group, "cell", F.col(owner).alias("other_id"), F.col(season).alias("other_season"), F.col("z").alias("_y"))
     d = asked.join(other, [group, "cell"]).where(F.col(owner) != F.col("other_id")).withColumn("distance", F.round(distance(F.col("z"), F.col("_y")), 9))

@@ -119,12 +119,12 @@ def kendall(rows: DataFrame, within: list[str], x: str, y: str, buckets: int = B
     return out.select(*within, "n", F.try_divide(F.col("_s"), F.sqrt((whole - F.col("_t_x")) * (whole - F.col("_t_y")))).alias("kendall"))
 
 
-def rank_metrics(rows: DataFrame, by: list[str], predicted: str = "predicted", actual: str = "actual", key: str = "player_id", tops: tuple[int, ...] = (12, 24, 50, 100), starters: int | None = None, buckets: int = BUCKETS, with_kendall: bool = True, least: int = 3) -> DataFrame:
+def rank_metrics(rows: DataFrame, by: list[str], predicted: str = "predicted", actual: str = "actual", key: str = "player_id", tops: tuple[int, ...] = (12, 24, 50, 100), starters: int | None = None, buckets: int = BUCKETS, with_kendall: bool = True, least: int = 3, whole: bool = True) -> DataFrame:
     """``by, n, spearman, kendall, mean_rank_error, median_rank_error, top*, starter_precision, starter_recall`` of groups.
 
     Rows without either value are left out; a group of less than ``least`` has its ``n`` only.  Correlations are
     null where a column has one value.  ``top k`` is the share of the actual first k that are predicted first
-    k, null in smaller groups; ties go to the smaller ``key``.  Precision and recall take the first
+    k, null in smaller groups (if ``whole``); ties go to the smaller ``key``.  Precision and recall take the first
     ``starters``.  The median of rank errors is from a quantile sketch, exact in groups under 10,000 rows.
     """
     nan = F.isnan(F.col(predicted).cast("double")) | F.isnan(F.col(actual).cast("double"))
@@ -140,7 +140,7 @@ def rank_metrics(rows: DataFrame, by: list[str], predicted: str = "predicted", a
         both = matched(*first, [*by, key], "inner")
         hits = both.groupBy(*by).agg(*[F.count_if((F.col("_pi") <= k) & (F.col("_ai") <= k)).alias(f"_h{k}") for k in dict.fromkeys(sizes)])
         out = matched(out, hits, by)
-    share = lambda k: F.when(F.col("n") >= k, F.coalesce(F.col(f"_h{k}"), F.lit(0)) / F.lit(float(k)))
+    share = lambda k: F.when((F.col("n") >= k) | ~F.lit(whole), F.coalesce(F.col(f"_h{k}"), F.lit(0)) / F.lit(float(k)))
     new = {f"top{k}": share(k) for k in tops} | {f"starter_{m}": share(starters) if starters else F.lit(None).cast("double") for m in ("precision", "recall")}
     few = lambda c: F.when(F.col("n") >= least, c)
     return out.select(*by, "n", *[few(F.col(c)).alias(c) for c in ("spearman", "kendall", "mean_rank_error", "median_rank_error")], *[few(c).alias(n) for n, c in new.items()])
