@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import columns
 from ..functions import sql as functions_sql
 from ..operators import capacity, identity_graph, nearest, priors, value, windows
-from ..operators.lineage import written
 from . import base
 from .base import PLAYERS, SEASONS, table
 from .catalogue import query
@@ -192,7 +191,7 @@ def x07_draft_orders(s, d):
   p AS (SELECT a.player_id, a.season, b.player_id AS other_id, b.season AS other_season, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS distance FROM z a JOIN z b ON a.position = b.position AND a.player_id <> b.player_id WHERE a.player_id % 50 = 0)
 SELECT player_id, season, other_id, other_season, round(distance, 6) AS distance, row_number() OVER (PARTITION BY player_id, season ORDER BY distance, other_id, other_season)::INT AS rank FROM p QUALIFY rank <= 5""")
 def j21_nearest_by_index(s, d):
-    r = written(base.seasons(s, d))  # it is read for the moments, the index and the queries
+    r = base.stored_seasons(s, d)
     return nearest.nearest(r, r.where("player_id % 50 = 0"), ["carries", "receptions"], k=5).withColumn("distance", F.round("distance", 6))
 
 

@@ -41,3 +41,9 @@ def test_comparisons_stay_few_among_equal_rows(spark):
     few, many = (nearest.comparisons(d.where(f"player_id < {n}"), d.where(f"player_id < {n} and player_id % 50 = 0"), ["a", "b"], k=3) for n in (5_000, 20_000))
     assert many[1] == 16 * few[1]
     assert many[0] < 8 * few[0] and many[0] < 400 * 200
+
+
+def test_distances_may_stay_unrounded(spark):
+    d = spark.createDataFrame([(1, 2000, "QB", 0.0), (2, 2000, "QB", 1.0), (3, 2000, "QB", 3.1234567890123)], "player_id int, season int, position string, a double")
+    plain, nine = ([r.distance for r in season.neighbours(d, d, ["a"], rounded=r).orderBy("player_id", "rank").collect()] for r in (False, True))
+    assert plain != nine and [round(x, 9) for x in plain] == nine
