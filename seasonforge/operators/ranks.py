@@ -51,6 +51,32 @@ def mean_ranks(rows: DataFrame, within: list[str], orders: dict[str, Column], bu
     return out
 
 
+def quantiles(rows: DataFrame, by: list[str], value: Column, at: dict[str, float], linear: bool = True, weight: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """``by, n`` and a column for each name of ``at``: exact quantiles of the present values of each group.
+
+    Linear between values, or else the smallest value that so large a share of the rows does not exceed.  Equal
+    values are one row; only the buckets in which a quantile lies are sorted, so no task holds a group.
+    """
+    some = rows.select(*by, value.cast("double").alias("_v"), (F.lit(1) if weight is None else weight).cast("long").alias("_w")).where("_v is not null")
+    d = written(some.groupBy(*by, "_v").agg(F.sum("_w").alias("_n")))  # it is read for the edges, for the buckets and for the values
+    d = matched(d, _edges(d, by, "_v", buckets), by).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    group = Window.partitionBy(*by)  # a row for each bucket
+    b = d.groupBy(*by, "_b").agg(F.sum("_n").alias("_m")).withColumns({"_upto": F.sum("_m").over(group.orderBy("_b")), "n": F.sum("_m").over(group)})
+    n = F.col("n").cast("double")
+    place = {name: (n - 1) * F.lit(float(p)) if linear else F.greatest(F.lit(1.0), n - F.floor(n - n * F.lit(float(p)))) - 1 for name, p in at.items()}
+    each = [F.struct(F.lit(name).alias("name"), F.lit(up).alias("up"), ((F.ceil(x) if up else F.floor(x)) + 1).cast("long").alias("rank")) for name, x in place.items() for up in (False, True)]
+    b = b.select(*by, "_b", "n", (F.col("_upto") - F.col("_m")).alias("_before"), "_upto", F.explode(F.array(*each)).alias("_place"))
+    b = written(b.where((F.col("_place.rank") > F.col("_before")) & (F.col("_place.rank") <= F.col("_upto"))))  # two rows for each group and quantile
+    own = F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    near = matched(d, b.select(*by, "_b").distinct(), [*by, "_b"], "inner").withColumn("_run", own)
+    found = matched(b, near, [*by, "_b"], "inner").where((F.col("_place.rank") - F.col("_before")).between(F.col("_run") - F.col("_n") + 1, F.col("_run")))
+    side = lambda name, up: F.max(F.when((F.col("_place.name") == name) & (F.col("_place.up") == up), F.col("_v")))
+    out = found.groupBy(*by).agg(F.max("n").alias("n"), *[side(name, up).alias(f"_{name}_{int(up)}") for name in at for up in (False, True)])
+    low, high = (lambda name: F.col(f"_{name}_0")), (lambda name: F.col(f"_{name}_1"))
+    between = lambda name, x: F.when(low(name) == high(name), low(name)).otherwise((F.ceil(x) - x) * low(name) + (x - F.floor(x)) * high(name))
+    return out.select(*by, "n", *[between(name, x).alias(name) for name, x in place.items()])
+
+
 def first_k(rows: DataFrame, within: list[str], order: list[Column], k: int, name: str) -> DataFrame:
     """The first ``k`` rows of each group with their numbers; every task passes on ``k`` rows of a group at most."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col(name) <= k)
@@ -86,6 +112,7 @@ def kendall(rows: DataFrame, within: list[str], x: str, y: str, buckets: int = B
     if not within:
         return kendall(rows.withColumn("_whole", F.lit(0)), ["_whole"], x, y, buckets).drop("_whole")
     d = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*within, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_w"))
+    d = written(d)  # it is read for the edges of both columns, and to be dealt
     for v in ("x", "y"):  # between two edges: an even number; at an edge: an odd one
         d = matched(d, _edges(d, within, f"_{v}", buckets).withColumnRenamed("_edges", "_e"), within)
         d = d.withColumn(f"_{v}b", 2 * F.size(F.filter("_e", lambda e: e < F.col(f"_{v}"))) + F.array_contains("_e", F.col(f"_{v}")).cast("int")).drop("_e")  # noqa: B023
