@@ -85,16 +85,16 @@ def group_mean(train: DataFrame, test: DataFrame, keys: list[str], target: str,
 def tier_median(train: DataFrame, test: DataFrame, volume: str, target: str, name: str, exact: bool = False) -> DataFrame:
     """Median outcome of the quartile of volume, by quartile edges of the training rows.
 
-    From quantile sketches, or by exact percentiles (linear between values), which gather each group in a task.
+    From quantile sketches, or exactly (linear between values).
     """
     if exact:
-        edges = train.agg(F.percentile(F.col(volume).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+        edges = ranks.quantiles(train, [], F.col(volume), {"a": 0.25, "b": 0.5, "c": 0.75}).select(F.array("a", "b", "c").alias("q"))
     else:
         edges = sketches.states(train, [], F.col(volume)).select(F.array(*[sketches.quantile("state", p) for p in (0.25, 0.5, 0.75)]).alias("q"))
     tier = lambda: F.size(F.filter("q", lambda e: e < F.col(volume)))
     marked = train.join(F.broadcast(edges)).withColumn("_t", tier())  # a single row
     if exact:
-        medians = marked.groupBy("_t").agg(F.median(F.col(target).cast("double")).alias(name))
+        medians = ranks.quantiles(marked, ["_t"], F.col(target), {name: 0.5}).drop("n")
     else:
         medians = sketches.states(marked, ["_t"], F.col(target)).select("_t", sketches.quantile("state", 0.5).alias(name))
     return test.join(F.broadcast(edges)).withColumn("_t", tier()).join(F.broadcast(medians), "_t", "left").drop("_t", "q")  # four rows
@@ -177,14 +177,12 @@ def kendall(rows: DataFrame, by: list[str]) -> DataFrame:
 def interval_bounds(train: DataFrame, by: list[str], low: float = 0.2, high: float = 0.8, least: int = 40, exact: bool = False) -> DataFrame:
     """Residual quantiles by group; a group with fewer than ``least`` rows gets those of all rows.
 
-    From quantile sketches, those of all rows merged from the groups'; or by exact percentiles (linear between
-    values), which gather each group, and then all rows, in a task.
+    From quantile sketches, those of all rows merged from the groups'; or exactly (linear between values).
     """
     r = train.withColumn("_r", F.col("actual") - F.col("predicted"))
     if exact:
-        q = lambda p: F.percentile("_r", F.lit(p))
-        own = r.groupBy(*by).agg(F.count("*").alias("n"), q(low).alias("lo"), q(high).alias("hi"))
-        whole = r.agg(q(low).alias("_lo"), q(high).alias("_hi"))
+        own = ranks.matched(r.groupBy(*by).agg(F.count("*").alias("n")), ranks.quantiles(r, by, F.col("_r"), {"lo": low, "hi": high}).drop("n"), by)
+        whole = ranks.quantiles(r, [], F.col("_r"), {"_lo": low, "_hi": high}).drop("n")
     else:
         parts = sketches.states(r, by, F.col("_r"))
         q = lambda p: sketches.quantile("state", p)
