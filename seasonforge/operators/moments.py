@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -192,8 +193,9 @@ def fit(prefix: DataFrame, by: list[str], design: Design, trials: DataFrame) ->
     return d.select(*by, "gram", "trial", "alpha", "l1", "impute", "scale").mapInArrow(run, f"{kinds}, trial int, target string, n long, weights array<double>")
 
 
-def dot(weights: str, vector: str = "_z") -> Column:
-    return F.aggregate(F.zip_with(weights, vector, lambda w, x: w * x), F.lit(0.0), lambda a, x: a + x)
+def dot(weights: str, size: int, vector: str = "_z") -> Column:
+    """The product of weights and a vector of that size, place by place, so that Spark compiles it."""
+    return reduce(lambda a, i: a + F.get(weights, F.lit(i)) * F.get(vector, F.lit(i)), range(size), F.lit(0.0))
 
 
 def _long(rows: DataFrame, keys: list[str], design: Design) -> DataFrame:
@@ -225,19 +227,19 @@ class Backtest:
         The fold's season itself is never looked at.  All parameter sets of all folds are scored in one pass;
         ties go to the first set.  Folds with nothing to fit on before their held-out seasons are left out.
         """
-        models = self.models(trials) if models is None else models
+        models = written(self.models(trials)) if models is None else models  # a table, so that Spark knows how small it is
         inner = folds(self.sums, self.by, self.season, holdout).where("before is not null")
         held = inner.select(*self.by, "fold", "before", F.explode("held").alias(self.season))
         rows = _long(self.pairs, [*self.by, self.season], self.design).join(F.broadcast(held), [*self.by, self.season])  # rows for each group and season
         m = models.withColumnRenamed("past", "before").select(*self.by, "before", "trial", "target", "weights")
         scored = rows.join(m, [*self.by, "before", "target"])
-        mae = scored.groupBy(*self.by, "fold", "target", "trial").agg(F.avg(F.abs(dot("weights") - F.col("actual"))).alias("mae"))
+        mae = scored.groupBy(*self.by, "fold", "target", "trial").agg(F.avg(F.abs(dot("weights", self.design.inputs) - F.col("actual"))).alias("mae"))
         best = mae.groupBy(*self.by, "fold", "target").agg(F.min(F.struct("mae", "trial")).alias("b"))
         return best.select(*self.by, "fold", "target", "b.trial", "b.mae")
 
     def predictions(self, trials: DataFrame, name: str, tuned: bool = False, default: int = 1, holdout: int = 2) -> DataFrame:
         """``by, season, target, player_id, model, predicted, actual`` of every fold; with ``tuned``, each by its own best parameter set."""
-        models = self.models(trials)
+        models = written(self.models(trials))  # read to be tuned and to predict
         fold = folds(self.sums, self.by, self.season, holdout).select(*self.by, F.col("fold").alias(self.season), "past")
         m = models.where(F.col("n") >= self.least).join(F.broadcast(fold), [*self.by, "past"])  # a row for each group and season
         if tuned:
@@ -246,8 +248,8 @@ class Backtest:
         else:
             m = m.where(F.col("trial") == default)
         rows = _long(self.pairs, [*self.by, self.season, "player_id"], self.design)
-        out = rows.join(m.select(*self.by, self.season, "target", "weights"), [*self.by, self.season, "target"])
-        return out.select(*self.by, self.season, "target", "player_id", F.lit(name).alias("model"), dot("weights").alias("predicted"), "actual")
+        out = rows.join(written(m.select(*self.by, self.season, "target", "weights")), [*self.by, self.season, "target"])
+        return out.select(*self.by, self.season, "target", "player_id", F.lit(name).alias("model"), dot("weights", self.design.inputs).alias("predicted"), "actual")
 
 
 def comparison(fold_metrics: DataFrame, by: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models, moments, past, ranks, reports, sketches, windows
 from ..operators.features import modelling_pairs
+from ..operators.lineage import written
 from . import base
 from .base import PAIRS, SEASONS, STATS
 from .catalogue import PREDICTIONS, _predictions, query
@@ -15,12 +16,12 @@ ALPHAS = [1.0, 1e4, 1e6, 1e8]
 
 
 def _pairs(s, d):
-    t = base.seasons(s, d)
+    t = base.stored_seasons(s, d)
     return modelling_pairs(windows.lag_features(t, ["carries"]), t, STATS).where("position is not null")
 
 
-def _backtest(s, d):
-    return moments.Backtest(_pairs(s, d), DESIGN)
+def _backtest(s, d, pairs=None):
+    return moments.Backtest(_pairs(s, d) if pairs is None else pairs, DESIGN)
 
 
 PAIRS4 = SEASONS + """, lagged AS (SELECT *, lag(carries) OVER w AS prev_carries FROM seasons WINDOW w AS (PARTITION BY player_id ORDER BY season)),
@@ -68,10 +69,11 @@ def m08_tuning(s, d):
 
 
 def _compared(s, d):
-    b = _backtest(s, d)
-    tuned = b.predictions(moments.parameter_sets(s, {"alpha": ALPHAS}), "ridge", tuned=True)
+    pairs = written(_pairs(s, d))  # read by both kinds of models
+    b = _backtest(s, d, pairs)
+    tuned = written(b.predictions(moments.parameter_sets(s, {"alpha": ALPHAS}), "ridge", tuned=True))  # read for its folds too
     known = tuned.select("position", "target_season").distinct()  # folds with enough rows before them
-    plain = _pairs(s, d).join(F.broadcast(known), ["position", "target_season"])  # a row for each group and season
+    plain = pairs.join(F.broadcast(known), ["position", "target_season"])  # a row for each group and season
     each = [F.struct(F.lit(f"outcome_{t}").alias("target"), F.col(t).cast("double").alias("predicted"), F.col(f"outcome_{t}").cast("double").alias("actual")) for t in STATS]
     last = plain.withColumn("_t", F.explode(F.array(*each))).select("position", "target_season", "_t.target", "player_id", F.lit("previous_total").alias("model"), "_t.predicted", "_t.actual")
     return tuned.unionByName(last)
@@ -192,7 +194,8 @@ SELECT position, target_season, player_id, 'outcome_carries' AS target, 'positio
 UNION ALL SELECT position, target_season, player_id, 'outcome_carries', 'historical_median_comparable_opportunity', mc FROM t UNION ALL SELECT position, target_season, player_id, 'outcome_receptions', 'historical_median_comparable_opportunity', mr FROM t""")
 def m05_fold_baselines(s, d):
     stats = ["carries", "receptions"]
-    t = windows.lag_features(base.seasons(s, d), stats).withColumns({f"prev2_{c}": F.lag(c, 2).over(windows.by_season()) for c in stats})
-    p = modelling_pairs(t, base.seasons(s, d), STATS).where("position is not null").withColumn("age", 20 + F.col("player_id") % 15)
-    out = past.fold_baselines(p, stats, opportunity="carries", k=32768).where(F.col("model").isin("position_age_group_average", "historical_median_comparable_opportunity"))
+    seasons = base.stored_seasons(s, d)
+    t = windows.lag_features(seasons, stats).withColumns({f"prev2_{c}": F.lag(c, 2).over(windows.by_season()) for c in stats})
+    p = modelling_pairs(t, seasons, STATS).where("position is not null").withColumn("age", 20 + F.col("player_id") % 15)
+    out = past.fold_baselines(p, stats, opportunity="carries", exact=True).where(F.col("model").isin("position_age_group_average", "historical_median_comparable_opportunity"))
     return out.select("position", "target_season", "player_id", "target", "model", F.when(F.col("model") == "position_age_group_average", F.round("predicted", 4)).otherwise(F.col("predicted")).alias("predicted"))
