@@ -59,4 +59,4 @@ def test_pace_deals_games_to_tasks_by_their_number(spark):
     out = aggregates.pace(d, about=5000, most=300)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(game_id" in plan and ", 17)" in plan and "hashpartitioning(team#" in plan
-    assert sorted(map(tuple, out.collect())) == pytest.approx(sorted(map(tuple, aggregates.pace(d).collect())))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, aggregates.pace(d).collect()))  # sums of whole numbers
