@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -118,6 +119,10 @@ GRAM = 3
 MISS = 0.001
 #: Lines of which fewer runs are taken by hash give all their runs.
 POOR = 4
+#: Bits of the table of keys of more than two lines (4 MB), and lines of a key from which on it is cut by length.
+KEY_BITS, CLASSED = 1 << 25, 64
+#: Lines of more words also have parities in 64 * WIDE buckets: those of ``ODD`` are full at some 300 words.
+LONG, WIDE = 128, 32
 
 
 @lru_cache(maxsize=None)
@@ -137,8 +142,8 @@ def _needs(size: int, similarity: float) -> tuple[bool, bool, float]:
     return bool((run == 1).any()), bool((run == 2).any()), float(share)
 
 
-def _keys(similarity: float):
-    """Keys of lines; two lines that can be linked have an equal one, but for ``MISS``."""
+def _keys(similarity: float, wanted: np.ndarray | None = None):
+    """Keys of lines; two lines that can be linked have an equal one, but for ``MISS``.  With ``wanted``, only keys whose bit is set there."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -163,6 +168,10 @@ def _keys(similarity: float):
                     keys.append(h[at])
                 owners.append(line[at])
             key, owner = np.concatenate(keys), np.concatenate(owners)
+            if wanted is not None:
+                at = key & U(64 * len(wanted) - 1)
+                hit = (wanted[at >> U(6)] >> (at & U(63)) & U(1)).astype(bool)
+                key, owner = key[hit], owner[hit]
             order = np.lexsort((key, owner))
             key, owner = key[order], owner[order]
             new = np.ones(len(key), bool)
@@ -172,30 +181,59 @@ def _keys(similarity: float):
     return run
 
 
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A table of ``KEY_BITS`` bits in which the last bits of ``keys(key)`` are set: of the same size for any number of keys."""
+    at = F.col("key").bitwiseAND(KEY_BITS - 1)
+    found = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(KEY_BITS // 64, U)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(U)
+    return out
+
+
+def _wide(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parities of the counts of a line's words in 64 * ``WIDE`` buckets."""
+    for part in parts:
+        c, size = _words(part["code"])
+        at = mix(c.astype(U) ^ U(0x5BD1E995)) % U(64 * WIDE)
+        cell = np.repeat(np.arange(len(size)), size) * (64 * WIDE) + at.astype(np.int64)
+        cell, n = np.unique(cell, return_counts=True)
+        cell = cell[n % 2 == 1]
+        out = np.zeros(len(size) * WIDE, U)
+        np.bitwise_or.at(out, cell >> 6, U(1) << (cell & 63).astype(U))
+        offsets = pa.array(np.arange(len(size) + 1) * WIDE, pa.int32())
+        yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(offsets, pa.array(out.view(np.int64)))], ["id", "wide"])
+
+
 def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Groups of fuzzily equal lines: ``node, component`` for distinct normalised lines that have a partner.
 
     ``lines(id, odd0 to odd3, code)`` has each line once.  Lines are linked when their edit similarity in words is at
-    least ``similarity``.  The lines of a key are first compared with its smallest line, then with its
-    line of most links; keys whose lines are then connected are settled.  In the rest all pairs are compared that lengths and ``ODD`` allow: pairs
-    of a key are filtered by these as they are formed, so hardly any but alike lines come out; keys of very
-    many lines are compared in pairs of blocks, which emit a spanning forest.
+    least ``similarity``.  Keys are counted first; a key of two lines is their pair.  The lines of a larger key are
+    compared with its smallest line, then with one of its linked lines, another for each key, so that a crowd of near
+    copies is connected after as many comparisons as it has rows.  Keys whose lines are then connected are settled.
+    In the rest, lines outside a key's largest component are compared with all its lines that lengths, ``ODD`` and, for
+    long lines, ``_wide`` allow, each pair at the first of its keys: pairs are filtered and verified as they are formed,
+    so only links come out; keys of very many lines are compared in pairs of blocks, which emit a spanning forest.
 
     Keys are counted in a table of their own before rows meet it, so that a key of very many lines is split
-    by Spark's skew join.
+    by Spark's skew join.  Rows of keys of one or two lines, nearly all, are left out by ``_bits`` before that.
     """
     spark = lines.sparkSession
-    members = lines.select("id", "code").mapInArrow(_keys(similarity), "key long, id long")
-    shared = cut(members.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"), F.count("*").alias("n")).where("c <> z").drop("z"))
+    kind = "key long, id long"
+    members = lines.select("id", "code").mapInArrow(_keys(similarity), kind)
+    counted = cut(members.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"), F.count("*").alias("n")).where("n > 1"))
     release(spark)
-    near = cut(members.join(shared, "key"))
-    drop_cut(shared)
+    shared = counted.where("n > 2").select("key", "c", "n")
+    near = cut(lines.select("id", "code").mapInArrow(_keys(similarity, _bits(shared)), kind).join(shared, "key"))
     release(spark)
     light = lines.select("id", F.length("code").alias("size"), *ODD)
 
     most = lambda longest: F.floor((1 - similarity) * longest + 1e-9).cast("int")
     longest, shortest = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
     fit = (shortest >= similarity * longest) & (sum(F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in ODD) <= 2 * most(longest))
+    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    alike = F.col("wide_a").isNull() | F.col("wide_b").isNull() | (apart <= 2 * most(longest))
+    edits: Column = F.call_function("levenshtein", F.col("code_a"), F.col("code_b"), most(F.greatest(F.length("code_a"), F.length("code_b"))))
 
     def side(d: DataFrame, name: str, *more: str) -> DataFrame:
         return d.select(*more, F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in d.columns if c not in ("id", *more)])
@@ -204,62 +242,80 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
         ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         code = cut(lines.select("id", "code").join(ids, "id", "left_semi"))
         both = pairs.join(side(code, "a"), "a").join(side(code, "b"), "b")
-        edits: Column = F.call_function("levenshtein", F.col("code_a"), F.col("code_b"), most(F.greatest(F.length("code_a"), F.length("code_b"))))
         return both.where(edits >= 0).select("a", "b")
 
     def fitting(pairs: DataFrame) -> DataFrame:
         return cut(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(fit).select("a", "b"))
 
-    def placed_in(groups: DataFrame, *more: DataFrame) -> DataFrame:
-        """Rows of keys of more than two lines, with the component of each line."""
-        d = light.join(groups.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        for m in more:
-            d = d.join(m, "id", "left")
-        return cut(near.where("n > 2").drop("n").join(d, "id"))
-
-    star = fitting(near.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct())
+    star = near.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    star = fitting(counted.where("n = 2").select(F.col("c").alias("a"), F.col("z").alias("b")).unionByName(star).distinct())
     links = cut(passing(star))
     drop_cut(star)
+    drop_cut(counted)
     groups = cut(connected_components(links))
 
-    # once more with the line of most links of each key, which in a crowd of near copies is close to most
-    degree = cut(links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg")))
-    placed = placed_in(groups, degree)
-    best = F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), (-F.col("id")).alias("neg"), "comp")).alias("h")
-    hubs = cut(placed.groupBy("key").agg(best, F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z and h.deg > 0").select("key", (-F.col("h.neg")).alias("a"), F.col("h.comp").alias("_comp")))
-    asked = placed.join(hubs, "key").where("comp <> _comp and a <> c").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    def open_rows() -> DataFrame:
+        """Rows of keys whose lines are not connected yet, with the component of each line."""
+        comp = groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
+        placed = near.select("key", "id", "n").join(comp, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"), F.col("comp").isNotNull().alias("linked"))
+        placed = cut(placed)
+        keys = cut(placed.groupBy("key").agg(F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("key"))
+        out = cut(placed.join(keys, "key"))
+        drop_cut(placed)
+        return out
+
+    rows = open_rows()
+    pivot = F.min(F.struct(F.xxhash64("id", "key").alias("_"), F.col("id").alias("a"), F.col("comp").alias("_comp"))).alias("h")
+    pivots = cut(rows.where("linked").groupBy("key").agg(pivot).select("key", "h.a", "h._comp"))
+    asked = rows.join(pivots, "key").where("comp <> _comp").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     more = cut(passing(fitting(asked)))
-    drop_cut(hubs)
+    drop_cut(pivots)
     if not more.isEmpty():
-        drop_cut(placed)
         groups = cut(connected_components(groups.toDF("a", "b").unionByName(more)))
-        placed = placed_in(groups)
+        drop_cut(rows)
+        rows = open_rows()
     drop_cut(near)
     release(spark)
-    open_ = cut(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("key", "n"))
-    sized = cut(placed.join(open_, "key"))
-    drop_cut(placed)
-    drop_cut(open_)
-    release(spark)
 
-    few = sized.where(F.col("n") <= SMALL_KEY).select("key", "c", "id", "comp", "size", *ODD)
-    x, y = side(few.drop("c"), "a", "key"), side(few, "b", "key", "c")
-    pairs = cut(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a") != F.col("c")) & (F.col("comp_a") != F.col("comp_b")) & fit).select("a", "b").distinct())
+    # rows that have a fitting line in their key, found without codes
+    ids = cut(rows.select("id").distinct())
+    known = cut(lines.select("id", "code", *ODD).join(ids, "id", "left_semi"))
+    wide = cut(known.where(F.length("code") > LONG).select("id", "code").mapInArrow(_wide, "id long, wide array<long>"))
+    sized = cut(rows.drop("linked").join(known.select("id", F.length("code").alias("size"), *ODD).join(wide, "id", "left"), "id"))
+    drop_cut(rows)
+    drop_cut(ids)
+    release(spark)
+    # in keys of many lines only those of like length meet: lengths of a pair differ by a class at most
+    few = sized.where(F.col("n") <= SMALL_KEY).withColumn("class", F.when(F.col("n") > CLASSED, F.floor(F.log("size") / math.log(1.01 / similarity))).otherwise(0).cast("int"))
+    reach = F.when(F.col("n") > CLASSED, F.array(*[F.col("class") + j for j in (-1, 0, 1)])).otherwise(F.array("class"))
+    x = side(few.withColumn("class", F.explode(reach)), "a", "key", "class")
+    y = side(few.drop("n"), "b", "key", "class").withColumnsRenamed({"key": "_key", "class": "_class"})
+    meet = x.join(y, (F.col("key") == F.col("_key")) & (F.col("class") == F.col("_class")) & (F.col("comp_a") != F.col("comp_b")) & fit & alike, "left_semi")
+    meet = cut(meet.select("key", F.col("a").alias("id"), F.col("comp_a").alias("comp")).distinct())
+    release(spark)
 
-    more = cut(passing(pairs))
+    main = meet.groupBy("key", "comp").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max_by("comp", F.struct("_n", (-F.col("comp")).alias("_"))).alias("main"))
+    keys = meet.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    full = cut(meet.join(cut(main), "key").join(known.withColumn("size", F.length("code")).join(wide, "id", "left").join(cut(keys), "id"), "id"))
+    x = side(full.where("comp <> main").drop("main"), "a", "key")
+    y = side(full, "b", "key", "main")
+    once = (F.col("comp_a") != F.col("comp_b")) & ((F.col("a") < F.col("b")) | (F.col("comp_b") == F.col("main")))
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # of the keys of a pair
+    more = cut(x.join(y, "key").where(once & fit & alike & first & (edits >= 0)).select("a", "b"))
     many = sized.where(F.col("n") > SMALL_KEY)
     if not many.isEmpty():
-        more = more.unionByName(_in_blocks(many, lines, similarity))
-    for done in (sized, pairs):
+        many = many.join(known.select("id", "code"), "id")
+        more = more.unionByName(_in_blocks(many, similarity))
+    for done in (sized, known, wide, meet, full):
         drop_cut(done)
     if more.isEmpty():
         return groups
     return connected_components(groups.toDF("a", "b").unionByName(more))
 
 
-def _in_blocks(many: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def _in_blocks(many: DataFrame, similarity: float) -> DataFrame:
     """Links of keys of very many lines, that connect what is not connected yet; each key is cut into blocks."""
-    many = many.join(lines.select("id", "code"), "id").withColumn("n", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = many.withColumn("n", F.ceil(F.col("n") / BLOCK).cast("int"))
     many = many.withColumn("p", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     left = many.withColumn("h", F.col("p")).withColumn("k", F.explode(F.sequence("p", F.col("n") - 1)))
     right = many.withColumn("k", F.col("p")).withColumn("h", F.explode(F.sequence(F.lit(0), "p")))
