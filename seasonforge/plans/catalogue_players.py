@@ -188,11 +188,11 @@ def x07_draft_orders(s, d):
 
 @query(f"""WITH {SEASONS}, m AS (SELECT avg(carries) AS mc, stddev_pop(carries) AS sc, avg(receptions) AS mr, stddev_pop(receptions) AS sr FROM seasons),
   z AS (SELECT player_id, season, position, (carries - mc) / sc AS x, (receptions - mr) / sr AS y FROM seasons, m WHERE position IS NOT NULL),
-  p AS (SELECT a.player_id, a.season, b.player_id AS other_id, b.season AS other_season, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS distance FROM z a JOIN z b ON a.position = b.position AND a.player_id <> b.player_id WHERE a.player_id % 50 = 0)
+  p AS (SELECT a.player_id, a.season, b.player_id AS other_id, b.season AS other_season, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS distance FROM z a JOIN z b ON a.position = b.position AND a.player_id <> b.player_id)
 SELECT player_id, season, other_id, other_season, round(distance, 6) AS distance, row_number() OVER (PARTITION BY player_id, season ORDER BY distance, other_id, other_season)::INT AS rank FROM p QUALIFY rank <= 5""")
 def j21_nearest_by_index(s, d):
     r = base.stored_seasons(s, d)
-    return nearest.nearest(r, r.where("player_id % 50 = 0"), ["carries", "receptions"], k=5).withColumn("distance", F.round("distance", 6))
+    return nearest.nearest(r, r, ["carries", "receptions"], k=5).withColumn("distance", F.round("distance", 6))
 
 
 # ---- what readers of a ranking see
