@@ -67,15 +67,12 @@ def _lines(min_words: int):
         h, line = h[first[of] + place], line[first]
         first = np.cumsum(size) - size
         whole = mix(np.add.reduceat(mix(h + place.astype(U) * WORDS_M), first) + size.astype(U)) if len(size) else h
-        bit, part = U(1) << (h & U(63)), h >> U(6) & U(3)
-        odd = [np.bitwise_xor.reduceat(np.where(part == U(j), bit, U(0)), first) if len(size) else h for j in range(4)]
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
         before = np.searchsorted(ends, starts)  # lines before each document
         doc = np.searchsorted(before, line, "right") - 1
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(docs, np.int64)[doc]), pa.array((line - before[doc]).astype(np.int32)), pa.array(whole.view(np.int64)), *[pa.array(o.view(np.int64)) for o in odd], _coded(h, first)],
-            ["doc_id", "line", "id", *ODD, "code"],
-        )
+            [pa.array(np.array(docs, np.int64)[doc]), pa.array((line - before[doc]).astype(np.int32)), pa.array(whole.view(np.int64)), _coded(h, first)], ["doc_id", "line", "id", "code"]
+        )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -109,9 +106,11 @@ def _rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string()), pa.array(lines, pa.int64())], [*[c for c in names if c not in ("text", "gone")], "text", "lines"])
 
 
-#: Parities of the counts of a line's words in 256 buckets: an edit changes two of them at most.
-ODD = ("odd0", "odd1", "odd2", "odd3")
-#: Most lines of a key whose pairs are formed as rows, and rows of a block of larger keys.
+#: Words of 64 parities of the counts of a line's words by bucket: an edit changes two of them at most.
+NARROW = 4
+#: Lines of more words also have parities in 64 * WIDE buckets: the narrow ones are full at some 300 words.
+LONG, WIDE = 192, 16
+#: Most lines of a key that stay together, or of connected lines that a task compares; rows of a block of larger groups.
 SMALL_KEY, BLOCK = 4_096, 4_096
 #: Most words of a key.
 GRAM = 3
@@ -119,10 +118,12 @@ GRAM = 3
 MISS = 0.001
 #: Lines of which fewer runs are taken by hash give all their runs.
 POOR = 4
-#: Bits of the table of keys of more than two lines (4 MB), and lines of a key from which on it is cut by length.
-KEY_BITS, CLASSED = 1 << 25, 64
-#: Lines of more words also have parities in 64 * WIDE buckets: those of ``ODD`` are full at some 300 words.
-LONG, WIDE = 128, 32
+#: Bits of the table of repeated keys: 4 MB, more for more keys (16 bits a key), 32 MB at most.
+KEY_BITS, MOST_KEY_BITS = 1 << 25, 1 << 28
+#: Lines whose keys are made at once, and the bits of their number below a key's.
+SLICE, PLACE = 16_384, U(20)
+#: Rows that are grouped at once (those of one key or group always), and pairs or cells of edit tables.
+ROWS, PAIRS, CELLS = 200_000, 500_000, 200_000
 
 
 @lru_cache(maxsize=None)
@@ -142,172 +143,368 @@ def _needs(size: int, similarity: float) -> tuple[bool, bool, float]:
     return bool((run == 1).any()), bool((run == 2).any()), float(share)
 
 
-def _keys(similarity: float, wanted: np.ndarray | None = None):
-    """Keys of lines; two lines that can be linked have an equal one, but for ``MISS``.  With ``wanted``, only keys whose bit is set there."""
+def _runs(c: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of lines, with the line and the place in it: two lines that can be linked have an equal one, but for ``MISS``."""
+    line = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(c)) - (np.cumsum(size) - size)[line]
+    left = size[line] - place  # words from here to the end of the line
+    needs = np.array([_needs(n, similarity) for n in size.tolist()], float).reshape(-1, 3)
+    share = np.minimum(needs[:, 2] * 2.0**63, 2.0**63).astype(U)
+    keys, at, gram = [], [], np.zeros(len(c), U)
+    for q in range(1, GRAM + 1):
+        gram = gram * WORDS_M + np.pad(c[q - 1 :], (0, min(q - 1, len(c))))
+        if q < GRAM:
+            here = np.flatnonzero((needs[:, q - 1] > 0)[line] & (left >= q)) if needs[:, q - 1].any() else np.empty(0, np.int64)
+            keys.append(mix(gram[here] + U(q)))
+        else:
+            h = mix(gram + U(q))
+            take = (h >> U(1) < share[line]) & (left >= q)
+            # lines of repeated runs, of which hardly any is taken, give all
+            poor = (np.bincount(line[take], minlength=len(size)) < POOR) & (needs[:, 2] > 0)
+            here = np.flatnonzero((take | poor[line]) & (left >= q)) if poor.any() else np.flatnonzero(take)
+            keys.append(h[here])
+        at.append(here)
+    at = np.concatenate(at)
+    return np.concatenate(keys), line[at], place[at]
+
+
+def _keys(similarity: float, wanted: np.ndarray | None = None, large: np.ndarray | None = None):
+    """Keys of lines, counted: ``key, n``.  With ``wanted``, only keys whose bit is set there, each with its line.
+
+    These rows are ``key, id, size, low, high, guest, parities``: the first and last place of the key in the line, and the
+    parities of the line's words.  A key that is ``large`` is dealt by classes of length; a line also is a guest in the
+    class above its own, so any two lines of like length meet once when guests of one class are not compared.
+    """
+    base = math.log(1.01 / similarity)
+
+    def counted(h: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        both = np.sort(h >> PLACE << PLACE | owner.astype(U))
+        key = both[np.append(True, both[1:] != both[:-1])[: len(both)]] >> PLACE
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.diff(np.append(at, len(key))).astype(np.int32))], ["key", "n"])
+
+    def rows(ids: np.ndarray, c: np.ndarray, size: np.ndarray, h: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        at = h >> PLACE & U(64 * len(wanted) - 1)
+        hit = np.flatnonzero(wanted[at >> U(6)] >> (at & U(63)) & U(1))
+        h, owner, place = h[hit], owner[hit], place[hit]
+        both = h >> PLACE << PLACE | owner.astype(U)
+        order = np.argsort(both)
+        both, place = both[order], place[order]
+        at = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+        low, high = (f.reduceat(place, at) if len(at) else place for f in (np.minimum, np.maximum))
+        key, owner = both[at] >> PLACE, (both[at] & (U(1 << int(PLACE)) - U(1))).astype(np.int64)
+        guest = np.zeros(len(key), bool)
+        if large is not None and len(large):
+            many = np.flatnonzero(large[np.minimum(np.searchsorted(large, key), len(large) - 1)] == key)
+            level = np.floor(np.log(size[owner[many]]) / base).astype(np.int64) + 1
+            dealt = [mix(key[many] * WORDS_M + (level + j).astype(U)) >> PLACE for j in (0, 1)]
+            key[many] = dealt[0]
+            key, owner, low, high = np.append(key, dealt[1]), np.append(owner, owner[many]), np.append(low, low[many]), np.append(high, high[many])
+            guest = np.append(guest, np.ones(len(many), bool))
+        used, of = np.unique(owner, return_inverse=True)
+        signs = _signs(c, size, used)
+        places = [pa.array(x.astype(np.int32)) for x in (size[owner], low, high)]
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[owner]), *places, pa.array(guest), signs.take(pa.array(of))], ["key", "id", "size", "low", "high", "guest", "parities"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            c, size = _words(part["code"])
-            c = mix(c.astype(U))
-            line = np.repeat(np.arange(len(size), dtype=np.int32), size)
-            left = np.repeat(np.cumsum(size), size) - np.arange(len(c))  # words from here to the end of the line
-            needs = np.array([_needs(n, similarity) for n in size.tolist()], float).reshape(-1, 3)
-            share = np.minimum(needs[:, 2] * 2.0**63, 2.0**63).astype(U)
-            keys, owners, gram = [], [], np.zeros(len(c), U)
-            for q in range(1, GRAM + 1):
-                gram = gram * WORDS_M + np.pad(c[q - 1 :], (0, min(q - 1, len(c))))
-                if q < GRAM:
-                    at = np.flatnonzero((needs[:, q - 1] > 0)[line] & (left >= q)) if needs[:, q - 1].any() else []
-                    keys.append(mix(gram[at] + U(q)))
-                else:
-                    h = mix(gram + U(q))
-                    take = (h >> U(1) < share[line]) & (left >= q)
-                    # lines of repeated runs, of which hardly any is taken, give all
-                    poor = (np.bincount(line[take], minlength=len(size)) < POOR) & (needs[:, 2] > 0)
-                    at = np.flatnonzero((take | poor[line]) & (left >= q)) if poor.any() else np.flatnonzero(take)
-                    keys.append(h[at])
-                owners.append(line[at])
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            if wanted is not None:
-                at = key & U(64 * len(wanted) - 1)
-                hit = (wanted[at >> U(6)] >> (at & U(63)) & U(1)).astype(bool)
-                key, owner = key[hit], owner[hit]
-            order = np.lexsort((key, owner))
-            key, owner = key[order], owner[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(part["id"].to_numpy()[owner[new]])], ["key", "id"])
+        for whole in parts:
+            for k in range(0, whole.num_rows, SLICE):
+                part = whole.slice(k, SLICE)
+                c, size = _words(part["code"])
+                c = mix(c.astype(U))
+                h, owner, place = _runs(c, size, similarity)
+                yield counted(h, owner) if wanted is None else rows(part["id"].to_numpy(), c, size, h, owner, place)
 
     return run
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A table of ``KEY_BITS`` bits in which the last bits of ``keys(key)`` are set: of the same size for any number of keys."""
-    at = F.col("key").bitwiseAND(KEY_BITS - 1)
+def _sorted_groups(parts: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of a task, sorted by their first column, in tables of some ``rows``: no group is torn apart."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(held)
+            key = t.column(0).to_numpy()
+            at = int(np.searchsorted(key, key[-1]))
+            if at:
+                yield t.slice(0, at)
+            held, n = t.slice(at).combine_chunks().to_batches(), n - at
+            rows = max(rows, 2 * n) if not at else rows
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _repeated(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of more than one line, with their number."""
+    for t in _sorted_groups(parts, ROWS):
+        key = t["key"].to_numpy()
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.add.reduceat(t["n"].to_numpy().astype(np.int64), at)
+        yield pa.RecordBatch.from_arrays([pa.array(key[at][n > 1]), pa.array(n[n > 1])], ["key", "n"])
+
+
+def _bits(keys: DataFrame, bits: int = KEY_BITS) -> np.ndarray:
+    """A table of ``bits`` bits in which the last bits of ``keys(key)`` are set: bounded for any number of keys."""
+    at = F.col("key").bitwiseAND(bits - 1)
     found = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(KEY_BITS // 64, U)
+    out = np.zeros(bits // 64, U)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(U)
     return out
 
 
+def _parities(c: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Parities of the counts of a line's words in 64 * ``width`` buckets, ``width`` numbers a line."""
+    out = np.zeros((len(size), width), U)
+    if len(c):
+        full = np.flatnonzero(size)
+        first = (np.cumsum(size) - size)[full]
+        bit, part = U(1) << (c & U(63)), c >> U(6) & U(width - 1)
+        for j in range(width):
+            out[full, j] = np.bitwise_xor.reduceat(np.where(part == U(j), bit, U(0)), first)
+    return out
+
+
 def _wide(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parities of the counts of a line's words in 64 * ``WIDE`` buckets."""
     for part in parts:
         c, size = _words(part["code"])
-        at = mix(c.astype(U) ^ U(0x5BD1E995)) % U(64 * WIDE)
-        cell = np.repeat(np.arange(len(size)), size) * (64 * WIDE) + at.astype(np.int64)
-        cell, n = np.unique(cell, return_counts=True)
-        cell = cell[n % 2 == 1]
-        out = np.zeros(len(size) * WIDE, U)
-        np.bitwise_or.at(out, cell >> 6, U(1) << (cell & 63).astype(U))
+        out = _parities(mix(mix(c.astype(U)) ^ U(0x5BD1E995)), size, WIDE)
         offsets = pa.array(np.arange(len(size) + 1) * WIDE, pa.int32())
-        yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(offsets, pa.array(out.view(np.int64)))], ["id", "wide"])
+        yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(offsets, pa.array(out.ravel().view(np.int64)))], ["id", "wide"])
+
+
+def _picked(c: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some lines, one after the other, and their numbers of words."""
+    first, size = (np.cumsum(size) - size)[rows], size[rows]
+    return c[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+
+def _signs(c: np.ndarray, size: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Parities of lines as bytes: narrow ones, and wide ones after them for long lines.  ``c`` has mixed words."""
+    c, size = _picked(c, size, rows)
+    long = np.flatnonzero(size > LONG)
+    wide = _parities(mix(_picked(c, size, long)[0] ^ U(0x5BD1E995)), size[long], WIDE)
+    length = np.where(size > LONG, NARROW + WIDE, NARROW)
+    ends = np.append(0, np.cumsum(length))
+    out = np.zeros(ends[-1], U)
+    out[ends[:-1, None] + np.arange(NARROW)] = _parities(c, size, NARROW)
+    out[ends[long, None] + NARROW + np.arange(WIDE)] = wide
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(out)])
+
+
+class _Lines:
+    """Lines of a task by group and length, and which pairs of a group lengths and parities allow."""
+
+    def __init__(self, group: np.ndarray, size: np.ndarray, signs: pa.Array, similarity: float):
+        new = np.cumsum(np.append(False, group[1:] != group[:-1]))  # groups are runs of rows
+        both = new << 32 | size
+        self.order = order = np.argsort(both, kind="stable")
+        self.size = size[order].astype(np.int64)
+        self.most = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
+        last = np.floor(self.size / similarity + 1e-9).astype(np.int64)
+        both = both[order]
+        self.pairs = np.searchsorted(both, (both >> 32 << 32) | last, "right") - np.arange(len(both)) - 1
+        ends = np.frombuffer(signs.buffers()[1], np.int32)[signs.offset : signs.offset + len(signs) + 1] // 8
+        raw = np.frombuffer(signs.buffers()[2], U)
+        self.narrow = raw[ends[:-1][order][:, None] + np.arange(NARROW)]
+        long = np.flatnonzero(np.diff(ends)[order] > NARROW)
+        self.wide = raw[ends[:-1][order][long][:, None] + NARROW + np.arange(WIDE)]
+        self.long = np.full(len(size), -1)
+        self.long[long] = np.arange(len(long))
+        self.label = np.arange(len(size))
+
+    def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of lines of like length, the longer second, some ``PAIRS`` at once; those that are connected by then are left out."""
+        ends = np.cumsum(self.pairs)
+        at = 0
+        while at < len(ends):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            n = self.pairs[at:upto]
+            i = np.repeat(np.arange(at, upto), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            rest = self.label[i] != self.label[j]
+            yield i[rest], j[rest]
+            at = upto
+
+    def allowed(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        most = 2 * self.most[j]
+        ok = np.flatnonzero(np.bitwise_count(self.narrow[i] ^ self.narrow[j]).sum(axis=1, dtype=np.int64) <= most)
+        both = (self.long[i[ok]] >= 0) & (self.long[j[ok]] >= 0)
+        if both.any():
+            x, y = (self.wide[self.long[d[ok[both]]]] for d in (i, j))
+            good = np.ones(len(ok), bool)
+            good[both] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[ok[both]]
+            ok = ok[good]
+        return ok
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Connects the lines of each pair: the label of a line is its first connected one."""
+        label = self.label
+        while len(i):
+            x, y = label[i], label[j]
+            rest = x != y
+            i, j, x, y = i[rest], j[rest], x[rest], y[rest]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                new = label[label]
+                if (new == label).all():
+                    break
+                label = new
+        self.label = label
+
+
+def _candidates(similarity: float):
+    """Lines that share a key and may be alike, as edges that connect all of them: ``a, b``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _sorted_groups(parts, ROWS):
+            d = _Lines(t["key"].to_numpy(), t["size"].to_numpy().astype(np.int64), t["parities"].combine_chunks(), similarity)
+            ids, low, high, guest = (t[c].to_numpy()[d.order] for c in ("id", "low", "high", "guest"))
+            for i, j in d.batches():
+                # edits before and after the run move it in a line: by as many words at least
+                before = np.maximum(np.maximum(low[i] - high[j], low[j] - high[i]), 0)
+                shift = d.size[j] - d.size[i]
+                after = np.maximum(np.maximum(shift + low[i] - high[j], low[j] - high[i] - shift), 0)
+                ok = np.flatnonzero((before + after <= d.most[j]) & ~(guest[i] & guest[j]) & (ids[i] != ids[j]))
+                i, j = i[ok], j[ok]
+                ok = d.allowed(i, j)
+                d.join(i[ok], j[ok])
+            moved = np.flatnonzero(d.label != np.arange(len(ids)))
+            a, b = ids[d.label[moved]], ids[moved]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _alike(similarity: float):
+    """Lines of groups that candidates connect, all pairs of which are compared: ``node, component`` of those that have a partner."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _sorted_groups(parts, ROWS // 10):
+            ids = t["id"].to_numpy()
+            c, size = _words(t["code"].combine_chunks())
+            size = size.astype(np.int64)
+            d = _Lines(t["cell"].to_numpy(), size, _signs(mix(c.astype(U)), size, np.arange(len(size))), similarity)
+            ids, first = ids[d.order], (np.cumsum(size) - size)[d.order]
+            for i, j in d.batches():
+                ok = d.allowed(i, j)
+                i, j = i[ok], j[ok]
+                few = 1
+                while len(i):  # a few pairs of each line first: they connect most lines of a crowd
+                    new = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                    now = np.arange(len(i)) - np.repeat(new, np.diff(np.append(new, len(i)))) < few
+                    x, y = i[now], j[now]
+                    hit = _within(c, first, d.size, x, y, d.most[y])
+                    d.join(x[hit], y[hit])
+                    rest = ~now & (d.label[i] != d.label[j])
+                    i, j, few = i[rest], j[rest], 4 * few
+            least = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(least, d.label, ids)
+            linked = np.flatnonzero(np.bincount(d.label, minlength=len(ids))[d.label] > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(least[d.label[linked]])], ["node", "component"])
+
+    return run
+
+
+def _within(c: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether lines ``a`` and ``b``, the longer ones, are ``most`` edits apart at most, pair by pair."""
+    out = np.zeros(len(a), bool)
+    order = np.argsort(size[b], kind="stable")
+    while len(order):
+        some = min(len(order), max(1, CELLS // int(size[b[order[: 1 + CELLS // 8]]].max())))
+        at, order = order[:some], order[some:]
+        x, y = (_table(c, first[d[at]], size[d[at]], int(size[b[at]].max())) for d in (a, b))
+        near = (x != y).sum(axis=1) <= most[at]  # words changed in place, and the surplus: an upper bound
+        out[at[near]] = True
+        rest = np.flatnonzero(~near & (most[at] > 0))
+        wide = max(1, CELLS // (2 * int(most[at].max(initial=0)) + 1))
+        for k in range(0, len(rest), wide):
+            r = rest[k : k + wide]
+            out[at[r]] = _banded(x[r], y[r], size[a[at[r]]], size[b[at[r]]], most[at[r]])
+    return out
+
+
+def _table(c: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Lines as rows of words, filled up with zeros."""
+    at = np.arange(width)
+    return np.where(at < size[:, None], c[np.minimum(first[:, None] + at, len(c) - 1)], np.uint32(0))
+
+
+def _banded(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether edit distances of rows of ``x`` and ``y`` are ``most`` at most; only prefixes whose lengths are that near are compared."""
+    out = np.zeros(len(x), bool)
+    band = int(most.max())
+    y = np.pad(y, ((0, 0), (band, band + 1)))
+    step = np.arange(-band, band + 1, dtype=np.int32)
+    far = np.int32(1 << 29)
+    row = np.tile(np.where(step >= 0, step, far), (len(x), 1))  # by the surplus of y's prefix
+    live = np.arange(len(x))
+    for t in range(1, int(of_x.max()) + 1):
+        new = row + (x[:, t - 1 : t] != y[:, t - 1 : t + 2 * band])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        row = np.minimum.accumulate(new - step, axis=1) + step
+        done = np.flatnonzero(of_x == t)
+        out[live[done]] = row[done, of_y[done] - t + band] <= most[done]
+        if t % 8 == 0:
+            on = np.flatnonzero((of_x > t) & (row.min(axis=1) <= most))
+            if len(on) < 0.8 * len(live):
+                x, y, of_x, of_y, most, live, row = x[on], y[on], of_x[on], of_y[on], most[on], live[on], row[on]
+                if not len(on):
+                    break
+    return out
 
 
 def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Groups of fuzzily equal lines: ``node, component`` for distinct normalised lines that have a partner.
 
-    ``lines(id, odd0 to odd3, code)`` has each line once.  Lines are linked when their edit similarity in words is at
-    least ``similarity``.  Keys are counted first; a key of two lines is their pair.  The lines of a larger key are
-    compared with its smallest line, then with one of its linked lines, another for each key, so that a crowd of near
-    copies is connected after as many comparisons as it has rows.  Keys whose lines are then connected are settled.
-    In the rest, lines outside a key's largest component are compared with all its lines that lengths, ``ODD`` and, for
-    long lines, ``_wide`` allow, each pair at the first of its keys: pairs are filtered and verified as they are formed,
-    so only links come out; keys of very many lines are compared in pairs of blocks, which emit a spanning forest.
+    ``lines(id, code)`` has each line once.  Lines are linked when their edit similarity in words is at least
+    ``similarity``.  Keys are counted first; only those of two lines or more are made again, with the lengths of their
+    lines, the places of the key in them and parities of their words.  Pairs of a key that these allow become edges that
+    connect them, as many as lines at most.  In each group of lines that edges connect all pairs are compared that are
+    not linked by others yet: in a task, or in blocks if the group is very large.
 
-    Keys are counted in a table of their own before rows meet it, so that a key of very many lines is split
-    by Spark's skew join.  Rows of keys of one or two lines, nearly all, are left out by ``_bits`` before that.
+    Keys of very many lines are dealt by classes of length, so no task has to hold all their lines.
     """
     spark = lines.sparkSession
-    kind = "key long, id long"
-    members = lines.select("id", "code").mapInArrow(_keys(similarity), kind)
-    counted = cut(members.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"), F.count("*").alias("n")).where("n > 1"))
+    shared = cut(lines.select("code").mapInArrow(_keys(similarity), "key long, n int").repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "key long, n long"))
     release(spark)
-    shared = counted.where("n > 2").select("key", "c", "n")
-    near = cut(lines.select("id", "code").mapInArrow(_keys(similarity, _bits(shared)), kind).join(shared, "key"))
+    bits = min(max(KEY_BITS, 1 << (16 * shared.count()).bit_length()), MOST_KEY_BITS)
+    large = np.sort(shared.where(F.col("n") > SMALL_KEY).select("key").toArrow()["key"].to_numpy().view(U))
+    wanted = _bits(shared, bits)
+    drop_cut(shared)
+    kind = "key long, id long, size int, low int, high int, guest boolean, parities binary"
+    rows = lines.select("id", "code").mapInArrow(_keys(similarity, wanted, large), kind).repartition("key").sortWithinPartitions("key")
+    edges = cut(rows.mapInArrow(_candidates(similarity), "a long, b long").distinct())
     release(spark)
-    light = lines.select("id", F.length("code").alias("size"), *ODD)
-
-    most = lambda longest: F.floor((1 - similarity) * longest + 1e-9).cast("int")
-    longest, shortest = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
-    fit = (shortest >= similarity * longest) & (sum(F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in ODD) <= 2 * most(longest))
-    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    alike = F.col("wide_a").isNull() | F.col("wide_b").isNull() | (apart <= 2 * most(longest))
-    edits: Column = F.call_function("levenshtein", F.col("code_a"), F.col("code_b"), most(F.greatest(F.length("code_a"), F.length("code_b"))))
-
-    def side(d: DataFrame, name: str, *more: str) -> DataFrame:
-        return d.select(*more, F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in d.columns if c not in ("id", *more)])
-
-    def passing(pairs: DataFrame) -> DataFrame:
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        code = cut(lines.select("id", "code").join(ids, "id", "left_semi"))
-        both = pairs.join(side(code, "a"), "a").join(side(code, "b"), "b")
-        return both.where(edits >= 0).select("a", "b")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(fit).select("a", "b"))
-
-    star = near.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    star = fitting(counted.where("n = 2").select(F.col("c").alias("a"), F.col("z").alias("b")).unionByName(star).distinct())
-    links = cut(passing(star))
-    drop_cut(star)
-    drop_cut(counted)
-    groups = cut(connected_components(links))
-
-    def open_rows() -> DataFrame:
-        """Rows of keys whose lines are not connected yet, with the component of each line."""
-        comp = groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-        placed = near.select("key", "id", "n").join(comp, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"), F.col("comp").isNotNull().alias("linked"))
-        placed = cut(placed)
-        keys = cut(placed.groupBy("key").agg(F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("key"))
-        out = cut(placed.join(keys, "key"))
-        drop_cut(placed)
-        return out
-
-    rows = open_rows()
-    pivot = F.min(F.struct(F.xxhash64("id", "key").alias("_"), F.col("id").alias("a"), F.col("comp").alias("_comp"))).alias("h")
-    pivots = cut(rows.where("linked").groupBy("key").agg(pivot).select("key", "h.a", "h._comp"))
-    asked = rows.join(pivots, "key").where("comp <> _comp").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    more = cut(passing(fitting(asked)))
-    drop_cut(pivots)
-    if not more.isEmpty():
-        groups = cut(connected_components(groups.toDF("a", "b").unionByName(more)))
-        drop_cut(rows)
-        rows = open_rows()
-    drop_cut(near)
+    cells = cut(connected_components(edges).toDF("id", "cell"))
+    many = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_KEY))
+    known = cut(lines.select("id", "code").join(cells, "id"))
+    drop_cut(cells)
     release(spark)
-
-    # rows that have a fitting line in their key, found without codes
-    ids = cut(rows.select("id").distinct())
-    known = cut(lines.select("id", "code", *ODD).join(ids, "id", "left_semi"))
-    wide = cut(known.where(F.length("code") > LONG).select("id", "code").mapInArrow(_wide, "id long, wide array<long>"))
-    sized = cut(rows.drop("linked").join(known.select("id", F.length("code").alias("size"), *ODD).join(wide, "id", "left"), "id"))
-    drop_cut(rows)
-    drop_cut(ids)
-    release(spark)
-    # in keys of many lines only those of like length meet: lengths of a pair differ by a class at most
-    few = sized.where(F.col("n") <= SMALL_KEY).withColumn("class", F.when(F.col("n") > CLASSED, F.floor(F.log("size") / math.log(1.01 / similarity))).otherwise(0).cast("int"))
-    reach = F.when(F.col("n") > CLASSED, F.array(*[F.col("class") + j for j in (-1, 0, 1)])).otherwise(F.array("class"))
-    x = side(few.withColumn("class", F.explode(reach)), "a", "key", "class")
-    y = side(few.drop("n"), "b", "key", "class").withColumnsRenamed({"key": "_key", "class": "_class"})
-    meet = x.join(y, (F.col("key") == F.col("_key")) & (F.col("class") == F.col("_class")) & (F.col("comp_a") != F.col("comp_b")) & fit & alike, "left_semi")
-    meet = cut(meet.select("key", F.col("a").alias("id"), F.col("comp_a").alias("comp")).distinct())
-    release(spark)
-
-    main = meet.groupBy("key", "comp").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max_by("comp", F.struct("_n", (-F.col("comp")).alias("_"))).alias("main"))
-    keys = meet.groupBy("id").agg(F.collect_list("key").alias("keys"))
-    full = cut(meet.join(cut(main), "key").join(known.withColumn("size", F.length("code")).join(wide, "id", "left").join(cut(keys), "id"), "id"))
-    x = side(full.where("comp <> main").drop("main"), "a", "key")
-    y = side(full, "b", "key", "main")
-    once = (F.col("comp_a") != F.col("comp_b")) & ((F.col("a") < F.col("b")) | (F.col("comp_b") == F.col("main")))
-    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # of the keys of a pair
-    more = cut(x.join(y, "key").where(once & fit & alike & first & (edits >= 0)).select("a", "b"))
-    many = sized.where(F.col("n") > SMALL_KEY)
+    if many.isEmpty():
+        small = known
+    else:
+        small = known.join(many, "cell", "left_anti")
+    small = small.select("cell", "id", "code").repartition("cell").sortWithinPartitions("cell")
+    groups = cut(small.mapInArrow(_alike(similarity), "node long, component long"))
     if not many.isEmpty():
-        many = many.join(known.select("id", "code"), "id")
-        more = more.unionByName(_in_blocks(many, similarity))
-    for done in (sized, known, wide, meet, full):
+        groups = groups.unionByName(_crowds(cut(known.join(many, "cell")), edges, similarity))
+    for done in (edges, known, many):
         drop_cut(done)
+    return groups
+
+
+def _crowds(many: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """Groups of the lines ``many(cell, id, code, n)``: edges are compared first, then in blocks what they leave apart."""
+    most = F.floor((1 - similarity) * F.greatest(F.length("code_a"), F.length("code_b")) + 1e-9).cast("int")
+    x, y = (many.select(F.col("id").alias(c), F.col("code").alias(f"code_{c}")) for c in "ab")
+    edits: Column = F.call_function("levenshtein", F.col("code_a"), F.col("code_b"), most)
+    links = cut(edges.join(x, "a").join(y, "b").where(edits >= 0).select("a", "b"))
+    groups = cut(connected_components(links))
+    rows = many.join(groups.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left")
+    more = _in_blocks(rows.select(F.col("cell").alias("key"), "id", F.coalesce("comp", "id").alias("comp"), "n", "code"), similarity)
     if more.isEmpty():
         return groups
     return connected_components(groups.toDF("a", "b").unionByName(more))
@@ -320,7 +517,7 @@ def _in_blocks(many: DataFrame, similarity: float) -> DataFrame:
     left = many.withColumn("h", F.col("p")).withColumn("k", F.explode(F.sequence("p", F.col("n") - 1)))
     right = many.withColumn("k", F.col("p")).withColumn("h", F.explode(F.sequence(F.lit(0), "p")))
     on = ["key", "h", "k"]
-    left, right = (d.select(*[F.col(c).alias(c) for c in (*on, "id", "comp", "odd0", "code")]) for d in (left, right))
+    left, right = (d.select(*[F.col(c).alias(c) for c in (*on, "id", "comp", "code")]) for d in (left, right))
     return cut(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_linked(similarity), "a long, b long"))
 
 
@@ -338,13 +535,13 @@ def _linked(similarity: float):
         _, head, group = np.unique(known, return_index=True, return_inverse=True)
         comp = head[group]  # the first line of each component that is known
         before = comp.copy()
-        odd, odds = left["odd0"].to_numpy(), right["odd0"].to_numpy()
         (own, own_size), (words, size) = (_split(t["code"].combine_chunks()) for t in (left, right))
+        odd, odds = (_parities(mix(np.concatenate([*w, np.empty(0, np.uint32)]).astype(U)), n, 1)[:, 0] for w, n in ((own, own_size), (words, size)))
         own_bags, bags = _bags(own), _bags(words)
         for i, s in enumerate(own if len(b) else ()):
             longest = np.maximum(size, own_size[i])
             most = np.floor((1 - similarity) * longest + 1e-9)
-            ok = (np.minimum(size, own_size[i]) >= similarity * longest) & (np.bitwise_count((odds ^ odd[i]).view(U)) <= 2 * most) & (comp[of] != comp[at[i]])
+            ok = (np.minimum(size, own_size[i]) >= similarity * longest) & (np.bitwise_count(odds ^ odd[i]) <= 2 * most) & (comp[of] != comp[at[i]])
             ok = np.flatnonzero(ok)
             ok = ok[np.abs(bags[ok] - own_bags[i]).sum(axis=1) <= 2 * most[ok]]
             if not len(ok):
@@ -408,13 +605,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    kind = f"doc_id long, line int, id long, {', '.join(f'{o} long' for o in ODD)}, code string"
+    kind = "doc_id long, line int, id long, code string"
     whole = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_lines(max(1, min_words)), kind))
-    distinct = cut(whole.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*ODD, "code")]))
+    distinct = cut(whole.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("code").alias("code")))
     lines = cut(whole.select("doc_id", "line", "id"))
     drop_cut(whole)
     release(spark)
-    groups = line_groups(distinct.select("id", *ODD, "code"), similarity)
+    groups = line_groups(distinct.select("id", "code"), similarity)
     firsts = cut(distinct.select("id", "first", "n").join(groups.withColumnRenamed("node", "id"), "id", "left"))
     drop_cut(distinct)
     best = cut(firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("best")))
