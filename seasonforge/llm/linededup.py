@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -25,16 +26,19 @@ NORMAL = bytes(
 #: Signs of scripts without spaces between words (Thai, Lao, Burmese, Khmer, Chinese, Japanese): each is a word.
 UNSPACED = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
 
+#: A line of a document, and bits of the number of parts that lines are dealt to.  Words that are held before lines are dealt.
+LINE = np.dtype([("doc_id", "<i8"), ("id", "<i8"), ("line", "<i4"), ("size", "<i4")])
+PART_BITS, HELD = 10, 8_000_000
 #: First bytes of these signs.
 LEADS = bytes([0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0])
 
 
 def _coded(h: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Runs of word hashes as texts, a character for each word: 20 bits as the code points from 65,536 on.
+    """Runs of words of 20 bits as texts, a character for each word: the code points from 65,536 on.
 
     Each is four bytes of UTF-8, which are written directly.
     """
-    c = (h >> U(44)).astype(np.uint32) + np.uint32(1 << 16)
+    c = h + np.uint32(1 << 16)
     raw = 0x808080F0 | c >> 18 | (c >> 12 & 63) << 8 | (c >> 6 & 63) << 16 | (c & 63) << 24
     ends = (4 * np.append(first, len(h))).astype(np.int32)
     return pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(raw.astype("<u4").tobytes()))
@@ -70,11 +74,12 @@ def _lines(min_words: int):
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
         before = np.searchsorted(ends, starts)  # lines before each document
         doc = np.searchsorted(before, line, "right") - 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(docs, np.int64)[doc]), pa.array((line - before[doc]).astype(np.int32)), pa.array(whole.view(np.int64)), _coded(h, first)], ["doc_id", "line", "id", "code"]
-        )
+        rows = np.empty(len(size), LINE)
+        rows["doc_id"], rows["line"], rows["id"], rows["size"] = np.array(docs, np.int64)[doc], line - before[doc], whole.view(np.int64), size
+        return rows, (h >> U(44)).astype(np.uint32)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words = [], 0
         for part in parts:
             docs, texts, n = [], [], 0
             for doc, text in zip(part["doc_id"].to_pylist(), utf8(part["text"]), strict=True):
@@ -82,14 +87,62 @@ def _lines(min_words: int):
                 texts.append(_normal(text))
                 n += len(text)
                 if n >= BATCH:
-                    yield emit(docs, texts)
+                    held.append(emit(docs, texts))
+                    words += len(held[-1][1])
                     docs, texts, n = [], [], 0
+                    if words >= HELD:
+                        yield _dealt(held)
+                        held, words = [], 0
             if docs:
-                yield emit(docs, texts)
+                held.append(emit(docs, texts))
+                words += len(held[-1][1])
+        if held:
+            yield _dealt(held)
 
     return run
 
 
+def _dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Lines dealt to ``PARTS`` parts by their ids: ``part, rows, words``."""
+    rows, words = (np.concatenate(x) for x in zip(*held, strict=True))
+    part = rows["id"].view(U) >> U(64 - PART_BITS)
+    order = np.argsort(part, kind="stable")
+    first, size = (np.cumsum(rows["size"], dtype=np.int64) - rows["size"])[order], rows["size"][order].astype(np.int64)
+    words = words[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    part, at = np.unique(part[order], return_index=True)
+    ends, upto = np.append(at, len(order)), np.append(0, np.cumsum(size))
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), _blobs(rows[order], ends), _blobs(words, upto[ends])], ["part", "rows", "words"])
+
+
+def _blobs(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of ``x`` as bytes."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((x.itemsize * ends).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
+def _joined(blobs: pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), kind)
+
+
+def _occurrences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All lines of a part; the first of equal ones has their number and the code: ``doc_id, line, id, n, code``."""
+    for t in _parts(parts):
+        rows, words = _joined(t["rows"], LINE), _joined(t["words"], np.uint32)
+        first = np.cumsum(rows["size"], dtype=np.int64) - rows["size"]
+        order = np.lexsort((rows["line"], rows["doc_id"], rows["id"]))
+        rows, first = rows[order], first[order]
+        new = np.append(True, rows["id"][1:] != rows["id"][:-1])
+        at = np.flatnonzero(new)
+        n = np.zeros(len(rows), np.int64)
+        n[at] = np.diff(np.append(at, len(rows)))
+        size = np.where(new, rows["size"], 0).astype(np.int64)
+        before = np.cumsum(size) - size
+        code = _coded(words[np.repeat(first - before, size) + np.arange(size.sum())], before)
+        code = pa.StringArray.from_buffers(len(rows), code.buffers()[1], code.buffers()[2], pa.array(new).buffers()[1])
+        for k in range(0, len(rows), SLICE):
+            cols = [pa.array(np.ascontiguousarray(rows[c][k : k + SLICE])) for c in ("doc_id", "line", "id")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n[k : k + SLICE]), code.slice(k, SLICE)], ["doc_id", "line", "id", "n", "code"])
+
+
 def _rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the lines whose numbers are listed."""
     for part in parts:
@@ -108,6 +161,8 @@ def _rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Words of 64 parities of the counts of a line's words by bucket: an edit changes two of them at most.
 NARROW = 4
+#: Buckets of counts of a line's words, up to 255: they tell lines of a few repeated words apart, which parities do not.
+COUNTS = 16
 #: Lines of more words also have parities in 64 * WIDE buckets: the narrow ones are full at some 300 words.
 LONG, WIDE = 192, 16
 #: Most lines of a key that stay together, or of connected lines that a task compares; rows of a block of larger groups.
@@ -122,8 +177,14 @@ POOR = 4
 KEY_BITS, MOST_KEY_BITS = 1 << 25, 1 << 28
 #: Lines whose keys are made at once, and the bits of their number below a key's.
 SLICE, PLACE = 16_384, U(20)
-#: Rows that are grouped at once (those of one key or group always), and pairs or cells of edit tables.
-ROWS, PAIRS, CELLS = 200_000, 500_000, 200_000
+#: A line of a key.
+ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<i4"), ("low", "<i4"), ("high", "<i4"), ("guest", "<i4"), ("parities", "<u8", (NARROW,)), ("counts", "u1", (COUNTS,))])
+#: Lines of a part of keys, about.
+PART_LINES = 16_384
+#: Lines whose groups are compared at once (those of one group always), and pairs or cells of edit tables.
+ROWS, PAIRS, CELLS = 20_000, 500_000, 200_000
+#: Buckets of counts of words.
+BUCKETS = 1_024
 
 
 @lru_cache(maxsize=None)
@@ -168,20 +229,22 @@ def _runs(c: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarra
     return np.concatenate(keys), line[at], place[at]
 
 
-def _keys(similarity: float, wanted: np.ndarray | None = None, large: np.ndarray | None = None):
-    """Keys of lines, counted: ``key, n``.  With ``wanted``, only keys whose bit is set there, each with its line.
+def _dealt_keys(similarity: float, bits: int, wanted: np.ndarray | None = None, large: np.ndarray | None = None):
+    """Keys of lines, once a line, dealt to 2^``bits`` parts: ``part, keys``.  With ``wanted``, those whose bit is set there: ``part, rows, wide``.
 
-    These rows are ``key, id, size, low, high, guest, parities``: the first and last place of the key in the line, and the
-    parities of the line's words.  A key that is ``large`` is dealt by classes of length; a line also is a guest in the
+    These have their lines (``ROW``): the first and last place of the key in the line, and parities of the line's words; wide
+    ones of long lines are apart.  A key that is ``large`` is dealt by classes of length; a line also is a guest in the
     class above its own, so any two lines of like length meet once when guests of one class are not compared.
     """
+    parts = 1 << bits
     base = math.log(1.01 / similarity)
 
     def counted(h: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
         both = np.sort(h >> PLACE << PLACE | owner.astype(U))
         key = both[np.append(True, both[1:] != both[:-1])[: len(both)]] >> PLACE
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.diff(np.append(at, len(key))).astype(np.int32))], ["key", "n"])
+        ends = np.searchsorted(key, np.arange(parts + 1, dtype=U) << U(64 - int(PLACE) - bits))
+        full = np.flatnonzero(np.diff(ends))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), _blobs(key, ends).take(pa.array(full))], ["part", "keys"])
 
     def rows(ids: np.ndarray, c: np.ndarray, size: np.ndarray, h: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
         at = h >> PLACE & U(64 * len(wanted) - 1)
@@ -201,13 +264,22 @@ def _keys(similarity: float, wanted: np.ndarray | None = None, large: np.ndarray
             key[many] = dealt[0]
             key, owner, low, high = np.append(key, dealt[1]), np.append(owner, owner[many]), np.append(low, low[many]), np.append(high, high[many])
             guest = np.append(guest, np.ones(len(many), bool))
+        order = np.argsort(key)
+        key, owner = key[order], owner[order]
         used, of = np.unique(owner, return_inverse=True)
-        signs = _signs(c, size, used)
-        places = [pa.array(x.astype(np.int32)) for x in (size[owner], low, high)]
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[owner]), *places, pa.array(guest), signs.take(pa.array(of))], ["key", "id", "size", "low", "high", "guest", "parities"])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in parts:
+        narrow, counts, long, wide = _signs(c, size, used)
+        out = np.empty(len(key), ROW)
+        out["key"], out["id"], out["size"], out["low"], out["high"], out["guest"] = key, ids[owner], size[owner], low[order], high[order], guest[order]
+        out["parities"], out["counts"] = narrow[of], counts[of]
+        long = np.searchsorted(long, of[size[owner] > LONG])
+        ends = np.searchsorted(key, np.arange(parts + 1, dtype=U) << U(64 - int(PLACE) - bits))
+        upto = np.append(0, np.cumsum(out["size"] > LONG))[ends]
+        full = np.flatnonzero(np.diff(ends))
+        blobs = [_blobs(x, e).take(pa.array(full)) for x, e in ((out, ends), (wide[long].ravel(), WIDE * upto))]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *blobs], ["part", "rows", "wide"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 part = whole.slice(k, SLICE)
                 c, size = _words(part["code"])
@@ -236,15 +308,35 @@ def _sorted_groups(parts: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each part, in order of ``part``."""
+    for t in _sorted_groups(batches, 1):
+        part = t["part"].to_numpy()
+        at = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist(), len(part)]
+        for x, y in itertools.pairwise(at):
+            yield t.slice(x, y - x)
+
+
 def _repeated(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of more than one line, with their number."""
-    for t in _sorted_groups(parts, ROWS):
-        key = t["key"].to_numpy()
+    for t in _parts(parts):
+        key = np.sort(_joined(t["keys"], np.int64))
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        n = np.add.reduceat(t["n"].to_numpy().astype(np.int64), at)
+        n = np.diff(np.append(at, len(key)))
         yield pa.RecordBatch.from_arrays([pa.array(key[at][n > 1]), pa.array(n[n > 1])], ["key", "n"])
 
 
+def _keys(similarity: float, wanted: np.ndarray | None = None):
+    """``key`` of lines, one by one, as they are dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _dealt_keys(similarity, 0, wanted)(batches):
+            keys = _joined(t["keys"], np.int64) if wanted is None else np.ascontiguousarray(_joined(t["rows"], ROW)["key"]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+
+    return run
+
+
 def _bits(keys: DataFrame, bits: int = KEY_BITS) -> np.ndarray:
     """A table of ``bits`` bits in which the last bits of ``keys(key)`` are set: bounded for any number of keys."""
     at = F.col("key").bitwiseAND(bits - 1)
@@ -281,38 +373,30 @@ def _picked(c: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
     return c[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
 
-def _signs(c: np.ndarray, size: np.ndarray, rows: np.ndarray) -> pa.Array:
-    """Parities of lines as bytes: narrow ones, and wide ones after them for long lines.  ``c`` has mixed words."""
+def _signs(c: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Narrow parities of lines, their counts, and which of them are long, with their wide parities.  ``c`` has mixed words."""
     c, size = _picked(c, size, rows)
+    at = np.repeat(np.arange(len(size)), size) * COUNTS + (c >> U(50)).astype(np.int64) % COUNTS
+    counts = np.bincount(at, minlength=len(size) * COUNTS).reshape(-1, COUNTS).clip(max=255).astype(np.uint8)
     long = np.flatnonzero(size > LONG)
-    wide = _parities(mix(_picked(c, size, long)[0] ^ U(0x5BD1E995)), size[long], WIDE)
-    length = np.where(size > LONG, NARROW + WIDE, NARROW)
-    ends = np.append(0, np.cumsum(length))
-    out = np.zeros(ends[-1], U)
-    out[ends[:-1, None] + np.arange(NARROW)] = _parities(c, size, NARROW)
-    out[ends[long, None] + NARROW + np.arange(WIDE)] = wide
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(out)])
+    return _parities(c, size, NARROW), counts, long, _parities(mix(_picked(c, size, long)[0] ^ U(0x5BD1E995)), size[long], WIDE)
 
 
 class _Lines:
     """Lines of a task by group and length, and which pairs of a group lengths and parities allow."""
 
-    def __init__(self, group: np.ndarray, size: np.ndarray, signs: pa.Array, similarity: float):
-        new = np.cumsum(np.append(False, group[1:] != group[:-1]))  # groups are runs of rows
-        both = new << 32 | size
+    def __init__(self, group: np.ndarray, size: np.ndarray, narrow: np.ndarray, counts: np.ndarray, long: np.ndarray, wide: np.ndarray, similarity: float):
+        both = np.cumsum(np.append(False, group[1:] != group[:-1])[: len(group)]) << 32 | size  # groups are runs of rows
         self.order = order = np.argsort(both, kind="stable")
         self.size = size[order].astype(np.int64)
         self.most = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
         last = np.floor(self.size / similarity + 1e-9).astype(np.int64)
         both = both[order]
         self.pairs = np.searchsorted(both, (both >> 32 << 32) | last, "right") - np.arange(len(both)) - 1
-        ends = np.frombuffer(signs.buffers()[1], np.int32)[signs.offset : signs.offset + len(signs) + 1] // 8
-        raw = np.frombuffer(signs.buffers()[2], U)
-        self.narrow = raw[ends[:-1][order][:, None] + np.arange(NARROW)]
-        long = np.flatnonzero(np.diff(ends)[order] > NARROW)
-        self.wide = raw[ends[:-1][order][long][:, None] + NARROW + np.arange(WIDE)]
+        self.narrow, self.counts, self.wide = narrow[order], counts[order].astype(np.int16), wide
         self.long = np.full(len(size), -1)
         self.long[long] = np.arange(len(long))
+        self.long = self.long[order]
         self.label = np.arange(len(size))
 
     def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -331,6 +415,7 @@ class _Lines:
     def allowed(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         most = 2 * self.most[j]
         ok = np.flatnonzero(np.bitwise_count(self.narrow[i] ^ self.narrow[j]).sum(axis=1, dtype=np.int64) <= most)
+        ok = ok[np.abs(self.counts[i[ok]] - self.counts[j[ok]]).sum(axis=1, dtype=np.int64) <= most[ok]]
         both = (self.long[i[ok]] >= 0) & (self.long[j[ok]] >= 0)
         if both.any():
             x, y = (self.wide[self.long[d[ok[both]]]] for d in (i, j))
@@ -354,26 +439,55 @@ class _Lines:
                 label = new
         self.label = label
 
+    def least(self, ids: np.ndarray) -> np.ndarray:
+        """For each line the smallest of ``ids`` of those that it is connected with."""
+        out = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(out, self.label, ids)
+        return out[self.label]
+
+    def compare(self, c: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """Connects those of the pairs (sorted by ``i``) that are alike, as far as they are not connected by others."""
+        ok = self.allowed(i, j)
+        i, j = i[ok], j[ok]
+        ok = _shared(c, first, self.size, i, j, self.most[j])
+        i, j = i[ok], j[ok]
+        few = 1
+        while len(i):  # a few pairs of each line first: they connect most lines of a crowd
+            new = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            now = np.arange(len(i)) - np.repeat(new, np.diff(np.append(new, len(i)))) < few
+            x, y = i[now], j[now]
+            hit = _within(c, first, self.size, x, y, self.most[y])
+            self.join(x[hit], y[hit])
+            rest = ~now & (self.label[i] != self.label[j])
+            i, j, few = i[rest], j[rest], 4 * few
+
 
 def _candidates(similarity: float):
     """Lines that share a key and may be alike, as edges that connect all of them: ``a, b``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _sorted_groups(parts, ROWS):
-            d = _Lines(t["key"].to_numpy(), t["size"].to_numpy().astype(np.int64), t["parities"].combine_chunks(), similarity)
-            ids, low, high, guest = (t[c].to_numpy()[d.order] for c in ("id", "low", "high", "guest"))
+        for t in _parts(parts):
+            rows = _joined(t["rows"], ROW)
+            wide = _joined(t["wide"], U).reshape(-1, WIDE)
+            long = np.full(len(rows), -1)
+            long[rows["size"] > LONG] = np.arange(len(wide))
+            order = np.argsort(rows["key"], kind="stable")
+            rows, long = rows[order], long[order]
+            at = np.flatnonzero(long >= 0)
+            d = _Lines(rows["key"], rows["size"].astype(np.int64), rows["parities"], rows["counts"], at, wide[long[at]], similarity)
+            ids, low, high, guest = (rows[c][d.order] for c in ("id", "low", "high", "guest"))
             for i, j in d.batches():
                 # edits before and after the run move it in a line: by as many words at least
                 before = np.maximum(np.maximum(low[i] - high[j], low[j] - high[i]), 0)
                 shift = d.size[j] - d.size[i]
                 after = np.maximum(np.maximum(shift + low[i] - high[j], low[j] - high[i] - shift), 0)
-                ok = np.flatnonzero((before + after <= d.most[j]) & ~(guest[i] & guest[j]) & (ids[i] != ids[j]))
+                ok = np.flatnonzero((before + after <= d.most[j]) & (guest[i] & guest[j] == 0) & (ids[i] != ids[j]))
                 i, j = i[ok], j[ok]
                 ok = d.allowed(i, j)
                 d.join(i[ok], j[ok])
-            moved = np.flatnonzero(d.label != np.arange(len(ids)))
-            a, b = ids[d.label[moved]], ids[moved]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            least = d.least(ids)
+            moved = np.flatnonzero(least != ids)
+            yield pa.RecordBatch.from_arrays([pa.array(least[moved]), pa.array(ids[moved])], ["a", "b"])
 
     return run
 
@@ -382,32 +496,41 @@ def _alike(similarity: float):
     """Lines of groups that candidates connect, all pairs of which are compared: ``node, component`` of those that have a partner."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _sorted_groups(parts, ROWS // 10):
+        for t in _sorted_groups(parts, ROWS):
             ids = t["id"].to_numpy()
             c, size = _words(t["code"].combine_chunks())
             size = size.astype(np.int64)
-            d = _Lines(t["cell"].to_numpy(), size, _signs(mix(c.astype(U)), size, np.arange(len(size))), similarity)
+            d = _Lines(t["cell"].to_numpy(), size, *_signs(mix(c.astype(U)), size, np.arange(len(size))), similarity)
             ids, first = ids[d.order], (np.cumsum(size) - size)[d.order]
             for i, j in d.batches():
-                ok = d.allowed(i, j)
-                i, j = i[ok], j[ok]
-                few = 1
-                while len(i):  # a few pairs of each line first: they connect most lines of a crowd
-                    new = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-                    now = np.arange(len(i)) - np.repeat(new, np.diff(np.append(new, len(i)))) < few
-                    x, y = i[now], j[now]
-                    hit = _within(c, first, d.size, x, y, d.most[y])
-                    d.join(x[hit], y[hit])
-                    rest = ~now & (d.label[i] != d.label[j])
-                    i, j, few = i[rest], j[rest], 4 * few
-            least = np.full(len(ids), np.iinfo(np.int64).max)
-            np.minimum.at(least, d.label, ids)
+                d.compare(c, first, i, j)
             linked = np.flatnonzero(np.bincount(d.label, minlength=len(ids))[d.label] > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(least[d.label[linked]])], ["node", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(d.least(ids)[linked])], ["node", "component"])
 
     return run
 
 
+def _shared(c: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Pairs of lines whose counts of words, by bucket, are not too far apart: an edit changes two of them by one at most."""
+    used, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = of[: len(a)], of[len(a) :]
+    out = np.zeros(len(a), bool)
+    n = max(1, 64 * CELLS // BUCKETS)
+    lines = np.split(used, np.arange(n, len(used), n))
+    bags = np.concatenate([np.empty((0, BUCKETS), np.int16), *[_bags(c, first[k], size[k]) for k in lines]])
+    for k in range(0, len(a), CELLS // 64):
+        at = slice(k, k + CELLS // 64)
+        out[at] = np.abs(bags[x[at]] - bags[y[at]]).sum(axis=1, dtype=np.int64) <= 2 * most[at]
+    return np.flatnonzero(out)
+
+
+def _bags(c: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Counts of the words of lines in ``BUCKETS`` buckets."""
+    words = c[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    at = (mix(words.astype(U)) >> U(40)).astype(np.int64) % BUCKETS
+    return np.bincount(np.repeat(np.arange(len(size)), size) * BUCKETS + at, minlength=len(size) * BUCKETS).reshape(-1, BUCKETS).clip(max=1 << 14).astype(np.int16)
+
+
 def _within(c: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Whether lines ``a`` and ``b``, the longer ones, are ``most`` edits apart at most, pair by pair."""
     out = np.zeros(len(a), bool)
@@ -468,14 +591,15 @@ def line_groups(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     Keys of very many lines are dealt by classes of length, so no task has to hold all their lines.
     """
     spark = lines.sparkSession
-    shared = cut(lines.select("code").mapInArrow(_keys(similarity), "key long, n int").repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "key long, n long"))
+    bits = min(14, max(4, (lines.count() // PART_LINES).bit_length()))
+    keys = lines.select("code").mapInArrow(_dealt_keys(similarity, bits), "part int, keys binary").repartition("part").sortWithinPartitions("part")
+    shared = cut(keys.mapInArrow(_repeated, "key long, n long"))
     release(spark)
-    bits = min(max(KEY_BITS, 1 << (16 * shared.count()).bit_length()), MOST_KEY_BITS)
+    table = min(max(KEY_BITS, 1 << (16 * shared.count()).bit_length()), MOST_KEY_BITS)
     large = np.sort(shared.where(F.col("n") > SMALL_KEY).select("key").toArrow()["key"].to_numpy().view(U))
-    wanted = _bits(shared, bits)
+    wanted = _bits(shared, table)
     drop_cut(shared)
-    kind = "key long, id long, size int, low int, high int, guest boolean, parities binary"
-    rows = lines.select("id", "code").mapInArrow(_keys(similarity, wanted, large), kind).repartition("key").sortWithinPartitions("key")
+    rows = lines.select("id", "code").mapInArrow(_dealt_keys(similarity, bits, wanted, large), "part int, rows binary, wide binary").repartition("part").sortWithinPartitions("part")
     edges = cut(rows.mapInArrow(_candidates(similarity), "a long, b long").distinct())
     release(spark)
     cells = cut(connected_components(edges).toDF("id", "cell"))
@@ -522,75 +646,29 @@ def _in_blocks(many: DataFrame, similarity: float) -> DataFrame:
 
 
 def _linked(similarity: float):
-    """Two blocks of lines: each line that a link adds to a component, with the component's smallest line in the blocks.
-
-    A line is compared with those lines in reach that are not connected with it yet.
-    """
+    """Two blocks of lines: links that connect, with what is known, all alike lines of different blocks, or of a block with itself."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        nodes, where = np.unique(np.concatenate([a, b]), return_index=True)
-        at, of = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
-        known = np.concatenate([left["comp"].to_numpy(), right["comp"].to_numpy()])[where]
-        _, head, group = np.unique(known, return_index=True, return_inverse=True)
-        comp = head[group]  # the first line of each component that is known
-        before = comp.copy()
-        (own, own_size), (words, size) = (_split(t["code"].combine_chunks()) for t in (left, right))
-        odd, odds = (_parities(mix(np.concatenate([*w, np.empty(0, np.uint32)]).astype(U)), n, 1)[:, 0] for w, n in ((own, own_size), (words, size)))
-        own_bags, bags = _bags(own), _bags(words)
-        for i, s in enumerate(own if len(b) else ()):
-            longest = np.maximum(size, own_size[i])
-            most = np.floor((1 - similarity) * longest + 1e-9)
-            ok = (np.minimum(size, own_size[i]) >= similarity * longest) & (np.bitwise_count(odds ^ odd[i]) <= 2 * most) & (comp[of] != comp[at[i]])
-            ok = np.flatnonzero(ok)
-            ok = ok[np.abs(bags[ok] - own_bags[i]).sum(axis=1) <= 2 * most[ok]]
-            if not len(ok):
-                continue
-            most = most[ok]
-            table = np.zeros((len(ok), size[ok].max()), np.uint32)
-            for row, j in zip(table, ok, strict=True):
-                row[: size[j]] = words[j]
-            width = min(len(s), table.shape[1])
-            unlike = (table[:, :width] != s[:width]).sum(axis=1) + np.abs(size[ok] - len(s))
-            alike = unlike <= most  # an upper bound of the edits: words changed in place, and the surplus
-            if not alike.all():
-                rest = np.flatnonzero(~alike)
-                alike[rest] = _edits(s, table[rest])[np.arange(len(rest)), size[ok[rest]]] <= most[rest]
-            hit = ok[alike]
-            if len(hit):
-                met = np.append(comp[of[hit]], comp[at[i]])
-                comp[np.isin(comp, met)] = met.min()
-        moved = np.flatnonzero(comp != before)
-        return pa.table({"a": pa.array(nodes[comp[moved]], pa.int64()), "b": pa.array(nodes[moved], pa.int64())})
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        own = left["h"][0] == left["k"][0]
+        t = left if own else pa.concat_tables([left, right])
+        c, size = _words(t["code"].combine_chunks())
+        size = size.astype(np.int64)
+        d = _Lines(np.zeros(len(size), np.int64), size, *_signs(mix(c.astype(U)), size, np.arange(len(size))), similarity)
+        ids, first, block = t["id"].to_numpy()[d.order], (np.cumsum(size) - size)[d.order], (np.arange(len(size)) >= left.num_rows)[d.order]
+        _, head, group = np.unique(t["comp"].to_numpy()[d.order], return_index=True, return_inverse=True)
+        before = head[group]  # the first line of each component that is known
+        d.label = before.copy()
+        for i, j in d.batches():
+            rest = own | (block[i] != block[j])
+            d.compare(c, first, i[rest], j[rest])
+        moved = np.flatnonzero(d.label != before)
+        return pa.table({"a": pa.array(ids[d.label[moved]]), "b": pa.array(ids[moved])})
 
     return run
 
 
-def _split(code: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    words, size = _words(code)
-    return (np.split(words, np.cumsum(size)[:-1]) if len(size) else []), size
-
-
-def _bags(lines: list[np.ndarray], buckets: int = 1024) -> np.ndarray:
-    """Counts of the words of each line by bucket; an edit changes two of them by one at most."""
-    size = np.array([len(x) for x in lines], np.int64)
-    c = (mix(np.concatenate([*lines, np.empty(0, np.uint32)]).astype(U)) % U(buckets)).astype(np.int64)
-    return np.bincount(np.repeat(np.arange(len(size)), size) * buckets + c, minlength=len(size) * buckets).reshape(-1, buckets).astype(np.int32)
-
-
-def _edits(s: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Edit distances of ``s`` to all prefixes of each row of ``table``."""
-    n, width = table.shape
-    step = np.arange(width + 1)
-    row = np.tile(step, (n, 1))
-    for k, c in enumerate(s, 1):
-        new = np.empty_like(row)
-        new[:, 0] = k
-        np.minimum(row[:, 1:] + 1, row[:, :-1] + (table != c), out=new[:, 1:])
-        row = np.minimum.accumulate(new - step, axis=1) + step  # insertions
-    return row
-
-
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, with fuzzily repeated lines removed from ``text``, plus ``_lines, _gone long``.
 
@@ -605,20 +683,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    kind = "doc_id long, line int, id long, code string"
-    whole = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_lines(max(1, min_words)), kind))
-    distinct = cut(whole.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("code").alias("code")))
-    lines = cut(whole.select("doc_id", "line", "id"))
-    drop_cut(whole)
+    dealt = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_lines(max(1, min_words)), "part int, rows binary, words binary")
+    whole = cut(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_occurrences, "doc_id long, line int, id long, n long, code string"))
     release(spark)
+    lines = whole.select("doc_id", "line", "id")
+    distinct = whole.where("n > 0")
     groups = line_groups(distinct.select("id", "code"), similarity)
-    firsts = cut(distinct.select("id", "first", "n").join(groups.withColumnRenamed("node", "id"), "id", "left"))
-    drop_cut(distinct)
+    firsts = distinct.select("id", F.struct("doc_id", "line").alias("first"), "n")
+    firsts = cut(firsts.join(groups.withColumnRenamed("node", "id"), "id", "left"))
     best = cut(firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("best")))
     keep = cut(firsts.join(best, "component", "left").where("n > 1 or best is not null").select("id", F.coalesce("best", "first").alias("keep")))
     gone = lines.join(keep, "id").where("keep <> struct(doc_id, line)")
     gone = cut(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone")))
-    for done in (lines, keep, firsts, best):
+    for done in (whole, keep, firsts, best):
         drop_cut(done)
     release(spark)
     cols = docs.columns
